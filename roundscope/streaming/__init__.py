@@ -1,0 +1,4 @@
+"""Input is finished match recordings, so every operator is a batch transformation.
+
+There is no streaming surface to offer; the folder only records that decision.
+"""
