@@ -1,7 +1,7 @@
 """Registered queries and their oracle SQL."""
 from __future__ import annotations
 
-from . import stats  # noqa: F401
+from . import raw, stats  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -186,6 +186,76 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "CASE WHEN k_min % 4 = 0 THEN 'AK-47' WHEN k_min % 4 = 1 THEN ' weapon_AWP' ELSE 'Glock 18' END AS item_a",
         "CASE WHEN k_max % 3 = 0 THEN 'Smoke Grenade' WHEN k_max % 3 = 1 THEN 'weapon_flashbang' ELSE 'C4' END AS item_b",
     ]),
+    # --- landing rows with dirty text values, and round markers -------------
+    "raw_cols": ("ev", "", [
+        "match_id", "k", "event_id AS seq",
+        "CASE event_type WHEN 'error' THEN 'player_death' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'player_hurt' ELSE 'weapon_fire' END "
+        "WHEN 'view' THEN 'player_blind' WHEN 'signup' THEN CASE WHEN k < 50 THEN 'bomb_planted' WHEN k < 75 THEN 'bomb_defused' ELSE 'bomb_exploded' END "
+        "ELSE CASE k % 7 WHEN 0 THEN 'smokegrenade_detonate' WHEN 1 THEN 'smokegrenade_expired' WHEN 2 THEN 'inferno_startburn' WHEN 3 THEN 'inferno_expire' "
+        "WHEN 4 THEN 'flashbang_detonate' WHEN 5 THEN 'hegrenade_detonate' ELSE 'decoy_detonate' END END AS source_event",
+        "CASE WHEN k % 37 = 5 THEN 'True' WHEN k % 3 = 0 THEN '0' END AS warm",
+        "CASE k WHEN 13 THEN 'bad' WHEN 14 THEN '-5' WHEN 15 THEN NULL ELSE '' || tick END AS tick_text",
+        "CASE WHEN k % 41 = 7 THEN 'abc' WHEN k % 43 = 9 THEN NULL WHEN k % 5 = 1 THEN '7656' || (lobby * 10 + a) || '.0' ELSE '7656' || (lobby * 10 + a) END AS a_steam",
+        "CASE WHEN k % 47 = 3 THEN ' ' WHEN k % 9 = 0 THEN '  n' || (lobby * 10 + a) || ' ' WHEN rn > 20 THEN 'x' || (lobby * 10 + a) ELSE 'n' || (lobby * 10 + a) END AS a_name",
+        f"CASE WHEN k % 29 = 0 THEN 'spectator' WHEN ({_side('a')}) = 'T' THEN CASE k % 4 WHEN 0 THEN '2' WHEN 1 THEN ' T' WHEN 2 THEN 'TERRORIST' ELSE 'team_t' END "
+        "ELSE CASE k % 4 WHEN 0 THEN '3' WHEN 1 THEN 'ct ' WHEN 2 THEN 'Counter-Terrorists' ELSE 'TEAM_CT' END END AS a_team",
+        "CASE WHEN k % 31 = 4 THEN NULL ELSE '7656' || (lobby * 10 + v) END AS u_steam",
+        "CASE WHEN k % 31 = 4 AND k % 2 = 0 THEN NULL ELSE 'n' || (lobby * 10 + v) END AS u_name",
+        f"CASE WHEN k % 23 = 0 THEN 'none' WHEN ({_side('v')}) = 'T' THEN 'T' ELSE 'CT' END AS u_team",
+        "CASE WHEN k % 3 = 0 THEN '7656' || (lobby * 10 + (k // 10) % 10) END AS s_steam",
+        "CASE k % 5 WHEN 0 THEN 'ak47' WHEN 1 THEN ' awp ' WHEN 2 THEN '' ELSE 'deagle' END AS weapon",
+        "CASE k % 6 WHEN 0 THEN '1' WHEN 1 THEN 'TRUE' WHEN 2 THEN 'no' WHEN 3 THEN 'maybe' WHEN 4 THEN ' y ' END AS headshot",
+        "'' || (k - 3) AS penetrated",
+        "CASE k WHEN 20 THEN 'nan' WHEN 21 THEN 'inf' WHEN 22 THEN 'far' ELSE '' || k || '.5' END AS distance",
+        "'' || CAST(floor(value) AS INT) AS dmg_health", "CASE WHEN k % 8 = 0 THEN '1.5' ELSE '' || (k % 101) END AS health_after",
+        "CASE WHEN k % 10 = 0 THEN '-1' ELSE '0.' || k END AS blind_duration",
+        "CASE k % 6 WHEN 0 THEN 'bombsite_a' WHEN 1 THEN ' A' WHEN 2 THEN 'b' WHEN 3 THEN 'SITE_B' WHEN 4 THEN '422' END AS site",
+    ]),
+    "mark_base": ("round_score", "", ["*", "EXPLODE[0, 1, 2, 3, 4, 5, 6, 7] AS q"]),
+    "raw_marks": ("mark_base",
+        "q = 0 OR (q = 1 AND rn % 5 = 0) OR (q = 2 AND rn <> 11) OR (q = 3 AND rn % 9 <> 0 AND NOT (rn = 24 AND match_no % 3 = 2)) OR (q = 4 AND rn < 24) "
+        "OR (q = 5 AND rn = 24) OR (q = 6 AND (rn = 12 OR (rn = 20 AND match_no % 2 = 1))) OR (q = 7 AND match_no % 4 = 1 AND rn < 24)", [
+        "match_id", "CASE q WHEN 0 THEN 'round_start' WHEN 1 THEN 'round_start' WHEN 2 THEN 'round_freeze_end' WHEN 3 THEN 'round_end' WHEN 4 THEN 'round_officially_ended' "
+        "WHEN 5 THEN 'cs_win_panel_match' WHEN 6 THEN 'announce_phase_end' ELSE 'round_prestart' END AS source_event",
+        "CAST((rn - 1) * 3600 + CASE q WHEN 1 THEN -40 WHEN 2 THEN 100 WHEN 3 THEN 3500 WHEN 4 THEN 3599 WHEN 5 THEN 3510 WHEN 6 THEN 3505 ELSE 0 END AS INT) AS tick",
+        "CASE WHEN q < 3 THEN rn - 1 WHEN q < 7 THEN rn END AS marker",
+        "CASE WHEN q IN (3, 4, 5) AND rn % 8 <> 0 THEN true_side WHEN q = 3 AND rn = 16 THEN 'T' WHEN q = 4 AND rn = 16 THEN '3' END AS winner",
+        "CASE WHEN q = 3 AND rn = 7 THEN 'time' WHEN q IN (3, 4) AND rn % 4 <> 0 THEN 'elimination' END AS reason",
+        "CASE WHEN q IN (3, 4, 5) AND rn % 10 <> 5 THEN CASE WHEN rn <= 12 THEN a_after ELSE b_after END + CASE WHEN q = 4 AND rn = 14 THEN 1 ELSE 0 END END AS t_score",
+        "CASE WHEN q IN (3, 4, 5) AND rn % 10 <> 5 THEN CASE WHEN rn <= 12 THEN b_after ELSE a_after END END AS ct_score",
+        "CASE WHEN q IN (0, 2) THEN CASE WHEN rn % 7 = 0 THEN 'mix' WHEN rn <= 12 THEN ' Red  Foxes' ELSE 'team_1' END END AS t_clan",
+        "CASE WHEN q IN (0, 2) THEN CASE WHEN rn <= 12 THEN 'team_1' ELSE 'Red Foxes ' END END AS ct_clan",
+    ]),
+    "selections": ("match_base", "match_no % 7 < 5", [
+        "'opp' || lobby AS profile_id", "match_id", "'t' || (lobby * 2) AS team_id", "match_no AS selection_order",
+    ]),
+    # --- deliberately damaged copies for the integrity checks ----------------
+    "dirty_rounds": ("round_score", "", [
+        "match_id", "round_id", "rn AS round_number",
+        "CAST(CASE WHEN rn = 1 AND match_no % 3 = 0 THEN -5 ELSE (rn - 1) * 3600 END AS INT) AS start_tick",
+        "CAST((rn - 1) * 3600 + CASE WHEN rn = 6 THEN -1 ELSE 100 END AS INT) AS freeze_end_tick",
+        "CAST((rn - 1) * 3600 + CASE WHEN rn = 5 AND match_no % 2 = 0 THEN 3700 ELSE 3500 END AS INT) AS end_tick",
+        "CAST(CASE WHEN rn = 24 AND match_no % 2 = 1 THEN NULL ELSE (rn - 1) * 3600 + 3800 END AS INT) AS official_end_tick",
+        "CASE WHEN rn = 9 AND match_no % 3 = 1 THEN 't_gone' WHEN rn = 10 THEN NULL ELSE 't' || (lobby * 2) END AS t_team_id",
+        "'t' || (lobby * 2 + 1) AS ct_team_id", "rn <> 23 AS is_complete",
+    ]),
+    "dirty_slots": ("ev", "", ["*", "EXPLODE[0, 1] AS copy"]),
+    "dirty_events": ("dirty_slots", "copy = 0 OR k = 42", [
+        "event_id", "match_id", "CASE WHEN k = 45 THEN NULL WHEN k = 46 THEN 'r_gone' ELSE round_id END AS round_id",
+        "CASE WHEN k = 43 THEN tick + 5000 WHEN k = 44 THEN -1 ELSE tick END AS tick",
+        f"CASE WHEN k = 47 THEN 'p_gone' ELSE {_player('a')} END AS player_id", f"CASE WHEN k = 48 THEN 't_gone' ELSE {_team('a')} END AS team_id",
+    ]),
+}
+
+# raw column -> landing key for even and odd k; several spellings of one field.
+RAW_KEYS = {
+    "seq": ("seq", "seq"), "warm": ("is_warmup_period", "warmup"), "tick_text": ("tick", "event_tick"),
+    "a_steam": ("attacker_steamid", "Attacker_Steam_ID"), "a_name": ("attacker_name", "attacker_name"),
+    "a_team": ("attacker_team_name", "attacker_team"), "u_steam": ("user_steamid", "user_steam_id"),
+    "u_name": ("user_name", "USER_NAME"), "u_team": ("user_team_name", "user_team"), "s_steam": ("assister_steamid", "assister_steamid"),
+    "weapon": ("weapon", "Weapon"), "headshot": ("headshot", "headshot"), "penetrated": ("penetrated", "penetrated"),
+    "distance": ("distance", "distance"), "dmg_health": ("dmg_health", "dmg_health"), "health_after": ("health", "health"),
+    "blind_duration": ("blind_duration", "duration"), "site": ("site", "bombsite"),
 }
 
 
@@ -207,6 +277,13 @@ class MatchTables:
             self._built[name] = self._build(name)
         return self._built[name]
 
+    @property
+    def raw_events(self) -> DataFrame:
+        """Landing form: one map of text values per row, keys spelled in several ways."""
+        key = {c: F.when(F.col("k") % 2 == 0, even).otherwise(odd) for c, (even, odd) in RAW_KEYS.items()}
+        pairs = [x for c in RAW_KEYS for x in (key[c], F.col(c).cast("string"))]
+        return self.raw_cols.select("match_id", "source_event", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("data"))
+
     def _build(self, name: str) -> DataFrame:
         source, rule, exprs = TABLES[name]
         df = self.read("events") if source == "events" else getattr(self, source)
@@ -246,4 +323,6 @@ def duck_ctes() -> dict[str, str]:
             out[name] = f"SELECT DISTINCT {', '.join(cols)} FROM {source}"
         else:
             out[name] = f"SELECT {', '.join(cols)} FROM {source}" + (f" WHERE {_duck_text(rule)}" if rule else "")
+    parts = ", ".join(f"CASE WHEN k % 2 = 0 THEN '{even}' ELSE '{odd}' END || '=' || {c}" for c, (even, odd) in RAW_KEYS.items())
+    out["raw_payload"] = f"SELECT *, array_to_string(list_sort(list_filter([{parts}], lambda x: x IS NOT NULL)), chr(1)) AS payload FROM raw_cols"
     return out
