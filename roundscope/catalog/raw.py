@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import text, union_all
+from ..functions.common import shared, text, union_all
 from ..operators import checks as G
 from ..operators import identity as D
 from ..operators import normalize as B
@@ -103,7 +103,7 @@ def _(t):
 
 
 @query("b06_row_keys", """SELECT match_id, source_event, sha256(p) AS row_hash, row_number() OVER (PARTITION BY match_id, source_event, sha256(p)) - 1 AS ordinal
-  FROM (SELECT *, array_to_string(list_sort(list_filter(['team=' || u_team, 'weapon=' || weapon], lambda x: x IS NOT NULL)), chr(1)) AS p FROM raw_cols)""")
+  FROM (SELECT *, '[' || array_to_string(list_filter(['{"key":"team","value":"' || u_team || '"}', '{"key":"weapon","value":"' || weapon || '"}'], lambda x: x IS NOT NULL), ',') || ']' AS p FROM raw_cols)""")
 def _(t):
     r = B.lowered(t.raw_events)
     small = F.map_filter(F.create_map(F.lit("team"), B.field("user_team_name", "user_team"), F.lit("weapon"), B.field("weapon")), lambda _, v: v.isNotNull())
@@ -234,7 +234,8 @@ def roles(t):
 
 
 def observed(t):
-    return D.side_observations(roles(t), t.rounds)
+    """Counted side observations; shared by every identity step, so it is written out once."""
+    return shared(D.count_observations(D.side_observations(roles(t), t.rounds)))
 
 
 @query("d01_player_identity", """SELECT match_id, player_id, max(steam) AS steam_id, coalesce(arg_max(name, (coalesce(tick, -1), name)), 'UnknownPlayer-' || substr(player_id, 1, 8)) AS current_name,

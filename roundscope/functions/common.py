@@ -1,6 +1,7 @@
 """Small column and DataFrame helpers shared by the operators."""
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +56,18 @@ def text(arr: Column) -> Column:
     return F.array_join(arr, ",")
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read, through a reliable checkpoint.
+
+    The folder comes from the session (``spark.checkpoint.dir``); a temporary one is set
+    only where nothing is configured, as in local tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roundscope-"))
+    return df.checkpoint()
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """First row per key by an aggregate, so hot keys are reduced before the shuffle."""
     packed = F.struct(*[F.col(c) for c in order + [k for k in keep if k not in order]])

@@ -17,7 +17,7 @@ def round_issues(rounds: DataFrame) -> DataFrame:
     w = Window.partitionBy("match_id").orderBy("round_number")
     r = rounds.withColumn("next_start", F.lead("start_tick").over(w))
     seen = F.array_compact(F.array(*[F.col(c) for c in TICKS]))
-    tests = {"negative_round_tick": F.exists(seen, lambda t: t < 0), "round_boundaries_not_monotonic": seen != F.array_sort(seen),
+    tests = {"negative_round_tick": F.exists(seen, lambda t: t < 0), "round_boundaries_not_monotonic": seen != F.sort_array(seen),
              "rounds_overlap": F.col("end_tick") > F.col("next_start")}
     found = F.array_compact(F.array(*[F.when(truth(c), F.lit(n)) for n, c in tests.items()]))
     return r.select("match_id", F.explode(found).alias("code"), F.lit("round").alias("entity_type"), F.col("round_id").alias("entity_id"))

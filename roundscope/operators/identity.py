@@ -19,7 +19,7 @@ def player_identities(roles: DataFrame) -> DataFrame:
     named = F.when(F.col("name").isNotNull(), F.struct(tick.alias("t"), F.col("name").alias("n")))
     on, off = (F.when(F.col("source_event") == s, F.col("tick")) for s in ("player_connect_full", "player_disconnect"))
     g = roles.groupBy("match_id", "player_id").agg(
-        F.max("steam").alias("steam_id"), F.max(named).alias("latest"), F.array_sort(F.collect_set("name")).alias("known_names"),
+        F.max("steam").alias("steam_id"), F.max(named).alias("latest"), F.sort_array(F.collect_set("name")).alias("known_names"),
         F.bool_or("is_bot").alias("is_bot"), truth(F.max(on) > F.min(off)).alias("reconnect_observed"))
     unknown = F.concat(F.lit("UnknownPlayer-"), F.substring("player_id", 1, 8))
     return g.select("match_id", "player_id", "steam_id", F.coalesce("latest.n", unknown).alias("current_name"), "known_names", "is_bot",
@@ -33,16 +33,22 @@ def side_observations(roles: DataFrame, rounds: DataFrame) -> DataFrame:
     return assign_rounds(obs.select("match_id", "player_id", "tick", "side", "source"), rounds).where("round_number IS NOT NULL")
 
 
-def first_sides(obs: DataFrame) -> DataFrame:
-    first = F.min(F.struct("tick", "source", "side", "round_number"))
-    return obs.groupBy("match_id", "player_id").agg(first.alias("f")).select("match_id", "player_id", F.col("f.round_number").alias("first_round"), F.col("f.side").alias("first_side"))
+def count_observations(obs: DataFrame) -> DataFrame:
+    """Observations per (match, round, side, player) with the earliest one."""
+    return obs.groupBy("match_id", "round_number", "side", "player_id").agg(
+        F.count("*").alias("n"), F.min(F.struct("tick", "player_id", "source")).alias("at"))
+
+
+def first_sides(seen: DataFrame) -> DataFrame:
+    first = F.min(F.struct(F.col("at.tick"), F.col("at.source"), "side", "round_number"))
+    return seen.groupBy("match_id", "player_id").agg(first.alias("f")).select("match_id", "player_id", F.col("f.round_number").alias("first_round"), F.col("f.side").alias("first_side"))
 
 
 def seed_teams(firsts: DataFrame) -> DataFrame:
     """Players of the first observed round grouped by side; the id comes from the sorted roster."""
     start = firsts.groupBy("match_id").agg(F.min("first_round").alias("seed_round"))
     g = (firsts.join(start, "match_id").where("first_round = seed_round").groupBy("match_id", "seed_round", "first_side")
-         .agg(F.array_sort(F.collect_set("player_id")).alias("starting_player_ids")))
+         .agg(F.sort_array(F.collect_set("player_id")).alias("starting_player_ids")))
     sig = F.array_join("starting_player_ids", ",")
     rank = F.row_number().over(Window.partitionBy("match_id").orderBy(sig))
     n = F.size("starting_player_ids")
@@ -51,20 +57,19 @@ def seed_teams(firsts: DataFrame) -> DataFrame:
                     F.when(n >= 2, 1.0).otherwise(0.5).alias("identity_confidence"))
 
 
-def player_teams(obs: DataFrame, firsts: DataFrame, teams: DataFrame) -> DataFrame:
+def player_teams(seen: DataFrame, firsts: DataFrame, teams: DataFrame) -> DataFrame:
     """Seed members keep their team; later players join the majority team of their first side.
 
     A late player counts as known for players arriving after it, so the votes of a match
     are folded in arrival order over pre-counted votes (a roster-sized list).
     """
     seeds = teams.select("match_id", "team_id", F.explode("starting_player_ids").alias("player_id"))
-    seen = obs.groupBy("match_id", "round_number", "side", "player_id").agg(F.count("*").alias("n"), F.min(F.struct("tick", "player_id", "source")).alias("at"))
     late = firsts.join(seeds.select("match_id", "player_id"), ["match_id", "player_id"], "left_anti")
     votes = late.join(seen.withColumnRenamed("player_id", "observer"),
                       (late.match_id == seen.match_id) & (late.first_round == seen.round_number) & (late.first_side == seen.side))
     votes = votes.groupBy(late.match_id, "first_round", "player_id").agg(F.collect_list(F.struct("observer", "n", "at")).alias("votes"))
-    queue = votes.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("first_round", "player_id", "votes"))).alias("queue"))
-    known = seeds.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("player_id", "team_id"))).alias("known"), F.array_sort(F.collect_set("team_id")).alias("team_ids"))
+    queue = votes.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("first_round", "player_id", "votes"))).alias("queue"))
+    known = seeds.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("player_id", "team_id"))).alias("known"), F.sort_array(F.collect_set("team_id")).alias("team_ids"))
     best = """element_at(transform(array(filter(transform(team_ids, t -> named_struct(
         'n', aggregate(filter(q.votes, v -> s[v.observer] = t), 0L, (x, v) -> x + v.n),
         'at', array_min(transform(filter(q.votes, v -> s[v.observer] = t), v -> v.at)), 'team', t)), c -> c.n > 0)),
@@ -75,14 +80,14 @@ def player_teams(obs: DataFrame, firsts: DataFrame, teams: DataFrame) -> DataFra
     return full.select("match_id", F.explode("all").alias("player_id", "team_id"))
 
 
-def resolve_sides(rounds: DataFrame, obs: DataFrame, assigned: DataFrame, teams: DataFrame) -> DataFrame:
+def resolve_sides(rounds: DataFrame, seen: DataFrame, assigned: DataFrame, teams: DataFrame) -> DataFrame:
     """Majority team per side and round, the missing side filled, unseen rounds carried forward."""
-    v = obs.join(assigned, ["match_id", "player_id"]).groupBy("match_id", "round_number", "side", "team_id").agg(
-        F.count("*").alias("n"), F.min(F.struct("tick", "player_id", "source")).alias("at"))
+    v = seen.join(assigned, ["match_id", "player_id"]).groupBy("match_id", "round_number", "side", "team_id").agg(
+        F.sum("n").alias("n"), F.min("at").alias("at"))
     best = v.groupBy("match_id", "round_number", "side").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("at"), F.col("team_id"))).alias("b"))
     pick = best.groupBy("match_id", "round_number").agg(
         F.max(F.when(F.col("side") == "T", F.col("b.team_id"))).alias("t"), F.max(F.when(F.col("side") == "CT", F.col("b.team_id"))).alias("ct"))
-    ids = teams.groupBy("match_id").agg(F.array_sort(F.collect_set("team_id")).alias("ids"))
+    ids = teams.groupBy("match_id").agg(F.sort_array(F.collect_set("team_id")).alias("ids"))
     r = rounds.drop("t_team_id", "ct_team_id").join(pick, ["match_id", "round_number"], "left").join(ids, "match_id", "left")
     two = F.size(F.coalesce("ids", F.array())) == 2
 
@@ -163,14 +168,14 @@ def team_names(marks: DataFrame, rounds: DataFrame, players: DataFrame) -> DataF
     per = m.groupBy("match_id", "team_id", "round_number", "rank").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
     per = per.groupBy("match_id", "team_id", "round_number").agg(F.min(F.struct("rank", "lo", "hi")).alias("b")).where("b.lo = b.hi")
     votes = per.groupBy("match_id", "team_id", F.col("b.lo").alias("name")).agg(F.count("*").alias("n"))
-    tally = votes.groupBy("match_id", "team_id").agg(F.sum("n").alias("denominator"), F.array_sort(F.collect_list(
+    tally = votes.groupBy("match_id", "team_id").agg(F.sum("n").alias("denominator"), F.sort_array(F.collect_list(
         F.struct((-F.col("n")).alias("neg"), F.lower("name").alias("folded"), F.col("name")))).alias("ranked"))
     tag = F.coalesce(*[F.nullif(F.regexp_extract(F.trim("current_name"), p, 1), F.lit("")) for p in (BRACKET_TAG, SEPARATOR_TAG)])
     p = players.withColumn("tag", tag).withColumn("tag", F.when(~F.lower("tag").isin(*GENERIC_NAMES), F.col("tag")))
     names = p.groupBy("match_id", "team_id").agg(F.count("*").alias("roster_size"), F.collect_set(F.lower("current_name")).alias("known"))
     spell = p.where("tag IS NOT NULL").groupBy("match_id", "team_id", F.lower("tag").alias("folded"), "tag").agg(F.count("*").alias("n"))
     folded = spell.groupBy("match_id", "team_id", "folded").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("neg"), F.col("tag"))).alias("best"))
-    tags = folded.groupBy("match_id", "team_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("folded"), F.col("best.tag").alias("tag")))).alias("tags"))
+    tags = folded.groupBy("match_id", "team_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("folded"), F.col("best.tag").alias("tag")))).alias("tags"))
     g = names.join(tally, ["match_id", "team_id"], "left").join(tags, ["match_id", "team_id"], "left")
     top, second = F.try_element_at("ranked", F.lit(1)), F.try_element_at("ranked", F.lit(2))
     low = top["folded"]

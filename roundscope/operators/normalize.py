@@ -31,12 +31,8 @@ def alias_column(df: DataFrame, aliases: tuple[str, ...]) -> Column:
 
 
 def field(*aliases: str) -> Column:
-    """Value of the first alias present in the lower-cased ``data`` map."""
-    data, out = F.col("data"), None
-    for a in aliases:
-        test = F.map_contains_key(data, F.lit(a.lower()))
-        out = F.when(test, data[a.lower()]) if out is None else out.when(test, data[a.lower()])
-    return out
+    """First alias in the lower-cased ``data`` map; landing maps hold no NULL values."""
+    return F.coalesce(*[F.col("data")[a.lower()] for a in aliases])
 
 
 def optional_text(c: Column) -> Column:
@@ -87,8 +83,8 @@ def lowered(raw: DataFrame) -> DataFrame:
 
 
 def payload(data: Column) -> Column:
-    """Canonical text of a row, independent of key order."""
-    return F.array_join(F.array_sort(F.transform(F.map_entries(data), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "\u0001")
+    """Canonical JSON text of a row, independent of key order."""
+    return F.to_json(F.sort_array(F.map_entries(data)))
 
 
 def stable_rows(raw: DataFrame) -> DataFrame:
@@ -128,7 +124,7 @@ def role(prefix: str, *, fallback: bool = False) -> Column:
     return F.struct(sid.alias("steam"), name.alias("name"), side.alias("side"), bot.alias("is_bot"))
 
 
-def player_key(match: Column, who: Column, source: Column, row_hash: Column, role_name: Column) -> Column:
+def player_key(match: Column, who, source: Column, row_hash: Column, role_name: Column) -> Column:
     """One id per platform id; rows without one keep an id of their own."""
     known = F.concat_ws(":", match, F.lit("player"), F.lit("steam"), who["steam"])
     loose = F.concat_ws(":", match, F.lit("player"), F.lit("unknown"), source, row_hash, role_name, F.coalesce(who["name"], F.lit("")))
@@ -150,10 +146,25 @@ def with_roles(rows: DataFrame) -> DataFrame:
 
 
 def role_rows(rows: DataFrame) -> DataFrame:
-    """One row per present role."""
-    items = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("who")) for r in ("attacker", "victim", "assister", "user")])
-    out = rows.select("match_id", "source_event", "tick", "row_hash", F.inline(items)).where("who IS NOT NULL")
-    return out.select("match_id", "source_event", "tick", "row_hash", "role", "who.*")
+    """One row per present role: the raw texts are unpivoted first, then cleaned once."""
+    death, pair, other = F.col("source_event") == "player_death", F.col("source_event").isin("player_death", "player_hurt"), F.col("source_event").isin(*ROLES)
+
+    def texts(name: str, prefix: str, used: Column) -> Column:
+        sid, nm = field(f"{prefix}_steamid", f"{prefix}_steam_id"), field(f"{prefix}_name")
+        side, bot = field(f"{prefix}_team_name", f"{prefix}_team"), field(f"{prefix}_isbot", f"{prefix}_is_bot")
+        if name == "user":
+            plain = steam_id(sid).isNull() & optional_text(nm).isNull()
+            sid, nm = F.when(plain, field("steamid", "steam_id", "player_steamid")).otherwise(sid), F.when(plain, field("name", "player_name")).otherwise(nm)
+            side, bot = F.when(plain, field("team_name", "team", "player_team")).otherwise(side), F.when(plain, field("isbot", "is_bot")).otherwise(bot)
+        return F.when(used, F.struct(F.lit(name).alias("role"), sid.alias("sid"), nm.alias("nm"), side.alias("sd"), bot.alias("bt")))
+
+    items = F.array_compact(F.array(texts("attacker", "attacker", other), texts("victim", "user", pair), texts("assister", "assister", death), texts("user", "user", ~pair)))
+    out = rows.select("match_id", "source_event", "tick", "row_hash", F.inline(items))
+    out = out.withColumn("steam", steam_id(F.col("sid"))).withColumn("name", optional_text(F.col("nm")))
+    who = {"steam": F.col("steam"), "name": F.col("name")}
+    pid = player_key(F.col("match_id"), who, F.col("source_event"), F.col("row_hash"), F.col("role"))
+    return out.select("match_id", "source_event", "tick", "row_hash", "role", "steam", "name", normalize_side(F.col("sd")).alias("side"),
+                      F.coalesce(optional_bool(F.col("bt")), F.lit(False)).alias("is_bot"), pid.alias("player_id")).where("player_id IS NOT NULL")
 
 
 def event_profile(raw: DataFrame) -> DataFrame:
@@ -162,12 +173,12 @@ def event_profile(raw: DataFrame) -> DataFrame:
     per = df.groupBy("source_event").agg(
         F.count("*").alias("row_count"),
         F.count_if(non_negative_int(field(*TICKS)).isNull()).alias("missing_tick"),
-        F.count_if(F.map_contains_key(F.col("data"), F.lit("weapon")) & optional_text(field("weapon")).isNull()).alias("missing_weapon"))
+        F.count_if(field("weapon").isNotNull() & optional_text(field("weapon")).isNull()).alias("missing_weapon"))
     ids = df.select("source_event", F.explode(F.array(
         steam_id(field("attacker_steamid", "attacker_steam_id")), steam_id(field("user_steamid", "user_steam_id")))).alias("steam"))
     players = ids.where("steam IS NOT NULL").groupBy("source_event").agg(F.countDistinct("steam").alias("player_count"))
     fields = df.select("source_event", F.explode(F.map_keys("data")).alias("key")).distinct()
-    columns = fields.groupBy("source_event").agg(F.array_sort(F.collect_set("key")).alias("columns"))
+    columns = fields.groupBy("source_event").agg(F.sort_array(F.collect_set("key")).alias("columns"))
     return per.join(players, "source_event", "left").join(columns, "source_event").fillna(0, ["player_count"])
 
 

@@ -68,7 +68,7 @@ def terminal(marks: DataFrame, counts: DataFrame) -> DataFrame:
 
 def overtime_start(marks: DataFrame) -> DataFrame:
     """Round after the second finished match phase."""
-    p = marks.where("source_event = 'announce_phase_end' AND marker > 0").groupBy("match_id").agg(F.array_sort(F.collect_set("marker")).alias("m"))
+    p = marks.where("source_event = 'announce_phase_end' AND marker > 0").groupBy("match_id").agg(F.sort_array(F.collect_set("marker")).alias("m"))
     return p.select("match_id", (F.try_element_at("m", F.lit(2)) + 1).alias("overtime_from"))
 
 
@@ -100,7 +100,7 @@ def resolve_rounds(marks: DataFrame) -> DataFrame:
 def pack_rounds(rounds: DataFrame) -> DataFrame:
     """One row per match with its started rounds in order."""
     item = F.struct("round_number", "round_id", "start_tick", "freeze_end_tick", "end_tick", "t_team_id", "ct_team_id")
-    return rounds.where("start_tick IS NOT NULL").groupBy("match_id").agg(F.array_sort(F.collect_list(item)).alias("_rounds"))
+    return rounds.where("start_tick IS NOT NULL").groupBy("match_id").agg(F.sort_array(F.collect_list(item)).alias("_rounds"))
 
 
 def assign_rounds(events: DataFrame, rounds: DataFrame) -> DataFrame:
@@ -125,10 +125,10 @@ def observations(marks: DataFrame) -> DataFrame:
     side = normalize_side(F.col("winner"))
     pair = F.when(F.col("t_score").isNotNull() & F.col("ct_score").isNotNull(), F.struct(F.col("t_score").cast("long").alias("t"), F.col("ct_score").cast("long").alias("ct")))
     return o.groupBy("match_id", F.col("marker").alias("round_number")).agg(
-        F.array_sort(F.collect_set(F.when(F.col("winner").isNotNull() & (side != "UNKNOWN"), side))).alias("sides"),
+        F.sort_array(F.collect_set(F.when(F.col("winner").isNotNull() & (side != "UNKNOWN"), side))).alias("sides"),
         F.bool_or(F.col("winner").isNotNull()).alias("any_winner"),
-        F.array_sort(F.collect_set(pair)).alias("scores"),
-        F.array_sort(F.collect_set(optional_text(F.col("reason")))).alias("end_reasons"))
+        F.sort_array(F.collect_set(pair)).alias("scores"),
+        F.sort_array(F.collect_set(optional_text(F.col("reason")))).alias("end_reasons"))
 
 
 def resolve_outcomes(rounds: DataFrame, marks: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def resolve_outcomes(rounds: DataFrame, marks: DataFrame) -> DataFrame:
     r = r.withColumn("end_reason_status", F.when(n_reason == 1, "available").when(n_reason > 1, "unresolved").otherwise("missing_from_source"))
     r = r.withColumn("scores", F.coalesce("scores", F.expr("slice(array(named_struct('t', 0L, 'ct', 0L)), 1, 0)")))
     item = F.struct("round_number", "winner", "status", "scores", "end_reason", "end_reason_status")
-    packed = r.groupBy("match_id").agg(F.array_sort(F.collect_list(item)).alias("rs"))
+    packed = r.groupBy("match_id").agg(F.sort_array(F.collect_list(item)).alias("rs"))
     hit = "(c.t = {0} + {2} AND c.ct = {1} + {3})"
     t_win = hit.format("s.pt", "s.pc", 1, 0) + " OR " + hit.format("s.pc", "s.pt", 1, 0)
     ct_win = hit.format("s.pt", "s.pc", 0, 1) + " OR " + hit.format("s.pc", "s.pt", 0, 1)

@@ -84,7 +84,7 @@ def _deaths(classified: DataFrame) -> DataFrame:
     per_victim = (classified.where("vic IS NOT NULL").groupBy(*KEY, "victim_player_id")
                   .agg(F.min(death).alias("death"), F.min(F.when(F.col("kill_class") == "enemy", death)).alias("enemy_kill")))
     return per_victim.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list("death")).alias("deaths"), F.min("enemy_kill").alias("opening"))
+        F.sort_array(F.collect_list("death")).alias("deaths"), F.min("enemy_kill").alias("opening"))
 
 
 _BEFORE = "(a.tick < b.tick OR (a.tick = b.tick AND a.event_id < b.event_id))"

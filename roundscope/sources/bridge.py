@@ -323,6 +323,7 @@ def duck_ctes() -> dict[str, str]:
             out[name] = f"SELECT DISTINCT {', '.join(cols)} FROM {source}"
         else:
             out[name] = f"SELECT {', '.join(cols)} FROM {source}" + (f" WHERE {_duck_text(rule)}" if rule else "")
-    parts = ", ".join(f"CASE WHEN k % 2 = 0 THEN '{even}' ELSE '{odd}' END || '=' || {c}" for c, (even, odd) in RAW_KEYS.items())
-    out["raw_payload"] = f"SELECT *, array_to_string(list_sort(list_filter([{parts}], lambda x: x IS NOT NULL)), chr(1)) AS payload FROM raw_cols"
+    pair = """'{"key":"' || CASE WHEN k % 2 = 0 THEN 'EVEN' ELSE 'ODD' END || '","value":"' || VALUE || '"}'"""
+    parts = ", ".join(pair.replace("EVEN", even).replace("ODD", odd).replace("VALUE", c) for c, (even, odd) in RAW_KEYS.items())
+    out["raw_payload"] = f"SELECT *, '[' || array_to_string(list_sort(list_filter([{parts}], lambda x: x IS NOT NULL)), ',') || ']' AS payload FROM raw_cols"
     return out
