@@ -56,6 +56,16 @@ def text(arr: Column) -> Column:
     return F.array_join(arr, ",")
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add costly columns that later filters and projections read several times.
+
+    A one-element ``inline`` keeps the optimizer from copying the expression into every
+    reference, so each row computes it once.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+
+
 def shared(df: DataFrame) -> DataFrame:
     """Write an intermediate result that several branches read, through a reliable checkpoint.
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.common import once
+
 # Field spellings, side names, grenade and bomb source events, site names.
 WARMUP = ("is_warmup_period", "is_warmup", "warmup")
 MARKERS = ("total_rounds_played", "round_number", "round_num", "round")
@@ -79,7 +81,7 @@ def normalize_site(c: Column) -> Column:
 
 
 def lowered(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("data", F.transform_keys("data", lambda k, _: F.lower(k)))
+    return once(raw, data=F.transform_keys("data", lambda k, _: F.lower(k)))
 
 
 def payload(data: Column) -> Column:
@@ -89,10 +91,9 @@ def payload(data: Column) -> Column:
 
 def stable_rows(raw: DataFrame) -> DataFrame:
     """Rows without warm-up, with tick and payload hash."""
-    df = raw.withColumn("row_hash", F.sha2(payload(F.col("data")), 256))
-    df = lowered(df)
-    warm = optional_bool(field(*WARMUP))
-    return df.where(~F.coalesce(warm, F.lit(False))).withColumn("tick", non_negative_int(field(*TICKS)).cast("int"))
+    df = once(raw, row_hash=F.sha2(payload(F.col("data")), 256), data=F.transform_keys("data", lambda k, _: F.lower(k)))
+    df = once(df, warm=F.coalesce(optional_bool(field(*WARMUP)), F.lit(False)), tick=non_negative_int(field(*TICKS)).cast("int"))
+    return df.where("NOT warm").drop("warm")
 
 
 def numbered_copies(rows: DataFrame, keys: list[str], chunk: int = 100_000) -> DataFrame:
@@ -139,9 +140,10 @@ def with_roles(rows: DataFrame) -> DataFrame:
     for name, (prefix, only) in plan.items():
         used = src.isin(*only) if only else ~src.isin("player_death", "player_hurt")
         who = role(prefix, fallback=name == "user")
-        rows = rows.withColumn("_w", who)
+        rows = once(rows, _w=who)
         pid = player_key(F.col("match_id"), F.col("_w"), src, F.col("row_hash"), F.lit(name))
-        rows = rows.withColumn(name, F.when(used & pid.isNotNull(), F.struct("_w.*", pid.alias("player_id")))).drop("_w")
+        rows = once(rows, _p=pid)
+        rows = rows.withColumn(name, F.when(used & F.col("_p").isNotNull(), F.struct("_w.*", F.col("_p").alias("player_id")))).drop("_w", "_p")
     return rows
 
 
@@ -160,11 +162,11 @@ def role_rows(rows: DataFrame) -> DataFrame:
 
     items = F.array_compact(F.array(texts("attacker", "attacker", other), texts("victim", "user", pair), texts("assister", "assister", death), texts("user", "user", ~pair)))
     out = rows.select("match_id", "source_event", "tick", "row_hash", F.inline(items))
-    out = out.withColumn("steam", steam_id(F.col("sid"))).withColumn("name", optional_text(F.col("nm")))
+    out = once(out, steam=steam_id(F.col("sid")), name=optional_text(F.col("nm")))
     who = {"steam": F.col("steam"), "name": F.col("name")}
     pid = player_key(F.col("match_id"), who, F.col("source_event"), F.col("row_hash"), F.col("role"))
-    return out.select("match_id", "source_event", "tick", "row_hash", "role", "steam", "name", normalize_side(F.col("sd")).alias("side"),
-                      F.coalesce(optional_bool(F.col("bt")), F.lit(False)).alias("is_bot"), pid.alias("player_id")).where("player_id IS NOT NULL")
+    return once(out, player_id=pid).select("match_id", "source_event", "tick", "row_hash", "role", "steam", "name", normalize_side(F.col("sd")).alias("side"),
+                      F.coalesce(optional_bool(F.col("bt")), F.lit(False)).alias("is_bot"), "player_id").where("player_id IS NOT NULL")
 
 
 def event_profile(raw: DataFrame) -> DataFrame:

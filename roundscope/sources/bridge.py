@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SESSION_DEFAULTS
+from ..functions.common import once
 
 
 def _side(slot: str) -> str:
@@ -109,7 +110,7 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
     "sample_players": ("sample_slots", "", ["*", "(a + 3 * j) % 10 AS slot"]),
     "samples": ("sample_players", "", [
         "event_id", "match_id", "round_id", "rn AS round_number", "tick", "rtick AS relative_tick", "phase", "j",
-        f"{_player('slot')} AS player_id", f"{_team('slot')} AS team_id", f"{_side('slot')} AS side",
+        "'7656' || (lobby * 10 + slot) AS steam_id", f"{_player('slot')} AS player_id", f"{_team('slot')} AS team_id", f"{_side('slot')} AS side",
         "CAST((event_id * 13 + CAST(floor(value * 100) AS BIGINT) + j * 137) % 4096 AS DOUBLE) AS x",
         "CASE WHEN k = 77 AND j = 2 THEN NULL ELSE CAST((k * 41 + CAST(floor(value * 10) AS BIGINT) + j * 211) % 4096 AS DOUBLE) END AS y",
         "CASE WHEN k % 31 = 3 THEN NULL ELSE CAST((k % 5) * 64 AS DOUBLE) END AS z",
@@ -169,8 +170,8 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "rn = 1 AND match_no % 4 = 3 AS is_warmup", "FALSE AS is_overtime",
         "NOT (rn = 24 AND match_no % 5 = 4) AS is_complete",
     ]),
-    "eco_rows": ("ev", "event_type = 'purchase' OR event_type = 'signup'", [
-        "match_id", "match_no", "lobby", "round_id", "rn", "a", "k", "CAST(floor(value * 100) AS BIGINT) AS cents",
+    "eco_rows": ("ev", "", [
+        "match_id", "match_no", "lobby", "round_id", "rn", "a", "k", "CAST(floor(value * 20) AS BIGINT) AS cents",
     ]),
     "economy_sums": ("eco_rows", "GROUP match_id, match_no, lobby, round_id, rn, a", [
         "CAST(sum(cents) AS BIGINT) AS equipment_value", "min(k) AS k_min", "max(k) AS k_max",
@@ -179,7 +180,7 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "match_id", "round_id", "rn AS round_number", "(rn - 1) * 3600 + 100 AS tick",
         f"{_player('a')} AS player_id",
         "CASE WHEN k_max = 99 THEN NULL ELSE equipment_value END AS current_equip_value",
-        "CAST(k_min * 100 AS BIGINT) AS cash_spent", "CAST(k_max * 50 AS BIGINT) AS balance",
+        "CAST(k_min * 60 AS BIGINT) AS cash_spent", "CAST(k_max * 50 AS BIGINT) AS balance",
         "CASE WHEN k_min % 3 = 0 THEN NULL ELSE k_min % 2 = 0 END AS has_helmet",
         "k_max % 2 = 0 AS has_defuser",
         "CASE WHEN k_max % 29 = 0 THEN 9 WHEN (" + _side("a") + ") = 'T' THEN 2 ELSE 3 END AS team_num",
@@ -226,6 +227,42 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "CASE WHEN q IN (0, 2) THEN CASE WHEN rn % 7 = 0 THEN 'mix' WHEN rn <= 12 THEN ' Red  Foxes' ELSE 'team_1' END END AS t_clan",
         "CASE WHEN q IN (0, 2) THEN CASE WHEN rn <= 12 THEN 'team_1' ELSE 'Red Foxes ' END END AS ct_clan",
     ]),
+    # --- zone polygons: a 4 x 4 grid of squares per map, one open cell, a banded cell, an overlapping triangle
+    "zone_maps": ("matches", "DISTINCT", ["map_name"]),
+    "zone_cells": ("zone_maps", "", ["*", "EXPLODE[0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16] AS cell"]),
+    "zone_boxes": ("zone_cells", "cell <> 5", [
+        "map_name", "cell", "CASE WHEN cell = 16 THEN 'a_ramp' WHEN cell % 4 = 0 THEN 'bombsite_a' || cell WHEN cell % 4 = 3 THEN 'bombsite_b' || cell ELSE 'mid' || cell END AS zone_id",
+        "CASE WHEN cell = 16 THEN 10 WHEN cell = 7 THEN 3 ELSE 1 END AS priority",
+        "CASE WHEN cell = 12 THEN 'proposed' ELSE 'verified' END AS verification",
+        "CAST(CASE WHEN cell = 16 THEN 200 ELSE (cell % 4) * 1024 END AS DOUBLE) AS x0", "CAST(CASE WHEN cell = 16 THEN 200 ELSE (cell // 4) * 1024 END AS DOUBLE) AS y0",
+        "CAST(CASE WHEN cell = 16 THEN 1500 ELSE (cell % 4) * 1024 + 1024 END AS DOUBLE) AS x1", "CAST(CASE WHEN cell = 16 THEN 1300 ELSE (cell // 4) * 1024 + 1024 END AS DOUBLE) AS y1",
+        "CAST(CASE WHEN cell = 9 THEN 64 END AS DOUBLE) AS min_z", "CAST(CASE WHEN cell = 9 THEN 128 END AS DOUBLE) AS max_z",
+    ]),
+    "map_defs": ("zone_maps", "", [
+        "map_name", "CAST(CASE WHEN map_name <> 'gamma' THEN -100 END AS DOUBLE) AS origin_x", "CAST(CASE WHEN map_name <> 'gamma' THEN 4000 END AS DOUBLE) AS origin_y",
+        "CAST(4 AS DOUBLE) AS scale", "1024 AS image_width", "1024 AS image_height", "map_name = 'beta' AS two_levels", "CAST(128 AS DOUBLE) AS upper_min_z", "CAST(128 AS DOUBLE) AS lower_max_z",
+    ]),
+    "revision_cells": ("zone_maps", "", ["*", "EXPLODE[0, 1, 2] AS r"]),
+    "map_revisions": ("revision_cells", "", [
+        "map_name", "'rev' || r AS revision_id", "CASE WHEN r < 2 THEN 'p' || r ELSE 'p1' END AS patch_version", "'c' || r AS map_crc", "r = 2 AND map_name = 'alpha' AS is_current",
+    ]),
+    "map_evidence": ("matches", "", [
+        "match_id", "CASE WHEN match_no % 7 = 6 THEN 'unknown_map' ELSE map_name END AS map_name", "CASE WHEN match_no % 7 = 3 THEN 'rev1' WHEN match_no % 11 = 10 THEN 'rev9' END AS manual_revision",
+        "CASE match_no % 4 WHEN 0 THEN 'p0' WHEN 1 THEN 'p1' WHEN 2 THEN 'p9' END AS patch_version", "CASE match_no % 5 WHEN 0 THEN 'c0' WHEN 1 THEN 'c2' WHEN 2 THEN 'c9' END AS map_crc",
+    ]),
+    "point_slots": ("ev", "event_type = 'purchase'", ["*", "EXPLODE[0, 1, 2, 3, 4, 5] AS i"]),
+    "projectile_points": ("point_slots", "", [
+        "match_id", "CAST(event_id % 5 AS INT) AS entity_id", "CASE k % 4 WHEN 0 THEN 'he' WHEN 1 THEN 'fire' WHEN 2 THEN 'flash' ELSE 'smoke' END AS projectile_type",
+        "CASE WHEN k % 17 = 0 THEN NULL ELSE '7656' || (lobby * 10 + a) END AS steam_id", "tick + 3 + i + CASE WHEN i >= 3 AND k % 4 = 0 THEN 5 ELSE 0 END AS tick",
+        "CASE WHEN k % 5 = 0 AND i = 4 THEN 0 ELSE i // 2 END AS bounce", "CAST((event_id * 13 + i * 40) % 4096 AS DOUBLE) AS x", "CAST((k * 41 + i * 25) % 4096 AS DOUBLE) AS y", "CAST(i * 10 AS DOUBLE) AS z",
+    ]),
+    "throws": ("ev", "event_type = 'purchase' AND k % 6 <> 5", [
+        "match_id", "event_id AS throw_id", "'7656' || (lobby * 10 + a) AS steam_id", "CASE k % 4 WHEN 0 THEN 'he' WHEN 1 THEN 'fire' WHEN 2 THEN 'flash' ELSE 'smoke' END AS projectile_type", "tick",
+    ]),
+    "terminals": ("ev", "event_type = 'purchase' AND k % 7 <> 0", [
+        "match_id", "event_id AS terminal_id", "CASE WHEN k % 3 = 0 THEN 99 ELSE CAST(event_id % 5 AS INT) END AS entity_id", "CASE k % 4 WHEN 0 THEN 'he' WHEN 1 THEN 'fire' WHEN 2 THEN 'flash' ELSE 'smoke' END AS projectile_type",
+        "CASE WHEN k % 11 = 0 THEN NULL ELSE '7656' || (lobby * 10 + a) END AS steam_id", "tick + 9 + k % 20 AS tick", "CAST((event_id * 13 + 200 + k * 3) % 4096 AS DOUBLE) AS x", "CAST((k * 41 + 130) % 4096 AS DOUBLE) AS y",
+    ]),
     "selections": ("match_base", "match_no % 7 < 5", [
         "'opp' || lobby AS profile_id", "match_id", "'t' || (lobby * 2) AS team_id", "match_no AS selection_order",
     ]),
@@ -270,6 +307,12 @@ class MatchTables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def _events(self) -> DataFrame:
+        """A table kept in fewer splits than cores is spread once; large inputs are left alone."""
+        df = self.read("events")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, "event_id") if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
@@ -282,11 +325,12 @@ class MatchTables:
         """Landing form: one map of text values per row, keys spelled in several ways."""
         key = {c: F.when(F.col("k") % 2 == 0, even).otherwise(odd) for c, (even, odd) in RAW_KEYS.items()}
         pairs = [x for c in RAW_KEYS for x in (key[c], F.col(c).cast("string"))]
-        return self.raw_cols.select("match_id", "source_event", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("data"))
+        data = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+        return once(self.raw_cols, data=data).select("match_id", "source_event", "data")
 
     def _build(self, name: str) -> DataFrame:
         source, rule, exprs = TABLES[name]
-        df = self.read("events") if source == "events" else getattr(self, source)
+        df = self._events() if source == "events" else getattr(self, source)
         exprs = [_spark_text(e) for e in exprs]
         if rule.startswith("GROUP "):
             keys = rule[6:].split(", ")
