@@ -266,7 +266,7 @@ def _(t):
 
 @query("j06_polygon_checks", """SELECT map_name, zone_id, unnest(CASE WHEN cell % 3 = 0 THEN ['self_intersection:0:2'] WHEN cell % 3 = 1 THEN ['repeated_vertex:0:1', 'zero_length_edge:0'] ELSE ['inverted_z_bounds'] END) AS code FROM zone_boxes WHERE cell < 16""")
 def _(t):
-    p, z = polygons(t).withColumn("cell", F.regexp_extract("zone_id", "[0-9]+$", 0).cast("int")), F.col("vertices")
+    p, z = polygons(t).withColumn("cell", F.regexp_extract("zone_id", "[0-9]+$", 0).try_cast("int")), F.col("vertices")
     bow = F.array(z[0], z[2], z[1], z[3])
     p = p.where("cell IS NOT NULL").withColumn("vertices", F.when(F.col("cell") % 3 == 0, bow).when(F.col("cell") % 3 == 1, F.concat(F.array(z[0]), z)).otherwise(z))
     p = p.withColumn("min_z", F.when(F.col("cell") % 3 == 2, 10.0)).withColumn("max_z", F.when(F.col("cell") % 3 == 2, 5.0))

@@ -111,7 +111,7 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str
     monotone in ``order``.
     """
     inner = Window.partitionBy(*keys, bucket).orderBy(*order)
-    packed = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
+    packed = F.struct(*[F.col(c).alias(n) for c, n in cols.items()])
     rows = df.withColumn("_row", packed).withColumn("_prev", F.lag("_row").over(inner))
     rows = rows.withColumn("_head", F.row_number().over(inner) == 1)
     tails = df.groupBy(*keys, bucket).agg(F.max_by(packed, F.struct(*order)).alias("_tail"))
@@ -119,4 +119,4 @@ def lagged(df: DataFrame, keys: list[str], order: list[str], cols: dict[str, str
     rows = rows.join(carried, keys + [bucket])
     prev = F.when(F.col("_head"), F.col("_in")).otherwise(F.col("_prev"))
     rows = rows.withColumn("_p", prev)
-    return rows.select(*df.columns, *[F.col(f"_p.{n}").alias(n) for n in cols])
+    return rows.select(*df.columns, *[F.col(f"_p.{n}").alias(n) for n in cols.values()])

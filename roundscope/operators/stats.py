@@ -58,10 +58,10 @@ def roster_frame(rounds: DataFrame, members: DataFrame) -> DataFrame:
         "lineup_valid", truth((F.col("t_team_id") != F.col("ct_team_id")) & (F.col("n_t") > 0) & (F.col("n_t") == F.col("n_ct"))))
 
 
-def classify_kills(kills: DataFrame, frame: DataFrame) -> DataFrame:
-    """Live kills of eligible rounds with their class; roster facts come from one join per round."""
+def classify_kills(kills: DataFrame, frame: DataFrame, live_only: bool = True) -> DataFrame:
+    """Kills of the framed rounds with their class; roster facts come from one join per round."""
     looked = frame.select(*KEY, "roster")
-    k = kills.where("phase = 'live'").join(looked, KEY)
+    k = (kills.where("phase = 'live'") if live_only else kills).join(looked, KEY)
     k = k.withColumn("att", F.col("roster")[F.col("attacker_player_id")]).withColumn("vic", F.col("roster")[F.col("victim_player_id")])
     k = k.withColumn("asi", F.col("roster")[F.col("assister_player_id")])
     a, v = F.col("attacker_team_id"), F.col("victim_team_id")
