@@ -22,6 +22,10 @@ def zone_points(t, df):
 
 
 def facts(t) -> L.RoundFacts:
+    return t.layer("facts", lambda: build_facts(t))
+
+
+def build_facts(t) -> L.RoundFacts:
     line = tl(t)
 
     def zoned():
@@ -29,7 +33,7 @@ def facts(t) -> L.RoundFacts:
         snaps = sp.select("match_id", "round_id", "tick", "player_id", "team_id", "side", "alive", "has_bomb", "x", "y", "z")
         return shared(zone_points(t, snaps.where("x IS NOT NULL")).unionByName(snaps.where("x IS NULL").withColumn("zone_id", F.lit(None).cast("string"))))
 
-    return L.RoundFacts(t, stats(t), line, zoned, lambda: zone_points(t, t.grenades), tolerance=TOL)
+    return L.RoundFacts(t, stats(t, share=True), line, zoned, lambda: zone_points(t, t.grenades), tolerance=TOL)
 
 
 def _zoned(src, keep):

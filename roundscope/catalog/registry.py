@@ -14,6 +14,7 @@ from ..sources.bridge import MatchTables, duck_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_TABLES: dict[tuple[str, str], MatchTables] = {}
 _CTES: dict[str, str] = dict(duck_ctes())
 
 
@@ -34,11 +35,24 @@ def with_clause(sql: str) -> str:
     return f"WITH RECURSIVE {', '.join(parts)} {sql}" if parts else sql
 
 
+def tables(spark: SparkSession, path: str) -> MatchTables:
+    """Tables of one session and folder; derived layers built on them are reused by later queries."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = MatchTables(spark, path)
+    return _TABLES[key]
+
+
+def forget_layers() -> None:
+    """Drop reused layers, so the next query builds everything itself (used by the benchmark)."""
+    _TABLES.clear()
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name``; ``sql`` is its oracle."""
 
     def wrap(fn):
-        QUERIES[name] = lambda spark, path: fn(MatchTables(spark, path))
+        QUERIES[name] = lambda spark, path: fn(tables(spark, path))
         if sql is not None:
             ORACLES[name] = with_clause(sql)
         return fn

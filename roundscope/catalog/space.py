@@ -17,9 +17,12 @@ def wanted(t):
 
 
 def spatial(t) -> I.Spatial:
-    s = I.Spatial(t, tl(t), wanted(t))
-    s.snapshots = shared(s.snapshots)
-    return s
+    def build():
+        s = I.Spatial(t, tl(t), wanted(t))
+        s.snapshots = shared(s.snapshots)
+        return s
+
+    return t.layer("spatial", build)
 
 
 def polygons(t):

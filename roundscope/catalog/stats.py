@@ -12,8 +12,8 @@ WINDOW = 900
 CFG = StatsConfig(trade_window_ticks=WINDOW)
 
 
-def stats(t) -> S.RoundStats:
-    return S.RoundStats(t, CFG)
+def stats(t, share: bool = False) -> S.RoundStats:
+    return S.RoundStats(t, CFG, share)
 
 
 cte("er", """SELECT *, CASE WHEN coalesce(official_end_tick, end_tick, freeze_end_tick, start_tick) > start_tick

@@ -12,7 +12,7 @@ from .stats import stats
 
 
 def tl(t, rate=None) -> H.Timeline:
-    return H.Timeline(t, D.participation_status(t.rounds, t.players, t.memberships, evidence(t)), rate)
+    return t.layer(f"timeline:{rate}", lambda: H.Timeline(t, D.participation_status(t.rounds, t.players, t.memberships, evidence(t)), rate))
 
 
 cte("tev0", """SELECT match_id, round_id, round_number, tick, 'death' AS kind, 'death' AS event_type, 60 AS priority, event_id, attacker_player_id AS actor_player_id, victim_player_id, TRUE AS state_affecting FROM kills

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import StatsConfig
-from ..functions.common import ROUND, count_if, flag, percentage, ratio, truth, union_all
+from ..functions.common import ROUND, count_if, flag, percentage, ratio, shared, truth, union_all
 
 KEY = ["match_id", "round_id"]
 PLAYER_COUNTERS = [
@@ -155,8 +155,10 @@ def _contribute(df: DataFrame, *entries: Column) -> DataFrame:
 class RoundStats:
     """Derived statistics of all matches; every attribute is a DataFrame."""
 
-    def __init__(self, tables, cfg: StatsConfig = StatsConfig()):
+    def __init__(self, tables, cfg: StatsConfig = StatsConfig(), share: bool = False):
+        """``share`` writes the frame and the classified kills once for callers that read them often."""
         self.t, self.cfg = tables, cfg
+        self._keep = shared if share else (lambda df: df)
 
     @cached_property
     def members(self) -> DataFrame:
@@ -164,16 +166,16 @@ class RoundStats:
 
     @cached_property
     def roster(self) -> DataFrame:
-        return roster_frame(self.t.rounds, self.members)
+        return self._keep(roster_frame(self.t.rounds, self.members))
 
     @cached_property
     def classified(self) -> DataFrame:
-        return classify_kills(self.t.kills, self.roster)
+        return self._keep(classify_kills(self.t.kills, self.roster))
 
     @cached_property
     def frame(self) -> DataFrame:
         f = self.roster.join(_deaths(self.classified), KEY, "left")
-        return match_trades(_signed(f), self.cfg.trade_window_ticks)
+        return self._keep(match_trades(_signed(f), self.cfg.trade_window_ticks))
 
     @cached_property
     def damage(self) -> DataFrame:

@@ -95,7 +95,7 @@ class Timeline:
 
     def __init__(self, tables, participants: DataFrame, tick_rate: float | None = None):
         self.t, self.participants, self.rate = tables, shared(participants), tick_rate
-        self.rounds = tables.rounds.where("NOT is_warmup")
+        self.rounds = shared(tables.rounds.where("NOT is_warmup"))
 
     @cached_property
     def events(self) -> DataFrame:
@@ -214,7 +214,7 @@ class Timeline:
         loc = self.bomb_localized.where("conflict_tick IS NOT NULL").select(*KEY, "conflict_tick")
         people = F.expr("map_filter(people, (k, v) -> v.life <> 'not_participating')")
         f = self.roster.select(*KEY, "round_number", "start_tick", "freeze_end_tick", "end_tick", "official_end_tick", "last_tick", people.alias("people"))
-        return f.join(d, KEY, "left").join(b, KEY, "left").join(bad, KEY, "left").join(loc, KEY, "left")
+        return shared(f.join(d, KEY, "left").join(b, KEY, "left").join(bad, KEY, "left").join(loc, KEY, "left"))
 
     def state_at(self, requests: DataFrame, strict: bool = False) -> DataFrame:
         """State at the requested (round, tick); ``strict`` leaves out events of the tick itself."""

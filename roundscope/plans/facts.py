@@ -1,4 +1,7 @@
-"""Per-round facts as one tall table with typed columns and evidence arrays."""
+"""Per-round facts as one tall table with typed columns and evidence arrays.
+
+``details`` holds players, or the zone / utility candidates of tied first contacts and throws.
+"""
 from __future__ import annotations
 
 from functools import cached_property
@@ -21,7 +24,7 @@ def fact(df: DataFrame, kind: str, availability: Column, tick_start=None, tick_e
 
     return df.select(*TEAM, F.lit(kind).alias("feature_type"), availability.alias("availability"), opt(tick_start, "int").alias("tick_start"),
                      opt(tick_end if tick_end is not None else tick_start, "int").alias("tick_end"), opt(zone, "string").alias("zone_id"), opt(value, "string").alias("value"),
-                     opt(players, "array<string>").alias("player_ids"), opt(events, "array<bigint>").alias("event_ids"),
+                     opt(players, "array<string>").alias("details"), opt(events, "array<bigint>").alias("event_ids"),
                      (F.expr("CAST(array() AS array<string>)") if limits is None else limits.cast("array<string>")).alias("limitations"))
 
 
@@ -51,12 +54,12 @@ class RoundFacts:
     @cached_property
     def teams(self) -> DataFrame:
         sides = F.array(F.struct(F.col("t_team_id").alias("team_id"), F.lit("T").alias("side")), F.struct(F.col("ct_team_id").alias("team_id"), F.lit("CT").alias("side")))
-        return self.rounds.select(*KEY, "round_number", "start_tick", "freeze_end_tick", F.coalesce("official_end_tick", "end_tick").alias("last_tick"), F.inline(sides)).where("team_id IS NOT NULL")
+        return shared(self.rounds.select(*KEY, "round_number", "start_tick", "freeze_end_tick", F.coalesce("official_end_tick", "end_tick").alias("last_tick"), F.inline(sides)).where("team_id IS NOT NULL"))
 
     @cached_property
     def people(self) -> DataFrame:
         p = self.tl.participants.where("participation_status <> 'not_participating' AND team_id IS NOT NULL")
-        return p.select(*KEY, "player_id", "team_id", "side")
+        return shared(p.select(*KEY, "player_id", "team_id", "side"))
 
     @cached_property
     def roster(self) -> DataFrame:
@@ -106,9 +109,10 @@ class RoundFacts:
         pair = F.array(F.struct(F.lit("initiator").alias("role"), F.col("attacker_player_id").alias("player_id"), F.col("att.team_id").alias("team_id"), F.col("att.side").alias("side")),
                        F.struct(F.lit("receiver").alias("role"), F.col("victim_player_id").alias("player_id"), F.col("vic.team_id").alias("team_id"), F.col("vic.side").alias("side")))
         r = c.select(*KEY, "round_number", "tick", "event_id", F.inline(pair)).join(self.zoned.select(*KEY, "tick", "player_id", "zone_id"), KEY + ["tick", "player_id"], "left").join(n, KEY)
-        g = r.groupBy(*TEAM, "role", "tick").agg(F.sort_array(F.collect_list("event_id")).alias("ev"), F.min("zone_id").alias("z1"), F.max("zone_id").alias("z2"), F.bool_or(F.col("zone_id").isNull()).alias("gap"), F.max("n_first").alias("n"))
+        g = r.groupBy(*TEAM, "role", "tick").agg(F.sort_array(F.collect_list("event_id")).alias("ev"), F.min("zone_id").alias("z1"), F.max("zone_id").alias("z2"), F.bool_or(F.col("zone_id").isNull()).alias("gap"), F.max("n_first").alias("n"),
+                                                  F.sort_array(F.collect_set("zone_id")).alias("zones"))
         lim = reasons((F.col("n") > 1, "same_tick_contact_order_not_proven"), (F.col("gap"), "contact_zone_partial"))
-        out = fact(g, "first_contact", F.when((F.col("n") > 1) | F.col("gap"), "partial").otherwise("available"), F.col("tick"), zone=F.when(F.col("z1") == F.col("z2"), F.col("z1")), value=F.col("role"), events=F.col("ev"), limits=lim)
+        out = fact(g, "first_contact", F.when((F.col("n") > 1) | F.col("gap"), "partial").otherwise("available"), F.col("tick"), zone=F.when(F.col("z1") == F.col("z2"), F.col("z1")), value=F.col("role"), players=F.col("zones"), events=F.col("ev"), limits=lim)
         return out.unionByName(absent(self.teams.join(low, KEY, "left_anti"), "first_contact", "unavailable", "no_proven_enemy_contact"))
 
     def opening_duel(self) -> DataFrame:
@@ -123,13 +127,14 @@ class RoundFacts:
     def first_utility(self) -> DataFrame:
         g = self.grenade_zones.where("phase = 'live' AND player_id IS NOT NULL AND team_id IS NOT NULL AND lifecycle_event <> 'expired'")
         per = g.groupBy(*KEY, "team_id", "tick").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("event_id")).alias("ev"), F.min("zone_id").alias("z1"), F.max("zone_id").alias("z2"),
-                                                     F.bool_and(F.col("lifecycle_event").isin("thrown", "throw")).alias("thrown"), F.min("grenade_type").alias("type"))
-        first = per.groupBy(*KEY, "team_id").agg(F.min_by(F.struct("tick", "n", "ev", "z1", "z2", "thrown", "type"), "tick").alias("f"))
+                                                     F.bool_and(F.col("lifecycle_event").isin("thrown", "throw")).alias("thrown"), F.min("grenade_type").alias("type"),
+                                                     F.sort_array(F.collect_set(F.concat(F.lit("utility:"), "grenade_type", F.lit(":zone:"), F.coalesce("zone_id", F.lit("unresolved"))))).alias("kinds"))
+        first = per.groupBy(*KEY, "team_id").agg(F.min_by(F.struct("tick", "n", "ev", "z1", "z2", "thrown", "type", "kinds"), "tick").alias("f"))
         q = self.teams.join(first, KEY + ["team_id"], "left").select(*TEAM, "f.*")
         zone = F.when(F.col("z1") == F.col("z2"), F.col("z1"))
         ok = F.col("thrown") & (F.col("n") == 1) & zone.isNotNull()
         lim = reasons((~F.col("thrown"), "source_observes_effect_not_throw_tick"), (F.col("n") > 1, "same_tick_utility_order_not_proven"), (zone.isNull(), "utility_zone_unresolved"))
-        out = fact(q.where("n IS NOT NULL"), "first_utility", F.when(ok, "available").otherwise("partial"), F.col("tick"), zone=zone, value=F.col("type"), events=F.col("ev"), limits=lim)
+        out = fact(q.where("n IS NOT NULL"), "first_utility", F.when(ok, "available").otherwise("partial"), F.col("tick"), zone=zone, value=F.col("type"), players=F.col("kinds"), events=F.col("ev"), limits=lim)
         return out.unionByName(absent(q.where("n IS NULL"), "first_utility", "unavailable", "no_canonical_utility_observation"))
 
     def early_zones(self) -> DataFrame:

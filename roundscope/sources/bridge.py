@@ -266,6 +266,23 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
     "selections": ("match_base", "match_no % 7 < 5", [
         "'opp' || lobby AS profile_id", "match_id", "'t' || (lobby * 2) AS team_id", "match_no AS selection_order",
     ]),
+    "feature_runs": ("match_base", "match_no % 13 <> 12", ["match_id", "CASE WHEN match_no % 11 = 9 THEN 'v0' ELSE 'v1' END AS rule_version"]),
+    "run_slots": ("selections", "", ["*", "EXPLODE[0, 1, 2] AS r"]),
+    "pattern_runs": ("run_slots", "DISTINCT", ["profile_id || '-r' || r AS run_id", "profile_id", "r AS created_at"]),
+    "run_inputs": ("run_slots", "NOT (r = 2 AND selection_order % 7 = 0)", [
+        "profile_id || '-r' || r AS run_id", "match_id", "team_id", "CASE WHEN r = 0 OR (r = 1 AND selection_order % 21 = 14) THEN 'f0' ELSE 'f1' END AS feature_fingerprint",
+    ]),
+    "feature_slots": ("match_base", "", ["*", "EXPLODE[0, 1] AS r"]),
+    "feature_history": ("feature_slots", "", ["match_id", "'f' || r AS feature_fingerprint", "r AS created_at"]),
+    "corpus_cases": ("matches", "", [
+        "'opp' || lobby AS target_id", "match_id AS case_id", "map_name", "CASE WHEN match_no % 5 = 4 THEN 'candidate' ELSE 'confirmed' END AS review_status",
+        "CASE match_no % 3 WHEN 0 THEN 'league' WHEN 1 THEN 'ladder' ELSE 'scrim' END AS source", "CASE match_no % 4 WHEN 0 THEN 'overtime' WHEN 1 THEN 'reconnect' ELSE 'none' END AS edge_case",
+    ]),
+    "corpus_labels": ("round_score", "", ["'opp' || lobby AS target_id", "round_id AS label_id", "CASE WHEN rn % 7 = 0 THEN 'indeterminate' WHEN sk % 2 = 0 THEN 'present' ELSE 'absent' END AS value"]),
+    "parser_slots": ("matches", "", ["*", "EXPLODE[1, 2] AS p"]),
+    "parser_support": ("parser_slots", "", ["match_id AS case_id", "'parser' || p AS parser", "NOT (p = 2 AND match_no % 3 = 1) AS supported"]),
+    "case_labels": ("labels", "", ["doc_id AS label_id", "CASE WHEN doc_id % 17 = 0 THEN 'indeterminate' WHEN quality = 1 THEN 'present' ELSE 'absent' END AS value"]),
+    "case_predictions": ("documents", "doc_id % 19 <> 3", ["doc_id AS label_id", "CASE WHEN doc_id % 13 = 0 THEN 'unavailable' WHEN n_chars % 3 = 0 THEN 'absent' ELSE 'present' END AS value"]),
     # --- deliberately damaged copies for the integrity checks ----------------
     "dirty_rounds": ("round_score", "", [
         "match_id", "round_id", "rn AS round_number",
@@ -304,6 +321,12 @@ class MatchTables:
         for key, value in SESSION_DEFAULTS.items():
             spark.conf.set(key, value)
 
+    def layer(self, key: str, build):
+        """Derived layer kept with these tables."""
+        if key not in self._built:
+            self._built[key] = build()
+        return self._built[key]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
@@ -330,7 +353,7 @@ class MatchTables:
 
     def _build(self, name: str) -> DataFrame:
         source, rule, exprs = TABLES[name]
-        df = self._events() if source == "events" else getattr(self, source)
+        df = self._events() if source == "events" else getattr(self, source) if source in TABLES else self.read(source)
         exprs = [_spark_text(e) for e in exprs]
         if rule.startswith("GROUP "):
             keys = rule[6:].split(", ")
