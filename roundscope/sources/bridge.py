@@ -266,6 +266,12 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
     "selections": ("match_base", "match_no % 7 < 5", [
         "'opp' || lobby AS profile_id", "match_id", "'t' || (lobby * 2) AS team_id", "match_no AS selection_order",
     ]),
+    "view_slots": ("match_base", "match_no % 7 < 5", ["*", "EXPLODE[0, 1] AS own"]),
+    "tactical_selections": ("view_slots", "", [
+        "CASE WHEN own = 0 THEN 'opp' ELSE 'own' END || lobby AS profile_id", "match_id", "'t' || (lobby * 2 + own) AS team_id", "own", "lobby",
+    ]),
+    "profile_pairs": ("match_base", "DISTINCT", ["'opp' || lobby AS opponent_id", "'own' || lobby AS own_id"]),
+    "save_signals": ("round_sums", "", ["match_id", "round_id", "'t' || (lobby * 2 + sk % 2) AS team_id", "CASE WHEN rn % 5 = 0 THEN NULL ELSE sk % 3 = 0 END AS saved", "(rn - 1) * 3600 + 3400 AS tick"]),
     "feature_runs": ("match_base", "match_no % 13 <> 12", ["match_id", "CASE WHEN match_no % 11 = 9 THEN 'v0' ELSE 'v1' END AS rule_version"]),
     "run_slots": ("selections", "", ["*", "EXPLODE[0, 1, 2] AS r"]),
     "pattern_runs": ("run_slots", "DISTINCT", ["profile_id || '-r' || r AS run_id", "profile_id", "r AS created_at"]),
