@@ -1,7 +1,7 @@
 """Registered queries and their oracle SQL."""
 from __future__ import annotations
 
-from . import facts, patterns, raw, space, stats, tactical, timeline  # noqa: F401
+from . import facts, library, patterns, raw, space, stats, tactical, timeline  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
