@@ -406,7 +406,7 @@ def normalized(t):
     return B.normalize_events(B.stable_rows(t.raw_events), t.rounds, player_teams(t)[2])
 
 
-cte("nev", """SELECT n.*, a.player_id AS ap, a.side AS a_raw, v.player_id AS vp, v.side AS v_raw, s.player_id AS sp, u.player_id AS up, u.side AS u_raw, ta.team_id AS at, tv.team_id AS vt, tu.team_id AS ut,
+cte("nev", """SELECT n.*, a.player_id AS ap, a.side AS a_raw, v.player_id AS vp, v.side AS v_raw, s.player_id AS sp, u.player_id AS up, u.side AS u_raw, ta.team_id AS atm, tv.team_id AS vt, tu.team_id AS ut,
   r.round_id, r.t_team_id, r.ct_team_id, CASE WHEN r.round_id IS NULL THEN 'unknown' WHEN n.tick < r.freeze_end_tick THEN 'freeze_time' WHEN n.tick >= r.end_tick THEN 'post_round' ELSE 'live' END AS phase
   FROM nr0 n LEFT JOIN nroles a ON a.row_hash = n.row_hash AND a.role = 'attacker' LEFT JOIN nroles v ON v.row_hash = n.row_hash AND v.role = 'victim' LEFT JOIN nroles s ON s.row_hash = n.row_hash AND s.role = 'assister'
   LEFT JOIN nroles u ON u.row_hash = n.row_hash AND u.role = 'user' LEFT JOIN ptm ta ON ta.match_id = n.match_id AND ta.player_id = a.player_id LEFT JOIN ptm tv ON tv.match_id = n.match_id AND tv.player_id = v.player_id
@@ -418,15 +418,15 @@ def _rs(raw, team):
     return f"CASE WHEN {raw} IS NULL OR {raw} = 'UNKNOWN' THEN CASE WHEN {team} = t_team_id THEN 'T' WHEN {team} = ct_team_id THEN 'CT' ELSE 'UNKNOWN' END ELSE {raw} END"
 
 
-@query("b07_kills", f"""SELECT match_id, row_hash, tick, round_id, phase, ap AS attacker_player_id, vp AS victim_player_id, sp AS assister_player_id, at AS attacker_team_id, vt AS victim_team_id, {_rs('a_raw', 'at')} AS attacker_side,
+@query("b07_kills", f"""SELECT match_id, row_hash, tick, round_id, phase, ap AS attacker_player_id, vp AS victim_player_id, sp AS assister_player_id, atm AS attacker_team_id, vt AS victim_team_id, {_rs('a_raw', 'atm')} AS attacker_side,
   {_rs('v_raw', 'vt')} AS victim_side, {_txt('weapon')} AS weapon, {_bool('headshot')} AS headshot, {_nn('penetrated')} AS penetrated, CASE WHEN {_flt('distance')} >= 0 THEN {_flt('distance')} END AS distance,
-  coalesce(ap = vp, FALSE) AS is_suicide, coalesce(at = vt AND ap <> vp, FALSE) AS is_teamkill FROM nev WHERE source_event = 'player_death'""")
+  coalesce(ap = vp, FALSE) AS is_suicide, coalesce(atm = vt AND ap <> vp, FALSE) AS is_teamkill FROM nev WHERE source_event = 'player_death'""")
 def _(t):
     return B.normalize_kills(normalized(t))
 
 
 @query("b08_damage_shots_blinds", f"""SELECT match_id, row_hash, source_event, tick, round_id, phase, CASE WHEN source_event = 'weapon_fire' THEN up ELSE ap END AS actor_player_id,
-  CASE source_event WHEN 'player_blind' THEN up WHEN 'player_hurt' THEN vp END AS target_player_id, CASE WHEN source_event = 'weapon_fire' THEN {_rs('u_raw', 'ut')} ELSE {_rs('a_raw', 'at')} END AS actor_side,
+  CASE source_event WHEN 'player_blind' THEN up WHEN 'player_hurt' THEN vp END AS target_player_id, CASE WHEN source_event = 'weapon_fire' THEN {_rs('u_raw', 'ut')} ELSE {_rs('a_raw', 'atm')} END AS actor_side,
   CASE WHEN source_event <> 'player_blind' THEN {_txt('weapon')} END AS weapon, CASE WHEN source_event = 'player_hurt' THEN {_nn('dmg_health')} END AS damage_health,
   CASE WHEN source_event = 'player_hurt' THEN {_nn('health_after')} END AS victim_health_after, CASE WHEN source_event = 'player_blind' AND {_flt('blind_duration')} >= 0 THEN {_flt('blind_duration')} END AS duration_seconds
   FROM nev WHERE source_event IN ('player_hurt', 'weapon_fire', 'player_blind')""")
@@ -510,4 +510,4 @@ def _(t):
 @query("f04_stats_invariants", """SELECT t.match_id, 'team_conversion_without_winner' AS code, 'team_round' AS entity_type, t.team_id AS entity_id FROM tr t JOIN gates g USING (match_id)
   WHERE NOT g.win_ok AND coalesce(round_won, opening_kill_converted, recovered_after_opening_death, converted_first_advantage, recovered_after_first_disadvantage, converted_plus_two, post_plant_won) IS NOT NULL""")
 def _(t):
-    return G.stats_invariants(stats(t))
+    return G.stats_invariants(stats(t, share=True))
