@@ -231,7 +231,6 @@ def _(t):
 
 
 # -- zones -------------------------------------------------------------------
-_IN = "(CASE WHEN z.cell = 16 THEN s.x >= z.x0 AND s.y >= z.y0 AND (z.x1 - z.x0) * (s.y - z.y0) - (z.y0 - z.y1) * (s.x - z.x1) - (z.x1 - z.x0) * 0 <= (z.x1 - z.x0) * (z.y1 - z.y0) - (z.y1 - z.y0) * (z.x1 - z.x0) + 0 AND (s.x - z.x0) / (z.x1 - z.x0) + (s.y - z.y0) / (z.y1 - z.y0) <= 1 ELSE s.x BETWEEN z.x0 AND z.x1 AND s.y BETWEEN z.y0 AND z.y1 END)"
 _IN = "(CASE WHEN z.cell = 16 THEN s.x >= z.x0 AND s.y >= z.y0 AND (s.x - z.x0) * (z.y1 - z.y0) + (s.y - z.y0) * (z.x1 - z.x0) <= (z.x1 - z.x0) * (z.y1 - z.y0) ELSE s.x BETWEEN z.x0 AND z.x1 AND s.y BETWEEN z.y0 AND z.y1 END)"
 cte("zhit", f"""SELECT s.match_id, s.event_id, s.j, s.map_name, s.x, s.y, s.z, zz.zone_id, zz.priority, zz.area FROM smap s LEFT JOIN (SELECT *, CASE WHEN cell = 16 THEN (x1 - x0) * (y1 - y0) / 2 ELSE (x1 - x0) * (y1 - y0) END AS area FROM zone_boxes WHERE verification <> 'proposed') zz
   ON zz.map_name = s.map_name AND {_IN.replace('z.', 'zz.')} AND (zz.min_z IS NULL OR (s.z >= zz.min_z AND s.z <= zz.max_z))""")
@@ -267,13 +266,13 @@ def _(t):
     return J.coverage(J.assignment_status(sample_points(t), polygons(t)))
 
 
-@query("j06_polygon_checks", """SELECT map_name, zone_id, unnest(CASE WHEN cell % 3 = 0 THEN ['self_intersection:0:2'] WHEN cell % 3 = 1 THEN ['repeated_vertex:0:1', 'zero_length_edge:0'] ELSE ['inverted_z_bounds'] END) AS code FROM zone_boxes WHERE cell < 16""")
+@query("j06_polygon_checks", """SELECT map_name, zone_id, unnest(CASE WHEN cell % 3 = 0 THEN ['zero_area_polygon', 'self_intersection:0:2'] WHEN cell % 3 = 1 THEN ['repeated_vertex:0:1', 'zero_length_edge:0', 'self_intersection:1:4'] ELSE ['inverted_z_bounds'] END) AS code FROM zone_boxes WHERE cell < 16""")
 def _(t):
     p, z = polygons(t).withColumn("cell", F.regexp_extract("zone_id", "[0-9]+$", 0).try_cast("int")), F.col("vertices")
     bow = F.array(z[0], z[2], z[1], z[3])
     p = p.where("cell IS NOT NULL").withColumn("vertices", F.when(F.col("cell") % 3 == 0, bow).when(F.col("cell") % 3 == 1, F.concat(F.array(z[0]), z)).otherwise(z))
     p = p.withColumn("min_z", F.when(F.col("cell") % 3 == 2, 10.0)).withColumn("max_z", F.when(F.col("cell") % 3 == 2, 5.0))
-    return J.polygon_issues(p).where("code NOT LIKE 'zero_area%' AND code NOT LIKE 'self_intersection:%:4'").where("NOT (code LIKE 'self_intersection%' AND code <> 'self_intersection:0:2')")
+    return J.polygon_issues(p)
 
 
 cte("gpt", "SELECT map_name, origin_x + image_width * scale * (c + 0.5::DOUBLE) / 64 AS x, origin_y - image_height * scale * (r + 0.5::DOUBLE) / 64 AS y FROM map_defs, LATERAL (SELECT unnest(generate_series(0, 63)) AS c), LATERAL (SELECT unnest(generate_series(0, 63)) AS r) WHERE origin_x IS NOT NULL")
