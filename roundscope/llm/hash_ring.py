@@ -71,11 +71,12 @@ def placement(counts: DataFrame, ring: Ring) -> DataFrame:
 
     rooms = cells.groupBy("shard").agg(F.max("quota").alias("quota"), F.sum("home").alias("home"))
     rooms = virtual_nodes(spark, ring).select("shard").distinct().join(rooms, "shard", "left")
-    room = rooms.agg(F.sort_array(F.collect_list(F.struct("shard", F.coalesce(F.col("quota") - F.col("home"), F.lit(0).cast("long")).alias("room")))).alias("r"))
-    room = room.select(F.expr("map_from_entries(transform(r, x -> struct(x.shard, cast(x.room as bigint))))").alias("rooms"))
+    rooms = rooms.select("shard", F.coalesce(F.col("quota") - F.col("home"), F.lit(0).cast("long")).alias("room"))
     lap = virtual_nodes(spark, ring).join(cells.groupBy("arc").agg(F.sum("over").alias("over")), "arc", "left")
-    lap = lap.agg(F.sort_array(F.collect_list(F.struct("arc", "shard", F.coalesce("over", F.lit(0).cast("long")).alias("over")))).alias("lap"))
-    walk = lap.join(F.broadcast(room)).select(F.expr(f"""
+    lap = lap.select(F.struct("arc", "shard", F.coalesce("over", F.lit(0).cast("long")).alias("over")).alias("node"))
+    both = lap.unionByName(rooms.select(F.struct("shard", "room").alias("room")), allowMissingColumns=True)
+    both = both.agg(F.sort_array(F.collect_list("node")).alias("lap"), F.map_from_entries(F.collect_list("room")).alias("rooms"))
+    walk = both.select(F.expr(f"""
         aggregate(
           concat(lap, transform(lap, a -> struct(a.arc, a.shard, 0L as over))),
           struct(0L as carry, transform(sequence(0, {ring.shards - 1}), s -> coalesce(rooms[s], 0L)) as room,
