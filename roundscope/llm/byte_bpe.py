@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -24,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .support import importable
+from .unit_memory import UnitMemory, spaced_words
 
-REMEMBERED = 500_000
 _OTHER_SPACE = re.compile("[^\\S \n]|[\x1c-\x1f\u180e\u200b\ufeff]")
-_WORD = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
 _CODECS: dict[tuple[str, str], ByteCodec] = {}
 
 
@@ -50,6 +50,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class ByteCodec:
     def __init__(self, path: str, pattern: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core already
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         ranks, table = read_ranks(path), byte_characters()
@@ -65,28 +66,24 @@ class ByteCodec:
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.names = [str(i) for i in range(len(self.bytes))]
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+        self.memory = UnitMemory(spaced_words, self._units, "<u4")
+
+    def _units(self, units: list[bytes]) -> list[list[int]]:
+        """A space and a run of ASCII letters is one piece, which goes to the library's BPE model directly, in its byte characters."""
+        tokenize, space = self.tokenizer.model.tokenize, byte_characters()[32]
+        out = [[t.id for t in tokenize(space + u[1:].decode())] if u[:1] == b" " and u[1:].isalpha() else None for u in units]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([units[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        words = [[] if _OTHER_SPACE.search(t) else _WORD.findall(t.encode()) for t in texts]
-        new: set[bytes] = set()
-        for ws in words:
-            new.update(set(ws).difference(self.known))
-        if new:
-            self._learn(list(new))
-        get, out = self.known.__getitem__, []
-        for t, ws in zip(texts, words, strict=True):
-            if ws or not t:
-                out.append(np.frombuffer(b"".join(map(get, ws)), "<u4"))
-            else:
-                out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
+        whole = [bool(_OTHER_SPACE.search(t)) for t in texts]
+        out = self.memory.encode([b"" if direct else t.encode() for t, direct in zip(texts, whole, strict=True)])
+        for i, direct in enumerate(whole):
+            if direct:
+                out[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

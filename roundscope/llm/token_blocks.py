@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .support import stored, tasks, text_or_empty
 from .word_encoder import WordEncoder
 
-BLOCK, PERCENTILE, SEGMENT = 1024, 0.95, 1 << 17
+BLOCK, PERCENTILE, SEGMENT = 1024, 0.98, 1 << 17
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<IBI")
 FILE_SCHEMA = "part int, seq int, before long, tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -103,13 +103,13 @@ def _segments(tokenizer: str, end_id: int):
         if tokenizer not in _ENCODERS:  # one for each worker process, kept between its tasks
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
-        end = np.asarray([end_id], encoder.dtype).tobytes()
+        end = np.asarray([end_id], encoder.dtype)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs, held, size = [], [], 0
 
         def row() -> pa.RecordBatch:
-            lengths = [len(x) // encoder.dtype.itemsize for x in held]
-            payload = write_blocks(np.frombuffer(b"".join(held), encoder.dtype))
+            lengths = [len(x) + 1 for x in held]
+            payload = write_blocks(np.concatenate([y for x in held for y in (x, end)]))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([sum(lengths)], pa.int64()),
                  pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
@@ -120,8 +120,8 @@ def _segments(tokenizer: str, end_id: int):
             for i in range(0, len(ids), 512):
                 for doc, x in zip(ids[i : i + 512], encoder.encode(texts[i : i + 512].to_pylist()), strict=True):
                     docs.append(doc)
-                    held.append(x + end)
-                    size += len(held[-1]) // encoder.dtype.itemsize
+                    held.append(x)
+                    size += len(x) + 1
                     if size >= SEGMENT:
                         yield row()
                         seq, before, docs, held, size = seq + 1, before + size, [], [], 0

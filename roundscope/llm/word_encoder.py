@@ -1,58 +1,48 @@
-"""The tokenizers library behind a bounded memory of encoded words."""
+"""A tokenizer of the tokenizers library that drops white space and case, for whole texts."""
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
-#: Words that one Python worker remembers before it forgets them all.
-REMEMBERED = 800_000
+from .unit_memory import UnitMemory, words
 
 
 class WordEncoder:
     """Ids of whole texts for a tokenizer that never looks across ASCII white space.
 
     For such a tokenizer (white space dropped, every piece encoded alone, lower case) the ids of a text are the ids of its
-    words in a row, so each distinct word goes through the library once per worker.  A text in which a special token may
-    occur is given to the library whole.  Ids come as bytes: little-endian unsigned integers of ``dtype``.
+    words in a row, so each distinct word goes through the library once per worker.  ASCII case is dropped first.  A text in which
+    a special token may occur is given to the library whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """A full stop or comma after a letter or digit is a piece of its own, and case is dropped: encode the rest once."""
-        known, cores = self.known, {}
-        for w in words:
-            low = w.lower()
-            cut = len(low) > 1 and low[-1] in b".," and low[-2:-1].isalnum()
-            cores[w] = (low[:-1], low[-1:]) if cut else (low, b"")
-        new = list({part for pair in cores.values() for part in pair if part and part not in known})
-        known.update(zip(new, self._library([w.decode() for w in new]), strict=True))
-        known[b""] = b""
-        for w, (core, tail) in cores.items():
-            known[w] = known[core] + known[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.memory = UnitMemory(words, self._words, self.dtype)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, units: list[bytes]) -> list[list[int]]:
+        """A run of lower-case ASCII letters is one piece that no normaliser changes, so it goes to the library's BPE model directly."""
+        tokenize = self.model.tokenize
+        out = [[t.id for t in tokenize(u.decode())] if u.isalpha() else None for u in units]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self._library([units[i].decode() for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode() for t in texts]
         whole = [any(s in r for s in self.special) for r in raw]
-        words = [[] if direct else r.split() for r, direct in zip(raw, whole, strict=True)]
-        new: set[bytes] = set()
-        for ws in words:
-            new.update(set(ws).difference(self.known))
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, ws)) for ws in words]
+        out = self.memory.encode([b"" if direct else r.lower() for r, direct in zip(raw, whole, strict=True)])
         for i, direct in enumerate(whole):
             if direct:
-                out[i] = self._library([texts[i]])[0]
+                out[i] = np.asarray(self._library([texts[i]])[0], self.dtype)
         return out
