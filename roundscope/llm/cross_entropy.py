@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ from .support import importable, stored
 START, UNKNOWN = 1, 2
 #: A code point takes 16 bits of an n-gram's key; four fit into one.  Rarer planes share the unknown mark.
 _PLANE = 1 << 16
-_MEMORY: dict[int, tuple] = {}
+#: Tokens that a task works on at once.
+PIECE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -40,51 +42,65 @@ class Models:
 def codes(text: str | None) -> np.ndarray:
     """Vocabulary code of each token of a text, before rare characters are replaced."""
     flat = " ".join((text or "").lower().split())
-    points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    points[(points >= 48) & (points <= 57)] = 48
-    points[(points >= _PLANE) | (points <= UNKNOWN)] = UNKNOWN
-    return points
-
-
-def _keys(texts: list[str | None], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """4-gram keys of all tokens, text after text, and tokens per text.  Earlier tokens stand in the higher bits."""
-    each = [codes(t) for t in texts]
-    lengths = np.array([len(x) for x in each], np.int64)
-    padded = np.concatenate([np.full(3, START, np.uint64), *[y for x in each for y in (x, np.full(3, START, np.uint64))]]) if each else np.empty(0, np.uint64)
-    if len(common):
-        padded[~common[padded.astype(np.int64)]] = UNKNOWN
-    if len(padded) < 4:
-        return np.empty(0, np.uint64), lengths
-    key = padded[3:].copy()
-    for back in (1, 2, 3):
-        key |= padded[3 - back : len(padded) - back] << np.uint64(16 * back)
-    starts = np.cumsum(lengths + 3) - lengths - 3
-    real = np.ones(len(key), bool)
-    gap = (starts + lengths)[:, None] + np.arange(3)
-    real[gap[gap < len(key)]] = False
-    return key[real], lengths
+    points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.where((points >= _PLANE) | (points <= UNKNOWN), UNKNOWN, points).astype(np.uint16)
+    out[(out >= 48) & (out <= 57)] = 48
+    return out
+
+
+def _groups(texts: list[str | None], common: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """First row and codes of neighbouring texts with about PIECE tokens together."""
+    group, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        x = codes(text)
+        x[~common[x]] = UNKNOWN
+        group.append(x)
+        size += len(x)
+        if size >= PIECE:
+            yield first, group
+            group, first, size = [], i + 1, 0
+    if group:
+        yield first, group
+
+
+def _windows(group: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """4-gram keys of all tokens of a group, and the row of each, at most PIECE places at a time.  Earlier tokens stand in the higher bits."""
+    start = np.full(3, START, np.uint16)
+    padded = np.concatenate([y for x in group for y in (start, x)])
+    row = np.repeat(np.arange(len(group), dtype=np.int32), [len(x) + 3 for x in group])
+    real = np.ones(len(padded), bool)
+    real[(np.cumsum([0, *[len(x) + 3 for x in group[:-1]]])[:, None] + np.arange(3)).ravel()] = False
+    for i in range(3, len(padded), PIECE):
+        j = min(len(padded), i + PIECE)
+        key = padded[i:j].astype(np.uint64)
+        for back in (1, 2, 3):
+            key |= padded[i - back : j - back].astype(np.uint64) << np.uint64(16 * back)
+        yield key[real[i:j]].view(np.int64), row[i:j][real[i:j]]
 
 
 def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(_PLANE, np.int64)
+    seen, every = np.zeros(_PLANE, np.int64), np.ones(_PLANE, bool)
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            for t in batch.column("text").slice(i, 256).to_pylist():
-                seen += np.bincount(codes(t).astype(np.int64), minlength=_PLANE) if t else 0
+        for _, group in _groups(batch.column("text").to_pylist(), every):
+            seen += np.bincount(np.concatenate(group), minlength=_PLANE)
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["code", "n"])
 
 
 def _count(common: np.ndarray):
+    def rows(keys: np.ndarray, target: bool) -> pa.RecordBatch:
+        distinct, n = np.unique(keys, return_counts=True)
+        n = pa.array(n.astype(np.int64))
+        zero = pa.array(np.zeros(len(distinct), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(distinct), zero if target else n, n if target else zero], names=["key", "background", "target"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                some = batch.slice(i, 4096)
-                keys, lengths = _keys(some.column("text").to_pylist(), common)
-                weight = np.repeat(np.array(some.column("target").to_pylist(), bool), lengths)
-                distinct, at = np.unique(keys, return_inverse=True)
-                both = np.bincount(at, minlength=len(distinct)), np.bincount(at, weight, minlength=len(distinct))
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in both]], names=["key", "background", "target"])
+            target = np.array(batch.column("target").to_pylist(), bool)
+            for first, group in _groups(batch.column("text").to_pylist(), common):
+                for keys, row in _windows(group):
+                    yield rows(keys, False)
+                    yield rows(keys[target[row + first]], True)
 
     return run
 
@@ -122,30 +138,31 @@ def ngram_values(counts: DataFrame, vocabulary: int) -> DataFrame:
 def _score(common: np.ndarray, keys: np.ndarray, values: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                some = batch.slice(i, 1024)
-                grams, lengths = _keys(some.column("text").to_pylist(), common)
-                distinct, at = np.unique(grams.view(np.int64), return_inverse=True)
-                each = values[np.searchsorted(keys, distinct)][at] if len(distinct) else np.empty(0)
-                total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), each, minlength=len(lengths))
+            for first, group in _groups(batch.column("text").to_pylist(), common):
+                total = np.zeros(len(group))
+                for grams, row in _windows(group):
+                    at, distinct = pd.factorize(grams)
+                    if len(distinct):
+                        total += np.bincount(row, values[np.searchsorted(keys, distinct)][at], minlength=len(group))
+                lengths = np.array([len(x) for x in group], np.int64)
                 score = np.divide(total, lengths, out=np.zeros(len(lengths)), where=lengths > 0)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(lengths), pa.array(score, mask=lengths == 0)], names=["doc_id", "n_tokens", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(group)), pa.array(lengths), pa.array(score, mask=lengths == 0)], names=["doc_id", "n_tokens", "score"])
 
     return run
 
 
 def _document_grams(common: np.ndarray):
+    """n-grams of each row; a long text may list one in several windows.  A row without tokens gives one entry of none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                ids, rows = some.column("doc_id").to_pylist(), some.column("row").to_pylist()
-                for doc, row, text in zip(ids, rows, some.column("text").to_pylist(), strict=True):
-                    grams, lengths = _keys([text], common)
-                    distinct, n = np.unique(grams.view(np.int64), return_counts=True)
-                    if not len(distinct):
-                        distinct, n = np.zeros(1, np.int64), np.zeros(1, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(n), pa.int64()), pa.array([row] * len(n), pa.int64()), pa.array(distinct), pa.array(n)], names=["doc_id", "row", "key", "n"])
+            ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for _, group in _groups([text], common):
+                    for grams, _ in _windows(group) if len(group[0]) else [(np.empty(0, np.int64), None)]:
+                        distinct, n = np.unique(grams, return_counts=True)
+                        if not len(distinct):
+                            distinct, n = np.zeros(1, np.int64), np.zeros(1, np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(n), pa.int64()), pa.array([rows[i]] * len(n), pa.int64()), pa.array(distinct), pa.array(n)], names=["doc_id", "row", "key", "n"])
 
     return run
 
