@@ -178,7 +178,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, models: Models
     common = np.zeros(_PLANE, bool)
     common[[*kept, START, UNKNOWN]] = True
     chosen = target.select(F.col("doc_id").cast("long").alias("_target")).where("_target is not null").distinct()
-    marked = rows.join(chosen, rows["doc_id"] == chosen["_target"], "left").select("text", F.col("_target").isNotNull().alias("target"))
+    # the same kind of join at every size: the labels grow with the documents
+    marked = rows.join(chosen.hint("merge"), rows["doc_id"] == chosen["_target"], "left").select("text", F.col("_target").isNotNull().alias("target"))
     values = stored(ngram_values(stored(ngram_counts(marked, common), "ngrams"), len(kept) + 1), "values")
     if target.isEmpty() or rows.isEmpty():
         values = values.withColumn("value", F.lit(None).cast("double"))
