@@ -203,6 +203,6 @@ def drop_near_duplicates(docs: DataFrame, rule: NearRule = NearRule()) -> DataFr
 
     Rows without doc_id stay.
     """
-    kept = near_duplicates(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    joined = docs.join(kept, docs["doc_id"] == kept["_keep"]).dropDuplicates(["_keep"]).select(*docs.columns)
+    kept = near_duplicates(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("_rs_keep")).distinct()
+    joined = docs.join(kept, docs["doc_id"] == kept["_rs_keep"]).dropDuplicates(["_rs_keep"]).select(*docs.columns)
     return joined.unionByName(docs.where("doc_id is null"))

@@ -135,8 +135,8 @@ def exact_duplicates(docs: DataFrame, rule: Chunking = Chunking()) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame, rule: Chunking = Chunking()) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept; of rows that repeat a doc_id and a text, one."""
-    decisions = exact_duplicates(docs, rule).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_sha256").alias("_digest"))
+    decisions = exact_duplicates(docs, rule).where("kept").select(F.col("doc_id").alias("_rs_doc"), F.col("text_sha256").alias("_rs_digest"))
     digest = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    rows = docs.withColumn("_own", digest)
-    joined = rows.join(decisions, rows["doc_id"].eqNullSafe(decisions["_doc"]) & (rows["_own"] == decisions["_digest"]))
-    return joined.dropDuplicates(["_doc", "_digest"]).select(*docs.columns)
+    rows = docs.withColumn("_rs_own", digest)
+    joined = rows.join(decisions, rows["doc_id"].eqNullSafe(decisions["_rs_doc"]) & (rows["_rs_own"] == decisions["_rs_digest"]))
+    return joined.dropDuplicates(["_rs_doc", "_rs_digest"]).select(*docs.columns)

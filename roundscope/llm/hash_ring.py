@@ -112,14 +112,14 @@ def assign(rows: DataFrame, key: str, ring: Ring = Ring()) -> DataFrame:
     rows = rows.drop("shard", "slot")
     kept = rows.columns
     h = F.xxhash64(F.lit("key"), F.col(key))
-    grouped = rows.groupBy(*kept).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", h).withColumn("_cell", _cell(F.col("_h"), ring))
-    counts = grouped.groupBy(F.col("_cell").alias("cell")).agg(F.sum("_n").alias("n"))
-    order = Window.partitionBy("_cell").orderBy("_h", *kept).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = grouped.withColumn("_rank", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    ranked = ranked.select(*kept, "_cell", F.explode(F.sequence(F.col("_rank"), F.col("_rank") + F.col("_n") - 1)).alias("_rank"))
-    pieces = F.broadcast(placement(counts, ring).withColumnsRenamed({"cell": "_cell", "lo": "_lo", "hi": "_hi", "slot0": "_slot0"}))
-    placed = ranked.join(pieces, (ranked["_cell"] == pieces["_cell"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    return placed.select(*[ranked[c] for c in kept], "shard", (F.col("_slot0") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    grouped = rows.groupBy(*kept).agg(F.count(F.lit(1)).alias("_rs_n")).withColumn("_rs_h", h).withColumn("_rs_cell", _cell(F.col("_rs_h"), ring))
+    counts = grouped.groupBy(F.col("_rs_cell").alias("cell")).agg(F.sum("_rs_n").alias("n"))
+    order = Window.partitionBy("_rs_cell").orderBy("_rs_h", *kept).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = grouped.withColumn("_rs_rank", F.coalesce(F.sum("_rs_n").over(order), F.lit(0)))
+    ranked = ranked.select(*kept, "_rs_cell", F.explode(F.sequence(F.col("_rs_rank"), F.col("_rs_rank") + F.col("_rs_n") - 1)).alias("_rs_rank"))
+    pieces = F.broadcast(placement(counts, ring).withColumnsRenamed({"cell": "_rs_cell", "lo": "_rs_lo", "hi": "_rs_hi", "slot0": "_rs_slot0"}))
+    placed = ranked.join(pieces, (ranked["_rs_cell"] == pieces["_rs_cell"]) & (F.col("_rs_rank") >= F.col("_rs_lo")) & (F.col("_rs_rank") < F.col("_rs_hi")))
+    return placed.select(*[ranked[c] for c in kept], "shard", (F.col("_rs_slot0") + F.col("_rs_rank") - F.col("_rs_lo")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, ring: Ring = Ring()) -> DataFrame:

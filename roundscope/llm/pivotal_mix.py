@@ -94,10 +94,10 @@ def copies(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("units"))
     sizes = stored(sizes, "sources")
     counts = sizes.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("units"), F.lit(0)).alias("units")).first()
-    targets = source_targets(sizes.drop("units"), mix).withColumnRenamed("source", "_source")
+    targets = source_targets(sizes.drop("units"), mix).withColumnRenamed("source", "_rs_source")
     targets = F.broadcast(targets) if counts["sources"] <= BROADCAST_SOURCES else targets
     want = F.when(F.col("source_size") > 0, F.col("n") * (F.col("target") / F.col("source_size"))).otherwise(0.0)
-    units = units.join(targets, units["source"].eqNullSafe(targets["_source"])).drop("_source").withColumn("want", want)
+    units = units.join(targets, units["source"].eqNullSafe(targets["_rs_source"])).drop("_rs_source").withColumn("want", want)
     whole = F.floor(F.col("want") + 1e-9)
     units = units.select(
         "size", F.xxhash64("doc_id", "size", F.lit(mix.seed)).alias("h"), "doc_id", "source", "n", "source_size", "target", whole.alias("base"),
@@ -136,10 +136,10 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mixed_rows(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the mix takes them."""
     dealt = copies(_narrow(docs), mix).where("total > 0").select(
-        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("n").alias("_n"), F.col("total").alias("_total"))
-    rows = docs.withColumn("_words", words(F.col("text")))
-    joined = rows.join(dealt, rows["doc_id"].eqNullSafe(dealt["_doc"]) & rows["source"].eqNullSafe(dealt["_source"]) & (rows["_words"] == dealt["_size"]))
-    many = joined.where("_n > 1").withColumn("_i", F.row_number().over(Window.partitionBy("_doc", "_source", "_size").orderBy("_n")))
-    every = joined.where("_n = 1").withColumn("_i", F.lit(1)).unionByName(many)
-    share = (F.floor(F.col("_total") / F.col("_n")) + (F.col("_i") <= F.col("_total") % F.col("_n")).cast("long")).cast("int")
-    return every.withColumn("_copies", share).where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+        F.col("doc_id").alias("_rs_doc"), F.col("source").alias("_rs_source"), F.col("size").alias("_rs_size"), F.col("n").alias("_rs_n"), F.col("total").alias("_rs_total"))
+    rows = docs.withColumn("_rs_words", words(F.col("text")))
+    joined = rows.join(dealt, rows["doc_id"].eqNullSafe(dealt["_rs_doc"]) & rows["source"].eqNullSafe(dealt["_rs_source"]) & (rows["_rs_words"] == dealt["_rs_size"]))
+    many = joined.where("_rs_n > 1").withColumn("_rs_i", F.row_number().over(Window.partitionBy("_rs_doc", "_rs_source", "_rs_size").orderBy("_rs_n")))
+    every = joined.where("_rs_n = 1").withColumn("_rs_i", F.lit(1)).unionByName(many)
+    share = (F.floor(F.col("_rs_total") / F.col("_rs_n")) + (F.col("_rs_i") <= F.col("_rs_total") % F.col("_rs_n")).cast("long")).cast("int")
+    return every.withColumn("_rs_copies", share).where("_rs_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_rs_copies")).alias("_rs_copy")).drop("_rs_copy")
