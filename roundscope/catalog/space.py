@@ -134,22 +134,22 @@ def _(t):
 
 
 @query("i14_nearest_players", """SELECT a.match_id, a.round_id, a.round_number, a.tick, a.player_id, CAST(row_number() OVER (PARTITION BY a.round_id, a.tick, a.player_id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), b.player_id) AS INT) AS rank,
-  b.player_id AS other_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS distance, a.team_id = b.team_id AS same_team FROM snp a JOIN snp b ON a.round_id = b.round_id AND a.tick = b.tick AND a.player_id <> b.player_id WHERE a.x IS NOT NULL AND b.x IS NOT NULL QUALIFY rank <= 3""")
+  b.player_id AS other_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS distance, a.team_id = b.team_id AS same_team FROM snp a JOIN snp b ON a.round_id = b.round_id AND a.tick = b.tick AND a.player_id <> b.player_id WHERE a.x IS NOT NULL AND b.x IS NOT NULL QUALIFY rank <= 9""")
 def _(t):
-    return spatial(t).nearest(3)
+    return spatial(t).nearest(9)
 
 
-cte("slc", "SELECT match_id, round_id, round_number, CAST((position - 1) // 8 AS BIGINT) AS slice, min(tick) AS first_tick, max(tick) AS last_tick, count(*) AS tick_count, CAST(sum(players) AS BIGINT) AS player_rows FROM stk GROUP BY 1, 2, 3, 4")
+cte("slc", "SELECT match_id, round_id, round_number, CAST((position - 1) // 64 AS BIGINT) AS slice, min(tick) AS first_tick, max(tick) AS last_tick, count(*) AS tick_count, CAST(sum(players) AS BIGINT) AS player_rows FROM stk GROUP BY 1, 2, 3, 4")
 
 
 @query("i15_playback_slices", "SELECT * FROM slc")
 def _(t):
-    return spatial(t).slices(8)
+    return spatial(t).slices(64)
 
 
 @query("i16_active_effects", "SELECT s.match_id, s.round_id, s.slice, e.effect_id, e.effect_type FROM slc s JOIN effects e ON e.round_id = s.round_id AND e.start_tick <= s.last_tick AND (e.end_tick IS NULL OR e.end_tick >= s.first_tick)")
 def _(t):
-    return I.effects_in_ranges(spatial(t).slices(8), t.effects)
+    return I.effects_in_ranges(spatial(t).slices(64), t.effects)
 
 
 @query("i17_throw_tick", """SELECT q.match_id, q.round_id, q.event_id, q.tick, arg_min(s.tick, (abs(s.tick - q.tick), s.tick)) AS sample_tick, q.tick - arg_min(s.tick, (abs(s.tick - q.tick), s.tick)) AS "offset"

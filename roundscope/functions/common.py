@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROUND = ["match_id", "round_id", "round_number"]
@@ -66,15 +66,26 @@ def once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that several branches read, through a reliable checkpoint.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    The folder comes from the session (``spark.checkpoint.dir``); a temporary one is set
-    only where nothing is configured, as in local tests.
+    Only a local session, where both are one process, may fall back to a temporary folder.
     """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="roundscope-"))
+        root = sc.getCheckpointDir()
+    return root
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several branches read, through a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roundscope-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 

@@ -1,6 +1,7 @@
 """Statistical trust of cross-match frequencies: matches are the clusters."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,10 +71,12 @@ def null_frequency(pattern_type: Column, value: Column, binary: tuple[str, ...],
 
 
 def upper_tail(successes: Column, trials: Column) -> Column:
-    """P(X >= successes) for fair coin flips, by the recurrence C(n, i+1) = C(n, i)(n-i)/(i+1)."""
+    """P(X >= successes) for fair coin flips, by the recurrence C(n, i+1) = C(n, i)(n-i)/(i+1) on logarithms, which long series don't underflow."""
     fold = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), trials), F.struct(F.pow(F.lit(0.5), trials).alias("t"), F.lit(0.0).alias("s")),
-        lambda a, i: F.struct((a["t"] * (trials - i) / (i + 1)).alias("t"), F.when(i >= successes, a["s"] + a["t"]).otherwise(a["s"]).alias("s")), lambda a: a["s"])
+        F.sequence(F.lit(0).cast("long"), trials), F.struct((trials * -math.log(2.0)).alias("t"), F.lit(0.0).alias("s")),
+        lambda a, i: F.struct(
+            (a["t"] + F.log(F.greatest(trials - i, F.lit(1).cast("long")).cast("double")) - F.log((i + 1).cast("double"))).alias("t"),
+            F.when(i >= successes, a["s"] + F.exp(a["t"])).otherwise(a["s"]).alias("s")), lambda a: a["s"])
     return F.when(trials == 0, 1.0).otherwise(F.least(F.lit(1.0), fold))
 
 

@@ -337,10 +337,7 @@ class MatchTables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def _events(self) -> DataFrame:
-        """A table kept in fewer splits than cores is spread once; large inputs are left alone."""
-        df = self.read("events")
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores, "event_id") if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+        return self.read("events")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:

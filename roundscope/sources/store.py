@@ -1,13 +1,12 @@
 """Reading and writing table sets: canonical JSON, derived runs, deletes, counts."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.common import union_all
+from ..functions.common import shared_root, union_all
 
 CANONICAL = """match_id string, map_name string, schema_version int,
  teams array<struct<team_id:string>>, players array<struct<player_id:string, team_id:string, steam_id:string, current_name:string>>,
@@ -16,9 +15,8 @@ CANONICAL = """match_id string, map_name string, schema_version int,
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder, or a temporary one in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None) or tempfile.mkdtemp(prefix="roundscope-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the cluster's shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def load_canonical(spark: SparkSession, path: str, version: int = 1) -> dict[str, DataFrame]:

@@ -1,5 +1,6 @@
 """Rules on hand-written rounds."""
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,11 @@ def test_q_values(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03), ("f", "d", 0.5)], "fam string, pattern_id string, p_value double")
     got = {r.pattern_id: round(r.q_value, 6) for r in N.q_values(df, ["fam"]).collect()}
     assert got == {"a": 0.04, "c": 0.053333, "b": 0.053333, "d": 0.5}
+
+
+def test_sign_test_of_long_series(spark):
+    from roundscope.plans.trust import upper_tail
+
+    rows = spark.createDataFrame([(5, 1100), (1100, 2000), (7, 10), (0, 0)], "k long, n long").select(upper_tail(F.col("k"), F.col("n")).alias("p")).collect()
+    exact = sum(math.comb(2000, i) for i in range(1100, 2001)) / 2**2000
+    assert [round(r.p, 9) for r in rows] == [1.0, round(exact, 9), round(176 / 1024, 9), 1.0]
