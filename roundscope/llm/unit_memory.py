@@ -1,7 +1,7 @@
 """Encoded units (words with what belongs to them) that a Python worker remembers, looked up a batch at a time.
 
 A unit is a stretch of a text that a tokenizer never merges with its neighbours.  Each distinct unit goes to the tokenizers library once per
-worker.  Units are found, hashed (64 bits and length) and put together by array operations; no Python step runs for a unit that is known.
+worker.  Units are found, told apart and put together by array operations; Python steps run for the distinct units of a batch only.
 """
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ import pandas as pd
 REMEMBERED = 250_000
 #: Bytes of text that are worked on at once.
 PIECE = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
+#: Longer units (bytes) are encoded wherever they occur and not remembered, so memory has a bound.
+LONGEST = 64
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
 
 _CLASS = np.full(256, 4, np.uint8)  # 0 white space, 1 ASCII letter or digit, 2 byte of a wider character, 3 full stop or comma, 4 other
 _CLASS[[32, *range(9, 14)]] = 0
@@ -61,57 +63,80 @@ def spaced_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last & ~parted) + 1
 
 
+def mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (h ^ word) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def distinct_units(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of each unit and the first unit of each code; units have one code only if their bytes are equal.
+
+    Up to seven bytes and their number fill a key of 64 bits.  For up to ``LONGEST`` bytes a hash proposes and the bytes decide.
+    Longer units have codes of their own.
+    """
+    padded = raw + bytes(8)
+    at = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    key = (at[starts] & _FIRST[np.minimum(size, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+    middle, long = np.flatnonzero((size > 7) & (size <= LONGEST)), np.flatnonzero(size > LONGEST)
+    from_, to, reach = starts[middle], ends[middle], size[middle]
+    h = reach.astype(np.uint64)
+    steps = [np.flatnonzero(reach > 8 * k) for k in range(LONGEST // 8)]
+    for k, some in enumerate(steps):
+        h[some] = mixed(h[some], at[np.minimum(from_[some] + 8 * k, to[some] - 8)])
+    key[middle] = h | np.uint64(1 << 63)
+    key[long] = np.arange(len(long), dtype=np.uint64) | np.uint64(1 << 62)
+    codes, distinct = pd.factorize(key.view(np.int64))
+    first = np.empty(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    model = first[codes[middle]]
+    differs = size[model] != reach
+    for k, some in enumerate(steps):
+        some = some[~differs[some]]
+        differs[some] = at[np.minimum(from_[some] + 8 * k, to[some] - 8)] != at[np.minimum(starts[model[some]] + 8 * k, ends[model[some]] - 8)]
+    own = middle[differs]
+    codes[own] = len(first) + np.arange(len(own))
+    return codes, np.concatenate([first, own])
+
+
 class UnitMemory:
     def __init__(self, split: Callable, library: Callable[[list[bytes]], list], dtype) -> None:
         """``split``: starts and ends of the units in an array of bytes; ``library``: ids of each of a list of units."""
         self.split, self.library, self.dtype = split, library, np.dtype(dtype)
-        self.at: dict[int, int] = {}
+        self.at: dict[bytes, int] = {}
         self.ends, self.store = np.zeros(1, np.int64), np.empty(0, self.dtype)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _tables(self, n: int) -> None:
-        if len(self.powers) <= n:
-            size = max(2 * PIECE, n + 1)
-            self.powers, self.inverses = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x, np.uint64))]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.inverses[starts]
-        h ^= (ends - starts).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
-        return h ^ (h >> np.uint64(32))
-
-    def _forget(self) -> None:
-        half = len(self.at) // 2
-        self.at = dict(islice(self.at.items(), half))
-        self.ends = self.ends[: half + 1].copy()
+
+    def _keep(self, n: int) -> None:
+        self.ends = self.ends[: n + 1].copy()
         self.store = self.store[: self.ends[-1]].copy()
 
     def _batch(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and start and number of ids of each unit."""
-        data = np.frombuffer(raw, np.uint8)
-        self._tables(len(data))
-        starts, ends = self.split(data)
-        codes, distinct = pd.factorize(self._hashes(data, starts, ends).view(np.int64))
+        starts, ends = self.split(np.frombuffer(raw, np.uint8))
+        codes, first = distinct_units(raw, starts, ends)
         if len(self.at) > REMEMBERED:
-            self._forget()
-        get = self.at.get
-        where = np.array([get(x, -1) for x in distinct.tolist()], np.int64)
-        new = np.flatnonzero(where < 0)
-        if len(new):
-            first = np.empty(len(distinct), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            at, known = first[new], len(self.at)
-            ids = self.library([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            where[new] = np.arange(known, known + len(new))
-            self.at.update(zip(distinct[new].tolist(), where[new].tolist(), strict=True))
+            self.at = dict(islice(self.at.items(), len(self.at) // 2))
+            self._keep(len(self.at))
+        units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        where = np.array([self.at.get(u, -1) for u in units], np.int64)
+        # units too long to be remembered come last and are forgotten after the batch
+        new = sorted(np.flatnonzero(where < 0).tolist(), key=lambda i: len(units[i]) > LONGEST)
+        known = len(self.at)
+        if new:
+            fresh: dict[bytes, int] = {}
+            where[new] = [fresh.setdefault(units[i], known + len(fresh)) for i in new]
+            ids = self.library(list(fresh))
+            self.at.update((u, place) for u, place in fresh.items() if len(u) <= LONGEST)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
             self.store = np.concatenate([self.store, np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))])
         begin = self.ends[where][codes]
         count = self.ends[where + 1][codes] - begin
         total = np.cumsum(count)
-        return self.store[np.repeat(begin - total + count, count) + np.arange(total[-1] if len(total) else 0)], starts, count
+        out = self.store[np.repeat(begin - total + count, count) + np.arange(total[-1] if len(total) else 0)]
+        if len(self.ends) - 1 > len(self.at):
+            self._keep(len(self.at))
+        return out, starts, count
 
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, given as UTF-8."""

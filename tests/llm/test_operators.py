@@ -275,3 +275,23 @@ def test_presence_kernel():
 
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+
+
+def test_unit_lookup_is_exact(monkeypatch):
+    """Units of one hash, among them the sequences that polynomial hashes of 64 bits can't tell apart, keep ids of their own."""
+    from roundscope.llm import unit_memory
+
+    a, b = b"a", b"b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    short = [bytes([97 + i % 26]) * (i % 90 + 1) + bytes([97 + i % 7]) for i in range(300)]
+    texts = [a + b" x", b + b" x", b" ".join(short), b" ".join(reversed(short)), b"", b"tail\0 tail", b"\xc3\xa9" * 40]
+    wanted = [[list(u) for u in t.split(b" ") if u] for t in texts]
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(unit_memory, "mixed", lambda h, word: h * np.uint64(0))
+        memory = unit_memory.UnitMemory(unit_memory.words, lambda units: [[*u] for u in units], "<u4")
+        for _ in range(3):
+            got = memory.encode(texts)
+            assert [g.tolist() for g in got] == [[c for u in w for c in u] for w in wanted]
+        assert max(map(len, memory.at)) <= unit_memory.LONGEST and len(memory.ends) == len(memory.at) + 1
