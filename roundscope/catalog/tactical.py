@@ -80,20 +80,28 @@ def _occ(name, sql, fn):
         return fn(t).select(*OC.split(", "))
 
 
-cte("trs", f"SELECT k.match_id, k.round_id, k.victim_player_id AS player_id, k.tick, k.event_id, s.tick AS sample_tick, s.zone_id FROM kills k JOIN tsm s ON s.round_id = k.round_id AND s.player_id = k.victim_player_id AND s.alive AND k.tick - s.tick BETWEEN 0 AND {AGE} QUALIFY row_number() OVER (PARTITION BY k.event_id ORDER BY s.tick DESC) = 1")
+RECENT = "s.alive AND s.zone_id IS NOT NULL AND (q.tick - s.tick) * q.seconds_per_tick BETWEEN 0 AND 0.5"
+cte("trs", f"""SELECT q.match_id, q.round_id, q.player_id, q.tick, q.event_id, s.tick AS sample_tick, s.zone_id
+  FROM (SELECT k.match_id, k.round_id, p.player_id, p.side, k.tick, k.event_id, c.seconds_per_tick FROM kills k JOIN fpe p ON p.round_id = k.round_id AND p.player_id = k.victim_player_id JOIN clk c ON c.round_id = k.round_id) q
+  JOIN tsm s ON s.round_id = q.round_id AND s.player_id = q.player_id AND s.side = q.side AND {RECENT} QUALIFY row_number() OVER (PARTITION BY q.event_id ORDER BY s.tick DESC) = 1""")
 
 
 @query("o03_recent_sample", "SELECT * FROM trs")
 def _(t):
-    q = t.kills.where("victim_player_id IS NOT NULL").select("match_id", "round_id", F.col("victim_player_id").alias("player_id"), "tick", "event_id")
-    return O.recent_sample(q, tactical(t).samples, AGE).drop("x", "y", "z", "utility")
-
-
-cte("tfc", "SELECT round_id, min(tick) AS tick FROM tco GROUP BY 1")
-cte("tph", f"""SELECT v.profile_id, v.round_id, count(DISTINCT s.zone_id) AS zones, bool_or(s.zone_id LIKE 'bombsite%') AS entry FROM tv v JOIN tfc c ON c.round_id = v.round_id JOIN fpe p ON p.round_id = v.round_id AND p.team_id = v.team_id JOIN LATERAL (SELECT arg_max(z.zone_id, z.tick) AS zone_id FROM (SELECT * FROM tsm) z WHERE z.round_id = v.round_id AND z.player_id = p.player_id AND z.alive AND c.tick - z.tick BETWEEN 0 AND {AGE}) s ON TRUE
-  WHERE v.side = 'T' AND s.zone_id IS NOT NULL GROUP BY 1, 2""")
-cte("tph", f"""SELECT profile_id, round_id, count(DISTINCT zone_id) AS zones, bool_or(zone_id LIKE 'bombsite%') AS entry FROM (SELECT v.profile_id, v.round_id, p.player_id, z.zone_id FROM tv v JOIN tfc c ON c.round_id = v.round_id JOIN fpe p ON p.round_id = v.round_id AND p.team_id = v.team_id JOIN tsm z ON z.round_id = v.round_id AND z.player_id = p.player_id AND z.alive AND c.tick - z.tick BETWEEN 0 AND {AGE}
-  WHERE v.side = 'T' QUALIFY row_number() OVER (PARTITION BY v.profile_id, v.round_id, p.player_id ORDER BY z.tick DESC) = 1) WHERE zone_id IS NOT NULL GROUP BY 1, 2""")
+    q = t.kills.select("match_id", "round_id", F.col("victim_player_id").alias("player_id"), "tick", "event_id")
+    q = q.join(tactical(t).members.select("match_id", "round_id", "player_id", "side"), ["match_id", "round_id", "player_id"]).join(clocks(t), ["match_id", "round_id"])
+    return O.recent_zoned(q, tactical(t).samples).drop("side", "seconds_per_tick")
+
+
+cte("tcl", """SELECT e.* FROM (SELECT round_id, tick, event_id, attacker_player_id, victim_player_id, weapon FROM damages WHERE damage_health > 0
+    UNION ALL SELECT round_id, tick, event_id, attacker_player_id, victim_player_id, weapon FROM kills WHERE NOT coalesce(is_teamkill, FALSE) AND NOT coalesce(is_suicide, FALSE)) e
+  JOIN (SELECT DISTINCT round_id, live_tick, last_tick FROM tv WHERE live_tick IS NOT NULL) w ON w.round_id = e.round_id AND e.tick >= w.live_tick AND (w.last_tick IS NULL OR e.tick <= w.last_tick)
+  JOIN fpe a ON a.round_id = e.round_id AND a.player_id = e.attacker_player_id JOIN fpe b ON b.round_id = e.round_id AND b.player_id = e.victim_player_id WHERE a.team_id <> b.team_id""")
+cte("tfc", "SELECT round_id, min(tick) AS tick FROM tcl GROUP BY 1")
+cte("tph", f"""SELECT profile_id, round_id, count(DISTINCT zone_id) AS zones, bool_or(zone_id LIKE 'bombsite%') AS entry FROM (SELECT q.profile_id, q.round_id, q.player_id, s.zone_id
+  FROM (SELECT v.profile_id, v.round_id, v.side, p.player_id, c.tick, k.seconds_per_tick FROM tv v JOIN tfc c ON c.round_id = v.round_id JOIN clk k ON k.round_id = v.round_id JOIN fpe p ON p.round_id = v.round_id AND p.team_id = v.team_id WHERE v.side = 'T') q
+  JOIN tsm s ON s.round_id = q.round_id AND s.player_id = q.player_id AND s.side = q.side AND {RECENT} QUALIFY row_number() OVER (PARTITION BY q.profile_id, q.round_id, q.player_id ORDER BY s.tick DESC) = 1)
+  WHERE NOT regexp_matches(lower(zone_id), 'spawn|base|unknown|unavailable') GROUP BY 1, 2""")
 _SEC = "(c.tick - v.live_tick) * k.seconds_per_tick"
 _EAR = "(coalesce((p.tick - v.live_tick) * k.seconds_per_tick >= 0 AND (p.tick - v.live_tick) * k.seconds_per_tick < 25, FALSE) OR coalesce(h.entry, FALSE))"
 _occ("o02_attack_pace", occ("attack_pace", f"CASE WHEN {_SEC} < 25 AND {_EAR} THEN 'fast_hit' WHEN {_SEC} < 25 THEN 'early_contact' WHEN {_SEC} <= 60 AND coalesce(h.zones, 0) >= 2 THEN 'default_to_split' WHEN {_SEC} > 60 THEN 'late_execute' ELSE 'mid_contact' END", "TRUE", "c.tick",
@@ -104,10 +112,10 @@ cte("tln", f"SELECT {VV}, p.tick AS pt, upper(p.site_normalized) AS site, s.play
 cte("tlp", "SELECT DISTINCT a.profile_id, a.round_id FROM tln a JOIN tln b ON b.profile_id = a.profile_id AND b.round_id = a.round_id AND a.player_id <> b.player_id AND abs(a.st - b.st) * a.spt <= 3 WHERE (a.site = 'A' AND a.lane = 'connector' AND b.lane = 'ramp') OR (a.site = 'B' AND a.lane = 'short' AND b.lane = 'apps')")
 _occ("o04_approach_corridors", f"SELECT {VC}, 'site_hit' AS insight_type, CASE WHEN EXISTS (SELECT 1 FROM tlp p WHERE p.profile_id = x.profile_id AND p.round_id = x.round_id) THEN CASE site WHEN 'A' THEN 'a_connector_ramp' ELSE 'b_short_apps' END ELSE lower(site) || '_' || string_agg(DISTINCT lane, '+' ORDER BY lane) END AS key, TRUE AS positive, pt AS tick FROM tln x WHERE lane IS NOT NULL GROUP BY {VC}, site, pt",
      lambda t: tactical(t).corridors(clocks(t), LANES, PARALLEL))
-cte("taa", """SELECT round_id, tick, attacker_player_id AS pid, lower(weapon) = 'awp' AS awp, FALSE AS other FROM tco UNION ALL SELECT round_id, tick, victim_player_id, FALSE, FALSE FROM tco UNION ALL SELECT s.round_id, s.tick, s.player_id, lower(s.weapon) = 'awp', lower(s.weapon) <> 'awp' FROM shots s JOIN rounds r USING (round_id) WHERE s.tick BETWEEN r.freeze_end_tick AND r.official_end_tick AND s.round_id IN (SELECT round_id FROM tv)""")
+cte("taa", """SELECT round_id, tick, attacker_player_id AS pid, lower(weapon) = 'awp' AS awp, FALSE AS other FROM tcl UNION ALL SELECT round_id, tick, victim_player_id, FALSE, FALSE FROM tcl UNION ALL SELECT s.round_id, s.tick, s.player_id, lower(s.weapon) = 'awp', lower(s.weapon) <> 'awp' FROM shots s JOIN rounds r USING (round_id) WHERE s.tick BETWEEN r.freeze_end_tick AND r.official_end_tick AND s.round_id IN (SELECT round_id FROM tv)""")
 cte("taf", "SELECT round_id, pid, tick FROM (SELECT round_id, pid, tick, bool_or(awp) AS awp, bool_or(other) AS other FROM taa GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY round_id, pid ORDER BY tick) = 1) WHERE awp AND NOT other")
 _occ("o05_awp_opening", f"SELECT {VC}, insight_type, coalesce('steam:' || steam_id, 'match:' || match_id || ':player:' || pid) || '|' || zone_id AS key, TRUE AS positive, tick FROM (SELECT {VV}, 'awp_opening' AS insight_type, a.pid, a.tick, s.zone_id, pl.steam_id FROM tv v JOIN fpe p ON p.round_id = v.round_id AND p.team_id = v.team_id JOIN taf a ON a.round_id = v.round_id AND a.pid = p.player_id JOIN clk k ON k.round_id = v.round_id "
-     f"JOIN tsm s ON s.round_id = v.round_id AND s.player_id = a.pid AND s.alive AND a.tick - s.tick BETWEEN 0 AND {AGE} LEFT JOIN players pl ON pl.match_id = v.match_id AND pl.player_id = a.pid WHERE (a.tick - v.live_tick) * k.seconds_per_tick <= 12 QUALIFY row_number() OVER (PARTITION BY v.profile_id, v.round_id, a.pid ORDER BY s.tick DESC) = 1) WHERE zone_id IS NOT NULL",
+     f"JOIN tsm s ON s.round_id = v.round_id AND s.player_id = a.pid AND s.side = v.side AND {RECENT.replace('q.tick', 'a.tick').replace('q.seconds', 'k.seconds')} LEFT JOIN players pl ON pl.match_id = v.match_id AND pl.player_id = a.pid WHERE (a.tick - v.live_tick) * k.seconds_per_tick <= 12 QUALIFY row_number() OVER (PARTITION BY v.profile_id, v.round_id, a.pid ORDER BY s.tick DESC) = 1)",
      lambda t: tactical(t).first_action_awp(clocks(t), t.players))
 _AREA = "CASE s.zone_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {**AREAS, "bombsite_a8": "a", "bombsite_b11": "b"}.items()) + " END"
 cte("tro", f"""SELECT v.profile_id, v.map_name, coalesce('steam:' || p.steam_id, 'occurrence:' || v.match_id || ':' || s.player_id) AS identity_key, v.match_id, v.round_id, list(DISTINCT {_AREA}) FILTER ({_AREA} IS NOT NULL) AS areas FROM tv v JOIN tsm s ON s.round_id = v.round_id AND s.team_id = v.team_id AND s.alive AND s.zone_id IS NOT NULL AND s.tick BETWEEN v.live_tick AND v.live_tick + 1280

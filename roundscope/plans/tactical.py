@@ -15,6 +15,8 @@ from ..functions.common import count_if, ratio, truth, union_all
 KEY = ["match_id", "round_id"]
 VIEW = ["profile_id", "match_id", "round_id", "round_number", "team_id", "side", "map_name"]
 SCOPE = ["profile_id", "insight_type", "map_name", "side"]
+#: Fewest seconds a tick of a fitted clock.
+LEAST_SLOPE = 0.001
 # Fixed value: price policy of carried utility.
 PRICES = {"flashbang": 200, "smoke": 300, "he_grenade": 300, "molotov": 400, "incendiary": 500, "decoy": 50}
 
@@ -64,11 +66,27 @@ def recent_sample(requests: DataFrame, samples: DataFrame, max_age: int, strict:
     return new.where("n.z1 IS NULL OR n.z1 = n.z2").select(*keys, F.col("n.sample_tick").alias("sample_tick"), F.col("n.z1").alias("zone_id"), "n.p.*")
 
 
+def recent_zoned(requests: DataFrame, samples: DataFrame, seconds: float = 0.5) -> DataFrame:
+    """Newest zoned living sample of a player on the requested side, at most ``seconds`` old by the round's fitted clock.
+
+    Samples without zone or of another side don't count, so they hide no older one.  Two zones at the newest tick give none.
+    requests(match_id, round_id, player_id, side, tick, seconds_per_tick, ...)
+    """
+    size = round(seconds / LEAST_SLOPE)  # no sample within ``seconds`` is more ticks away
+    keys, same = requests.columns, KEY + ["player_id", "side", "_b"]
+    s = samples.where("alive AND zone_id <> ''").select(*KEY, "player_id", "side", F.col("tick").alias("sample_tick"), "zone_id")
+    hit = buckets(requests, "tick", size, back=1).join(s.withColumn("_b", F.floor(F.col("sample_tick") / size)), same)
+    hit = hit.where(((F.col("tick") - F.col("sample_tick")) * F.col("seconds_per_tick")).between(0, seconds))
+    per = hit.groupBy(*keys, "sample_tick").agg(F.min("zone_id").alias("z1"), F.max("zone_id").alias("z2"))
+    new = per.groupBy(*keys).agg(F.max(F.struct("sample_tick", "z1", "z2")).alias("n"))
+    return new.where("n.z1 = n.z2").select(*keys, F.col("n.sample_tick").alias("sample_tick"), F.col("n.z1").alias("zone_id"))
+
+
 def clock_fit(events: DataFrame) -> DataFrame:
     """Seconds per tick of a round, when all source clocks agree with one line."""
     per = events.where("game_time IS NOT NULL").groupBy(*KEY, "tick").agg(F.min("game_time").alias("lo"), F.max("game_time").alias("hi"))
     ends = per.groupBy(*KEY).agg(F.min("tick").alias("t0"), F.max("tick").alias("t1"), F.min_by("lo", "tick").alias("g0"), F.max_by("lo", "tick").alias("g1"), F.count("*").alias("n"), F.bool_and(F.col("hi") - F.col("lo") <= 0.002).alias("tight"))
-    ends = ends.where("n >= 2 AND tight AND g1 - g0 >= 1").withColumn("slope", (F.col("g1") - F.col("g0")) / (F.col("t1") - F.col("t0"))).where("slope BETWEEN 0.001 AND 0.1")
+    ends = ends.where("n >= 2 AND tight AND g1 - g0 >= 1").withColumn("slope", (F.col("g1") - F.col("g0")) / (F.col("t1") - F.col("t0"))).where(F.col("slope").between(LEAST_SLOPE, 0.1))
     off = F.abs(F.col("lo") - (F.col("g0") + (F.col("tick") - F.col("t0")) * F.col("slope")))
     good = per.join(ends.select(*KEY, "t0", "g0", "slope"), KEY).groupBy(*KEY).agg(F.max(off).alias("worst"), F.first("slope").alias("seconds_per_tick"))
     return good.where("worst <= 0.02").select(*KEY, "seconds_per_tick")
@@ -92,6 +110,17 @@ class Tactical:
         d = self.t.damages.where("damage_health > 0 AND attacker_team_id <> victim_team_id")
         return d.select(*KEY, "tick", "event_id", "attacker_player_id", "victim_player_id", "attacker_team_id", "victim_team_id", "weapon").unionByName(self.kills)
 
+    @property
+    def live_contacts(self) -> DataFrame:
+        """Damage and kills between players of the two rosters, from the live start to the end of a selected round."""
+        cols = [*KEY, "tick", "event_id", "attacker_player_id", "victim_player_id", "weapon"]
+        teams = self.members.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("player_id", "team_id"))).alias("team_of"))
+        frame = self.v.where("live_tick IS NOT NULL").select(*KEY, "live_tick", "last_tick").distinct().join(teams, KEY)
+        kills = self.t.kills.where("NOT coalesce(is_teamkill, false) AND NOT coalesce(is_suicide, false)").select(*cols)
+        c = self.t.damages.where("damage_health > 0").select(*cols).unionByName(kills).join(frame, KEY)
+        c = c.where("tick >= live_tick AND (last_tick IS NULL OR tick <= last_tick)")
+        return c.where("try_element_at(team_of, attacker_player_id) <> try_element_at(team_of, victim_player_id)").select(*cols)
+
     @property
     def effects(self) -> DataFrame:
         e = self.t.effects.select(*KEY, "effect_id", "owner_player_id", F.col("owner_team_id").alias("team_id"), "effect_type", "start_tick", "end_tick")
@@ -252,11 +281,10 @@ class Tactical:
 
     def pace(self, clocks: DataFrame, site_zone: Column) -> DataFrame:
         """Attack pace of T rounds from the first contact, an early plant and the zones held at contact."""
-        c = self.contacts.groupBy(*KEY).agg(F.min("tick").alias("tick"))
+        c = self.live_contacts.groupBy(*KEY).agg(F.min("tick").alias("tick"))
         q = self.v.where("side = 'T'").join(c, KEY).join(clocks, KEY)
         who = q.select(*VIEW, "tick", "seconds_per_tick").join(self.members.select(*KEY, "team_id", "player_id"), KEY + ["team_id"])
-        age = self.cfg.max_age
-        near = recent_sample(who.drop("seconds_per_tick"), self.samples, age).where("zone_id IS NOT NULL AND NOT zone_id RLIKE 'spawn|base|unknown|unavailable'")
+        near = recent_zoned(who, self.samples).where("NOT lower(zone_id) RLIKE 'spawn|base|unknown|unavailable'")
         held = near.groupBy("profile_id", *KEY).agg(F.countDistinct("zone_id").alias("zones"), F.bool_or(site_zone).alias("entry"))
         p = self.plants.select(*KEY, F.col("tick").alias("plant_tick"))
         q = q.join(held, ["profile_id", *KEY], "left").join(p, KEY, "left")
@@ -283,7 +311,7 @@ class Tactical:
     def first_action_awp(self, clocks: DataFrame, players: DataFrame) -> DataFrame:
         """Players whose first action within 12 s is an AWP attack, with the zone they held."""
         non_gun = "knife|grenade|flash|smoke|molotov|inferno|decoy|c4"
-        c = self.contacts
+        c = self.live_contacts
         acts = union_all(c.select(*KEY, "tick", F.col("attacker_player_id").alias("player_id"), F.lower("weapon").alias("w"), F.lit("hit").alias("how")),
                          c.select(*KEY, "tick", F.col("victim_player_id").alias("player_id"), F.lit(None).cast("string").alias("w"), F.lit("hurt").alias("how")),
                          self.t.shots.where(~F.lower("weapon").rlike(non_gun)).join(self.v.select(*KEY, "live_tick", "last_tick").distinct(), KEY).where("tick BETWEEN live_tick AND last_tick").select(*KEY, "tick", "player_id", F.lower("weapon").alias("w"), F.lit("shot").alias("how")))
@@ -292,7 +320,7 @@ class Tactical:
         first = per.groupBy(*KEY, "player_id").agg(F.min_by(F.struct("tick", "awp", "other"), "tick").alias("f")).select(*KEY, "player_id", "f.*").where("awp AND NOT other")
         q = self.v.join(self.members.select(*KEY, "team_id", "player_id"), KEY + ["team_id"]).join(first, KEY + ["player_id"]).join(clocks, KEY)
         q = q.where((F.col("tick") - F.col("live_tick")) * F.col("seconds_per_tick") <= 12)
-        near = recent_sample(q.select(*VIEW, "player_id", "tick"), self.samples, self.cfg.max_age).where("zone_id IS NOT NULL")
+        near = recent_zoned(q.select(*VIEW, "player_id", "tick", "seconds_per_tick"), self.samples)
         near = near.join(players.select("match_id", "player_id", "steam_id"), ["match_id", "player_id"], "left")
         who = F.coalesce(F.concat(F.lit("steam:"), "steam_id"), F.concat_ws(":", F.lit("match"), "match_id", F.lit("player"), "player_id"))
         return occurrence(near, "awp_opening", F.concat(who, F.lit("|"), "zone_id"), F.lit(True), F.col("tick"))

@@ -1,6 +1,7 @@
 """Rules on hand-written rounds."""
 import hashlib
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,28 @@ def test_sign_test_of_long_series(spark):
     rows = spark.createDataFrame([(5, 1100), (1100, 2000), (7, 10), (0, 0)], "k long, n long").select(upper_tail(F.col("k"), F.col("n")).alias("p")).collect()
     exact = sum(math.comb(2000, i) for i in range(1100, 2001)) / 2**2000
     assert [round(r.p, 9) for r in rows] == [1.0, round(exact, 9), round(176 / 1024, 9), 1.0]
+
+
+def test_recent_zoned_sample_is_not_hidden(spark):
+    """A newer sample without zone, of the other side or of a dead player hides none; age counts by the clock; two zones give none."""
+    rows = [("p", 90, "mid", "T", True), ("p", 95, None, "T", True), ("p", 96, "b", "CT", True), ("p", 97, "b", "T", False), ("p", 300, "a", "T", True), ("p", 300, "b", "T", True)]
+    s = spark.createDataFrame([("m", "r", *x) for x in rows], "match_id string, round_id string, player_id string, tick int, zone_id string, side string, alive boolean")
+    q = spark.createDataFrame([("m", "r", "p", "T", t, 1 / 64) for t in (100, 122, 123, 300)], "match_id string, round_id string, player_id string, side string, tick int, seconds_per_tick double")
+    assert {r.tick: (r.sample_tick, r.zone_id) for r in O.recent_zoned(q, s).collect()} == {100: (90, "mid"), 122: (90, "mid")}
+    slow = q.where("tick = 300").withColumn("seconds_per_tick", F.lit(0.001)).withColumn("tick", F.lit(590))
+    assert O.recent_zoned(slow, s.where("tick < 100")).collect()[0].sample_tick == 90
+
+
+def test_contacts_of_the_live_round(spark):
+    """Damage before the live start or after the end, of team mates, of outsiders or of no health is no contact."""
+    hits = [(50, "a", "x", 9), (100, "a", "x", 0), (110, "a", "b", 9), (120, "o", "x", 9), (130, "x", "a", 9), (400, "a", "x", 9)]
+    d = spark.createDataFrame([("m", "r", t, i, a, v, "ak47", h) for i, (t, a, v, h) in enumerate(hits)],
+                              "match_id string, round_id string, tick int, event_id long, attacker_player_id string, victim_player_id string, weapon string, damage_health int")
+    kinds = [(140, False, False), (150, True, False), (160, None, True), (170, None, None)]
+    k = spark.createDataFrame([("m", "r", t, 100 + t, "a", "x", "awp", mate, own) for t, mate, own in kinds],
+                              "match_id string, round_id string, tick int, event_id long, attacker_player_id string, victim_player_id string, weapon string, is_teamkill boolean, is_suicide boolean")
+    view = spark.createDataFrame([("m", "r", 90, 300), ("m", "r", 90, 300)], "match_id string, round_id string, live_tick int, last_tick int")
+    people = spark.createDataFrame([("m", "r", p, t) for p, t in (("a", "1"), ("b", "1"), ("x", "2"))], "match_id string, round_id string, player_id string, team_id string")
+    plan = object.__new__(O.Tactical)
+    plan.v, plan.members, plan.t = view, people, SimpleNamespace(damages=d, kills=k)
+    assert sorted(r.tick for r in plan.live_contacts.collect()) == [130, 140, 170]
