@@ -11,8 +11,8 @@ from .facts import facts
 from .registry import ORACLES, cte, query, with_clause
 
 RATE = 64.0
-ITER = 200
-CFG = N.TrustConfig(iterations=ITER, min_clusters=3, min_direction=0.5, max_range=0.4)
+CFG = N.TrustConfig()
+ITER = CFG.iterations
 BIN = tuple(M.BINARY)
 
 
@@ -202,7 +202,7 @@ def _(t):
     return _r(N.bootstrap_interval(N.match_contributions(frozen(t)[2]), CFG), "point", "lower_bound", "upper_bound")
 
 
-cte("tst", """SELECT pattern_id, clusters, CASE WHEN clusters >= 3 THEN mn END AS loo_min, CASE WHEN clusters >= 3 THEN mx END AS loo_max, CASE WHEN clusters >= 3 THEN mx - mn END AS loo_range, CASE WHEN clusters >= 3 THEN dir END AS direction, CASE WHEN clusters >= 3 THEN mx - mn <= 0.4 AND dir >= 0.5 END AS stable FROM (
+cte("tst", """SELECT pattern_id, clusters, CASE WHEN clusters >= 3 THEN mn END AS loo_min, CASE WHEN clusters >= 3 THEN mx END AS loo_max, CASE WHEN clusters >= 3 THEN mx - mn END AS loo_range, CASE WHEN clusters >= 3 THEN dir END AS direction, CASE WHEN clusters >= 3 THEN mx - mn <= 0.2 AND dir >= 0.6 END AS stable FROM (
   SELECT c.pattern_id, count(*) AS clusters, min((t.n - c.numerator) / (t.d - c.denominator)) FILTER (t.d > c.denominator) AS mn, max((t.n - c.numerator) / (t.d - c.denominator)) FILTER (t.d > c.denominator) AS mx, count(*) FILTER (c.frequency > 0.5) / count(*) AS dir FROM tct c JOIN (SELECT pattern_id, CAST(sum(numerator) AS BIGINT) AS n, CAST(sum(denominator) AS BIGINT) AS d FROM tct GROUP BY 1) t USING (pattern_id) GROUP BY 1)""")
 
 
@@ -221,7 +221,7 @@ def _(t):
 
 
 cte("tsg", """SELECT pattern_id, any_value(profile_id) AS profile_id, count(*) FILTER (frequency > null_frequency) AS above, count(*) FILTER (frequency <> null_frequency) AS tested FROM tct JOIN tnl USING (pattern_id) WHERE null_frequency IS NOT NULL GROUP BY 1""")
-cte("tpv", """SELECT s.pattern_id, s.profile_id, s.above, s.tested, CASE WHEN s.tested = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (SELECT sum(factorial(s.tested::INT)::DOUBLE / (factorial(i::INT)::DOUBLE * factorial((s.tested - i)::INT)::DOUBLE)) FROM (SELECT unnest(generate_series(0, 40)) AS i) WHERE i >= s.above AND i <= s.tested) * pow(0.5, s.tested)) END AS p_value FROM tsg s""")
+cte("tpv", """SELECT s.pattern_id, s.profile_id, s.above, s.tested, CASE WHEN s.tested = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, (SELECT sum(exp(lgamma(s.tested + 1) - lgamma(i + 1) - lgamma(s.tested - i + 1) - s.tested * ln(2))) FROM (SELECT unnest(generate_series(s.above, s.tested)) AS i))) END AS p_value FROM tsg s""")
 
 
 @query("n05_sign_test", "SELECT pattern_id, above, tested, round(p_value, 9) AS p_value FROM tpv")
@@ -242,7 +242,7 @@ def _(t):
     return _r(N.q_values(tests, ["profile_id"]), "p_value", "q_value").select("pattern_id", "p_value", "family_size", "q_value")
 
 
-cte("tas", """SELECT f.pattern_id, f.profile_id, f.pattern_type, f.denominator_match_count, f.frequency - n.null_frequency AS effect_size, b.lower_bound AS low, s.direction, q.q_value, n.null_frequency IS NOT NULL AND q.p_value IS NOT NULL AS testable, CASE WHEN f.denominator_match_count >= 3 THEN 'pass' ELSE 'fail' END AS gate_clusters, CASE WHEN f.availability = 'available' THEN 'pass' ELSE 'fail' END AS gate_source,
+cte("tas", """SELECT f.pattern_id, f.profile_id, f.pattern_type, f.denominator_match_count, f.frequency - n.null_frequency AS effect_size, b.lower_bound AS low, s.direction, q.q_value, n.null_frequency IS NOT NULL AND q.p_value IS NOT NULL AS testable, CASE WHEN f.denominator_match_count >= 5 THEN 'pass' ELSE 'fail' END AS gate_clusters, CASE WHEN f.availability = 'available' THEN 'pass' ELSE 'fail' END AS gate_source,
   CASE WHEN f.frequency - n.null_frequency + 1e-12 >= 0.1 THEN 'pass' WHEN n.null_frequency IS NOT NULL AND q.p_value IS NOT NULL THEN 'fail' ELSE 'unavailable' END AS gate_effect, CASE WHEN b.lower_bound > n.null_frequency THEN 'pass' WHEN b.lower_bound IS NOT NULL AND n.null_frequency IS NOT NULL AND q.p_value IS NOT NULL THEN 'fail' ELSE 'unavailable' END AS gate_lower,
   CASE WHEN q.q_value <= 0.05 THEN 'pass' WHEN n.null_frequency IS NOT NULL AND q.p_value IS NOT NULL THEN 'fail' ELSE 'unavailable' END AS gate_multiple, CASE WHEN s.stable THEN 'pass' WHEN s.stable IS NOT NULL THEN 'fail' ELSE 'unavailable' END AS gate_stability
   FROM pfr f JOIN tnl n USING (pattern_id) LEFT JOIN tqv q USING (pattern_id) LEFT JOIN tbs b USING (pattern_id) LEFT JOIN tst s USING (pattern_id)""")
@@ -256,14 +256,10 @@ def _(t):
     return N.assess(f, rounds, BIN, CFG).select("pattern_id", *G6.split(", "), "decision")
 
 
-LOOSE = N.TrustConfig(iterations=ITER, min_clusters=2, min_direction=0.0, max_range=1.0, false_discovery=1.0, min_effect=0.0, min_stability=2)
-
-
 @query("n08_reliability_rank")
 def _(t):
     _, f, rounds = frozen(t)
-    a = N.assess(f.withColumn("availability", F.lit("available")), rounds, BIN, LOOSE)
-    return _r(a, "reliability_score").select("pattern_id", "profile_id", "decision", "reliability_score", "reliability_rank")
+    return _r(N.assess(f, rounds, BIN, CFG), "reliability_score").select("pattern_id", "profile_id", "decision", "reliability_score", "reliability_rank")
 
 
 @query("n09_reliability_tier", "SELECT profile_id, count(*) AS matches, CASE WHEN count(*) >= 15 THEN 'high' WHEN count(*) >= 8 THEN 'tactical_trend' WHEN count(*) >= 3 THEN 'tactical_trend_small' WHEN count(*) >= 1 THEN 'match_facts' ELSE 'no_data' END AS tier FROM selections GROUP BY 1")
@@ -291,10 +287,5 @@ def _(t):
     return q.withColumn("missing_sources", text(F.col("missing_sources"))).withColumn("missing_edges", text(F.col("missing_edges")))
 
 
-# reliability rank needs gates loose enough to support something at the test scale
-cte("rls", f"""SELECT c.pattern_id, count(*) AS clusters, CASE WHEN count(*) >= 2 THEN max((t.n - c.numerator) / (t.d - c.denominator)) FILTER (t.d > c.denominator) - min((t.n - c.numerator) / (t.d - c.denominator)) FILTER (t.d > c.denominator) END AS rng, CASE WHEN count(*) >= 2 THEN count(*) FILTER (c.frequency > 0.5) / count(*) END AS direction
-  FROM tct c JOIN (SELECT pattern_id, CAST(sum(numerator) AS BIGINT) AS n, CAST(sum(denominator) AS BIGINT) AS d FROM tct GROUP BY 1) t USING (pattern_id) GROUP BY 1""")
-cte("rld", """SELECT f.pattern_id, f.profile_id, f.denominator_match_count, b.lower_bound AS low, f.frequency - n.null_frequency AS eff, s.direction, CASE WHEN NOT (n.null_frequency IS NOT NULL AND q.p_value IS NOT NULL) THEN 'not_testable' WHEN f.denominator_match_count < 2 OR s.direction IS NULL THEN 'insufficient_data'
-  WHEN f.frequency - n.null_frequency + 1e-12 >= 0 AND b.lower_bound > n.null_frequency AND q.q_value <= 1 AND s.rng <= 1 AND s.direction >= 0 THEN 'supported' ELSE 'not_supported' END AS decision FROM pfr f JOIN tnl n USING (pattern_id) LEFT JOIN tqv q USING (pattern_id) LEFT JOIN tbs b USING (pattern_id) LEFT JOIN rls s USING (pattern_id)""")
 ORACLES["n08_reliability_rank"] = with_clause("""SELECT pattern_id, profile_id, decision, round(sc, 9) AS reliability_score, CASE WHEN sc IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY profile_id, sc IS NULL ORDER BY sc DESC, denominator_match_count DESC, pattern_id) AS INT) END AS reliability_rank FROM (
-  SELECT *, CASE WHEN decision = 'supported' THEN least(1.0, greatest(0.0, low - 0.5) * 0.5 + greatest(0.0, eff) * 0.3 + direction * 0.2) END AS sc FROM rld)""")
+  SELECT *, CASE WHEN decision = 'supported' THEN least(1.0, greatest(0.0, low - 0.5) * 0.5 + greatest(0.0, effect_size) * 0.3 + direction * 0.2) END AS sc FROM tdc)""")

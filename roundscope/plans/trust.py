@@ -14,6 +14,7 @@ from ..functions.common import count_if, ratio, truth
 class TrustConfig:
     confidence: float = 0.95
     iterations: int = 2000
+    slice: int = 100  # iterations of a pattern that one task draws
     null_frequency: float = 0.5
     min_effect: float = 0.1
     false_discovery: float = 0.05
@@ -39,18 +40,26 @@ def packed(contrib: DataFrame) -> DataFrame:
 def bootstrap_interval(contrib: DataFrame, cfg: TrustConfig = TrustConfig()) -> DataFrame:
     """Cluster bootstrap with hash-driven draws, so every run gives the same bounds.
 
-    Iterations are rows spread over the cluster; the draws of one iteration are a fold
-    over the pattern's clusters.  Counter i of iteration k is k * n + j.
+    A pattern's iterations are dealt in slices, each with its own copy of the clusters, so one pattern's work spreads over many tasks.
+    Counter j of iteration k is k * n + j; a draw is an unsigned 64-bit number modulo n, taken in two halves.
+    Only the estimates, one number for each iteration, meet again by pattern.
     """
-    p = packed(contrib).where("clusters >= 2").withColumn("seed", F.sha2(F.concat_ws(":", "pattern_id", F.lit(cfg.salt)), 256))
-    p = p.repartition("pattern_id").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cfg.iterations - 1).cast("long"))))
-    draw = "cl[int(CAST(conv(substr(sha2(concat(unhex(seed), unhex(lpad(hex(k * clusters + j), 16, '0'))), 256), 1, 16), 16, 10) AS DECIMAL(20, 0)) % clusters)]"
-    p = p.withColumn("s", F.expr(f"""aggregate(transform(sequence(0L, clusters - 1), j -> {draw}), named_struct('n', 0L, 'd', 0L),
-        (a, c) -> named_struct('n', a.n + c.numerator, 'd', a.d + c.denominator))"""))
-    g = p.groupBy("pattern_id").agg(F.sort_array(F.collect_list(F.col("s.n") / F.col("s.d"))).alias("e"), F.max("clusters").alias("clusters"), F.max(F.col("total_n") / F.col("total_d")).alias("point"))
+    c = F.col
+    p = packed(contrib).where("clusters >= 2").withColumn("seed", F.unhex(F.sha2(F.concat_ws(":", "pattern_id", F.lit(cfg.salt)), 256)))
+    slices = -(-cfg.iterations // cfg.slice)
+    p = p.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).repartition("pattern_id", "slice")
+    first, last = c("slice") * cfg.slice, F.least((c("slice") + 1) * cfg.slice, F.lit(cfg.iterations)) - 1
+    p = p.withColumn("k", F.explode(F.sequence(first, last.cast("long")))).withColumn("j", F.explode(F.expr("sequence(0L, clusters - 1)")))
+    digest = F.sha2(F.concat("seed", F.unhex(F.lpad(F.hex(c("k") * c("clusters") + c("j")), 16, "0"))), 256)
+    p = p.withColumn("digest", digest)
+    half = [F.conv(F.substring("digest", at, 8), 16, 10).cast("long") for at in (1, 9)]
+    pick = c("cl")[((half[0] % c("clusters") * (F.lit(1 << 32) % c("clusters")) + half[1]) % c("clusters")).cast("int")]
+    drawn = p.select("pattern_id", "slice", "k", "clusters", (c("total_n") / c("total_d")).alias("point"), pick.alias("pick"))
+    e = drawn.groupBy("pattern_id", "slice", "k").agg((F.sum("pick.numerator") / F.sum("pick.denominator")).alias("estimate"), F.first("clusters").alias("clusters"), F.first("point").alias("point"))
+    g = e.groupBy("pattern_id").agg(F.sort_array(F.collect_list("estimate")).alias("e"), F.max("clusters").alias("clusters"), F.max("point").alias("point"))
     alpha = (1 - cfg.confidence) / 2
     lo, hi = int(alpha * (cfg.iterations - 1)), int((1 - alpha) * (cfg.iterations - 1))
-    return g.select("pattern_id", "clusters", "point", F.least(F.col("e")[lo], "point").alias("lower_bound"), F.greatest(F.col("e")[hi], "point").alias("upper_bound"))
+    return g.select("pattern_id", "clusters", "point", F.least(c("e")[lo], "point").alias("lower_bound"), F.greatest(c("e")[hi], "point").alias("upper_bound"))
 
 
 def stability(contrib: DataFrame, cfg: TrustConfig = TrustConfig()) -> DataFrame:
