@@ -15,7 +15,7 @@ from .space import AREAS, spatial
 from .stats import stats
 
 AGE = 400
-CFG = O.TacticalConfig(max_age=AGE, checkpoints=(640, 1280), isolated=1000.0)
+CFG = O.TacticalConfig(max_age=AGE)
 RATE = 64.0
 LANES = {"A": {"mid1": "connector", "mid2": "ramp", "bombsite_a0": "palace"}, "B": {"mid2": "short", "mid10": "apps", "bombsite_b3": "market"}}
 PARALLEL = {"A": ("connector", "ramp"), "B": ("short", "apps")}
@@ -75,6 +75,8 @@ def _(t):
 
 
 def _occ(name, sql, fn):
+    cte(name, sql)
+
     @query(name, sql)
     def _(t):
         return fn(t).select(*OC.split(", "))
@@ -132,9 +134,9 @@ def _(t):
     return tactical(t).ct_roles(area, t.players)
 
 
-cte("tcp", f"SELECT {VV}, o.off, s.player_id, s.tick, s.x, s.y, s.z, s.zone_id FROM tv v, LATERAL (SELECT unnest([640, 1280]) AS off) o, tsm s WHERE s.round_id = v.round_id AND s.team_id = v.team_id AND s.alive AND v.live_tick + o.off - s.tick BETWEEN 0 AND {AGE} QUALIFY row_number() OVER (PARTITION BY v.profile_id, v.round_id, o.off, s.player_id ORDER BY s.tick DESC) = 1")
+cte("tcp", f"SELECT {VV}, o.off, s.player_id, s.tick, s.x, s.y, s.z, s.zone_id FROM tv v, LATERAL (SELECT unnest([640, 1280, 1920]) AS off) o, tsm s WHERE s.round_id = v.round_id AND s.team_id = v.team_id AND s.alive AND v.live_tick + o.off - s.tick BETWEEN 0 AND {AGE} QUALIFY row_number() OVER (PARTITION BY v.profile_id, v.round_id, o.off, s.player_id ORDER BY s.tick DESC) = 1")
 cte("tfo", f"SELECT {VC}, off, string_agg(zone_id || CASE WHEN n > 1 THEN '*' || n ELSE '' END, '+' ORDER BY zone_id) AS k, max(tick) AS tick, sum(n) AS known FROM (SELECT {VC}, off, zone_id, count(*) AS n, max(tick) AS tick FROM tcp WHERE zone_id IS NOT NULL GROUP BY {VC}, off, zone_id) GROUP BY {VC}, off HAVING sum(n) >= 2")
-cte("o_path", f"SELECT {VC}, 'path_cluster' AS insight_type, string_agg(off || ':' || k, '|' ORDER BY off) AS key, TRUE AS positive, max(tick) AS tick FROM tfo GROUP BY {VC} HAVING count(*) = 2")
+cte("o_path", f"SELECT {VC}, 'path_cluster' AS insight_type, string_agg(off || ':' || k, '|' ORDER BY off) AS key, TRUE AS positive, max(tick) AS tick FROM tfo GROUP BY {VC} HAVING count(*) = 3")
 _occ("o07_formations", "SELECT * FROM o_path", lambda t: tactical(t).formations())
 cte("tef", f"SELECT {VV}, v.live_tick, v.round_start, e.effect_id, e.owner_player_id, e.effect_type, e.start_tick, e.end_tick FROM tv v JOIN effects e ON e.round_id = v.round_id AND e.owner_team_id = v.team_id")
 cte("o_exec", f"SELECT {VC}, 'execute_package' AS insight_type, 'site:' || site || '|' || coalesce(string_agg(ty || CASE WHEN n > 1 THEN '*' || n ELSE '' END, '+' ORDER BY ty), 'no_observed_effect') AS key, TRUE AS positive, pt AS tick FROM (SELECT {VV}, p.site_normalized AS site, p.tick AS pt, e.effect_type AS ty, count(e.effect_id) AS n FROM tv v JOIN fpl p ON p.round_id = v.round_id AND p.site_normalized IN ('A', 'B') LEFT JOIN tef e ON e.profile_id = v.profile_id AND e.round_id = v.round_id AND p.tick - e.start_tick BETWEEN 0 AND 640 WHERE v.side = 'T' GROUP BY {VV}, p.site_normalized, p.tick, e.effect_type) GROUP BY {VC}, site, pt")
@@ -145,8 +147,11 @@ cte("o_out", f"SELECT {VC}, 'utility_outcome' AS insight_type, effect_type AS ke
 _occ("o09_utility_outcomes", f"SELECT {OC} FROM o_out", lambda t: tactical(t).utility_outcomes())
 
 
-@query("o10_team_flashes", f"""SELECT {VC}, 'player:' || owner_player_id AS key, coalesce(bool_or(b.victim_team_id = team_id AND b.victim_player_id <> owner_player_id), FALSE) AS positive, start_tick AS tick, round(coalesce(sum(b.duration_seconds) FILTER (b.victim_team_id = team_id AND b.victim_player_id <> owner_player_id), 0), 6) AS mates, round(coalesce(sum(b.duration_seconds) FILTER (b.victim_team_id <> team_id), 0), 6) AS foes
+cte("o10_team_flashes", f"""SELECT {VC}, 'player:' || owner_player_id AS key, coalesce(bool_or(b.victim_team_id = team_id AND b.victim_player_id <> owner_player_id), FALSE) AS positive, start_tick AS tick, round(coalesce(sum(b.duration_seconds) FILTER (b.victim_team_id = team_id AND b.victim_player_id <> owner_player_id), 0), 6) AS mates, round(coalesce(sum(b.duration_seconds) FILTER (b.victim_team_id <> team_id), 0), 6) AS foes
   FROM tef e LEFT JOIN (SELECT round_id AS rid, tick AS bt, attacker_player_id AS ap, victim_player_id, victim_team_id, duration_seconds FROM blinds) b ON b.rid = e.round_id AND b.ap = e.owner_player_id AND b.bt = e.start_tick WHERE effect_type = 'flash' AND owner_player_id IS NOT NULL GROUP BY {VC}, effect_id, owner_player_id, start_tick""")
+
+
+@query("o10_team_flashes", "SELECT * FROM o10_team_flashes")
 def _(t):
     o = tactical(t).team_flashes()
     return o.select(*VC.split(", "), "key", "positive", "tick", F.round(F.col("metrics")["team_blind_seconds"], 6).alias("mates"), F.round(F.col("metrics")["enemy_blind_seconds"], 6).alias("foes"))
@@ -155,8 +160,11 @@ def _(t):
 _PR = "CASE u WHEN 'flashbang' THEN 200 WHEN 'smoke' THEN 300 WHEN 'he_grenade' THEN 300 WHEN 'molotov' THEN 400 ELSE 0 END"
 
 
-@query("o11_carried_utility", f"""SELECT {VC}, event_tick AS tick, utility <> '' AS positive, CASE WHEN utility = '' THEN 0 ELSE len(string_split(utility, ',')) END::DOUBLE AS items, (SELECT coalesce(sum({_PR}), 0) FROM (SELECT unnest(string_split(utility, ',')) AS u))::DOUBLE AS worth FROM (
+cte("o11_carried_utility", f"""SELECT {VC}, event_tick AS tick, utility <> '' AS positive, CASE WHEN utility = '' THEN 0 ELSE len(string_split(utility, ',')) END::DOUBLE AS items, (SELECT coalesce(sum({_PR}), 0) FROM (SELECT unnest(string_split(utility, ',')) AS u))::DOUBLE AS worth FROM (
   SELECT {VV}, k.tick AS event_tick, s.utility FROM tv v JOIN kills k ON k.round_id = v.round_id AND k.victim_team_id = v.team_id AND k.victim_player_id IS NOT NULL JOIN tsm s ON s.round_id = v.round_id AND s.player_id = k.victim_player_id AND s.alive AND s.tick < k.tick QUALIFY row_number() OVER (PARTITION BY v.profile_id, k.event_id ORDER BY s.tick DESC) = 1)""")
+
+
+@query("o11_carried_utility", "SELECT * FROM o11_carried_utility")
 def _(t):
     o = tactical(t).utility_losses()
     return o.select(*VC.split(", "), "tick", "positive", F.col("metrics")["utility_items"].alias("items"), F.col("metrics")["estimated_utility_value"].alias("worth"))
@@ -166,7 +174,10 @@ _occ("o12_no_direct_effect", f"SELECT {VC}, 'utility_loss' AS insight_type, 'no_
      lambda t: tactical(t).no_direct_effect())
 
 
-@query("o13_smoke_timing", f"""SELECT {VC}, 'start:' || CAST(floor((start_tick - round_start) * (1 / {RATE}::DOUBLE) / 5) * 5 AS BIGINT) AS key, start_tick AS tick, round((start_tick - round_start) * (1 / {RATE}::DOUBLE), 6) AS start_seconds, round((ct - start_tick) * (1 / {RATE}::DOUBLE), 6) AS contact_seconds FROM (SELECT e.*, (SELECT min(d.tick) FROM damages d WHERE d.round_id = e.round_id AND d.attacker_team_id <> d.victim_team_id AND e.team_id IN (d.attacker_team_id, d.victim_team_id) AND d.tick >= e.start_tick) AS ct FROM tef e WHERE effect_type = 'smoke')""")
+cte("o13_smoke_timing", f"""SELECT {VC}, 'start:' || CAST(floor((start_tick - round_start) * (1 / {RATE}::DOUBLE) / 5) * 5 AS BIGINT) AS key, start_tick AS tick, round((start_tick - round_start) * (1 / {RATE}::DOUBLE), 6) AS start_seconds, round((ct - start_tick) * (1 / {RATE}::DOUBLE), 6) AS contact_seconds FROM (SELECT e.*, (SELECT min(d.tick) FROM damages d WHERE d.round_id = e.round_id AND d.attacker_team_id <> d.victim_team_id AND e.team_id IN (d.attacker_team_id, d.victim_team_id) AND d.tick >= e.start_tick) AS ct FROM tef e WHERE effect_type = 'smoke')""")
+
+
+@query("o13_smoke_timing", "SELECT * FROM o13_smoke_timing")
 def _(t):
     o = tactical(t).smoke_timing(F.lit(1 / RATE))
     return o.select(*VC.split(", "), "key", "tick", F.round(F.col("metrics")["smoke_start_seconds"], 6).alias("start_seconds"), F.round(F.try_element_at("metrics", F.lit("contact_window_seconds")), 6).alias("contact_seconds"))
@@ -176,7 +187,7 @@ _D3 = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z)
 _VA = ", ".join("a." + c for c in VC.split(", "))
 cte("tsn", f"SELECT {VC}, off, max(d) AS far, max(tick) AS tick FROM (SELECT {_VA}, a.off, a.player_id, a.tick, min({_D3}) AS d FROM tcp a JOIN tcp b ON b.profile_id = a.profile_id AND b.round_id = a.round_id AND b.off = a.off AND b.player_id <> a.player_id GROUP BY {_VA}, a.off, a.player_id, a.tick) GROUP BY {VC}, off")
 cte("tsd", f"SELECT a.profile_id, a.round_id, a.off, median({_D3}) AS med FROM tcp a JOIN tcp b ON b.profile_id = a.profile_id AND b.round_id = a.round_id AND b.off = a.off AND b.player_id > a.player_id GROUP BY 1, 2, 3")
-cte("o_space", f"SELECT {VC}, 'spacing_profile' AS insight_type, 'checkpoint:' || off AS key, far > 1000 AS positive, tick, med, far FROM tsn JOIN tsd USING (profile_id, round_id, off)")
+cte("o_space", f"SELECT {VC}, 'spacing_profile' AS insight_type, 'checkpoint:' || off AS key, far > 1500 AS positive, tick, med, far FROM tsn JOIN tsd USING (profile_id, round_id, off)")
 
 
 @query("o14_spacing", f"SELECT {OC}, round(med, 6) AS med, round(far, 6) AS far FROM o_space")
@@ -189,7 +200,7 @@ cte("top1", "SELECT round_id, tick, event_id, attacker_team_id AS ka, victim_tea
 cte("o_entry", occ("entry_structure", "'opening_duel_success'", "o.ka = v.team_id", "o.tick", "FROM tv v JOIN top1 o ON o.round_id = v.round_id"))
 cte("o_trade", occ("trade_structure", "'opening_death_traded'", "t.original_event_id IS NOT NULL", "o.tick", "FROM tv v JOIN top1 o ON o.round_id = v.round_id AND o.kv = v.team_id LEFT JOIN trd t ON t.original_event_id = o.event_id AND t.team_id = v.team_id"))
 _occ("o15_entries_and_trades", f"SELECT {OC} FROM o_entry UNION ALL SELECT {OC} FROM o_trade", lambda t: union_all(tactical(t).entries(), tactical(t).opening_deaths_traded()))
-cte("o_rot", f"SELECT {VC}, 'rotation_transition' AS insight_type, p || '->' || zone_id AS key, TRUE AS positive, tick FROM (SELECT {VV}, s.tick, s.zone_id, lag(s.zone_id) OVER (PARTITION BY v.profile_id, v.round_id, s.player_id ORDER BY s.tick) AS p FROM tv v JOIN tfc c ON c.round_id = v.round_id JOIN tsm s ON s.round_id = v.round_id AND s.team_id = v.team_id AND s.alive AND s.zone_id IS NOT NULL AND s.tick BETWEEN c.tick AND c.tick + 1280 WHERE v.side = 'CT') WHERE p <> zone_id")
+cte("o_rot", f"SELECT {VC}, 'rotation_transition' AS insight_type, p || '->' || zone_id AS key, TRUE AS positive, tick FROM (SELECT {VV}, s.tick, s.zone_id, lag(s.zone_id) OVER (PARTITION BY v.profile_id, v.round_id, s.player_id ORDER BY s.tick) AS p FROM tv v JOIN (SELECT round_id, min(tick) AS tick FROM tco GROUP BY 1) c ON c.round_id = v.round_id JOIN tsm s ON s.round_id = v.round_id AND s.team_id = v.team_id AND s.alive AND s.zone_id IS NOT NULL AND s.tick BETWEEN c.tick AND c.tick + 1280 WHERE v.side = 'CT') WHERE p <> zone_id")
 _occ("o16_zone_transitions", "SELECT * FROM o_rot", lambda t: tactical(t).transitions())
 cte("tkf", "SELECT round_id, victim_player_id AS pid, min(tick) AS tick FROM tk GROUP BY 1, 2")
 cte("tcs", f"SELECT {VV}, v.won, x.tick, (SELECT count(*) FROM fpe p WHERE p.round_id = v.round_id AND p.team_id = v.team_id) AS n1, (SELECT count(*) FROM fpe p WHERE p.round_id = v.round_id AND p.team_id <> v.team_id) AS n2, (SELECT count(*) FROM fpe p JOIN tkf d ON d.round_id = p.round_id AND d.pid = p.player_id WHERE p.round_id = v.round_id AND p.team_id = v.team_id AND d.tick <= x.tick) AS d1, (SELECT count(*) FROM fpe p JOIN tkf d ON d.round_id = p.round_id AND d.pid = p.player_id WHERE p.round_id = v.round_id AND p.team_id <> v.team_id AND d.tick <= x.tick) AS d2 FROM tv v JOIN (SELECT DISTINCT round_id, tick FROM tkf) x ON x.round_id = v.round_id")
@@ -205,19 +216,27 @@ def _(t):
 
 
 SCP = "profile_id, insight_type, map_name, side"
-cte("ocat", f"SELECT {SCP}, key, numerator, match_count, CAST(sum(numerator) OVER (PARTITION BY {SCP}) AS BIGINT) AS denominator, numerator / sum(numerator) OVER (PARTITION BY {SCP}) AS frequency FROM (SELECT {SCP}, key, count(*) AS numerator, count(DISTINCT match_id) AS match_count FROM (SELECT {OC} FROM o_path UNION ALL SELECT {OC} FROM o_exec UNION ALL SELECT {OC} FROM o_rot) GROUP BY {SCP}, key)")
-cte("oball", " UNION ALL ".join(f"SELECT {OC} FROM {x}" for x in ("o_out", "o_space", "o_entry", "o_trade", "o_clutch", "o_save")))
+cte("ocall", " UNION ALL ".join(f"SELECT {OC} FROM {x}" for x in ("o_path", "o_exec", "o_rot", "o02_attack_pace", "o04_approach_corridors", "o05_awp_opening")) + f" UNION ALL SELECT {VC}, 'smoke_timing', key, TRUE, tick FROM o13_smoke_timing")
+cte("ocat", f"SELECT {SCP}, key, numerator, match_count, CAST(sum(numerator) OVER (PARTITION BY {SCP}) AS BIGINT) AS denominator, numerator / sum(numerator) OVER (PARTITION BY {SCP}) AS frequency FROM (SELECT {SCP}, key, count(*) AS numerator, count(DISTINCT match_id) AS match_count FROM (SELECT * FROM ocall) GROUP BY {SCP}, key)")
+cte("oball", " UNION ALL ".join(f"SELECT {OC} FROM {x}" for x in ("o_out", "o_space", "o_entry", "o_trade", "o_clutch", "o_save", "o12_no_direct_effect"))
+    + f" UNION ALL SELECT {VC}, 'team_flash', key, positive, tick FROM o10_team_flashes UNION ALL SELECT {VC}, 'utility_loss', 'carried_on_death', positive, tick FROM o11_carried_utility")
 cte("obin", f"SELECT {SCP}, key, count(*) FILTER (positive) AS numerator, count(*) AS denominator, count(DISTINCT match_id) AS match_count, count(*) FILTER (positive) / count(*) AS frequency FROM oball GROUP BY {SCP}, key")
 
 
 def cat_occ(t):
-    x = tactical(t)
-    return t.layer("cat_occ", lambda: shared(union_all(x.formations(), x.executes(), x.transitions())))
+    """Every categorical family but the heat cells, which o19 counts before they become occurrences."""
+    x, rate = tactical(t), F.lit(1 / RATE)
+
+    def build():
+        clocked = x.pace(clocks(t), F.col("zone_id").startswith("bombsite")), x.corridors(clocks(t), LANES, PARALLEL), x.first_action_awp(clocks(t), t.players)
+        return shared(union_all(x.formations(), x.executes(), x.transitions(), *clocked, x.smoke_timing(rate)))
+
+    return t.layer("cat_occ", build)
 
 
 def bin_occ(t):
     x = tactical(t)
-    return t.layer("bin_occ", lambda: shared(union_all(x.utility_outcomes(), x.spacing(), x.entries(), x.opening_deaths_traded(), x.clutches(), x.saves(t.save_signals))))
+    return t.layer("bin_occ", lambda: shared(union_all(x.utility_outcomes(), x.spacing(), x.entries(), x.opening_deaths_traded(), x.clutches(), x.saves(t.save_signals), x.team_flashes(), x.utility_losses(), x.no_direct_effect())))
 
 
 def insights(t):
