@@ -9,9 +9,13 @@ kernel values by weights.
 Training takes at most ``per_language`` texts of each language, those with the smallest hashes of doc_id, and of these at most ``landmarks`` as
 landmarks; texts over ``longest`` code points are left out of that sample.  Prediction reads whole texts.
 
-A text that is null or has no letter is ``und`` with score 0.  A text that shares no n-gram with the landmarks gets the first language with score 0.
+A text that is null or has no letter is ``und`` with score 0.  A text that shares no n-gram with a letter with the landmarks gets the first language
+with score 0.
 Ties go to the first language by code point.  Without any labelled text all are ``und``.  Rows that repeat a doc_id are each predicted.
 Other columns are ignored; an empty table gives no rows.
+
+The score only ranks the taught languages, so ``keep_identified`` goes by evidence: the share of a text's n-grams (repeats included, blank ones not) that
+landmarks hold.  The training texts say how large it is for texts of the taught languages, landmarks by n-grams that other landmarks hold too.
 """
 from __future__ import annotations
 
@@ -28,6 +32,8 @@ from .support import importable
 UNDECIDED = "und"
 _SLOT_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Keys of the n-grams of spaces alone.
+_BLANK = [np.uint64(32), np.uint64(32 << 21 | 32), np.uint64(32 << 42 | 32 << 21 | 32)]
 
 
 @dataclass(frozen=True)
@@ -74,21 +80,36 @@ class Kernel:
         rows = [self.presence(g) for g in sets]
         self.matrix = np.array(rows, np.float32).reshape(len(rows), len(self.keys))
         self.norms = np.sqrt(np.maximum(1, self.matrix.sum(axis=1)))
+        self.holders = self.matrix.sum(axis=0)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's column of the matrix, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = self.table[_slots(keys)]
+        return np.where(self.keys[np.maximum(at, 0)] == keys, at, -1)
 
     def presence(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.keys), np.float32)
-        if len(self.keys):
-            at = self.table[_slots(keys)]
-            at = np.where(at < 0, 0, at)
-            out[at[self.keys[at] == keys]] = 1
+        at = self.places(keys)
+        out[at[at >= 0]] = 1
         return out
 
-    def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Kernel values with the landmarks, whether a text has letters, and whether it shares any n-gram."""
+    def overlap(self, keys: np.ndarray, holders: int = 1) -> tuple[int, int]:
+        """How many n-grams with a letter there are, repeats included, and how many of them at least ``holders`` landmarks hold."""
+        keys = keys[(keys != _BLANK[0]) & (keys != _BLANK[1]) & (keys != _BLANK[2])]
+        at = self.places(keys)
+        return len(keys), int((self.holders[at[at >= 0]] >= holders).sum())
+
+    def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Kernel values with the landmarks, whether a text has letters, and how many n-grams with a letter it has and shares."""
         found = [grams(t, self.letters) for t in texts]
-        rows = np.array([self.presence(g) for g, _ in found], np.float32).reshape(len(texts), len(self.keys))
+        rows, counts = np.empty((len(texts), len(self.keys)), np.float32), np.zeros((2, len(texts)), np.int64)
+        for i, (keys, _) in enumerate(found):
+            rows[i] = self.presence(keys)
+            counts[:, i] = self.overlap(keys)
         own = rows.sum(axis=1)
-        return (rows @ self.matrix.T) / np.sqrt(np.maximum(1, own))[:, None] / self.norms, np.array([h for _, h in found], bool), own > 0
+        return (rows @ self.matrix.T) / np.sqrt(np.maximum(1, own))[:, None] / self.norms, np.array([h for _, h in found], bool), *counts
 
 
 class Model:
@@ -100,11 +121,12 @@ class Model:
         self.kernel = Kernel(marks)
         if not sample:
             return
-        inner, _, _ = self.kernel.values(marks)
+        self.strange = self._strange(sample, training)
+        inner, _, _, _ = self.kernel.values(marks)
         values, vectors = np.linalg.eigh(inner.astype(np.float64))
         keep = values > 1e-8 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        cross, _, _ = self.kernel.values([t for _, t in sample])
+        cross, _, _, _ = self.kernel.values([t for _, t in sample])
         features = np.column_stack([cross @ root, np.ones(len(sample))])
         wanted = np.array([[1.0 if lang == own else -1.0 for own in self.languages] for lang, _ in sample])
         # languages weigh the same however many texts each has
@@ -113,15 +135,37 @@ class Model:
         solved = np.linalg.solve(left, features.T @ (weight * wanted))
         self.weights, self.bias = root @ solved[:-1], solved[-1]
 
+    def _strange(self, sample: list[tuple[str, str]], training: Training) -> float:
+        """The largest share of unknown n-grams that a text of a taught language may have: thrice what 99 % of the training texts stay within, 0.12 at least (keys, licences)."""
+        seen: dict[str, int] = {}
+        shares: dict[str, list[float]] = {}
+        for lang, text in sample:
+            seen[lang] = seen.get(lang, 0) + 1
+            total, known = self.kernel.overlap(grams(text, self.kernel.letters)[0], 2 if seen[lang] <= training.landmarks else 1)
+            if total:
+                shares.setdefault(lang, []).append(1 - known / total)
+        # once a language has texts besides its landmarks, these alone speak for it
+        worst = [np.quantile(x[training.landmarks :] if len(x) >= 2 * training.landmarks else x, 0.99) for x in shares.values()]
+        return float(np.clip(3 * max(worst, default=0), 0.12, 0.5))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language and score of each text, and whether its n-grams are those of the taught languages.
+
+        Two unknown n-grams are let pass in short texts, but at least half must be known.
+        """
         if not self.languages:
-            return [UNDECIDED] * len(texts), [0.0] * len(texts)
-        kernel, letters, shared = self.kernel.values([t or "" for t in texts])
+            return [UNDECIDED] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        kernel, letters, total, known = self.kernel.values([t or "" for t in texts])
+        shared = known > 0
         f = kernel @ self.weights + self.bias
         best = f.argmax(axis=1)
         score = np.where(shared, np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1), 0.0)
         name = [self.languages[b if s else 0] if has else UNDECIDED for b, has, s in zip(best, letters, shared, strict=True)]
-        return name, np.where(letters, score, 0.0).tolist()
+        usual = letters & (2 * known >= total) & (total - known <= self.strange * total + 2)
+        return name, np.where(letters, score, 0.0).tolist(), usual.tolist()
 
 
 def held_out():
@@ -166,7 +210,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
-    """The rows of ``docs``, all columns, that have a language with a score of at least ``least``."""
+    """The rows of ``docs``, all columns, in a taught language by their n-grams, with a score of at least ``least``."""
     importable(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,7 +218,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.25) -> DataF
     def score(text):
         import pandas as pd
 
-        out = [s if n != UNDECIDED else -1.0 for i in range(0, len(text), 256) for n, s in zip(*shared.value.predict(text.iloc[i : i + 256].tolist()), strict=True)]
+        out = [s if usual else -1.0 for i in range(0, len(text), 256) for _, s, usual in zip(*shared.value.judge(text.iloc[i : i + 256].tolist()), strict=True)]
         return pd.Series(out, index=text.index, dtype=float)
 
     return docs.where(score(F.coalesce(F.col("text"), F.lit(""))) >= least)
