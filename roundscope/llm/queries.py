@@ -6,7 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitsliced_simhash, byte_bpe, chunk_dedup, cross_entropy, hash_ring, phrase_fingerprint, pii, pivotal_mix, string_kernel, token_blocks
+from . import bitsliced_simhash, byte_bpe, chunk_dedup, cross_entropy, hash_ring, license_scan, periodic_runs, phrase_fingerprint, pii, pivotal_mix
+from . import segment_resampling, string_kernel, token_blocks
 from .support import documents
 
 WORD_VOCABULARY, BYTE_RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
@@ -56,10 +57,23 @@ def op10_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_kernel.predict(docs, string_kernel.train(docs))
 
 
+def op11_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(documents(spark, sf_dir), plant=True)
+
+
+def op13_segment_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of ``benchmark`` are the target."""
+    return segment_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_blocks, op2_hash_ring, op3_chunk_recipes, op4_pivotal_mix, op5_cross_entropy, op6_phrase_fingerprint,
-        op7_bitsliced_simhash, op8_personal_data, op9_byte_bpe, op10_string_kernel)
+        op7_bitsliced_simhash, op8_personal_data, op9_byte_bpe, op10_string_kernel, op11_license_diagonals, op12_periodic_runs, op13_segment_resampling)
 }
 
 ORACLES = {
