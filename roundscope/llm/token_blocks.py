@@ -33,6 +33,7 @@ BLOCK, PERCENTILE, SEGMENT = 1024, 0.98, 1 << 17
 _HEAD, _BLOCK_HEAD = struct.Struct("<4sIII"), struct.Struct("<IBI")
 FILE_SCHEMA = "part int, seq int, before long, tokens long, doc_ids array<long>, lengths array<long>, payload binary"
 _ENCODERS: dict[str, WordEncoder] = {}
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}  # widths of whole bytes
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -40,38 +41,65 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1]
 
 
-def _pack(offsets: np.ndarray, width: int) -> bytes:
-    if not width:
-        return b""
-    bits = np.unpackbits(offsets.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
-
-
-def _unpack(data, n: int, width: int) -> np.ndarray:
-    wide = np.zeros((n, 32), np.uint8)
-    if width:
-        wide[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(n)
+def _pack(offsets: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64 g values as rows of ``width`` g words: value k of 64 fills the bits from ``width`` k on."""
+    rows = len(offsets)
+    if width in _WHOLE:
+        return offsets.astype(_WHOLE[width]).view("<u8")
+    values = offsets.reshape(rows, -1, 64).astype(np.uint64) & np.uint64((1 << width) - 1)
+    out = np.zeros((rows, values.shape[1], width), "<u8")
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        if width:
+            out[:, :, word] |= values[:, :, k] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, :, word + 1] |= values[:, :, k] >> np.uint64(64 - shift)
+    return out.reshape(rows, -1)
+
+
+def _unpack(words: np.ndarray, width: int) -> np.ndarray:
+    """The values of rows that ``_pack`` made."""
+    rows = len(words)
+    if width in _WHOLE:
+        return words.view(_WHOLE[width]).astype(np.uint64)
+    words = words.reshape(rows, -1, width) if width else np.zeros((rows, 0, 0), np.uint64)
+    out = np.zeros((rows, words.shape[1], 64), np.uint64)
+    for k in range(64 if width else 0):
+        word, shift = divmod(k * width, 64)
+        out[:, :, k] = words[:, :, word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[:, :, k] |= words[:, :, word + 1] << np.uint64(64 - shift)
+    return out.reshape(rows, -1) & np.uint64((1 << width) - 1)
+
+
+def _block_data(ids: np.ndarray, percentile: float) -> list[bytes]:
+    """Rows of blocks of one size as bytes; blocks of one width are packed together."""
+    size = ids.shape[1]
+    least = ids.min(axis=1)
+    offsets = (ids - least[:, None]).astype(np.uint64)
+    rank = max(0, int(np.ceil(percentile * size)) - 1)
+    widths = _bits(np.partition(offsets, rank, axis=1)[:, rank])
+    spare = np.zeros((len(ids), -size % 64), np.uint64)
+    out: list[bytes] = [b""] * len(ids)
+    for width in np.unique(widths).tolist():
+        some = np.flatnonzero(widths == width)
+        packed = _pack(np.hstack([offsets[some], spare[some]]), width).view(np.uint8).reshape(len(some), -1)[:, : (size * width + 7) // 8]
+        high = offsets[some] >> np.uint64(width)
+        row, place = np.nonzero(high)
+        high, cuts = high[row, place].astype("<u4"), np.searchsorted(row, np.arange(len(some) + 1))
+        place = place.astype("<u4")
+        for i, b in enumerate(some.tolist()):
+            over = slice(cuts[i], cuts[i + 1])
+            out[b] = b"".join((_BLOCK_HEAD.pack(int(least[b]), width, int(cuts[i + 1] - cuts[i])), packed[i].tobytes(), place[over].tobytes(), high[over].tobytes()))
+    return out
 
 
 def write_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
     """Ids (below 2^32) as a payload; no ids give a header without blocks."""
     ids = ids.astype(np.uint32)
-    parts, starts, at = [], [], 0
-    for i in range(0, len(ids), block):
-        some = ids[i : i + block]
-        least = int(some.min())
-        offsets = some - np.uint32(least)
-        width = int(_bits(np.partition(offsets, k := max(0, int(np.ceil(percentile * len(some))) - 1))[k]))
-        over = np.flatnonzero(offsets.astype(np.uint64) >> np.uint64(width))
-        data = b"".join((
-            _BLOCK_HEAD.pack(least, width, len(over)), _pack(offsets, width),
-            over.astype("<u4").tobytes(), (offsets[over].astype(np.uint64) >> np.uint64(width)).astype("<u4").tobytes(),
-        ))
-        starts.append(at)
-        parts.append(data)
-        at += len(data)
-    index = np.asarray([*starts, at], "<u4").tobytes()
+    whole = len(ids) // block * block
+    parts = [x for some in (ids[:whole].reshape(-1, block), ids[whole:].reshape(1, -1)) if some.size for x in _block_data(some, percentile)]
+    index = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]).astype("<u4").tobytes()
     return _HEAD.pack(b"PFR1", len(ids), block, len(parts)) + index + b"".join(parts)
 
 
@@ -84,16 +112,24 @@ def read_blocks(payload: bytes, start: int = 0, stop: int | None = None) -> np.n
     if start >= stop:
         return np.empty(0, np.uint32)
     index = np.frombuffer(payload, "<u4", blocks + 1, _HEAD.size)
-    body, out = memoryview(payload)[_HEAD.size + index.nbytes :], []
-    for b in range(start // block, (stop - 1) // block + 1):
-        size, data = min(block, n - b * block), body[index[b] : index[b + 1]]
-        least, width, over = _BLOCK_HEAD.unpack_from(data)
-        packed = (size * width + 7) // 8
-        data = data[_BLOCK_HEAD.size :]
-        offsets = _unpack(data[:packed], size, width).astype(np.uint64)
-        at = np.frombuffer(data, "<u4", over, packed)
-        offsets[at] |= np.frombuffer(data, "<u4", over, packed + 4 * over).astype(np.uint64) << np.uint64(width)
-        out.append((offsets + np.uint64(least)).astype(np.uint32))
+    body = memoryview(payload)[_HEAD.size + index.nbytes :]
+    chosen = range(start // block, (stop - 1) // block + 1)
+    out: list[np.ndarray] = [index] * len(chosen)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for b in chosen:  # blocks of one size and width are unpacked together
+        alike.setdefault((min(block, n - b * block), body[index[b] + 4]), []).append(b)
+    for (size, width), some in alike.items():
+        packed, words = (size * width + 7) // 8, (size + 63) // 64 * width
+        rows = np.zeros((len(some), 8 * words), np.uint8)
+        for i, b in enumerate(some):
+            rows[i, :packed] = np.frombuffer(body, np.uint8, packed, index[b] + _BLOCK_HEAD.size)
+        offsets = _unpack(rows.view("<u8"), width)[:, :size] if width else np.zeros((len(some), size), np.uint64)
+        for i, b in enumerate(some):
+            least, _, over = _BLOCK_HEAD.unpack_from(body, index[b])
+            tail = index[b] + _BLOCK_HEAD.size + packed
+            at = np.frombuffer(body, "<u4", over, tail)
+            offsets[i, at] |= np.frombuffer(body, "<u4", over, tail + 4 * over).astype(np.uint64) << np.uint64(width)
+            out[b - chosen.start] = (offsets[i] + np.uint64(least)).astype(np.uint32)
     first = start // block * block
     return np.concatenate(out)[start - first : stop - first]
 

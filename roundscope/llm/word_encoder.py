@@ -2,11 +2,19 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
+from .byte_bpe import byte_characters
 from .unit_memory import UnitMemory, words
 
+#: Small letters of ASCII and all letters from U+00C0 to U+00FF, as UTF-8, then marks of ASCII other than the apostrophe.
+#: No normal form changes these; their small letters are theirs in Latin-1 too.
+_SIMPLE = re.compile(rb"((?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: The character by which byte-level models write each byte.
+_MARKS = dict(enumerate(byte_characters()))
+
 
 class WordEncoder:
     """Ids of whole texts for a tokenizer that never looks across ASCII white space.
@@ -30,10 +38,22 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, units: list[bytes]) -> list[list[int]]:
-        """A run of lower-case ASCII letters is one piece that no normaliser changes, so it goes to the library's BPE model directly."""
+        """A run of letters of ASCII or Latin-1 is one piece, as is a run of ASCII marks after it; both go to the library's BPE model directly."""
         tokenize = self.model.tokenize
-        out = [[t.id for t in tokenize(u.decode())] if u.isalpha() else None for u in units]
-        rest = [i for i, x in enumerate(out) if x is None]
+        out: list = [None] * len(units)
+        rest = []
+        for i, u in enumerate(units):
+            if not (found := _SIMPLE(u)):
+                rest.append(i)
+                continue
+            letters, marks = found.groups()
+            if not letters.isascii():
+                letters = letters.decode().lower().encode().decode("latin-1").translate(_MARKS)
+            else:
+                letters = letters.decode()
+            out[i] = [t.id for t in tokenize(letters)] if letters else []
+            if marks:
+                out[i] += [t.id for t in tokenize(marks.decode())]
         for i, ids in zip(rest, self._library([units[i].decode() for i in rest]), strict=True):
             out[i] = ids
         return out
