@@ -10,6 +10,9 @@ so a run of letters or digits is walked once, and cards of a wrong length are ne
 Each span has a score: a start value by kind and checksum, plus ``bonus`` if a context word of its kind occurs within ``reach`` code points.
 Base spans stay whatever their score; added kinds need ``least``.
 
+Loops over groups are possessive or bounded, so no text is too long for Java's engine, which recurses for others.  Time grows with the length of a text plus
+its matches: a text is cut at the matches once, places are running sums, and context comes from the pieces next to a match.
+
 Positions are code points, end exclusive.  Null text counts as empty.  Rows that repeat a doc_id are each searched.  Other columns are ignored;
 an empty table gives no rows.  Everything is built of Spark's own functions.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from .support import text_or_empty
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+_SHORTEST = 5  # code points of the shortest match of any kind
 
 
 @dataclass(frozen=True)
@@ -36,7 +40,7 @@ class Kind:
 
 #: Order of the kinds decides between spans with one start.
 KINDS = (
-    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+", 0.9, "mail|write|contact|schreib|courriel|correo"),
+    Kind("email", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|write|contact|schreib|courriel|correo"),
     Kind("ip", r"(?=[0-9])(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.6, "ip|host|server|address|adresse"),
     Kind("card", r"(?=[0-9])(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])", 0.8, "card|visa|credit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.5, "phone|tel|call|mobile|fax|anruf"),
@@ -92,26 +96,58 @@ def _confirmed(kind: str, hit: Column) -> Column:
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
-def _proposed(text: Column, kind: Kind) -> Column:
-    """Matches with their places: the text between matches and the matches themselves add up to the positions."""
-    gaps, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    start = lambda s, i: s["at"] + F.length(F.get(gaps, i))
-    hit = lambda i: F.get(hits, i)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
-    walk = F.aggregate(
-        F.sequence(F.lit(0), F.size(hits) - 1), zero,
-        lambda s, i: F.struct((start(s, i) + F.length(hit(i))).alias("at"), F.concat(s["out"], F.array(F.struct(start(s, i).alias("start"), (start(s, i) + F.length(hit(i))).alias("end"), hit(i).alias("hit")))).alias("out")),
-        lambda s: s["out"])
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(lengths: Column, chunk: int = 256) -> Column:
+    """Sums of an array of integers up to each place.  Chunks are summed by themselves, as a fold copies its result at each step."""
+    def fold(some: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
+        return F.aggregate(some, zero, add, lambda s: s["out"])
+
+    def of(values: Column) -> Column:
+        places = F.sequence(F.lit(0), ((F.size(values) - 1) / chunk).cast("int"))
+        inside = F.transform(places, lambda c: fold(F.slice(values, c * chunk + 1, F.lit(chunk))))
+        return _bound(inside, lambda parts: _bound(
+            fold(F.transform(parts, lambda p: F.element_at(p, -1))),
+            lambda ends: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: x + F.when(i == 0, 0).otherwise(F.get(ends, i - 1)))))))
+
+    return _bound(lengths, lambda values: F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(of(values)))
+
+
+def _proposed(text: Column, kind: Kind, scoring: Scoring) -> Column:
+    """Matches with their places and the text near them: the text between matches and the matches themselves add up to the positions."""
+    reach, pairs = scoring.reach, -(-scoring.reach // _SHORTEST)
+
+    def edges(piece: Column) -> Column:
+        return F.when(F.length(piece) <= 2 * reach, piece).otherwise(F.concat(F.left(piece, F.lit(reach)), F.right(piece, F.lit(reach))))
+
+    def near(pieces: Column, i: Column) -> Column:
+        """Gap i has place 2i, match i place 2i + 1; so many pairs of them hold ``reach`` code points."""
+        first = F.greatest(2 * i - 2 * pairs, F.lit(0))
+        before = F.array_join(F.slice(pieces, first + 1, 2 * i + 1 - first), "")
+        after = F.array_join(F.slice(pieces, 2 * i + 3, F.lit(2 * pairs + 1)), "")
+        return F.concat(F.right(before, F.lit(reach)), F.lit(" "), F.left(after, F.lit(reach)))
+
+    def walk(cut: Column) -> Column:
+        hits, gaps = cut["hits"], cut["gaps"]
+        ends = running_sums(F.transform(hits, lambda h, i: F.length(h) + F.length(F.get(gaps, i))))
+        pieces = F.flatten(F.transform(gaps, lambda g, i: F.array(edges(g), F.coalesce(edges(F.get(hits, i)), F.lit("")))))
+        return _bound(F.struct(ends.alias("ends"), pieces.alias("pieces")), lambda x: F.transform(hits, lambda h, i: F.struct(
+            (F.get(x["ends"], i) - F.length(h)).alias("start"), F.get(x["ends"], i).alias("end"), h.alias("hit"), near(x["pieces"], i).alias("near"))))
+
+    cut = F.struct(F.split(text, kind.pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hits"))
     # cheap tests first: most texts hold no such mark at all
     mark = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind.name, F.lit(True))
-    return F.when(mark & F.rlike(text, F.lit(kind.pattern)), walk).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    return F.when(mark & F.rlike(text, F.lit(kind.pattern)), _bound(cut, walk)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,near:string>>"))
 
 
-def _scored(text: Column, found: Column, rank: int, kind: Kind, scoring: Scoring) -> Column:
+def _scored(found: Column, rank: int, kind: Kind, scoring: Scoring) -> Column:
     def one(x: Column) -> Column:
-        before = F.substr(text, F.greatest(F.lit(1), x["start"] + 1 - scoring.reach), F.least(x["start"], F.lit(scoring.reach)))
-        near = F.concat(before, F.lit(" "), F.substr(text, x["end"] + 1, F.lit(scoring.reach)))
-        score = F.lit(kind.score) + F.when(F.rlike(near, F.lit(rf"(?i)(?<![A-Za-z])(?:{kind.context})")), scoring.bonus).otherwise(0.0)
+        score = F.lit(kind.score) + F.when(F.rlike(x["near"], F.lit(rf"(?i)(?<![A-Za-z])(?:{kind.context})")), scoring.bonus).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind.name).alias("kind"), F.least(F.lit(1.0), score).alias("score"))
 
     spans = F.transform(F.filter(found, lambda x: _confirmed(kind.name, x["hit"])), one)
@@ -121,8 +157,8 @@ def _scored(text: Column, found: Column, rank: int, kind: Kind, scoring: Scoring
 def find_spans(docs: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
     """doc_id, spans: array of (start, rank, end, kind, score) by start, then kind."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    rows = rows.select("doc_id", "text", *[_proposed(F.col("text"), k).alias(k.name) for k in KINDS])
-    parts = [_scored(F.col("text"), F.col(k.name), i, k, scoring) for i, k in enumerate(KINDS)]
+    rows = rows.select("doc_id", *[_proposed(F.col("text"), k, scoring).alias(k.name) for k in KINDS])
+    parts = [_scored(F.col(k.name), i, k, scoring) for i, k in enumerate(KINDS)]
     return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
