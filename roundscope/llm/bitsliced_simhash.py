@@ -10,11 +10,12 @@ A bucket with more than ``bucket_rows`` entries (a group of near copies may hold
 Its entries go to the keys of their neighbourhood instead: two fingerprints that differ in at most two bits share a value that differs from each in
 at most one.  A key has at most 65 entries, so this is exact and even.
 
-Components are found by alternating large-star and small-star steps over links of representative doc_ids, written to
-the shared folder after each round.
+Components are found by alternating large-star and small-star steps over links of fingerprints, written to the shared folder after each round; a
+component is named by the smallest doc_id of its rows.
 
 Null or blank text has fingerprint zero, linked like any other.  Rows that repeat a doc_id get fingerprints of their own; each takes part in the
-component of its fingerprint.  A null doc_id is never the smallest.  An empty table gives no rows.  Other columns are ignored.
+component of its fingerprint only.  A null doc_id is never the smallest, but its row links others; a component without any doc_id has a null name.  An
+empty table gives no rows.  Other columns are ignored.
 """
 from __future__ import annotations
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import importable, stored
+from .support import discard, importable, stored
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -166,7 +167,7 @@ def near_links(entries: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for each node of ``links`` (a, b)."""
+    """node, component (smallest node reachable) for each node of ``links`` (a, b) but the smallest of a component itself; a stored table."""
     current = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     state = None
     while True:
@@ -178,7 +179,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-        current = stored(small.where("a <> b").distinct(), "small")
+        before, current = current, stored(small.where("a <> b").distinct(), "small")
+        discard(before, large)
         # equal links in two rounds mean that every node points at its smallest
         now = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if now == state:
@@ -191,18 +193,11 @@ def near_duplicates(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     importable(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = stored(rows.mapInArrow(_fingerprint_rows(rule), "doc_id long, fp long"), "fingerprints")
-    entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "entries")
-    # rows that repeat a doc_id may share a representative; such entries are linked by it
-    found = components(near_links(entries.where("rep is not null"), rule))
-    named = entries.join(found, entries["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    entries = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
+    found = components(near_links(entries.select("fp", F.col("fp").alias("rep")), rule))
+    # the fingerprint that names a component has no row there
+    named = entries.join(found, entries["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = stored(named, "named")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.select("fp", "component").join(ids, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the smallest of its component; of rows that repeat that doc_id, one.
-
-    Rows without doc_id stay.
-    """
-    kept = near_duplicates(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("_rs_keep")).distinct()
-    joined = docs.join(kept, docs["doc_id"] == kept["_rs_keep"]).dropDuplicates(["_rs_keep"]).select(*docs.columns)
-    return joined.unionByName(docs.where("doc_id is null"))

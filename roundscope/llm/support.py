@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDERS: list[str] = []
+_STORED: dict[int, tuple[DataFrame, str]] = {}
 _SOURCE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -33,15 +34,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(spark)}/llm-{uuid.uuid4().hex}/{label}"
     _FOLDERS.append(path.rpartition("/")[0])
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = (out, path.rpartition("/")[0])
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        _, folder = _STORED.pop(id(df))
+        _FOLDERS.remove(folder)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this process; results that still read them can't be used afterwards."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    _STORED.clear()
     while _FOLDERS:
-        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _FOLDERS.pop())
 
 
 def importable(spark: SparkSession) -> None:
