@@ -7,7 +7,8 @@ value, so the landmarks' n-grams are the vocabulary, and a batch of texts is sco
 kernel values by weights.
 
 Training takes at most ``per_language`` texts of each language, those with the smallest hashes of doc_id, and of these at most ``landmarks`` as
-landmarks; texts over ``longest`` code points are left out of that sample.  Prediction reads whole texts.
+landmarks; texts over ``longest`` code points are left out of that sample, and of more than ``languages`` values of lang the most frequent are taught.
+Prediction reads whole texts.
 
 A text that is null or has no letter is ``und`` with score 0.  A text that shares no n-gram with a letter with the landmarks gets the first language
 with score 0.
@@ -31,6 +32,8 @@ from .support import importable
 
 UNDECIDED = "und"
 _SLOT_BITS = 20
+#: Cells of the matrix of texts by n-grams that is made at once.
+_CELLS = 1 << 23
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of the n-grams of spaces alone.
 _BLANK = [np.uint64(32), np.uint64(32 << 21 | 32), np.uint64(32 << 42 | 32 << 21 | 32)]
@@ -41,6 +44,7 @@ class Training:
     per_language: int = 200
     landmarks: int = 32
     longest: int = 20_000
+    languages: int = 256
     ridge: float = 1e-2
 
 
@@ -67,16 +71,16 @@ def _slots(keys: np.ndarray) -> np.ndarray:
 
 
 class Kernel:
-    """Vocabulary and landmark matrix; n-grams that fall on another's slot of the look-up table are not part of the vocabulary."""
+    """Vocabulary and landmark matrix.  A table finds most n-grams of the vocabulary, a binary search those that fall on another's slot of it."""
 
     def __init__(self, landmarks: list[str]) -> None:
         self.letters = _letter_table()
         sets = [np.unique(grams(t, self.letters)[0]) for t in landmarks]
-        keys = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-        _, first = np.unique(_slots(keys), return_index=True)
-        self.keys = keys[np.sort(first)]
+        self.keys = np.unique(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
+        slots = _slots(self.keys)
         self.table = np.full(1 << _SLOT_BITS, -1, np.int32)
-        self.table[_slots(self.keys)] = np.arange(len(self.keys))
+        self.table[slots] = np.arange(len(slots))
+        self.shared = np.bincount(slots, minlength=1 << _SLOT_BITS) > 1
         rows = [self.presence(g) for g in sets]
         self.matrix = np.array(rows, np.float32).reshape(len(rows), len(self.keys))
         self.norms = np.sqrt(np.maximum(1, self.matrix.sum(axis=1)))
@@ -86,8 +90,13 @@ class Kernel:
         """Each key's column of the matrix, or -1."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        at = self.table[_slots(keys)]
-        return np.where(self.keys[np.maximum(at, 0)] == keys, at, -1)
+        slots = _slots(keys)
+        at = self.table[slots].astype(np.int64)
+        at[self.keys[np.maximum(at, 0)] != keys] = -1
+        other = np.flatnonzero((at < 0) & self.shared[slots])
+        place = np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)
+        at[other] = np.where(self.keys[place] == keys[other], place, -1)
+        return at
 
     def presence(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.keys), np.float32)
@@ -103,13 +112,22 @@ class Kernel:
 
     def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Kernel values with the landmarks, whether a text has letters, and how many n-grams with a letter it has and shares."""
-        found = [grams(t, self.letters) for t in texts]
-        rows, counts = np.empty((len(texts), len(self.keys)), np.float32), np.zeros((2, len(texts)), np.int64)
-        for i, (keys, _) in enumerate(found):
-            rows[i] = self.presence(keys)
-            counts[:, i] = self.overlap(keys)
-        own = rows.sum(axis=1)
-        return (rows @ self.matrix.T) / np.sqrt(np.maximum(1, own))[:, None] / self.norms, np.array([h for _, h in found], bool), *counts
+        step = max(1, _CELLS // max(1, len(self.keys)))
+        parts = [self._some(texts[i : i + step]) for i in range(0, max(1, len(texts)), step)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows, counts = np.zeros((len(texts), len(self.keys)), np.float32), np.zeros((3, len(texts)), np.int64)
+        letters = np.zeros(len(texts), bool)
+        for i, text in enumerate(texts):
+            keys, letters[i] = grams(text, self.letters)
+            at = self.places(keys)
+            known = at >= 0
+            rows[i, at[known]] = 1
+            blank = (keys == _BLANK[0]) | (keys == _BLANK[1]) | (keys == _BLANK[2])
+            counts[:, i] = len(keys) - blank.sum(), (known & ~blank).sum(), len(np.unique(keys[~known]))
+        own = rows.sum(axis=1) + counts[2]  # distinct n-grams of the whole text, those that no landmark holds too
+        return (rows @ self.matrix.T) / np.sqrt(np.maximum(1, own))[:, None] / self.norms, letters, counts[0], counts[1]
 
 
 class Model:
@@ -179,12 +197,13 @@ def sample(docs: DataFrame, training: Training = Training()) -> list[tuple[str,
     """
     rows = docs.where(~held_out()).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= training.longest))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(training.languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return []
     share = {lang: min(1.0, (2 * training.per_language + 50) / n) for lang, n in counts.items()}
     limit = F.element_at(F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, float(s))]), F.col("lang"))
-    some = rows.where(F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) < limit)
+    some = rows.where(F.col("lang").isin(list(counts))).where(F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53) < limit)
     ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     return [(r["lang"], r["text"]) for r in ranked.where(F.col("k") <= training.per_language).orderBy("lang", "k").collect()]
 
