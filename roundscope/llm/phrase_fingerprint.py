@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .support import importable, tasks
 
-SLOTS, WINDOW, EMPTY = 128, 1 << 20, 0xFFFF
+SLOTS, WINDOW, EMPTY = 128, 1 << 20, 0xFFFFFFFF
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _LEAST_ID = -(1 << 63)
 
@@ -78,18 +78,19 @@ def phrase_ends(data: bytes) -> list[int]:
 
 
 def signature(data: bytes, ends: list[int], powers: np.ndarray, inverses: np.ndarray) -> np.ndarray:
-    """Minimum of 16-bit hash values in each class; a phrase's hash depends on its bytes alone."""
-    out = np.full(SLOTS, EMPTY, np.uint16)
-    if not ends:
-        return out
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * powers[: len(data)])])
-    stop = np.asarray(ends)
-    start = np.concatenate([[0], stop[:-1]])
-    h = (sums[stop] - sums[start]) * inverses[start] + (stop - start).astype(np.uint64)
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    h ^= h >> np.uint64(33)
-    np.minimum.at(out, (h >> np.uint64(57)).astype(np.int64), np.minimum(h & np.uint64(0xFFFF), np.uint64(EMPTY - 1)).astype(np.uint16))
+    """Minimum of 32-bit hash values in each class; a phrase's hash depends on its bytes alone.  No phrase reaches over a window's end, so windows are hashed one by one."""
+    out = np.full(SLOTS, EMPTY, np.uint32)
+    stops = np.asarray(ends, np.int64)
+    for base in range(0, len(data), WINDOW):
+        stop = stops[np.searchsorted(stops, base, "right") : np.searchsorted(stops, base + WINDOW, "right")] - base
+        some = np.frombuffer(data, np.uint8, min(WINDOW, len(data) - base), base)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((some.astype(np.uint64) + np.uint64(1)) * powers[: len(some)])])
+        start = np.concatenate([[0], stop[:-1]])
+        h = (sums[stop] - sums[start]) * inverses[start] + (stop - start).astype(np.uint64)
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(33)
+        np.minimum.at(out, (h >> np.uint64(57)).astype(np.int64), np.minimum(h & np.uint64(EMPTY), np.uint64(EMPTY - 1)).astype(np.uint32))
     return out
 
 
@@ -99,13 +100,13 @@ class Fingerprinter:
 
     def _tables(self, n: int) -> None:
         if len(self.powers) <= n:
-            size = max(1 << 16, 2 * n)
+            size = max(1 << 16, min(2 * n, WINDOW))
             with np.errstate(over="ignore"):
                 self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _BASE))])
                 self.inverses = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _inverse()))])
 
     def of(self, data: bytes, ends: list[int]) -> np.ndarray:
-        self._tables(len(data))
+        self._tables(min(len(data), WINDOW))
         return signature(data, ends, self.powers, self.inverses)
 
     def one(self, data: bytes) -> np.ndarray:
@@ -128,7 +129,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def to_text(sig: np.ndarray) -> str:
-    return sig.astype(">u2").tobytes().hex()
+    return sig.astype(">u4").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small documents with odd cases."""
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -146,6 +147,26 @@ def test_op6_fingerprints(make):
     assert phrase_fingerprint.fingerprints(make([(1, "alone")])).first().near_next == 1.0
 
 
+def test_likeness_is_the_overlap_of_phrase_sets(monkeypatch):
+    """Against the phrase sets themselves, with windows too; texts without a common phrase have no likeness by chance."""
+    def phrases(data):
+        ends = phrase_fingerprint.phrase_ends(data)
+        return {data[a:b] for a, b in zip([0, *ends], ends)}
+
+    rng = np.random.default_rng(9)
+    maker = phrase_fingerprint.Fingerprinter()
+    for window in (1 << 20, 5000):
+        monkeypatch.setattr(phrase_fingerprint, "WINDOW", window)
+        for share in (0.0, 0.3, 0.7, 1.0):
+            one = rng.integers(97, 101, 20_000).astype(np.uint8).tobytes()
+            two = one[: int(share * len(one))] + rng.integers(97, 101, 20_000 - int(share * len(one))).astype(np.uint8).tobytes()
+            a, b = phrases(one), phrases(two)
+            assert abs(phrase_fingerprint.likeness(maker.one(one), maker.one(two)) - len(a & b) / len(a | b)) < 0.16
+    monkeypatch.setattr(phrase_fingerprint, "WINDOW", 1 << 20)
+    one, two = (rng.integers(lo, lo + 100, 2_000_000).astype(np.uint8).tobytes() for lo in (0, 120))
+    assert not phrases(one) & phrases(two) and phrase_fingerprint.likeness(maker.one(one), maker.one(two)) == 0
+
+
 def test_lz_phrases():
     known, phrase, expected = set(), b"", []
     data = b"abracadabra abracadabra"
@@ -189,10 +210,28 @@ def test_op7_components(make, most):
     rule = bitsliced_simhash.NearRule(bucket_rows=most)
     assert rows(bitsliced_simhash.near_duplicates(make(docs), rule)) == expected
     assert len({e[2] for e in expected}) < len(set(prints.values()))
-    assert bitsliced_simhash.drop_near_duplicates(make(docs), rule).count() == len({e[2] for e in expected})
     assert bitsliced_simhash.near_duplicates(make([]), rule).count() == 0
 
 
+def test_op7_null_and_repeated_ids(make):
+    """A row without doc_id links its neighbours, and rows that repeat a doc_id stay in the components of their own texts."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 400, 2)] + ["one text", "another text of some words", "a third"]
+    docs = [((None, 7, i)[i % 3] if i < 200 else 7, t) for i, t in enumerate(texts)]
+    prints = [brute_simhash(t) for t in texts]
+    group = list(range(len(docs)))
+    for _ in docs:  # as far as a link reaches
+        new = [min(group[j] for j, q in enumerate(prints) if (p ^ q).bit_count() <= 2) for p in prints]
+        group, old = new, group
+        if group == old:
+            break
+    least = {g: min((d for (d, _), x in zip(docs, group, strict=True) if x == g and d is not None), default=None) for g in set(group)}
+    expected = [(d, f"{p:016x}", least[g]) for (d, _), p, g in zip(docs, prints, group, strict=True)]
+    assert rows(bitsliced_simhash.near_duplicates(make(docs))) == sorted(expected, key=lambda r: tuple((x is not None, x) for x in r))
+    nulls = {g for (d, _), g in zip(docs, group, strict=True) if d is None}
+    assert len(set(group)) > 3 and any(group.count(g) > 2 and g in nulls for g in set(group))
+
+
 def test_bit_slices():
     rng = np.random.default_rng(1)
     base = int(rng.integers(0, 2**63))
@@ -235,6 +274,28 @@ def test_op8_personal_data(make):
     assert pii.personal_data(make([])).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "mail a@b" + ".c" * 200_000 + " end", "".join(f"u{i}@h.org, " for i in range(20_000)), "é" * 70_000 + " +49 30 1234567 " * 3_000, "1.2.3.4 " * 10_000 + "x" * 100_000 + " 5500005555555559" * 2_000])
+def test_op8_long_texts(make, text):
+    """Many labels in one address and many matches in one text: time grows with the text, and Java's stack holds."""
+    began = time.monotonic()
+    r = pii.personal_data(make([(1, text)])).first()
+    listed = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(text))
+    assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and time.monotonic() - began < 60
+
+
+def test_op8_context(make):
+    """Context is the text next to a span, whatever stands there: other spans too, and no further than it reaches."""
+    docs = [(1, "ssn 123-45-6789, 987-65-4321"), (2, "ssn " + "x" * 35 + " 123-45-6789"), (3, "ssn " + "x" * 36 + " 123-45-6789"), (4, "123-45-6789 and 987-65-4321 are social security numbers"),
+            (5, " ".join(f"{100 + i}-45-6789" for i in range(9)) + " ssn")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(make(docs)).collect()}
+    for doc, text in docs:
+        spans = [m.span() for m in re.finditer(r"\d{3}-\d{2}-\d{4}", text)]
+        near = [s for s in spans if re.search("(?i)(?<![A-Za-z])(?:ssn|social security)", text[max(0, s[0] - 40) : s[0]] + " " + text[s[1] : s[1] + 40])]
+        assert got[doc] == ",".join(f"ssn:{a}:{b}" for a, b in near), doc
+    assert got[3] == "" and got[2] and got[5].count("ssn") == 4
+
+
 def test_op9_like_tiktoken(make):
     docs = [r for r in ODD if r[0] != 6] + [(30, "a  b  c\n\n d\tf \x1cq I'll\r\n x"), (31, "  lead and trail  \n"), (32, "ababab " * 40), (33, "x   y, z.\n\nQ")]
     ranks = byte_bpe.read_ranks(P.path(BYTE_RANKS))
@@ -265,12 +326,43 @@ def test_op10_languages(make, spark):
     assert string_kernel.predict(make([]), model).count() == 0
 
 
-def test_presence_kernel():
-    kernel = string_kernel.Kernel(["abc abd", "xyz"])
-    sets = [set(string_kernel.grams(t, kernel.letters)[0].tolist()) for t in ("abc abd", "xyz", "abq")]
-    known = sets[0] | sets[1]
-    expected = [len(sets[2] & s) / np.sqrt(len(sets[2] & known) * len(s)) for s in sets[:2]]
-    assert np.allclose(kernel.values(["abq"])[0][0], expected)
+def brute_grams(text):
+    """Letter n-grams of one to three places; what is no letter is a blank, and one stands at either end."""
+    flat = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    return {flat[i : i + n] for n in (1, 2, 3) for i in range(len(flat) - n + 1)}
+
+
+@pytest.mark.parametrize("bits", [20, 3])
+def test_presence_kernel(monkeypatch, bits):
+    """Also with a table so small that most n-grams share a slot."""
+    monkeypatch.setattr(string_kernel, "_SLOT_BITS", bits)
+    monkeypatch.setattr(string_kernel, "_CELLS", 1)
+    marks, texts = ["abc abd", "xyz", "Der Hund läuft schnell."], ["abq", "жж", "", "The hound, abc xyz!", "abc abd" * 50]
+    expected = [[len(brute_grams(t) & brute_grams(m)) / np.sqrt(len(brute_grams(t)) * len(brute_grams(m))) for m in marks] for t in texts]
+    assert np.allclose(string_kernel.Kernel(marks).values(texts)[0], expected, atol=1e-6)
+
+
+def test_ridge_regression_in_the_landmarks_space():
+    """The scores are those of kernel ridge regression with the kernel that the landmarks span, solved here in its dual form."""
+    sample = [("de", t) for t in ("der hund und die katze", "ein haus am see", "wir gehen nach hause")] + [("en", t) for t in ("the dog and the cat", "a house by the lake", "we are going home")]
+    training = string_kernel.Training(landmarks=2, ridge=0.1)
+    model = string_kernel.Model(sample, training)
+    texts = ["die katze geht", "the cat goes", "haus house"]
+    kernel = lambda a, b: len(brute_grams(a) & brute_grams(b)) / np.sqrt(len(brute_grams(a)) * len(brute_grams(b)))
+    marks = [t for i, (_, t) in enumerate(sample) if i % 3 < 2]
+    inner = np.linalg.inv([[kernel(a, b) for b in marks] for a in marks])
+    span = lambda a, b: np.array([kernel(a, m) for m in marks]) @ inner @ np.array([kernel(m, b) for m in marks])
+    known = [t for _, t in sample]
+    gram, n = np.array([[span(a, b) for b in known] for a in known]), len(sample)
+    left = np.block([[gram + training.ridge * 3 * np.eye(n), np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])  # three texts a language: weight 1/3
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        f = {}
+        for lang in ("de", "en"):
+            solved = np.linalg.solve(left, [*[1.0 if own == lang else -1.0 for own, _ in sample], 0.0])
+            f[lang] = np.array([span(text, k) for k in known]) @ solved[:-1] + solved[-1]
+        best = max(f, key=f.get)
+        assert name == best and abs(score - (f[best] + 1) / 2) < 1e-4
 
 
 def test_registered():
