@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import percentage, ratio, shared, text
+from ..functions.common import percentage, ratio, text, union_all
 from ..operators import lineage as S
 from ..plans import library as Q
 
 from ..sources import store as A
+from ..sources.bridge import DOUBLES, TABLE_COLUMNS
+from ..sources.layer import Layer
 
 from .registry import cte, query
 from .space import spatial
@@ -42,19 +44,55 @@ def _(t):
     return A.round_events(families(t))
 
 
-@query("a03_save_run", "SELECT match_id, round_id, winner_side, CASE WHEN match_no % 2 = 0 THEN 'second' ELSE 'first' END AS run FROM rounds JOIN matches USING (match_id)")
+@query("a03_save_run", """SELECT match_id, round_id, winner_side, CAST(official_end_tick + CASE WHEN match_no % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS official_end_tick,
+  CAST((SELECT count(*) FROM kills k WHERE k.round_id = r.round_id) AS BIGINT) AS kills, CASE WHEN match_no % 2 = 0 THEN 'second' ELSE 'first' END AS run FROM rounds r JOIN matches USING (match_id)
+  WHERE NOT (match_no % 7 = 5)""")
 def _(t):
-    path = A.shared_folder(t.spark, "run")
-    r = t.rounds.select("match_id", "round_id", "winner_side").join(t.matches.select("match_id", "match_no"), "match_id")
-    A.save_run(r.drop("match_no").withColumn("run", F.lit("first")), path)
-    A.save_run(r.where("match_no % 2 = 0").drop("match_no").withColumn("run", F.lit("second")), path)
-    return t.spark.read.schema("round_id string, winner_side string, run string, match_id string").parquet(path)
+    """A derived table is brought up to date after the rounds of some matches changed and other matches went."""
+    layer = Layer(t.spark, A.shared_folder(t.spark, "run"))
 
+    def derive(run):
+        return lambda tables: (tables["rounds"].join(tables["kills"].groupBy("round_id").agg(F.count("*").alias("kills")), "round_id", "left").fillna(0, ["kills"])
+                               .select("match_id", "round_id", "winner_side", F.col("official_end_tick").cast("long").alias("official_end_tick"), "kills", F.lit(run).alias("run")))
 
-@query("a05_delete_matches", "SELECT table_name, count(*) AS row_count FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS table_name, match_id FROM {s}" for f, s in _FAM.items()) + ") WHERE match_id NOT IN (SELECT match_id FROM matches WHERE match_no % 3 = 1) GROUP BY 1")
+    rounds, kills = t.once.rounds, t.once.kills
+    layer.refresh("round_facts", {"rounds": rounds, "kills": kills}, derive("first"))
+    left = t.once.matches.where("match_no % 7 <> 5").select("match_id", "match_no")
+    moved = rounds.join(left, "match_id").withColumn("official_end_tick", F.col("official_end_tick") + F.when(F.col("match_no") % 2 == 0, 1).otherwise(0)).select(*rounds.columns)
+    layer.refresh("round_facts", {"rounds": moved, "kills": kills.join(left, "match_id", "left_semi")}, derive("second"))
+    return layer.read("round_facts")
+
+
+#: Tables of a delete, with the SQL of what is left of each.
+_GONE_MATCH, _GONE_RUN = "SELECT match_id FROM matches WHERE match_no % 3 = 1", "SELECT run_id FROM run_inputs WHERE match_id IN (SELECT match_id FROM matches WHERE match_no % 3 = 1)"
+_KEPT = {n: f"SELECT * FROM {n} WHERE match_id NOT IN ({_GONE_MATCH})" for n in ("matches", "rounds", "players", "memberships", *_FAM.values())}
+_KEPT |= {n: f"SELECT * FROM {n} WHERE run_id NOT IN ({_GONE_RUN})" for n in ("run_inputs", "pattern_runs")}
+
+
+def _content_sql(name, rows, key):
+    """Row count and 128-bit content sum of a relation, as the engine's fingerprint has them."""
+    cells = []
+    for c in sorted(TABLE_COLUMNS[name]):
+        v = f"CAST({c} AS VARCHAR)" if c not in DOUBLES else f"CAST(CAST(floor({c}) AS BIGINT) AS VARCHAR) || '+' || CAST(CAST(floor(({c} - floor({c})) * 4611686018427387904) AS BIGINT) AS VARCHAR)"
+        cells.append(f"coalesce('{c}=' || length({v}) || ':' || ({v}), '{c}!')")
+    half = lambda at: f"format('{{:016x}}', CAST(sum(CAST('0x' || substr(h, {at}, 16) AS UBIGINT)) % 18446744073709551616 AS UBIGINT))"
+    group = f"{key}, " if key else ""
+    return f"SELECT {group}'{name}' AS table_name, count(*) || ':' || {half(1)} || {half(17)} AS fingerprint FROM (SELECT {group}md5({" || ',' || ".join(cells)}) AS h FROM ({rows})) {f'GROUP BY {key}' if key else 'HAVING count(*) > 0'}"
+
+
+@query("a05_delete_matches", " UNION ALL ".join(_content_sql(n, sql, "") for n, sql in _KEPT.items()))
 def _(t):
-    left = A.delete_matches(families(t), t.matches.where("match_no % 3 = 1"))
-    return A.row_counts(left).groupBy("table_name").agg(F.sum("row_count").alias("row_count"))
+    """Content of every table after some matches were deleted, with all that was derived from them."""
+    layer = Layer(t.spark, A.shared_folder(t.spark, "delete"))
+    for n in _KEPT:
+        layer.write(n, getattr(t.once, n), "run_id" if n in ("run_inputs", "pattern_runs") else "match_id")
+        if n not in ("matches", "pattern_runs"):
+            layer.derived("matches", n)
+    layer.derived("run_inputs", "pattern_runs", "run_id")  # a run that used a match goes with all its inputs
+    layer.derived("pattern_runs", "run_inputs", "run_id")
+    layer.delete("matches", t.once.matches.where("match_no % 3 = 1"))
+    sums = union_all(*[S.content_sums(layer.read(n).withColumn("_all", F.lit(0)), n, "_all", layer.read(n).columns) for n in _KEPT])
+    return S.merged_sums((1, sums), key="_all").select("table_name", S.fingerprint_text().alias("fingerprint"))
 
 
 @query("a06_row_counts", "SELECT match_id, table_name, count(*) AS row_count FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS table_name, match_id FROM {s}" for f, s in _FAM.items()) + ") GROUP BY 1, 2")
@@ -85,7 +123,7 @@ cte("psc", "SELECT match_id, team_id, arg_max(score, round_number) AS score FROM
   LEFT JOIN (SELECT match_id, count(*) AS players, CAST(sum(kills) AS BIGINT) AS kills, max(adr) AS best_adr FROM pm GROUP BY 1) p USING (match_id) LEFT JOIN (SELECT match_id, CASE WHEN count(*) = 2 THEN string_agg(CAST(score AS VARCHAR), ':' ORDER BY team_id) ELSE '-' END AS score FROM psc GROUP BY 1) s USING (match_id)""")
 def _(t):
     s = stats(t)
-    return Q.overview(t.rounds, t.bombs, s.openings, s.trades, s.player_matches)
+    return Q.overview(t.once.rounds, t.once.bombs, s.openings, s.trades, s.player_matches)
 
 
 @query("f07_player_events", " UNION ALL ".join(f"SELECT match_id, round_number, tick, event_id, 'kill' AS kind, '{r}' AS role, {r}_player_id AS player_id FROM kills WHERE {r}_player_id IS NOT NULL" for r in ("attacker", "victim", "assister")) + " UNION ALL SELECT match_id, round_number, tick, event_id, 'grenade', 'thrower', player_id FROM grenades")
@@ -114,12 +152,17 @@ def _(t):
     return t.rounds.select("match_id", "round_id", S.stable_id("match_id", F.lit("round"), F.col("round_number")).alias("stable_id"))
 
 
-cte("sfp", """SELECT match_id, substr(h, 1, 2) AS b, sha256(string_agg(h, '' ORDER BY h)) AS bh FROM (SELECT match_id, sha256('{"event_id":' || event_id || ',"match_id":"' || match_id || '","tick":' || tick || CASE WHEN victim_player_id IS NOT NULL THEN ',"victim_player_id":"' || victim_player_id || '"' ELSE '' END || '}') AS h FROM kills) GROUP BY 1, 2""")
+FINGERPRINTED = ("matches", "rounds", "players", "memberships", *_FAM.values(), "effects")
+
+
+def fingerprinted(t):
+    return {n: getattr(t.once, n) for n in FINGERPRINTED}
 
 
-@query("s02_dataset_fingerprint", "SELECT match_id, sha256(string_agg(bh, '' ORDER BY b)) AS fingerprint FROM sfp GROUP BY 1")
+@query("s02_dataset_fingerprint", " UNION ALL ".join(_content_sql(n, f"SELECT * FROM {n}", "match_id") for n in FINGERPRINTED))
 def _(t):
-    return S.dataset_fingerprint(t.kills, ["event_id", "match_id", "tick", "victim_player_id"])
+    sums = union_all(*[S.content_sums(df, n) for n, df in fingerprinted(t).items()])
+    return sums.select("match_id", "table_name", S.fingerprint_text().alias("fingerprint"))
 
 
 @query("s03_text_functions", "SELECT s_suppkey, lower(trim(s_name)) AS folded, regexp_replace(s_name, '[#0]+', ' ', 'g') AS spaced, regexp_replace(s_name, '^Supplier', '') AS bare, contains(lower(s_name), '7') AS has_seven, regexp_extract(s_name, '([0-9]+)$', 1) AS tag FROM supplier")
@@ -155,6 +198,6 @@ def _(t):
 
 @query("s08_source_pins", "SELECT match_id, match_no FROM matches WHERE match_no % 3 <> 0")
 def _(t):
-    fp = shared(S.dataset_fingerprint(t.rounds))
+    fp = t.layer("fingerprints", lambda: t.stored(S.dataset_fingerprint(fingerprinted(t)), "fingerprints"))
     runs = t.matches.join(fp, "match_id").select("match_id", "match_no", F.when(F.col("match_no") % 3 == 0, F.lit("stale")).otherwise(F.col("fingerprint")).alias("source_fingerprint"))
     return S.fresh_runs(runs, fp).select("match_id", "match_no")

@@ -3,13 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import shared, text, union_all
+from ..functions.common import text, union_all
 from ..operators import checks as G
 from ..operators import identity as D
 from ..operators import normalize as B
 from ..operators import rounds as C
-from .registry import cte, query
-from .stats import stats
+from ..plans.canonical import CanonicalMatches
+from ..sources.bridge import RAW_KEYS, SPARSE
+from .registry import cte, query, scoped
+from .stats import TEAM_MATCH, stats
 
 INT = "CASE WHEN regexp_full_match({0}, '\\s*[+-]?[0-9]+\\s*') THEN TRY_CAST(trim({0}) AS BIGINT) END"
 
@@ -48,23 +50,36 @@ def _site(c):
     return (f"CASE WHEN lower({_txt(c)}) IN ('a', 'bombsite_a', 'site_a') THEN 'A' WHEN lower({_txt(c)}) IN ('b', 'bombsite_b', 'site_b') THEN 'B' END")
 
 
-cte("nr0", f"SELECT *, sha256(payload) AS row_hash, CAST({_nn('tick_text')} AS INT) AS tick FROM raw_payload WHERE NOT coalesce({_bool('warm')}, FALSE)")
+#: The first spelling of the tick's field that a row has, even if it holds nothing.
+_TICK = "CASE WHEN k % 2 = 1 AND other_tick IS NOT NULL THEN other_tick ELSE tick_text END"
+cte("nr0", f"""SELECT *, row_hash || ':' || ordinal AS row_key FROM (SELECT *, sha256(payload) AS row_hash, CAST({_nn(_TICK)} AS INT) AS tick,
+  row_number() OVER (PARTITION BY match_id, source_event, payload) - 1 AS ordinal FROM raw_payload WHERE source_event = 'player_info' OR NOT coalesce({_bool('warm')}, FALSE))""")
 
 
-def _role_sql(role, steam, name, team, events, neg=False):
+def _role_sql(role, steam, name, team, bot, events, neg=False):
     sid, nm = _sid(steam), _txt(name) if name else "CAST(NULL AS VARCHAR)"
-    side = _side(team) if team else "'UNKNOWN'"
-    pid = (f"CASE WHEN sid IS NOT NULL THEN sha256(match_id || ':player:steam:' || sid) WHEN nm IS NOT NULL THEN "
-           f"sha256(match_id || ':player:unknown:' || source_event || ':' || row_hash || ':{role}:' || nm) END")
-    return (f"SELECT match_id, source_event, tick, row_hash, '{role}' AS role, sid AS steam, nm AS name, sd AS side, FALSE AS is_bot, {pid} AS player_id FROM "
-            f"(SELECT *, {sid} AS sid, {nm} AS nm, {side} AS sd FROM nr0 WHERE source_event {'NOT ' if neg else ''}IN ({events})) WHERE sid IS NOT NULL OR nm IS NOT NULL")
+    side, bots = _side(team) if team else "'UNKNOWN'", f"coalesce({_bool(bot)}, FALSE)" if bot else "FALSE"
+    if role == "user":
+        plain = f"({sid}) IS NULL AND ({nm}) IS NULL"
+        sid, nm = f"CASE WHEN {plain} THEN {_sid('p_steam')} ELSE {sid} END", f"CASE WHEN {plain} THEN {_txt('p_name')} ELSE {nm} END"
+        side, bots = f"CASE WHEN {plain} THEN 'UNKNOWN' ELSE {side} END", f"CASE WHEN {plain} THEN coalesce({_bool('p_bot')}, FALSE) ELSE FALSE END"
+    pid = (f"CASE WHEN sid IS NOT NULL THEN sha256(match_id || ':player:steam:' || sid) ELSE "
+           f"sha256(match_id || ':player:unknown:' || source_event || ':' || row_key || ':{role}:' || coalesce(nm, '')) END")
+    return (f"SELECT match_id, source_event, tick, row_key, '{role}' AS role, sid AS steam, nm AS name, sd AS side, bot AS is_bot, {pid} AS player_id FROM "
+            f"(SELECT *, {sid} AS sid, {nm} AS nm, {side} AS sd, {bots} AS bot FROM nr0 WHERE source_event {'NOT ' if neg else ''}IN ({events})) "
+            "WHERE CASE WHEN source_event = 'player_info' THEN TRUE WHEN source_event IN ('player_connect_full', 'player_disconnect') THEN sid IS NOT NULL ELSE sid IS NOT NULL OR nm IS NOT NULL END")
 
 
 cte("nroles", " UNION ALL ".join([
-    _role_sql("attacker", "a_steam", "a_name", "a_team", "'player_death', 'player_hurt', 'player_blind'"),
-    _role_sql("victim", "u_steam", "u_name", "u_team", "'player_death', 'player_hurt'"),
-    _role_sql("assister", "s_steam", None, None, "'player_death'"),
-    _role_sql("user", "u_steam", "u_name", "u_team", "'player_death', 'player_hurt'", True)]))
+    _role_sql("attacker", "a_steam", "a_name", "a_team", "a_bot", "'player_death', 'player_hurt', 'player_blind'"),
+    _role_sql("victim", "u_steam", "u_name", "u_team", None, "'player_death', 'player_hurt'"),
+    _role_sql("assister", "s_steam", None, None, None, "'player_death'"),
+    _role_sql("user", "u_steam", "u_name", "u_team", None, "'player_death', 'player_hurt'", True)]))
+
+
+def canonical(t) -> CanonicalMatches:
+    """The canonical tables of the landing rows; steps that several others read are written once."""
+    return t.layer("canonical", lambda: CanonicalMatches(t.once.raw_events, t.once.raw_marks, t.stored))
 
 
 @query("b01_alias_projection", "SELECT event_id, user_id AS player, CAST(NULL AS VARCHAR) AS absent FROM events")
@@ -74,7 +89,7 @@ def _(t):
 
 
 @query("b02_safe_casts", f"SELECT seq, {_txt('weapon')} AS weapon, {_int('penetrated')} AS penetrated, {_nn('penetrated')} AS penetrated_nn, {_flt('distance')} AS distance, "
-       f"{_bool('headshot')} AS headshot, {_nn('health_after')} AS health FROM raw_cols")
+       f"{_bool('headshot')} AS headshot, {_nn('health_after')} AS health FROM raw_all")
 def _(t):
     r = B.lowered(t.raw_events)
     f = B.field
@@ -83,14 +98,14 @@ def _(t):
                     B.optional_bool(f("headshot")).alias("headshot"), B.non_negative_int(f("health")).alias("health"))
 
 
-@query("b03_side_names", f"SELECT seq, {_side('a_team')} AS attacker_side, {_side('u_team')} AS user_side FROM raw_cols")
+@query("b03_side_names", f"SELECT seq, {_side('a_team')} AS attacker_side, {_side('u_team')} AS user_side FROM raw_all")
 def _(t):
     r = B.lowered(t.raw_events)
     return r.select(B.optional_int(B.field("seq")).alias("seq"), B.normalize_side(B.field("attacker_team_name", "attacker_team")).alias("attacker_side"),
                     B.normalize_side(B.field("user_team_name", "user_team")).alias("user_side"))
 
 
-@query("b04_platform_ids", f"SELECT seq, {_sid('a_steam')} AS attacker, {_sid('u_steam')} AS victim FROM raw_cols")
+@query("b04_platform_ids", f"SELECT seq, {_sid('a_steam')} AS attacker, {_sid('u_steam')} AS victim FROM raw_all")
 def _(t):
     r = B.lowered(t.raw_events)
     return r.select(B.optional_int(B.field("seq")).alias("seq"), B.steam_id(B.field("attacker_steamid", "attacker_steam_id")).alias("attacker"),
@@ -99,16 +114,12 @@ def _(t):
 
 @query("b05_role_rows", "SELECT * FROM nroles")
 def _(t):
-    return B.role_rows(B.with_roles(B.stable_rows(t.raw_events)))
+    return canonical(t).roles
 
 
-@query("b06_row_keys", """SELECT match_id, source_event, sha256(p) AS row_hash, row_number() OVER (PARTITION BY match_id, source_event, sha256(p)) - 1 AS ordinal
-  FROM (SELECT *, '[' || array_to_string(list_filter(['{"key":"team","value":"' || u_team || '"}', '{"key":"weapon","value":"' || weapon || '"}'], lambda x: x IS NOT NULL), ',') || ']' AS p FROM raw_cols)""")
+@query("b06_row_keys", "SELECT match_id, source_event, row_hash, ordinal, row_key, tick FROM nr0")
 def _(t):
-    r = B.lowered(t.raw_events)
-    small = F.map_filter(F.create_map(F.lit("team"), B.field("user_team_name", "user_team"), F.lit("weapon"), B.field("weapon")), lambda _, v: v.isNotNull())
-    keyed = r.select("match_id", "source_event", F.sha2(B.payload(small), 256).alias("row_hash"))
-    return B.numbered_copies(keyed, ["match_id", "source_event", "row_hash"])
+    return canonical(t).rows.select("match_id", "source_event", "row_hash", "ordinal", "row_key", "tick")
 
 
 # -- rounds ------------------------------------------------------------------
@@ -229,24 +240,17 @@ def _(t):
 
 
 # -- identity ----------------------------------------------------------------
-def roles(t):
-    return B.role_rows(B.with_roles(B.stable_rows(t.raw_events)))
+cte("rb", "SELECT *, match_id || '-r' || round_number AS round_id FROM rr")
 
 
-def observed(t):
-    """Counted side observations; shared by every identity step, so it is written out once."""
-    return shared(D.count_observations(D.side_observations(roles(t), t.rounds)))
-
-
-@query("d01_player_identity", """SELECT match_id, player_id, max(steam) AS steam_id, coalesce(arg_max(name, (coalesce(tick, -1), name)), 'UnknownPlayer-' || substr(player_id, 1, 8)) AS current_name,
-  coalesce(string_agg(DISTINCT name, ',' ORDER BY name), '') AS known_names, FALSE AS is_bot, count(DISTINCT name) > 1 AS nickname_change_observed, FALSE AS reconnect_observed, max(steam) IS NULL AS steam_id_missing
+cte("pid", """SELECT match_id, player_id, max(steam) AS steam_id, coalesce(arg_max(name, (CASE WHEN source_event = 'player_info' THEN -1 ELSE coalesce(tick, -1) END, name)), 'UnknownPlayer-' || substr(player_id, 1, 8)) AS current_name,
+  coalesce(string_agg(DISTINCT name, ',' ORDER BY name), 'UnknownPlayer-' || substr(player_id, 1, 8)) AS known_names, bool_or(is_bot) AS is_bot, count(DISTINCT name) > 1 AS nickname_change_observed,
+  coalesce(max(tick) FILTER (source_event = 'player_connect_full') > min(tick) FILTER (source_event = 'player_disconnect'), FALSE) AS reconnect_observed, max(steam) IS NULL AS steam_id_missing
   FROM nroles GROUP BY match_id, player_id""")
-def _(t):
-    return D.player_identities(roles(t)).withColumn("known_names", text(F.col("known_names")))
 
 
 cte("obs", """SELECT o.match_id, o.player_id, o.tick, o.side, o.source_event || '.' || o.role AS source, r.round_number, r.start_tick FROM nroles o
-  JOIN (SELECT *, lead(start_tick) OVER (PARTITION BY match_id ORDER BY start_tick) AS nxt FROM rounds) r ON r.match_id = o.match_id AND o.tick >= r.start_tick AND (r.nxt IS NULL OR o.tick < r.nxt)
+  JOIN (SELECT *, lead(start_tick) OVER (PARTITION BY match_id ORDER BY start_tick) AS nxt FROM rb) r ON r.match_id = o.match_id AND o.tick >= r.start_tick AND (r.nxt IS NULL OR o.tick < r.nxt)
   WHERE o.tick IS NOT NULL AND o.side <> 'UNKNOWN'""")
 cte("fsd", "SELECT match_id, player_id, round_number AS first_round, side AS first_side FROM obs QUALIFY row_number() OVER (PARTITION BY match_id, player_id ORDER BY tick, source, side) = 1")
 cte("seed", """SELECT match_id, seed_round, sha256(match_id || ':physical-team:' || sig) AS team_id, CASE WHEN row_number() OVER (PARTITION BY match_id ORDER BY sig) = 1 THEN 'TeamAlpha' ELSE 'TeamBravo' END AS internal_name,
@@ -262,56 +266,55 @@ cte("ptm", """SELECT match_id, team_id, unnest(string_split(starting_player_ids,
   WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.match_id = l.match_id AND contains(s.starting_player_ids, l.player_id))""")
 
 
-@query("d02_first_side", "SELECT * FROM fsd")
+@query("d01_player_identity", "SELECT p.*, t.team_id FROM pid p LEFT JOIN ptm t USING (match_id, player_id)")
 def _(t):
-    return D.first_sides(observed(t))
+    return canonical(t).players.withColumn("known_names", text(F.col("known_names")))
 
 
-@query("d03_seed_teams", "SELECT * FROM seed")
+@query("d02_first_side", "SELECT * FROM fsd")
 def _(t):
-    return D.seed_teams(D.first_sides(observed(t))).withColumn("starting_player_ids", text(F.col("starting_player_ids")))
+    return canonical(t).first_sides
 
 
-def player_teams(t):
-    obs = observed(t)
-    firsts = D.first_sides(obs)
-    teams = D.seed_teams(firsts)
-    return obs, teams, D.player_teams(obs, firsts, teams)
+@query("d03_seed_teams", "SELECT * FROM seed")
+def _(t):
+    return canonical(t).teams.withColumn("starting_player_ids", text(F.col("starting_player_ids")))
 
 
 @query("d04_player_teams", "SELECT match_id, player_id, team_id FROM ptm")
 def _(t):
-    return player_teams(t)[2].select("match_id", "player_id", "team_id")
+    return canonical(t).player_teams.select("match_id", "player_id", "team_id")
 
 
 cte("sv", """SELECT match_id, round_number, side, team_id FROM (SELECT o.match_id, o.round_number, o.side, p.team_id, row_number() OVER (PARTITION BY o.match_id, o.round_number, o.side
   ORDER BY count(*) DESC, min((o.tick, o.player_id, o.source))) AS pick FROM obs o JOIN ptm p USING (match_id, player_id) GROUP BY 1, 2, 3, 4) WHERE pick = 1""")
-cte("sd1", """SELECT r.match_id, r.round_number, r.start_tick, r.end_tick, ids, coalesce(t.team_id, CASE WHEN c.team_id IS NOT NULL AND len(ids) = 2 THEN CASE WHEN c.team_id = ids[1] THEN ids[2] ELSE ids[1] END END) AS t1,
+cte("sd1", """SELECT r.match_id, r.round_number, r.start_tick, r.end_tick, r.is_overtime AS marked_overtime, ids, coalesce(t.team_id, CASE WHEN c.team_id IS NOT NULL AND len(ids) = 2 THEN CASE WHEN c.team_id = ids[1] THEN ids[2] ELSE ids[1] END END) AS t1,
   coalesce(c.team_id, CASE WHEN t.team_id IS NOT NULL AND len(ids) = 2 THEN CASE WHEN t.team_id = ids[1] THEN ids[2] ELSE ids[1] END END) AS c1
-  FROM rounds r LEFT JOIN sv t ON t.match_id = r.match_id AND t.round_number = r.round_number AND t.side = 'T' LEFT JOIN sv c ON c.match_id = r.match_id AND c.round_number = r.round_number AND c.side = 'CT'
+  FROM rb r LEFT JOIN sv t ON t.match_id = r.match_id AND t.round_number = r.round_number AND t.side = 'T' LEFT JOIN sv c ON c.match_id = r.match_id AND c.round_number = r.round_number AND c.side = 'CT'
   LEFT JOIN (SELECT match_id, list_sort(list(DISTINCT team_id)) AS ids FROM seed GROUP BY match_id) i ON i.match_id = r.match_id""")
 cte("sd2", """SELECT *, last_value(CASE WHEN t1 <> c1 THEN {'t': t1, 'c': c1} END IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY round_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM sd1""")
-cte("sides", """SELECT match_id, round_number, start_tick, end_tick, t_team_id, ct_team_id, sum(CASE WHEN t1 <> c1 AND t1 = prev['c'] AND c1 = prev['t'] THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY round_number) >= 2 AS is_overtime,
+cte("sides", """SELECT match_id, round_number, start_tick, end_tick, t_team_id, ct_team_id, sum(CASE WHEN t1 <> c1 AND t1 = prev['c'] AND c1 = prev['t'] THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY round_number) >= 2 OR marked_overtime AS is_overtime,
   coalesce(t_team_id <> ct_team_id, FALSE) AS side_certain FROM (SELECT *, CASE WHEN t1 IS NULL AND c1 IS NULL AND len(ids) = 2 THEN prev['t'] ELSE t1 END AS t_team_id,
   CASE WHEN t1 IS NULL AND c1 IS NULL AND len(ids) = 2 THEN prev['c'] ELSE c1 END AS ct_team_id FROM sd2)""")
 
 
 @query("d05_round_sides", "SELECT * FROM sides")
 def _(t):
-    obs, teams, pt = player_teams(t)
-    return D.resolve_sides(t.rounds, obs, pt, teams)
+    return canonical(t).sides
 
 
-cte("legs", "SELECT match_id, round_number, start_tick, end_tick, t_team_id AS team_id, 'T' AS side FROM sides WHERE t_team_id IS NOT NULL UNION ALL SELECT match_id, round_number, start_tick, end_tick, ct_team_id, 'CT' FROM sides WHERE ct_team_id IS NOT NULL")
+cte("legs", "SELECT match_id, round_number, start_tick, end_tick, t_team_id AS team_id, 'T' AS side FROM sides WHERE t_team_id IS NOT NULL AND start_tick IS NOT NULL UNION ALL SELECT match_id, round_number, start_tick, end_tick, ct_team_id, 'CT' FROM sides WHERE ct_team_id IS NOT NULL AND start_tick IS NOT NULL AND ct_team_id IS DISTINCT FROM t_team_id")
 cte("spans", """SELECT match_id, team_id, side, island, min(start_tick) AS a, arg_max(end_tick, round_number) AS z FROM (SELECT *, sum(c) OVER (PARTITION BY match_id, team_id ORDER BY round_number) AS island FROM (
   SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY match_id, team_id ORDER BY round_number) THEN 0 ELSE 1 END AS c FROM legs)) GROUP BY 1, 2, 3, 4""")
 
 
-@query("d06_membership_intervals", """SELECT s.match_id, p.player_id, s.team_id, s.side, s.a AS valid_from_tick, coalesce(lead(s.a) OVER (PARTITION BY s.match_id, s.team_id, p.player_id ORDER BY s.island) - 1, s.z) AS valid_to_tick
+cte("mem", """SELECT s.match_id, p.player_id, s.team_id, s.side, s.a AS valid_from_tick, coalesce(lead(s.a) OVER (PARTITION BY s.match_id, s.team_id, p.player_id ORDER BY s.island) - 1, s.z) AS valid_to_tick
   FROM spans s JOIN ptm p ON p.match_id = s.match_id AND p.team_id = s.team_id""")
+
+
+@query("d06_membership_intervals", "SELECT * FROM mem")
 def _(t):
-    obs, teams, pt = player_teams(t)
-    return D.membership_intervals(D.resolve_sides(t.rounds, obs, pt, teams), pt)
+    return canonical(t).memberships
 
 
 _EV = [("kills", "attacker"), ("kills", "victim"), ("damages", "attacker"), ("damages", "victim"), ("shots", ""), ("grenades", ""), ("bombs", "")]
@@ -402,58 +405,78 @@ def _(t):
 
 
 # -- normalized families -----------------------------------------------------
-def normalized(t):
-    return B.normalize_events(B.stable_rows(t.raw_events), t.rounds, player_teams(t)[2])
+cte("nrs", """SELECT o.*, p.team_id, CASE WHEN o.side <> 'UNKNOWN' THEN o.side ELSE coalesce(m.side, 'UNKNOWN') END AS own_side FROM nroles o LEFT JOIN ptm p USING (match_id, player_id)
+  LEFT JOIN mem m ON m.match_id = o.match_id AND m.player_id = o.player_id AND o.tick >= m.valid_from_tick AND (m.valid_to_tick IS NULL OR o.tick <= m.valid_to_tick) WHERE o.tick IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY o.match_id, o.source_event, o.row_key, o.role ORDER BY m.valid_from_tick) = 1""")
+cte("nev", "SELECT n.*, " + ", ".join(f"{r}.player_id AS {r}_player_id, {r}.team_id AS {r}_team_id, coalesce({r}.own_side, 'UNKNOWN') AS {r}_side" for r in ("attacker", "victim", "assister", "victim_user"))
+    .replace("victim_user_", "user_") + """, r.round_id, r.round_number, n.tick - r.start_tick AS relative_tick,
+  CASE WHEN r.round_id IS NULL THEN 'unknown' WHEN n.tick < r.freeze_end_tick THEN 'freeze_time' WHEN n.tick >= r.end_tick THEN 'post_round' WHEN n.tick >= r.freeze_end_tick THEN 'live' ELSE 'unknown' END AS phase
+  FROM nr0 n """ + " ".join(f"LEFT JOIN nrs {r} ON {r}.match_id = n.match_id AND {r}.source_event = n.source_event AND {r}.row_key = n.row_key AND {r}.role = '{r.removeprefix('victim_')}'"
+                             for r in ("attacker", "victim", "assister", "victim_user")) + """
+  LEFT JOIN (SELECT *, lead(start_tick) OVER (PARTITION BY match_id ORDER BY start_tick) AS nxt FROM rb) r
+  ON r.match_id = n.match_id AND n.tick >= r.start_tick AND (r.nxt IS NULL OR n.tick < r.nxt) WHERE n.tick IS NOT NULL""")
+_GT = " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in B.GRENADE_EVENTS.items())
+_GL = " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in B.GRENADE_EVENTS.items())
+_PAIR = ", ".join(f"{r}_{c}" for r in ("attacker", "victim") for c in ("player_id", "team_id", "side"))
+_ONE = "user_player_id AS player_id, user_team_id AS team_id, user_side AS side"
 
 
-cte("nev", """SELECT n.*, a.player_id AS ap, a.side AS a_raw, v.player_id AS vp, v.side AS v_raw, s.player_id AS sp, u.player_id AS up, u.side AS u_raw, ta.team_id AS atm, tv.team_id AS vt, tu.team_id AS ut,
-  r.round_id, r.t_team_id, r.ct_team_id, CASE WHEN r.round_id IS NULL THEN 'unknown' WHEN n.tick < r.freeze_end_tick THEN 'freeze_time' WHEN n.tick >= r.end_tick THEN 'post_round' ELSE 'live' END AS phase
-  FROM nr0 n LEFT JOIN nroles a ON a.row_hash = n.row_hash AND a.role = 'attacker' LEFT JOIN nroles v ON v.row_hash = n.row_hash AND v.role = 'victim' LEFT JOIN nroles s ON s.row_hash = n.row_hash AND s.role = 'assister'
-  LEFT JOIN nroles u ON u.row_hash = n.row_hash AND u.role = 'user' LEFT JOIN ptm ta ON ta.match_id = n.match_id AND ta.player_id = a.player_id LEFT JOIN ptm tv ON tv.match_id = n.match_id AND tv.player_id = v.player_id
-  LEFT JOIN ptm tu ON tu.match_id = n.match_id AND tu.player_id = u.player_id LEFT JOIN (SELECT *, lead(start_tick) OVER (PARTITION BY match_id ORDER BY start_tick) AS nxt FROM rounds) r
-  ON r.match_id = n.match_id AND n.tick >= r.start_tick AND (r.nxt IS NULL OR n.tick < r.nxt) WHERE n.tick IS NOT NULL""")
+def _event_sql(kind, cols, rule):
+    return (f"SELECT sha256(match_id || ':event:{kind}:' || source_event || ':' || tick || ':' || row_key) AS event_id, match_id, round_id, round_number, tick, relative_tick, phase, {cols} "
+            f"FROM nev WHERE {rule}")
 
 
-def _rs(raw, team):
-    return f"CASE WHEN {raw} IS NULL OR {raw} = 'UNKNOWN' THEN CASE WHEN {team} = t_team_id THEN 'T' WHEN {team} = ct_team_id THEN 'CT' ELSE 'UNKNOWN' END ELSE {raw} END"
+cte("c_kills", _event_sql("kill", f"""{_PAIR}, assister_player_id, {_txt('weapon')} AS weapon, {_bool('headshot')} AS headshot, {_nn('penetrated')} AS penetrated, CASE WHEN {_flt('distance')} >= 0 THEN {_flt('distance')} END AS distance,
+  coalesce(attacker_player_id = victim_player_id, FALSE) AS is_suicide, coalesce(attacker_team_id = victim_team_id AND attacker_player_id <> victim_player_id, FALSE) AS is_teamkill""", "source_event = 'player_death'"))
+cte("c_damages", _event_sql("damage", f"{_PAIR}, {_txt('weapon')} AS weapon, {_nn('dmg_health')} AS damage_health, {_nn('health_after')} AS victim_health_after", "source_event = 'player_hurt'"))
+cte("c_shots", _event_sql("shot", f"{_ONE}, {_txt('weapon')} AS weapon", "source_event = 'weapon_fire'"))
+cte("c_blinds", _event_sql("blind", "attacker_player_id, attacker_team_id, attacker_side, user_player_id AS victim_player_id, user_team_id AS victim_team_id, user_side AS victim_side, "
+                           f"CASE WHEN {_flt('blind_duration')} >= 0 THEN {_flt('blind_duration')} END AS duration_seconds", "source_event = 'player_blind'"))
+cte("c_grenades", _event_sql("grenade", f"{_ONE}, CASE source_event {_GT} END AS grenade_type, CASE source_event {_GL} END AS lifecycle_event", f"source_event IN ({', '.join(repr(k) for k in B.GRENADE_EVENTS)})"))
+cte("c_bombs", _event_sql("bomb", f"{_ONE}, CASE source_event WHEN 'bomb_planted' THEN 'planted' WHEN 'bomb_defused' THEN 'defused' ELSE 'exploded' END AS event_type, site AS site_raw, {_site('site')} AS site_normalized", "source_event LIKE 'bomb_%'"))
+cte("c_rounds", """SELECT b.match_id, b.round_id, b.round_number, b.start_tick, b.freeze_end_tick, b.end_tick, b.official_end_tick, s.t_team_id, s.ct_team_id, s.side_certain, s.is_overtime, b.is_complete, o.winner_side,
+  CASE WHEN o.outcome_status IN ('source_event', 'derived_from_authoritative_score_delta') THEN 'available' WHEN o.outcome_status = 'unresolved_conflict' THEN 'unresolved_conflict' ELSE 'missing' END AS outcome_status,
+  o.score_t_before, o.score_ct_before, o.score_t_after, o.score_ct_after, CASE WHEN o.score_status = 'available' THEN 'available' ELSE 'missing' END AS score_status, o.end_reason, FALSE AS is_warmup
+  FROM rb b JOIN sides s USING (match_id, round_number) JOIN oc o USING (match_id, round_number)""")
 
 
-@query("b07_kills", f"""SELECT match_id, row_hash, tick, round_id, phase, ap AS attacker_player_id, vp AS victim_player_id, sp AS assister_player_id, atm AS attacker_team_id, vt AS victim_team_id, {_rs('a_raw', 'atm')} AS attacker_side,
-  {_rs('v_raw', 'vt')} AS victim_side, {_txt('weapon')} AS weapon, {_bool('headshot')} AS headshot, {_nn('penetrated')} AS penetrated, CASE WHEN {_flt('distance')} >= 0 THEN {_flt('distance')} END AS distance,
-  coalesce(ap = vp, FALSE) AS is_suicide, coalesce(atm = vt AND ap <> vp, FALSE) AS is_teamkill FROM nev WHERE source_event = 'player_death'""")
+@query("b07_kills", "SELECT * FROM c_kills")
 def _(t):
-    return B.normalize_kills(normalized(t))
+    return canonical(t).kills
+
+
+for _n, _s in (("b08_damages", "damages"), ("b08_shots", "shots"), ("b08_blinds", "blinds"), ("b09_grenades", "grenades"), ("b10_bombs", "bombs")):
+    query(_n, f"SELECT * FROM c_{_s}")(lambda t, s=_s: getattr(canonical(t), s))
 
 
-@query("b08_damage_shots_blinds", f"""SELECT match_id, row_hash, source_event, tick, round_id, phase, CASE WHEN source_event = 'weapon_fire' THEN up ELSE ap END AS actor_player_id,
-  CASE source_event WHEN 'player_blind' THEN up WHEN 'player_hurt' THEN vp END AS target_player_id, CASE WHEN source_event = 'weapon_fire' THEN {_rs('u_raw', 'ut')} ELSE {_rs('a_raw', 'atm')} END AS actor_side,
-  CASE WHEN source_event <> 'player_blind' THEN {_txt('weapon')} END AS weapon, CASE WHEN source_event = 'player_hurt' THEN {_nn('dmg_health')} END AS damage_health,
-  CASE WHEN source_event = 'player_hurt' THEN {_nn('health_after')} END AS victim_health_after, CASE WHEN source_event = 'player_blind' AND {_flt('blind_duration')} >= 0 THEN {_flt('blind_duration')} END AS duration_seconds
-  FROM nev WHERE source_event IN ('player_hurt', 'weapon_fire', 'player_blind')""")
+@query("b11_event_profile", f"""SELECT source_event, field, present, missing, row_count, missing_tick, coalesce(player_count, 0) AS player_count FROM (
+  SELECT source_event, field, count(*) AS present, count(*) FILTER (value IS NULL OR trim(value) = '') AS missing FROM ({' UNION ALL '.join(
+    f"SELECT source_event, lower(CASE WHEN k % 2 = 0 THEN '{even}' ELSE '{odd}' END) AS field, CAST({c} AS VARCHAR) AS value FROM raw_all" + (f" WHERE {c} IS NOT NULL" if c in SPARSE else "") for c, (even, odd) in RAW_KEYS.items())}) GROUP BY 1, 2)
+  JOIN (SELECT source_event, count(*) AS row_count, count(*) FILTER (({_nn(_TICK)}) IS NULL) AS missing_tick FROM raw_all GROUP BY 1) USING (source_event)
+  LEFT JOIN (SELECT source_event, count(DISTINCT steam) AS player_count FROM (SELECT source_event, unnest([{_sid('a_steam')}, {_sid('u_steam')}, {_sid('p_steam')}]) AS steam FROM raw_all) GROUP BY 1) USING (source_event)""")
 def _(t):
-    return B.normalize_damage_family(normalized(t))
+    return B.event_profile(t.raw_events)
 
 
-_GT = " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in B.GRENADE_EVENTS.items())
-_GL = " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in B.GRENADE_EVENTS.items())
+# -- the whole chain ---------------------------------------------------------
+_OF_CHAIN = {n: f"SELECT * FROM c_{n}" for n in ("rounds", "kills", "damages", "shots", "grenades", "blinds", "bombs")} | {"memberships": "SELECT * FROM mem"}
+_ROUND_COLS = ["match_id", "round_id", "round_number", "start_tick", "freeze_end_tick", "end_tick", "official_end_tick", "t_team_id", "ct_team_id", "side_certain", "is_overtime", "is_complete", "winner_side", "outcome_status",
+               "score_t_before", "score_ct_before", "score_t_after", "score_ct_after", "score_status", "end_reason"]
 
 
-@query("b09_grenades", f"""SELECT match_id, row_hash, tick, round_id, phase, up AS player_id, ut AS team_id, {_rs('u_raw', 'ut')} AS side, CASE source_event {_GT} END AS grenade_type, CASE source_event {_GL} END AS lifecycle_event
-  FROM nev WHERE source_event IN ({', '.join(repr(k) for k in B.GRENADE_EVENTS)})""")
+@query("b12_canonical_rounds", f"SELECT {', '.join(_ROUND_COLS)} FROM c_rounds")
 def _(t):
-    return B.normalize_grenades(normalized(t))
+    return canonical(t).rounds.select(*_ROUND_COLS)
 
 
-@query("b10_bombs", f"""SELECT match_id, row_hash, tick, round_id, phase, up AS player_id, ut AS team_id, {_rs('u_raw', 'ut')} AS side, CASE source_event WHEN 'bomb_planted' THEN 'planted' WHEN 'bomb_defused' THEN 'defused' ELSE 'exploded' END AS event_type,
-  site AS site_raw, {_site('site')} AS site_normalized FROM nev WHERE source_event LIKE 'bomb_%'""")
+@query("b13_raw_to_player_match", f"SELECT * FROM ({scoped('SELECT * FROM pm', _OF_CHAIN)})")
 def _(t):
-    return B.normalize_bombs(normalized(t))
+    return stats(canonical(t)).player_matches
 
 
-@query("b11_event_profile", f"""SELECT source_event, count(*) AS row_count, count(*) FILTER (({_nn('tick_text')}) IS NULL) AS missing_tick, count(*) FILTER (weapon IS NOT NULL AND {_txt('weapon')} IS NULL) AS missing_weapon,
-  len(list_distinct(list_concat(list({_sid('a_steam')}), list({_sid('u_steam')})))) AS player_count FROM raw_cols GROUP BY source_event""")
+@query("b14_raw_to_team_match", f"SELECT * FROM ({scoped(TEAM_MATCH, _OF_CHAIN)})")
 def _(t):
-    return B.event_profile(t.raw_events).drop("columns")
+    return stats(canonical(t)).team_matches
 
 
 # -- integrity ---------------------------------------------------------------

@@ -22,19 +22,26 @@ def cte(name: str, sql: str) -> None:
     _CTES[name] = sql
 
 
-def with_clause(sql: str) -> str:
+def with_clause(sql: str, given: dict[str, str] | None = None) -> str:
+    given = given or {}
     needed: set[str] = set()
     todo = [sql]
     while todo:
         text = todo.pop()
         for word in set(re.findall(r"\b[a-z_][a-z0-9_]*\b", text)):
-            if word in _CTES and word not in needed:
+            if word in _CTES and word not in needed and word not in given:
                 needed.add(word)
                 todo.append(_CTES[word])
-    parts = [f"{n} AS ({_CTES[n]})" for n in _CTES if n in needed]
+    parts = [f"{n} AS ({q})" for n, q in given.items()] + [f"{n} AS ({_CTES[n]})" for n in _CTES if n in needed]
     return f"WITH RECURSIVE {', '.join(parts)} {sql}" if parts else sql
 
 
+def scoped(sql: str, given: dict[str, str]) -> str:
+    """``sql`` with some relations replaced: ``given`` may name relations of the surrounding query."""
+    inner = with_clause(sql, given)
+    return inner if inner.startswith("WITH") else f"WITH RECURSIVE {', '.join(f'{n} AS ({q})' for n, q in given.items())} {sql}"
+
+
 def tables(spark: SparkSession, path: str) -> MatchTables:
     """Tables of one session and folder; derived layers built on them are reused by later queries."""
     key = (spark.sparkContext.applicationId, path)
@@ -44,7 +51,9 @@ def tables(spark: SparkSession, path: str) -> MatchTables:
 
 
 def forget_layers() -> None:
-    """Drop reused layers, so the next query builds everything itself (used by the benchmark)."""
+    """Drop reused layers and their files, so the next query builds everything itself (used by the benchmark)."""
+    for t in _TABLES.values():
+        t.close()
     _TABLES.clear()
 
 

@@ -13,7 +13,8 @@ CFG = StatsConfig(trade_window_ticks=WINDOW)
 
 
 def stats(t, share: bool = False) -> S.RoundStats:
-    return S.RoundStats(t, CFG, share)
+    """Statistics over any table set; tables derived from events read these once, through the columnar layer."""
+    return S.RoundStats(getattr(t, "once", t), CFG, share)
 
 
 cte("er", """SELECT *, CASE WHEN coalesce(official_end_tick, end_tick, freeze_end_tick, start_tick) > start_tick
@@ -289,7 +290,7 @@ cte("tm0", "SELECT match_id, team_id, count(*) AS rounds_played, count(*) FILTER
     "count(*) FILTER (side = 'CT' AND round_has_plant) AS ct_plant_rounds, count(*) FILTER (side = 'CT' AND tr.defuses > 0) AS ct_defuse_rounds FROM tr GROUP BY match_id, team_id")
 
 
-@query("f02_team_match", f"""SELECT match_id, team_id, rounds_played, CASE WHEN win_ok THEN round_wins END AS round_wins, t_rounds, ct_rounds,
+TEAM_MATCH = f"""SELECT match_id, team_id, rounds_played, CASE WHEN win_ok THEN round_wins END AS round_wins, t_rounds, ct_rounds,
   CASE WHEN win_ok THEN t_round_wins END AS t_round_wins, CASE WHEN win_ok THEN ct_round_wins END AS ct_round_wins, kills, deaths, assists, enemy_damage,
   {_rat('enemy_damage', 'rounds_played')} AS adr, opening_kill AS opening_kills, opening_death AS opening_deaths,
   CASE WHEN win_ok THEN opening_kill_converted END AS opening_kill_conversions, CASE WHEN win_ok THEN {_pct('opening_kill_converted', 'opening_kill')} END AS opening_conversion_percentage,
@@ -302,7 +303,10 @@ cte("tm0", "SELECT match_id, team_id, count(*) AS rounds_played, count(*) FILTER
   plants, defuses, explosions, planted_round AS rounds_with_plant, rounds_with_defuse, rounds_with_explosion,
   CASE WHEN win_ok THEN {_pct('post_plant_won', 'planted_round')} END AS post_plant_conversion_percentage,
   {_pct('bomb_outcome_observed', 'planted_round')} AS bomb_outcome_coverage_percentage, {_pct('ct_defuse_rounds', 'ct_plant_rounds')} AS ct_defuse_success_percentage
-  FROM tm0 JOIN gates USING (match_id)""")
+  FROM tm0 JOIN gates USING (match_id)"""
+
+
+@query("f02_team_match", TEAM_MATCH)
 def _(t):
     return stats(t).team_matches
 

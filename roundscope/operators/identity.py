@@ -15,14 +15,16 @@ SEPARATOR_TAG = r"^([A-Za-z0-9_-]{2,12})\s*[|:]\s*"
 
 
 def player_identities(roles: DataFrame) -> DataFrame:
-    tick = F.coalesce("tick", F.lit(-1))
+    """One row per player of a match.  Rows of the player list and rows without tick come before all others."""
+    tick = F.when(F.col("source_event") == "player_info", -1).otherwise(F.coalesce("tick", F.lit(-1)))
     named = F.when(F.col("name").isNotNull(), F.struct(tick.alias("t"), F.col("name").alias("n")))
     on, off = (F.when(F.col("source_event") == s, F.col("tick")) for s in ("player_connect_full", "player_disconnect"))
     g = roles.groupBy("match_id", "player_id").agg(
         F.max("steam").alias("steam_id"), F.max(named).alias("latest"), F.sort_array(F.collect_set("name")).alias("known_names"),
         F.bool_or("is_bot").alias("is_bot"), truth(F.max(on) > F.min(off)).alias("reconnect_observed"))
     unknown = F.concat(F.lit("UnknownPlayer-"), F.substring("player_id", 1, 8))
-    return g.select("match_id", "player_id", "steam_id", F.coalesce("latest.n", unknown).alias("current_name"), "known_names", "is_bot",
+    names = F.when(F.size("known_names") > 0, F.col("known_names")).otherwise(F.array(unknown))
+    return g.select("match_id", "player_id", "steam_id", F.coalesce("latest.n", unknown).alias("current_name"), names.alias("known_names"), "is_bot",
                     (F.size("known_names") > 1).alias("nickname_change_observed"), "reconnect_observed", F.col("steam_id").isNull().alias("steam_id_missing"))
 
 
@@ -108,8 +110,12 @@ def resolve_sides(rounds: DataFrame, seen: DataFrame, assigned: DataFrame, teams
 
 
 def membership_intervals(sides: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Consecutive rounds of equal side merged; spans are found per team, then given to its players."""
-    legs = F.array(F.struct(F.col("t_team_id").alias("team_id"), F.lit("T").alias("side")), F.struct(F.col("ct_team_id").alias("team_id"), F.lit("CT").alias("side")))
+    """Consecutive rounds of equal side merged; spans are found per team, then given to its players.
+
+    Of a team that a round shows on both sides, the T side counts.
+    """
+    other = F.when(~F.col("t_team_id").eqNullSafe(F.col("ct_team_id")), F.col("ct_team_id"))
+    legs = F.array(F.struct(F.col("t_team_id").alias("team_id"), F.lit("T").alias("side")), F.struct(other.alias("team_id"), F.lit("CT").alias("side")))
     s = sides.where("start_tick IS NOT NULL").select("match_id", "round_number", "start_tick", "end_tick", F.inline(legs)).where("team_id IS NOT NULL")
     w = Window.partitionBy("match_id", "team_id").orderBy("round_number")
     s = s.withColumn("new", F.coalesce((F.col("side") != F.lag("side").over(w)).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(w))
@@ -119,6 +125,12 @@ def membership_intervals(sides: DataFrame, assigned: DataFrame) -> DataFrame:
     return g.join(assigned, ["match_id", "team_id"]).select("match_id", "player_id", "team_id", "side", "valid_from_tick", "valid_to_tick")
 
 
+def player_spans(assigned: DataFrame, memberships: DataFrame) -> DataFrame:
+    """One row per player with a team: its memberships in order, of which there are as many as side changes."""
+    spans = memberships.groupBy("match_id", "player_id").agg(F.sort_array(F.collect_list(F.struct("valid_from_tick", "valid_to_tick", "side"))).alias("spans"))
+    return assigned.select("match_id", "player_id", "team_id").join(spans, ["match_id", "player_id"], "left")
+
+
 def participation_status(rounds: DataFrame, players: DataFrame, memberships: DataFrame, evidence: DataFrame) -> DataFrame:
     """Membership against event evidence per (round, player).
 
@@ -163,7 +175,7 @@ def team_names(marks: DataFrame, rounds: DataFrame, players: DataFrame) -> DataF
     m = assign_rounds(marks.where(F.col("source_event").isin(*NAME_SOURCES)).select("match_id", "source_event", "tick", "t_clan", "ct_clan"), rounds)
     legs = F.array(F.struct(F.col("round_t_team").alias("team_id"), F.col("t_clan").alias("raw")), F.struct(F.col("round_ct_team").alias("team_id"), F.col("ct_clan").alias("raw")))
     m = m.where("round_number IS NOT NULL").select("match_id", "round_number", rank.alias("rank"), F.inline(legs))
-    name = F.substring(F.trim(F.regexp_replace("raw", r"\s+", " ")), 1, 100)
+    name = F.trim(F.regexp_replace("raw", r"\s+", " "))
     m = m.withColumn("name", F.nullif(name, F.lit(""))).where("team_id IS NOT NULL AND name IS NOT NULL")
     per = m.groupBy("match_id", "team_id", "round_number", "rank").agg(F.min("name").alias("lo"), F.max("name").alias("hi"))
     per = per.groupBy("match_id", "team_id", "round_number").agg(F.min(F.struct("rank", "lo", "hi")).alias("b")).where("b.lo = b.hi")

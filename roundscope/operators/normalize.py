@@ -22,6 +22,8 @@ GRENADE_EVENTS = {
 }
 BOMB_EVENTS = {"bomb_planted": "planted", "bomb_defused": "defused", "bomb_exploded": "exploded"}
 SITES = {"a": "A", "bombsite_a": "A", "site_a": "A", "b": "B", "bombsite_b": "B", "site_b": "B"}
+PRESENCE = ("player_connect_full", "player_disconnect")
+PLAYER_LIST = "player_info"
 ROLES = {"player_death": ("attacker", "victim", "assister"), "player_hurt": ("attacker", "victim"), "player_blind": ("attacker", "user")}
 
 
@@ -33,8 +35,12 @@ def alias_column(df: DataFrame, aliases: tuple[str, ...]) -> Column:
 
 
 def field(*aliases: str) -> Column:
-    """First alias in the lower-cased ``data`` map; landing maps hold no NULL values."""
-    return F.coalesce(*[F.col("data")[a.lower()] for a in aliases])
+    """First alias that the lower-cased ``data`` map has, whatever its value: a NULL there is not replaced by a later alias."""
+    data = F.col("data")
+    out = F.when(F.map_contains_key(data, aliases[0].lower()), data[aliases[0].lower()])
+    for a in aliases[1:]:
+        out = out.when(F.map_contains_key(data, a.lower()), data[a.lower()])
+    return out
 
 
 def optional_text(c: Column) -> Column:
@@ -90,65 +96,37 @@ def payload(data: Column) -> Column:
 
 
 def stable_rows(raw: DataFrame) -> DataFrame:
-    """Rows without warm-up, with tick and payload hash."""
+    """Rows with tick, payload hash and row key; warm-up rows go, those of the player list stay."""
     df = once(raw, row_hash=F.sha2(payload(F.col("data")), 256), data=F.transform_keys("data", lambda k, _: F.lower(k)))
     df = once(df, warm=F.coalesce(optional_bool(field(*WARMUP)), F.lit(False)), tick=non_negative_int(field(*TICKS)).cast("int"))
-    return df.where("NOT warm").drop("warm")
+    df = df.where((F.col("source_event") == PLAYER_LIST) | ~F.col("warm")).drop("warm")
+    return numbered_copies(df, ["match_id", "source_event", "row_hash"], keep=["data", "tick"]).withColumn("row_key", F.concat_ws(":", "row_hash", "ordinal"))
 
 
-def numbered_copies(rows: DataFrame, keys: list[str], chunk: int = 100_000) -> DataFrame:
-    """Row key = hash plus duplicate ordinal.
+def numbered_copies(rows: DataFrame, keys: list[str], chunk: int = 100_000, keep: list[str] | None = None) -> DataFrame:
+    """Row key = hash plus duplicate ordinal; ``keep`` names columns that equal rows have in common.
 
     Copies are identical, so they are counted with map-side combine and expanded again;
     a huge group of copies is expanded in chunks spread over the cluster.
     """
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("copies"))
-    parts = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / chunk))))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in keep or []])
+    few = counted.where(F.col("copies") <= chunk).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    parts = counted.where(F.col("copies") > chunk).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / chunk))))
     parts = parts.repartition(*keys, "part")
     first, last = F.col("part") * chunk, F.least((F.col("part") + 1) * chunk, F.col("copies")) - 1
-    return parts.withColumn("ordinal", F.explode(F.sequence(first, last))).drop("part", "copies")
-
-
-def role(prefix: str, *, fallback: bool = False) -> Column:
-    """steam, name, side and bot flag of one role."""
-    sid = steam_id(field(f"{prefix}_steamid", f"{prefix}_steam_id"))
-    name = optional_text(field(f"{prefix}_name"))
-    side = normalize_side(field(f"{prefix}_team_name", f"{prefix}_team"))
-    bot = F.coalesce(optional_bool(field(f"{prefix}_isbot", f"{prefix}_is_bot")), F.lit(False))
-    if fallback:
-        miss = sid.isNull() & name.isNull()
-        sid, name, side, bot = (
-            F.when(miss, steam_id(field("steamid", "steam_id", "player_steamid"))).otherwise(sid),
-            F.when(miss, optional_text(field("name", "player_name"))).otherwise(name),
-            F.when(miss, normalize_side(field("team_name", "team", "player_team"))).otherwise(side),
-            F.when(miss, F.coalesce(optional_bool(field("isbot", "is_bot")), F.lit(False))).otherwise(bot))
-    return F.struct(sid.alias("steam"), name.alias("name"), side.alias("side"), bot.alias("is_bot"))
-
-
-def player_key(match: Column, who, source: Column, row_hash: Column, role_name: Column) -> Column:
+    many = parts.withColumn("ordinal", F.explode(F.sequence(first, last))).drop("part")
+    return few.unionByName(many).drop("copies")
+
+
+def player_key(match: Column, steam: Column, name: Column, source: Column, row_key: Column, role_name: Column) -> Column:
     """One id per platform id; rows without one keep an id of their own."""
-    known = F.concat_ws(":", match, F.lit("player"), F.lit("steam"), who["steam"])
-    loose = F.concat_ws(":", match, F.lit("player"), F.lit("unknown"), source, row_hash, role_name, F.coalesce(who["name"], F.lit("")))
-    return F.when(who["steam"].isNotNull(), F.sha2(known, 256)).when(who["name"].isNotNull(), F.sha2(loose, 256))
-
-
-def with_roles(rows: DataFrame) -> DataFrame:
-    """attacker, victim, assister and user structs, each with its player id (empty roles NULL)."""
-    src = F.col("source_event")
-    plan = {"attacker": ("attacker", list(ROLES)), "victim": ("user", ["player_death", "player_hurt"]),
-            "assister": ("assister", ["player_death"]), "user": ("user", None)}
-    for name, (prefix, only) in plan.items():
-        used = src.isin(*only) if only else ~src.isin("player_death", "player_hurt")
-        who = role(prefix, fallback=name == "user")
-        rows = once(rows, _w=who)
-        pid = player_key(F.col("match_id"), F.col("_w"), src, F.col("row_hash"), F.lit(name))
-        rows = once(rows, _p=pid)
-        rows = rows.withColumn(name, F.when(used & F.col("_p").isNotNull(), F.struct("_w.*", F.col("_p").alias("player_id")))).drop("_w", "_p")
-    return rows
+    known = F.concat_ws(":", match, F.lit("player"), F.lit("steam"), steam)
+    loose = F.concat_ws(":", match, F.lit("player"), F.lit("unknown"), source, row_key, role_name, F.coalesce(name, F.lit("")))
+    return F.when(steam.isNotNull(), F.sha2(known, 256)).when(name.isNotNull() | (source == PLAYER_LIST), F.sha2(loose, 256))
 
 
 def role_rows(rows: DataFrame) -> DataFrame:
-    """One row per present role: the raw texts are unpivoted first, then cleaned once."""
+    """One row per present role: the raw texts are unpivoted first, then cleaned once.  Connections count only with a platform id."""
     death, pair, other = F.col("source_event") == "player_death", F.col("source_event").isin("player_death", "player_hurt"), F.col("source_event").isin(*ROLES)
 
     def texts(name: str, prefix: str, used: Column) -> Column:
@@ -161,85 +139,97 @@ def role_rows(rows: DataFrame) -> DataFrame:
         return F.when(used, F.struct(F.lit(name).alias("role"), sid.alias("sid"), nm.alias("nm"), side.alias("sd"), bot.alias("bt")))
 
     items = F.array_compact(F.array(texts("attacker", "attacker", other), texts("victim", "user", pair), texts("assister", "assister", death), texts("user", "user", ~pair)))
-    out = rows.select("match_id", "source_event", "tick", "row_hash", F.inline(items))
+    out = rows.select("match_id", "source_event", "tick", "row_key", F.inline(items))
     out = once(out, steam=steam_id(F.col("sid")), name=optional_text(F.col("nm")))
-    who = {"steam": F.col("steam"), "name": F.col("name")}
-    pid = player_key(F.col("match_id"), who, F.col("source_event"), F.col("row_hash"), F.col("role"))
-    return once(out, player_id=pid).select("match_id", "source_event", "tick", "row_hash", "role", "steam", "name", normalize_side(F.col("sd")).alias("side"),
+    out = out.where(~F.col("source_event").isin(*PRESENCE) | F.col("steam").isNotNull())
+    pid = player_key(F.col("match_id"), F.col("steam"), F.col("name"), F.col("source_event"), F.col("row_key"), F.col("role"))
+    return once(out, player_id=pid).select("match_id", "source_event", "tick", "row_key", "role", "steam", "name", normalize_side(F.col("sd")).alias("side"),
                       F.coalesce(optional_bool(F.col("bt")), F.lit(False)).alias("is_bot"), "player_id").where("player_id IS NOT NULL")
 
 
 def event_profile(raw: DataFrame) -> DataFrame:
-    """Per event name: rows, fields seen, rows without a usable tick, distinct players."""
+    """Per event name and field: rows with the field, missing values, rows without a usable tick, distinct players.
+
+    Fields are unpivoted and counted with map-side combine; players are distinct (event, id) pairs before they are counted.
+    """
     df = lowered(raw)
-    per = df.groupBy("source_event").agg(
-        F.count("*").alias("row_count"),
-        F.count_if(non_negative_int(field(*TICKS)).isNull()).alias("missing_tick"),
-        F.count_if(field("weapon").isNotNull() & optional_text(field("weapon")).isNull()).alias("missing_weapon"))
+    text = F.lower(F.trim("value"))
+    fields = df.select("source_event", F.explode("data").alias("field", "value")).groupBy("source_event", "field").agg(
+        F.count("*").alias("present"), F.count_if(F.col("value").isNull() | (text == "")).alias("missing"))
+    per = df.groupBy("source_event").agg(F.count("*").alias("row_count"), F.count_if(non_negative_int(field(*TICKS)).isNull()).alias("missing_tick"))
     ids = df.select("source_event", F.explode(F.array(
-        steam_id(field("attacker_steamid", "attacker_steam_id")), steam_id(field("user_steamid", "user_steam_id")))).alias("steam"))
-    players = ids.where("steam IS NOT NULL").groupBy("source_event").agg(F.countDistinct("steam").alias("player_count"))
-    fields = df.select("source_event", F.explode(F.map_keys("data")).alias("key")).distinct()
-    columns = fields.groupBy("source_event").agg(F.sort_array(F.collect_set("key")).alias("columns"))
-    return per.join(players, "source_event", "left").join(columns, "source_event").fillna(0, ["player_count"])
+        steam_id(field("attacker_steamid", "attacker_steam_id")), steam_id(field("user_steamid", "user_steam_id")), steam_id(field("steamid", "steam_id", "player_steamid")))).alias("steam"))
+    players = ids.where("steam IS NOT NULL").distinct().groupBy("source_event").agg(F.count("*").alias("player_count"))
+    return fields.join(per, "source_event").join(players, "source_event", "left").fillna(0, ["player_count"])
 
 
-def normalize_events(rows: DataFrame, rounds: DataFrame, player_teams: DataFrame) -> DataFrame:
-    """Rows of every family with round, phase, ids, teams and sides resolved.
+EVENT = ["event_id", "match_id", "round_id", "round_number", "tick", "relative_tick", "phase"]
 
-    Round and team facts come as one packed row per match, so the only join key is the
-    match and no row is multiplied.
+
+def normalize_events(rows: DataFrame, roles: DataFrame, rounds: DataFrame, players: DataFrame) -> DataFrame:
+    """Rows of every family with round, phase, and each role's player, team and side.
+
+    ``players(match_id, player_id, team_id, spans)`` is joined to the role rows on both keys, so players without a platform id, of whom there are as
+    many as rows, never pile up in one row of a match.  A side that the row doesn't tell is that of the player's membership at its tick.
     """
     from .rounds import assign_rounds
 
-    ev = assign_rounds(with_roles(rows).where("tick IS NOT NULL"), rounds)
-    teams = player_teams.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("player_id", "team_id"))).alias("_teams"))
-    ev = ev.join(teams, "match_id", "left")
-    for r in ("attacker", "victim", "assister", "user"):
-        team = F.col("_teams")[F.col(f"{r}.player_id")]
-        own = F.when(team == F.col("round_t_team"), "T").when(team == F.col("round_ct_team"), "CT").otherwise("UNKNOWN")
-        raw_side = F.col(f"{r}.side")
-        side = F.when(raw_side.isNull() | (raw_side == "UNKNOWN"), own).otherwise(raw_side)
-        ev = ev.withColumn(f"{r}_player_id", F.col(f"{r}.player_id")).withColumn(f"{r}_team_id", team).withColumn(f"{r}_side", side)
-    return ev.drop("_teams")
+    r = roles.where("tick IS NOT NULL").join(players, ["match_id", "player_id"], "left")
+    span = F.expr("try_element_at(filter(spans, s -> tick >= s.valid_from_tick AND (s.valid_to_tick IS NULL OR tick <= s.valid_to_tick)), 1).side")
+    side = F.when(F.col("side") != "UNKNOWN", F.col("side")).otherwise(F.coalesce(span, F.lit("UNKNOWN")))
+    who = F.struct("player_id", "team_id", side.alias("side"))
+    names = ("attacker", "victim", "assister", "user")
+    wide = r.groupBy("match_id", "source_event", "row_key").agg(*[F.max(F.when(F.col("role") == n, who)).alias(n) for n in names])
+    ev = assign_rounds(rows.where("tick IS NOT NULL"), rounds).join(wide, ["match_id", "source_event", "row_key"], "left")
+    return ev.select("*", *[c for n in names for c in (F.col(f"{n}.player_id").alias(f"{n}_player_id"), F.col(f"{n}.team_id").alias(f"{n}_team_id"),
+                                                       F.coalesce(f"{n}.side", F.lit("UNKNOWN")).alias(f"{n}_side"))]).drop(*names)
+
+
+def _family(ev: DataFrame, kind: str, rule: Column, *cols) -> DataFrame:
+    key = F.concat_ws(":", "match_id", F.lit("event"), F.lit(kind), "source_event", F.col("tick").cast("string"), "row_key")
+    return ev.where(rule).select(F.sha2(key, 256).alias("event_id"), *EVENT[1:], *cols)
+
+
+def _of(role_name: str, out: str = "") -> list[Column]:
+    return [F.col(f"{role_name}_{c}").alias(f"{out}_{c}" if out else c) for c in ("player_id", "team_id", "side")]
 
 
 def normalize_kills(ev: DataFrame) -> DataFrame:
     a, v = F.col("attacker_player_id"), F.col("victim_player_id")
     same = F.col("attacker_team_id") == F.col("victim_team_id")
-    return ev.where("source_event = 'player_death'").select(
-        "match_id", "row_hash", "tick", "round_id", "phase", "attacker_player_id", "victim_player_id", "assister_player_id",
+    return _family(
+        ev, "kill", F.col("source_event") == "player_death", "attacker_player_id", "victim_player_id", "assister_player_id",
         "attacker_team_id", "victim_team_id", "attacker_side", "victim_side", optional_text(field("weapon")).alias("weapon"),
         optional_bool(field("headshot")).alias("headshot"), non_negative_int(field("penetrated")).alias("penetrated"),
         non_negative_float(field("distance")).alias("distance"),
         F.coalesce(a == v, F.lit(False)).alias("is_suicide"), F.coalesce(same & (a != v), F.lit(False)).alias("is_teamkill"))
 
 
-def normalize_damage_family(ev: DataFrame) -> DataFrame:
-    """Damages, shots and blinds in one shape."""
-    src = F.col("source_event")
-    blind, shot = src == "player_blind", src == "weapon_fire"
-    actor = F.when(shot, F.col("user_player_id")).otherwise(F.col("attacker_player_id"))
-    actor_side = F.when(shot, F.col("user_side")).otherwise(F.col("attacker_side"))
-    target = F.when(blind, F.col("user_player_id")).when(~shot, F.col("victim_player_id"))
-    return ev.where(src.isin("player_hurt", "weapon_fire", "player_blind")).select(
-        "match_id", "row_hash", "source_event", "tick", "round_id", "phase", actor.alias("actor_player_id"), target.alias("target_player_id"),
-        actor_side.alias("actor_side"), F.when(~blind, optional_text(field("weapon"))).alias("weapon"),
-        F.when(~blind & ~shot, non_negative_int(field("dmg_health"))).alias("damage_health"),
-        F.when(~blind & ~shot, non_negative_int(field("health"))).alias("victim_health_after"),
-        F.when(blind, non_negative_float(field("blind_duration", "duration"))).alias("duration_seconds"))
+def normalize_damages(ev: DataFrame) -> DataFrame:
+    return _family(ev, "damage", F.col("source_event") == "player_hurt", *_of("attacker", "attacker"), *_of("victim", "victim"), optional_text(field("weapon")).alias("weapon"),
+                   non_negative_int(field("dmg_health")).alias("damage_health"), non_negative_int(field("health")).alias("victim_health_after"))
+
+
+def normalize_shots(ev: DataFrame) -> DataFrame:
+    return _family(ev, "shot", F.col("source_event") == "weapon_fire", *_of("user"), optional_text(field("weapon")).alias("weapon"))
+
+
+def normalize_blinds(ev: DataFrame) -> DataFrame:
+    return _family(ev, "blind", F.col("source_event") == "player_blind", *_of("attacker", "attacker"), *_of("user", "victim"),
+                   non_negative_float(field("blind_duration", "duration")).alias("duration_seconds"))
 
 
 def normalize_grenades(ev: DataFrame) -> DataFrame:
     types = F.create_map(*[x for k, (t, life) in GRENADE_EVENTS.items() for x in (F.lit(k), F.struct(F.lit(t).alias("t"), F.lit(life).alias("l")))])
-    g = ev.where(F.col("source_event").isin(*GRENADE_EVENTS)).withColumn("_g", types[F.col("source_event")])
-    return g.select("match_id", "row_hash", "tick", "round_id", "phase", F.col("user_player_id").alias("player_id"), F.col("user_team_id").alias("team_id"),
-                    F.col("user_side").alias("side"), F.col("_g.t").alias("grenade_type"), F.col("_g.l").alias("lifecycle_event"))
+    kind = types[F.col("source_event")]
+    return _family(ev, "grenade", F.col("source_event").isin(*GRENADE_EVENTS), *_of("user"), kind["t"].alias("grenade_type"), kind["l"].alias("lifecycle_event"))
 
 
 def normalize_bombs(ev: DataFrame) -> DataFrame:
     types = F.create_map(*[F.lit(x) for kv in BOMB_EVENTS.items() for x in kv])
     raw_site = field("site", "bombsite")
-    return ev.where(F.col("source_event").isin(*BOMB_EVENTS)).select(
-        "match_id", "row_hash", "tick", "round_id", "phase", F.col("user_player_id").alias("player_id"), F.col("user_team_id").alias("team_id"),
-        F.col("user_side").alias("side"), types[F.col("source_event")].alias("event_type"), raw_site.alias("site_raw"), normalize_site(raw_site).alias("site_normalized"))
+    return _family(ev, "bomb", F.col("source_event").isin(*BOMB_EVENTS), *_of("user"), types[F.col("source_event")].alias("event_type"),
+                   raw_site.alias("site_raw"), normalize_site(raw_site).alias("site_normalized"))
+
+
+FAMILIES = {"kills": normalize_kills, "damages": normalize_damages, "shots": normalize_shots, "grenades": normalize_grenades, "blinds": normalize_blinds, "bombs": normalize_bombs}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..config import SESSION_DEFAULTS
 from ..functions.common import once
+from .layer import Layer
+from .store import shared_folder
 
 
 def _side(slot: str) -> str:
@@ -188,18 +190,21 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "CASE WHEN k_max % 3 = 0 THEN 'Smoke Grenade' WHEN k_max % 3 = 1 THEN 'weapon_flashbang' ELSE 'C4' END AS item_b",
     ]),
     # --- landing rows with dirty text values, and round markers -------------
-    "raw_cols": ("ev", "", [
+    # some rows occur twice; the second copy is equal in every field
+    "raw_copies": ("ev", "", ["*", "EXPLODE[0, 1] AS copy"]),
+    "raw_cols": ("raw_copies", "copy = 0 OR k % 29 = 11", [
         "match_id", "k", "event_id AS seq",
         "CASE event_type WHEN 'error' THEN 'player_death' WHEN 'click' THEN CASE WHEN k % 2 = 0 THEN 'player_hurt' ELSE 'weapon_fire' END "
         "WHEN 'view' THEN 'player_blind' WHEN 'signup' THEN CASE WHEN k < 50 THEN 'bomb_planted' WHEN k < 75 THEN 'bomb_defused' ELSE 'bomb_exploded' END "
         "ELSE CASE k % 7 WHEN 0 THEN 'smokegrenade_detonate' WHEN 1 THEN 'smokegrenade_expired' WHEN 2 THEN 'inferno_startburn' WHEN 3 THEN 'inferno_expire' "
         "WHEN 4 THEN 'flashbang_detonate' WHEN 5 THEN 'hegrenade_detonate' ELSE 'decoy_detonate' END END AS source_event",
         "CASE WHEN k % 37 = 5 THEN 'True' WHEN k % 3 = 0 THEN '0' END AS warm",
-        "CASE k WHEN 13 THEN 'bad' WHEN 14 THEN '-5' WHEN 15 THEN NULL ELSE '' || tick END AS tick_text",
+        "CASE k WHEN 13 THEN 'bad' WHEN 14 THEN '-5' WHEN 15 THEN NULL WHEN 16 THEN NULL ELSE '' || tick END AS tick_text", "CASE WHEN k = 15 OR k = 16 THEN '77' END AS other_tick",
         "CASE WHEN k % 41 = 7 THEN 'abc' WHEN k % 43 = 9 THEN NULL WHEN k % 5 = 1 THEN '7656' || (lobby * 10 + a) || '.0' ELSE '7656' || (lobby * 10 + a) END AS a_steam",
         "CASE WHEN k % 47 = 3 THEN ' ' WHEN k % 9 = 0 THEN '  n' || (lobby * 10 + a) || ' ' WHEN rn > 20 THEN 'x' || (lobby * 10 + a) ELSE 'n' || (lobby * 10 + a) END AS a_name",
         f"CASE WHEN k % 29 = 0 THEN 'spectator' WHEN ({_side('a')}) = 'T' THEN CASE k % 4 WHEN 0 THEN '2' WHEN 1 THEN ' T' WHEN 2 THEN 'TERRORIST' ELSE 'team_t' END "
         "ELSE CASE k % 4 WHEN 0 THEN '3' WHEN 1 THEN 'ct ' WHEN 2 THEN 'Counter-Terrorists' ELSE 'TEAM_CT' END END AS a_team",
+        "CASE WHEN k % 61 = 0 THEN 'Yes' END AS a_bot",
         "CASE WHEN k % 31 = 4 THEN NULL ELSE '7656' || (lobby * 10 + v) END AS u_steam",
         "CASE WHEN k % 31 = 4 AND k % 2 = 0 THEN NULL ELSE 'n' || (lobby * 10 + v) END AS u_name",
         f"CASE WHEN k % 23 = 0 THEN 'none' WHEN ({_side('v')}) = 'T' THEN 'T' ELSE 'CT' END AS u_team",
@@ -212,6 +217,14 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "CASE WHEN k % 10 = 0 THEN '-1' ELSE '0.' || k END AS blind_duration",
         "CASE k % 6 WHEN 0 THEN 'bombsite_a' WHEN 1 THEN ' A' WHEN 2 THEN 'b' WHEN 3 THEN 'SITE_B' WHEN 4 THEN '422' END AS site",
     ]),
+    # rows of players by themselves: a list of players without tick, connections, one reconnection, one connection without a platform id
+    "people_slots": ("slot_base", "", ["*", "EXPLODE[0, 1, 2, 3, 4] AS q"]),
+    "raw_people": ("people_slots", "q < 2 OR (q = 2 AND slot % 5 = 2) OR (q = 3 AND slot = 2) OR (q = 4 AND slot = 7)", [
+        "match_id", "slot AS k", "CASE q WHEN 0 THEN 'player_info' WHEN 2 THEN 'player_disconnect' ELSE 'player_connect_full' END AS source_event", "CASE WHEN q = 0 THEN 'True' END AS warm",
+        "CASE q WHEN 1 THEN '' || (10 + slot) WHEN 2 THEN '30000' WHEN 3 THEN '31000' WHEN 4 THEN '50' END AS tick_text",
+        "CASE WHEN NOT (q = 4 OR (slot = 8 AND match_no % 7 = 6)) THEN '7656' || (lobby * 10 + slot) END AS p_steam",
+        "CASE WHEN q = 0 AND slot = 1 THEN 'before' || (lobby * 10 + slot) WHEN NOT (slot = 8 AND match_no % 7 = 6) THEN 'n' || (lobby * 10 + slot) END AS p_name", "CASE WHEN slot = 9 THEN 'TRUE' END AS p_bot",
+    ]),
     "mark_base": ("round_score", "", ["*", "EXPLODE[0, 1, 2, 3, 4, 5, 6, 7] AS q"]),
     "raw_marks": ("mark_base",
         "q = 0 OR (q = 1 AND rn % 5 = 0) OR (q = 2 AND rn <> 11) OR (q = 3 AND rn % 9 <> 0 AND NOT (rn = 24 AND match_no % 3 = 2)) OR (q = 4 AND rn < 24) "
@@ -307,6 +320,19 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
     ]),
 }
 
+
+def _column_names(name: str) -> list[str]:
+    source, _, exprs = TABLES[name]
+    out = []
+    for e in exprs:
+        out += _column_names(source) if e == "*" else [e.rpartition(" AS ")[2] if " AS " in e else e]
+    return out
+
+
+#: Columns of each table, and those that hold doubles.
+TABLE_COLUMNS = {n: _column_names(n) for n, (source, rule, _) in TABLES.items() if not rule.startswith("GROUP") and (source in TABLES or source == "events")}
+DOUBLES = ("x", "y", "z", "duration_seconds", "yaw", "pitch")
+
 # raw column -> landing key for even and odd k; several spellings of one field.
 RAW_KEYS = {
     "seq": ("seq", "seq"), "warm": ("is_warmup_period", "warmup"), "tick_text": ("tick", "event_tick"),
@@ -315,15 +341,18 @@ RAW_KEYS = {
     "u_name": ("user_name", "USER_NAME"), "u_team": ("user_team_name", "user_team"), "s_steam": ("assister_steamid", "assister_steamid"),
     "weapon": ("weapon", "Weapon"), "headshot": ("headshot", "headshot"), "penetrated": ("penetrated", "penetrated"),
     "distance": ("distance", "distance"), "dmg_health": ("dmg_health", "dmg_health"), "health_after": ("health", "health"),
-    "blind_duration": ("blind_duration", "duration"), "site": ("site", "bombsite"),
+    "blind_duration": ("blind_duration", "duration"), "site": ("site", "bombsite"), "a_bot": ("attacker_isbot", "attacker_is_bot"),
+    "p_steam": ("steamid", "steam_id"), "p_name": ("name", "player_name"), "p_bot": ("is_bot", "isbot"), "other_tick": ("event_tick", "tick"),
 }
+#: Columns that only some rows have; the others hold NULL where a value is missing.
+SPARSE = ("other_tick",)
 
 
 class MatchTables:
     """Lazily built canonical tables; ``tables.kills`` is a DataFrame."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self._built = spark, path, {}
+    def __init__(self, spark: SparkSession, path: str, built: dict[str, DataFrame] | None = None):
+        self.spark, self.path, self._built = spark, path, dict(built or {})
         for key, value in SESSION_DEFAULTS.items():
             spark.conf.set(key, value)
 
@@ -333,6 +362,22 @@ class MatchTables:
             self._built[key] = build()
         return self._built[key]
 
+    @property
+    def once(self) -> MatchTables:
+        """The same tables over events that were scanned once: typed, in Parquet, in hashed match buckets."""
+        return self.layer("once", lambda: MatchTables(self.spark, self.path, {"ev": self.stored(self.ev, "ev")}))
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """A table of this session's columnar layer; write-once."""
+        layer = self.layer("store", lambda: Layer(self.spark, shared_folder(self.spark, "layer")))
+        return layer.write(name, df)
+
+    def close(self) -> None:
+        """Delete the layer's files; DataFrames that read them can't be used afterwards."""
+        if "store" in self._built:
+            self._built["store"].drop()
+        self._built.clear()
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
@@ -350,9 +395,11 @@ class MatchTables:
     def raw_events(self) -> DataFrame:
         """Landing form: one map of text values per row, keys spelled in several ways."""
         key = {c: F.when(F.col("k") % 2 == 0, even).otherwise(odd) for c, (even, odd) in RAW_KEYS.items()}
-        pairs = [x for c in RAW_KEYS for x in (key[c], F.col(c).cast("string"))]
-        data = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-        return once(self.raw_cols, data=data).select("match_id", "source_event", "data")
+        pairs = [F.struct(key[c].alias("key"), F.col(c).cast("string").alias("value")) for c in RAW_KEYS if c not in SPARSE]
+        some = [F.when(F.col(c).isNotNull(), F.struct(key[c].alias("key"), F.col(c).cast("string").alias("value"))) for c in SPARSE]
+        data = F.map_from_entries(F.concat(F.array(*pairs), F.array_compact(F.array(*some))))
+        rows = self.raw_cols.unionByName(self.raw_people, allowMissingColumns=True)
+        return once(rows, data=data).select("match_id", "source_event", "data")
 
     def _build(self, name: str) -> DataFrame:
         source, rule, exprs = TABLES[name]
@@ -393,7 +440,9 @@ def duck_ctes() -> dict[str, str]:
             out[name] = f"SELECT DISTINCT {', '.join(cols)} FROM {source}"
         else:
             out[name] = f"SELECT {', '.join(cols)} FROM {source}" + (f" WHERE {_duck_text(rule)}" if rule else "")
-    pair = """'{"key":"' || CASE WHEN k % 2 = 0 THEN 'EVEN' ELSE 'ODD' END || '","value":"' || VALUE || '"}'"""
-    parts = ", ".join(pair.replace("EVEN", even).replace("ODD", odd).replace("VALUE", c) for c, (even, odd) in RAW_KEYS.items())
-    out["raw_payload"] = f"SELECT *, '[' || array_to_string(list_sort(list_filter([{parts}], lambda x: x IS NOT NULL)), ',') || ']' AS payload FROM raw_cols"
+    pair = """CASE WHEN VALUE IS NULL THEN '{"key":"' || KEY || '"}' ELSE '{"key":"' || KEY || '","value":"' || VALUE || '"}' END"""
+    text = {c: pair.replace("KEY", f"CASE WHEN k % 2 = 0 THEN '{even}' ELSE '{odd}' END").replace("VALUE", c) for c, (even, odd) in RAW_KEYS.items()}
+    parts = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN {text[c]} END" if c in SPARSE else text[c] for c in RAW_KEYS)
+    out["raw_all"] = "SELECT * FROM raw_cols UNION ALL BY NAME SELECT * FROM raw_people"
+    out["raw_payload"] = f"SELECT *, '[' || array_to_string(list_sort(list_filter([{parts}], lambda x: x IS NOT NULL)), ',') || ']' AS payload FROM raw_all"
     return out

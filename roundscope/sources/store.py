@@ -28,11 +28,6 @@ def load_canonical(spark: SparkSession, path: str, version: int = 1) -> dict[str
     return out
 
 
-def save_run(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the matches in ``df``; other matches stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("match_id").parquet(path)
-
-
 def outdated(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Matches whose fingerprint is not stored yet: only these need saving."""
     return new.join(stored.select("match_id", "fingerprint"), ["match_id", "fingerprint"], "left_anti")
@@ -50,11 +45,5 @@ def round_events(tables: dict[str, DataFrame], match_id: str | None = None, roun
     return union_all(*out).orderBy("match_id", "round_number", "tick", "event_id", "family")
 
 
-def delete_matches(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the deleted matches; children follow their match."""
-    ids = gone.select("match_id").distinct()
-    return {n: df.join(ids, "match_id", "left_anti") for n, df in tables.items()}
-
-
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(*[df.groupBy("match_id").agg(F.count("*").alias("row_count")).withColumn("table_name", F.lit(n)) for n, df in tables.items()])
