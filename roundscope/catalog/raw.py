@@ -399,6 +399,28 @@ def _(t):
     return D.candidate_overlap(t.selections, roster(t), t.players)
 
 
+cte("sroster", "SELECT DISTINCT s.profile_id, p.steam_id FROM scout_selections s JOIN players p USING (match_id, team_id) WHERE p.steam_id IS NOT NULL")
+cte("scand", """SELECT r.profile_id, t.match_id, t.team_id, t.overlap_denominator, t.missing_ids, coalesce(x.n, 0) AS overlap_numerator, CASE WHEN t.overlap_denominator > 0 THEN coalesce(x.n, 0) / t.overlap_denominator END AS overlap_frequency,
+  CASE WHEN r.profile_id NOT IN (SELECT profile_id FROM sroster) THEN 'unscored' WHEN coalesce(x.n, 0) >= 3 AND x.n / t.overlap_denominator >= 0.6 THEN 'strong' WHEN coalesce(x.n, 0) >= 2 THEN 'possible' ELSE 'weak' END AS strength
+  FROM (SELECT DISTINCT profile_id FROM scout_selections) r CROSS JOIN (SELECT match_id, team_id, count(DISTINCT steam_id) AS overlap_denominator, count(*) FILTER (steam_id IS NULL) AS missing_ids FROM players GROUP BY 1, 2) t
+  LEFT JOIN (SELECT s.profile_id, p.match_id, p.team_id, count(DISTINCT p.steam_id) AS n FROM players p JOIN sroster s USING (steam_id) GROUP BY 1, 2, 3) x ON x.profile_id = r.profile_id AND x.match_id = t.match_id AND x.team_id = t.team_id
+  WHERE NOT EXISTS (SELECT 1 FROM scout_selections s WHERE s.profile_id = r.profile_id AND s.match_id = t.match_id)""")
+
+
+def scouted(t):
+    return t.scout_selections, D.selected_roster(t.scout_selections, t.players), t.players
+
+
+@query("d11_overlap_counts", """SELECT p.profile_id, count(*) FILTER (strength = 'strong') AS strong, count(*) FILTER (strength = 'possible') AS possible, count(*) FILTER (strength = 'weak') AS weak, count(*) FILTER (strength = 'unscored') AS unscored
+  FROM (SELECT DISTINCT profile_id FROM scout_selections) p LEFT JOIN scand c USING (profile_id) GROUP BY 1""")
+def _(t):
+    return D.overlap_counts(*scouted(t))
+
+
+for _p in ("opp0", "new0"):
+    query(f"d11_candidates_of_{_p}", f"SELECT * FROM scand WHERE profile_id = '{_p}'")(lambda t, p=_p: D.profile_candidates(p, *scouted(t)))
+
+
 @query("d12_clear_candidates", """SELECT profile_id, match_id, max(team_id) FILTER (strength = 'strong') AS team_id FROM ovl GROUP BY 1, 2 HAVING count(*) FILTER (strength = 'strong') = 1 AND count(*) FILTER (strength = 'possible') = 0""")
 def _(t):
     return D.clear_candidates(D.candidate_overlap(t.selections, roster(t), t.players))

@@ -178,7 +178,7 @@ def _(t):
     return I.segment_tracks(t.projectile_points)
 
 
-cte("thc", """SELECT k.match_id, k.track_id, k.entity_id, k.track_no, list(h.throw_id ORDER BY h.tick DESC, h.throw_id) AS c FROM trk k JOIN throws h ON h.match_id = k.match_id AND h.steam_id = k.steam_id AND h.projectile_type = k.projectile_type AND k.first_tick - h.tick BETWEEN 0 AND 64 GROUP BY 1, 2, 3, 4""")
+cte("thc", """SELECT k.match_id, k.track_id, k.entity_id, k.track_no, list(h.throw_id ORDER BY h.tick DESC, h.throw_id) AS c FROM trk k JOIN throws h ON h.match_id = k.match_id AND h.steam_id IS NOT DISTINCT FROM k.steam_id AND h.projectile_type = k.projectile_type AND k.first_tick - h.tick BETWEEN 0 AND 64 GROUP BY 1, 2, 3, 4""")
 cte("ths", "SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY entity_id, track_no) AS n FROM thc")
 cte("thr", """SELECT match_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS track_id, CAST(NULL AS BIGINT) AS rid, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT match_id FROM ths)
   UNION ALL SELECT s.match_id, s.n, s.track_id, list_filter(s.c, lambda x: NOT list_contains(r.used, x))[1], list_append(r.used, list_filter(s.c, lambda x: NOT list_contains(r.used, x))[1]) FROM thr r JOIN ths s ON s.match_id = r.match_id AND s.n = r.n + 1""")

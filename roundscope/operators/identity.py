@@ -215,21 +215,58 @@ def selected_roster(selections: DataFrame, players: DataFrame) -> DataFrame:
     return g.select("profile_id", "identity_key", "steam_id", F.col("latest.current_name").alias("current_name"), "appearance_count", "selected_match_count", role.alias("role"))
 
 
+def _confirmed(roster: DataFrame) -> DataFrame:
+    return roster.where("steam_id IS NOT NULL").select("profile_id", "steam_id").distinct()
+
+
+def _team_sizes(players: DataFrame) -> DataFrame:
+    return players.groupBy("match_id", "team_id").agg(F.countDistinct("steam_id").alias("overlap_denominator"), count_if(F.col("steam_id").isNull()).alias("missing_ids"))
+
+
+def _with_strength(teams: DataFrame, scored) -> DataFrame:
+    n, f = F.col("overlap_numerator"), ratio(F.col("overlap_numerator"), F.col("overlap_denominator"))
+    strength = F.when(~scored, "unscored").when((n >= 3) & (f >= 0.6), "strong").when(n >= 2, "possible").otherwise("weak")
+    return teams.withColumn("overlap_frequency", f).withColumn("strength", strength)
+
+
 def candidate_overlap(selections: DataFrame, roster: DataFrame, players: DataFrame) -> DataFrame:
-    """Teams of unselected matches that share an identity with the roster, and their opponents.
+    """Teams of unselected matches that share an identity with the roster, and their opponents, by a join on the identity.
 
-    Teams without any shared identity are weak by definition; they are not listed, which
-    keeps the work to an equi join on the identity instead of profiles times matches.
+    The teams that share none are as many as profiles times matches: ``overlap_counts`` counts them without a row for each, ``profile_candidates`` lists
+    them for one profile.
     """
-    confirmed = roster.where("steam_id IS NOT NULL").select("profile_id", "steam_id").distinct()
-    hits = players.where("steam_id IS NOT NULL").join(confirmed, "steam_id")
+    hits = players.where("steam_id IS NOT NULL").join(_confirmed(roster), "steam_id")
     shared = hits.groupBy("profile_id", "match_id", "team_id").agg(F.countDistinct("steam_id").alias("overlap_numerator"))
     pairs = shared.select("profile_id", "match_id").distinct().join(selections.select("profile_id", "match_id"), ["profile_id", "match_id"], "left_anti")
-    size = players.groupBy("match_id", "team_id").agg(F.countDistinct("steam_id").alias("overlap_denominator"), count_if(F.col("steam_id").isNull()).alias("missing_ids"))
-    c = pairs.join(size, "match_id").join(shared, ["profile_id", "match_id", "team_id"], "left").fillna(0, ["overlap_numerator"])
-    n, f = F.col("overlap_numerator"), ratio(F.col("overlap_numerator"), F.col("overlap_denominator"))
-    strength = F.when((n >= 3) & (f >= 0.6), "strong").when(n >= 2, "possible").otherwise("weak")
-    return c.withColumn("overlap_frequency", f).withColumn("strength", strength)
+    c = pairs.join(_team_sizes(players), "match_id").join(shared, ["profile_id", "match_id", "team_id"], "left").fillna(0, ["overlap_numerator"])
+    return _with_strength(c, F.lit(True))
+
+
+def overlap_counts(selections: DataFrame, roster: DataFrame, players: DataFrame) -> DataFrame:
+    """Per profile, how many teams of unselected matches are strong, possible, weak and unscored candidates.
+
+    Weak ones are what is left of all teams; a profile without a confirmed identity leaves all of them unscored.
+    """
+    teams = players.select("match_id", "team_id").distinct()
+    own = selections.select("profile_id", "match_id").distinct().join(teams.groupBy("match_id").agg(F.count("*").alias("n")), "match_id", "left")
+    total = teams.agg(F.count("*").alias("total"))  # one number
+    base = own.groupBy("profile_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("own")).join(F.broadcast(total))
+    found = candidate_overlap(selections, roster, players).groupBy("profile_id").agg(
+        *[count_if(F.col("strength") == s).alias(s) for s in ("strong", "possible")])
+    scored = _confirmed(roster).select("profile_id").distinct().withColumn("scored", F.lit(True))
+    g = base.join(found, "profile_id", "left").join(scored, "profile_id", "left").fillna(0, ["strong", "possible"])
+    rest, known = F.col("total") - F.col("own"), truth(F.col("scored"))
+    return g.select("profile_id", "strong", "possible", F.when(known, rest - F.col("strong") - F.col("possible")).otherwise(0).cast("long").alias("weak"), F.when(known, 0).otherwise(rest).cast("long").alias("unscored"))
+
+
+def profile_candidates(profile_id: str, selections: DataFrame, roster: DataFrame, players: DataFrame) -> DataFrame:
+    """Every team of the matches that one profile hasn't selected, with its overlap."""
+    own = _confirmed(roster).where(F.col("profile_id") == profile_id)
+    shared = players.where("steam_id IS NOT NULL").join(own, "steam_id", "left_semi").groupBy("match_id", "team_id").agg(F.countDistinct("steam_id").alias("overlap_numerator"))
+    chosen = selections.where(F.col("profile_id") == profile_id).select("match_id")
+    c = _team_sizes(players).join(chosen, "match_id", "left_anti").join(shared, ["match_id", "team_id"], "left").fillna(0, ["overlap_numerator"])
+    known = own.agg((F.count("*") > 0).alias("scored"))  # one value
+    return _with_strength(c.join(F.broadcast(known)), F.col("scored")).drop("scored").withColumn("profile_id", F.lit(profile_id))
 
 
 def clear_candidates(overlap: DataFrame) -> DataFrame:

@@ -152,10 +152,37 @@ class Spatial:
         return m.join(pos, KEY + ["tick", "player_id"], "left").unionByName(own)
 
 
+def _bisect(array: str, value: str) -> str:
+    """How many leading elements of a sorted array are at most ``value``; a fold that halves the stretch."""
+    return (f"aggregate(sequence(1, 32), named_struct('lo', 0, 'hi', size({array})), (b, _) -> CASE WHEN b.lo >= b.hi THEN b "
+            f"WHEN {array}[int((b.lo + b.hi) div 2)] <= {value} THEN named_struct('lo', int((b.lo + b.hi) div 2) + 1, 'hi', b.hi) ELSE named_struct('lo', b.lo, 'hi', int((b.lo + b.hi) div 2)) END, b -> b.lo)")
+
+
+def interval_index(intervals: DataFrame, keys: list[str], start: str, stop: str, keep: list[str]) -> DataFrame:
+    """One row per key: its intervals by start, their starts, and the largest stop up to each; an open stop lasts on."""
+    item = F.struct(F.col(start).alias("start"), F.coalesce(F.col(stop), F.lit(2**31 - 1)).alias("stop"), *keep)
+    packed = intervals.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    reach = """aggregate(_items, named_struct('m', -1, 'out', CAST(array() AS array<int>)),
+        (s, x) -> named_struct('m', greatest(s.m, int(x.stop)), 'out', concat(s.out, array(greatest(s.m, int(x.stop))))), s -> s.out)"""
+    return packed.withColumn("_starts", F.expr("transform(_items, x -> int(x.start))")).withColumn("_reach", F.expr(reach))
+
+
+def overlapping(ranges: DataFrame, index: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+    """Ranges with the intervals that share a tick with them, one row each.
+
+    Of the intervals of a key, those up to the last start in range and from the first that reaches the range on are looked at.
+    """
+    r = ranges.join(index, keys)
+    low, high = _bisect("_reach", f"{first} - 1"), _bisect("_starts", last)
+    r = r.withColumn("_low", F.expr(low)).withColumn("_high", F.expr(high))
+    some = F.expr(f"filter(slice(_items, _low + 1, greatest(_high - _low, 0)), x -> x.stop >= {first})")
+    return r.select(*ranges.columns, F.inline(some))
+
+
 def effects_in_ranges(ranges: DataFrame, effects: DataFrame) -> DataFrame:
     """Effects alive anywhere in [first_tick, last_tick]; an open end lasts on."""
-    e = effects.select(*KEY, "effect_id", "effect_type", "start_tick", F.col("end_tick").alias("stop_tick"))
-    return ranges.join(e, KEY).where("start_tick <= last_tick AND (stop_tick IS NULL OR stop_tick >= first_tick)").select(*KEY, "slice", "effect_id", "effect_type")
+    index = interval_index(effects, KEY, "start_tick", "end_tick", ["effect_id", "effect_type"])
+    return overlapping(ranges, index, KEY, "first_tick", "last_tick").select(*KEY, "slice", "effect_id", "effect_type")
 
 
 def nearest_tick(requests: DataFrame, ticks: DataFrame, within: int = 16) -> DataFrame:
@@ -217,14 +244,30 @@ def segment_tracks(points: DataFrame) -> DataFrame:
     return g.select(tid.alias("track_id"), "match_id", "entity_id", "track_no", "projectile_type", "steam_id", "first_tick", "last_tick", "points", F.col("last.x").alias("last_x"), F.col("last.y").alias("last_y"))
 
 
-def greedy_match(candidates: DataFrame) -> DataFrame:
-    """candidates(match_id, entity_id, track_no, track_id, pref, right_id): tracks in order take their best free partner.
+def tick_islands(candidates: DataFrame, scope: list[str], width: int = 64) -> DataFrame:
+    """Adds ``island`` to edges with ticks ``lo`` to ``hi``: edges of different islands share no tick, so neither a track nor a partner.
+
+    Edges are short, so they lie in few buckets of ticks; islands are stretches of occupied buckets.  Distinct buckets of a match are as many as its
+    ticks allow, however many edges they hold.
+    """
+    key = ["match_id", *scope]
+    held = candidates.select(*key, F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_b")).distinct()
+    start = F.coalesce(F.col("_b") - F.lag("_b").over(Window.partitionBy(*key).orderBy("_b")) > 1, F.lit(True))
+    held = held.withColumn("island", F.sum(start.cast("int")).over(Window.partitionBy(*key).orderBy("_b")))
+    return candidates.withColumn("_b", F.floor(F.col("lo") / width)).join(held, [*key, "_b"]).drop("_b")
+
+
+def greedy_match(candidates: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """candidates(match_id, entity_id, track_no, track_id, pref, right_id, lo, hi): tracks in order take their best free partner.
 
-    Using up partners is inherently sequential, but only inside one match; the candidate
-    lists are short because they come from narrow tick windows.
+    Using up partners is sequential, but only among edges that can share one: each island of ticks (and each value of ``scope``, which a track and
+    all its partners have in common) is folded by itself.
     """
-    per = candidates.groupBy("match_id", "entity_id", "track_no", "track_id").agg(F.sort_array(F.collect_list(F.struct("pref", "right_id"))).alias("c"))
-    q = per.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct("entity_id", "track_no", "track_id", "c"))).alias("q"))
+    scope = scope or []
+    group = ["match_id", *scope, "island"]
+    edges = tick_islands(candidates, scope)
+    per = edges.groupBy(*group, "entity_id", "track_no", "track_id").agg(F.sort_array(F.collect_list(F.struct("pref", "right_id"))).alias("c"))
+    q = per.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("entity_id", "track_no", "track_id", "c"))).alias("q"))
     fold = """aggregate(q, named_struct('used', CAST(array() AS array<bigint>), 'out', CAST(array() AS array<struct<track_id:string,right_id:bigint>>)),
         (s, t) -> element_at(transform(array(try_element_at(filter(t.c, x -> NOT array_contains(s.used, x.right_id)), 1)), b -> CASE WHEN b IS NULL THEN s
             ELSE named_struct('used', concat(s.used, array(b.right_id)), 'out', concat(s.out, array(named_struct('track_id', t.track_id, 'right_id', b.right_id)))) END), 1), s -> s.out)"""
@@ -232,13 +275,15 @@ def greedy_match(candidates: DataFrame) -> DataFrame:
 
 
 def match_throws(tracks: DataFrame, throws: DataFrame, offset: int = THROW_OFFSET) -> DataFrame:
-    """Latest unused throw of the same owner and type shortly before the track starts."""
+    """Latest unused throw of the same owner and type shortly before the track starts; a track and a throw both without owner may match."""
     b = F.floor(F.col("first_tick") / offset)
-    t = tracks.where("steam_id IS NOT NULL").select("*", F.explode(F.array(b - 1, b)).alias("_b"))
-    r = throws.select("match_id", "steam_id", "projectile_type", F.col("tick").alias("throw_tick"), F.col("throw_id").alias("right_id"), F.floor(F.col("tick") / offset).alias("_b"))
-    c = t.join(r, ["match_id", "steam_id", "projectile_type", "_b"]).where(f"first_tick - throw_tick BETWEEN 0 AND {offset}")
+    owner = F.coalesce("steam_id", F.lit("")).alias("owner")
+    t = tracks.select("match_id", "entity_id", "track_no", "track_id", "projectile_type", "first_tick", owner, F.explode(F.array(b - 1, b)).alias("_b"))
+    r = throws.select("match_id", owner, "projectile_type", F.col("tick").alias("throw_tick"), F.col("throw_id").alias("right_id"), F.floor(F.col("tick") / offset).alias("_b"))
+    c = t.join(r, ["match_id", "owner", "projectile_type", "_b"]).where(f"first_tick - throw_tick BETWEEN 0 AND {offset}")
     pref = F.struct((-F.col("throw_tick")).alias("a"), F.lit(0.0).alias("b"))
-    won = greedy_match(c.select("match_id", "entity_id", "track_no", "track_id", pref.alias("pref"), "right_id"))
+    won = greedy_match(c.select("match_id", "owner", "projectile_type", "entity_id", "track_no", "track_id", pref.alias("pref"), "right_id", F.col("throw_tick").alias("lo"), F.col("first_tick").alias("hi")),
+                       ["owner", "projectile_type"])
     return won.join(throws.select("match_id", F.col("throw_id").alias("right_id"), F.col("tick").alias("throw_tick")), ["match_id", "right_id"]).join(
         tracks.select("match_id", "track_id", "first_tick"), ["match_id", "track_id"]).select("match_id", "track_id", F.col("right_id").alias("throw_id"), (F.col("first_tick") - F.col("throw_tick")).alias("offset"))
 
@@ -255,7 +300,7 @@ def match_terminals(tracks: DataFrame, terminals: DataFrame) -> DataFrame:
         & F.col("t_tick").between(F.col("last_tick") - MATCH_EARLY, F.col("last_tick") + MATCH_LATE) & (d <= MATCH_RADIUS)
     c = c.withColumn("kind", F.when(direct, 0).when(near, 1)).where("kind IS NOT NULL")
     pref = F.struct((F.col("kind") * 1_000_000 + dt).cast("bigint").alias("a"), F.when(F.col("kind") == 1, d).otherwise(0.0).alias("b"))
-    won = greedy_match(c.select("match_id", "entity_id", "track_no", "track_id", pref.alias("pref"), "right_id"))
+    won = greedy_match(c.select("match_id", "entity_id", "track_no", "track_id", pref.alias("pref"), "right_id", F.least("t_tick", "last_tick").alias("lo"), F.greatest("t_tick", "last_tick").alias("hi")))
     return won.withColumnRenamed("right_id", "terminal_id")
 
 

@@ -122,25 +122,38 @@ def match_trades(frame: DataFrame, window: int) -> DataFrame:
             AND a.victim_team = b.attacker_team AND a.attacker_team = b.victim_team)))), t -> t.orig IS NOT NULL)"""))
 
 
-def clamp_damage(damages: DataFrame, frame: DataFrame) -> DataFrame:
+_REPORTED = 1 << 32  # more than any health
+
+
+def clamp_damage(damages: DataFrame, frame: DataFrame, width: int = 64) -> DataFrame:
     """Damage limited to the victim's remaining health.
 
-    Health before a row is max(0, H - S): H is the last reported health (100 at first)
-    and S the raw damage since that report, so a running sum replaces a fold.
+    A row turns health h into max(b, h - a): a is its damage and b 0, or b the health that it reports and a more than any health.  Such steps compose,
+    (a, b) and then (c, d) to (a + c, max(d, b - c)), so the rows of a victim are cut into stretches of ``width`` ticks: each is composed by itself, the few
+    compositions of a victim are run through, and each row starts from the health that its stretch starts with.
     """
     d = damages.where("phase = 'live'").join(frame.select(*KEY, "roster"), KEY)
     d = d.withColumn("att", F.col("roster")[F.col("attacker_player_id")]).withColumn("vic", F.col("roster")[F.col("victim_player_id")])
     d = d.drop("roster").where("vic IS NOT NULL").withColumn("raw", F.coalesce("damage_health", F.lit(0)).cast("long"))
-    w = Window.partitionBy(*KEY, "victim_player_id").orderBy("tick", "event_id")
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    d = (d.withColumn("_sum", F.coalesce(F.sum("raw").over(prior), F.lit(0).cast("long")))
-         .withColumn("_mark", F.last(F.when(F.col("victim_health_after").isNotNull(),
-                                           F.struct("victim_health_after", (F.col("_sum") + F.col("raw")).alias("base"))), True).over(prior)))
-    health = F.greatest(F.lit(0), F.coalesce(F.col("_mark.victim_health_after"), F.lit(100)) - (F.col("_sum") - F.coalesce(F.col("_mark.base"), F.lit(0))))
-    d = d.withColumn("health_before", health.cast("long")).withColumn("effective", F.least("raw", "health_before"))
+    victim, reported = [*KEY, "victim_player_id"], F.col("victim_health_after").isNotNull()
+    d = d.withColumn("_a", F.when(reported, F.lit(_REPORTED)).otherwise(F.col("raw"))).withColumn("_b", F.coalesce(F.col("victim_health_after"), F.lit(0)).cast("long"))
+    d = d.withColumn("_part", F.floor(F.col("tick") / width))
+
+    def scanned(df: DataFrame, w) -> DataFrame:
+        """_sum of the steps up to a row, and _best, the largest b that is left of the steps before it, plus their sum."""
+        df = df.withColumn("_sum", F.sum("_a").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return df.withColumn("_best", F.max(F.col("_b") + F.col("_sum")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+    before = F.col("_sum") - F.col("_a")
+    d = scanned(d, Window.partitionBy(*victim, "_part").orderBy("tick", "event_id"))
+    parts = d.groupBy(*victim, "_part").agg(F.max(F.col("_b") + F.col("_sum")).alias("_top"), F.sum("_a").alias("_a")).withColumn("_b", F.col("_top") - F.col("_a"))
+    parts = scanned(parts, Window.partitionBy(*victim).orderBy("_part"))
+    parts = parts.select(*victim, "_part", F.greatest(F.lit(100) - before, F.col("_best") - before).alias("_health"))
+    d = d.join(parts, [*victim, "_part"])
+    d = d.withColumn("health_before", F.greatest(F.col("_health") - before, F.col("_best") - before).cast("long")).withColumn("effective", F.least("raw", "health_before"))
     kind = (F.when(F.col("att").isNull(), "none").when(F.col("att.team_id") != F.col("vic.team_id"), "enemy")
             .when(F.col("attacker_player_id") != F.col("victim_player_id"), "team").otherwise("self"))
-    return d.withColumn("damage_kind", kind).drop("_sum", "_mark")
+    return d.withColumn("damage_kind", kind).drop("_a", "_b", "_sum", "_best", "_part", "_health")
 
 
 def _entry(player: Column, **counters) -> Column:

@@ -270,7 +270,7 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "CASE WHEN k % 5 = 0 AND i = 4 THEN 0 ELSE i // 2 END AS bounce", "CAST((event_id * 13 + i * 40) % 4096 AS DOUBLE) AS x", "CAST((k * 41 + i * 25) % 4096 AS DOUBLE) AS y", "CAST(i * 10 AS DOUBLE) AS z",
     ]),
     "throws": ("ev", "event_type = 'purchase' AND k % 6 <> 5", [
-        "match_id", "event_id AS throw_id", "'7656' || (lobby * 10 + a) AS steam_id", "CASE k % 4 WHEN 0 THEN 'he' WHEN 1 THEN 'fire' WHEN 2 THEN 'flash' ELSE 'smoke' END AS projectile_type", "tick",
+        "match_id", "event_id AS throw_id", "CASE WHEN k % 17 = 0 THEN NULL ELSE '7656' || (lobby * 10 + a) END AS steam_id", "CASE k % 4 WHEN 0 THEN 'he' WHEN 1 THEN 'fire' WHEN 2 THEN 'flash' ELSE 'smoke' END AS projectile_type", "tick",
     ]),
     "terminals": ("ev", "event_type = 'purchase' AND k % 7 <> 0", [
         "match_id", "event_id AS terminal_id", "CASE WHEN k % 3 = 0 THEN 99 ELSE CAST(event_id % 5 AS INT) END AS entity_id", "CASE k % 4 WHEN 0 THEN 'he' WHEN 1 THEN 'fire' WHEN 2 THEN 'flash' ELSE 'smoke' END AS projectile_type",
@@ -279,6 +279,11 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
     "selections": ("match_base", "match_no % 7 < 5", [
         "'opp' || lobby AS profile_id", "match_id", "'t' || (lobby * 2) AS team_id", "match_no AS selection_order",
     ]),
+    # the same profiles, and one per lobby that selected a team nobody plays for
+    "scout_slots": ("match_base", "match_no % 7 < 5", ["*", "EXPLODE[0, 1] AS own"]),
+    "scout_selections": ("scout_slots", "own = 0 OR match_no % 7 = 0", [
+        "CASE WHEN own = 0 THEN 'opp' ELSE 'new' END || lobby AS profile_id", "match_id", "CASE WHEN own = 0 THEN 't' || (lobby * 2) ELSE 'nobody' END AS team_id", "match_no AS selection_order",
+    ]),
     "view_slots": ("match_base", "match_no % 7 < 5", ["*", "EXPLODE[0, 1] AS own"]),
     "tactical_selections": ("view_slots", "", [
         "CASE WHEN own = 0 THEN 'opp' ELSE 'own' END || lobby AS profile_id", "match_id", "'t' || (lobby * 2 + own) AS team_id", "own", "lobby",

@@ -1,6 +1,7 @@
 """Rules on hand-written rounds."""
 import hashlib
 import math
+import random
 from dataclasses import replace
 from types import SimpleNamespace
 
@@ -14,7 +15,7 @@ from roundscope.operators import spatial as I
 from roundscope.operators import zones as J
 from roundscope.operators.economy import buy_class
 from roundscope.config import EconomyConfig
-from roundscope.operators.stats import RoundStats
+from roundscope.operators.stats import RoundStats, clamp_damage
 from roundscope.plans import tactical as O
 from roundscope.plans import trust as N
 
@@ -148,8 +149,50 @@ def test_recent_sample_edges(spark):
 
 
 def test_greedy_match_uses_partners_once(spark):
-    c = spark.createDataFrame([("m", 1, 1, "t1", (0, 0.0), 10), ("m", 1, 2, "t2", (0, 0.0), 10), ("m", 1, 2, "t2", (5, 0.0), 11)], "match_id string, entity_id int, track_no long, track_id string, pref struct<a:bigint,b:double>, right_id bigint")
+    kinds = "match_id string, entity_id int, track_no long, track_id string, pref struct<a:bigint,b:double>, right_id bigint, lo int, hi int"
+    c = spark.createDataFrame([("m", 1, 1, "t1", (0, 0.0), 10, 5, 9), ("m", 1, 2, "t2", (0, 0.0), 10, 5, 9), ("m", 1, 2, "t2", (5, 0.0), 11, 7, 9)], kinds)
     assert {(r.track_id, r.right_id) for r in I.greedy_match(c).collect()} == {("t1", 10), ("t2", 11)}
+    # against one fold over everything: tracks at random ticks, partners up to 64 ticks before
+    rng = random.Random(3)
+    partners = [(100 + i, rng.randrange(60_000)) for i in range(400)]
+    edges = []
+    for n in range(400):
+        at = rng.randrange(60_000)
+        edges += [("m", n % 5, n, f"t{n}", (at - tick, 0.0), i, tick, at) for i, tick in partners if 0 <= at - tick <= 300]
+    used, wanted = set(), set()
+    for entity, n in sorted({(e[1], e[2]) for e in edges}):
+        free = sorted((e[4], e[5]) for e in edges if (e[1], e[2]) == (entity, n) and e[5] not in used)
+        if free:
+            used.add(free[0][1])
+            wanted.add((f"t{n}", free[0][1]))
+    df = spark.createDataFrame(edges, kinds)
+    assert {(r.track_id, r.right_id) for r in I.greedy_match(df).collect()} == wanted
+    assert I.tick_islands(df, []).groupBy("island").count().agg(F.max("count")).first()[0] < len(edges) / 4
+
+
+def test_clamp_in_many_stretches(spark):
+    """A round of one victim with thousands of rows, some with reported health, against a loop; stretches are tasks of their own."""
+    rng = random.Random(5)
+    rows = [("m", "r", i, rng.randrange(20_000), "a", "v", "live", rng.choice([None, 0, 3, 20, 40]), rng.choice([None] * 9 + [rng.randrange(101)])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "match_id string, round_id string, event_id long, tick int, attacker_player_id string, victim_player_id string, phase string, damage_health long, victim_health_after long")
+    frame = spark.createDataFrame([("m", "r", {"a": ("x", "T"), "v": ("y", "CT")})], "match_id string, round_id string, roster map<string,struct<team_id:string,side:string>>")
+    health, wanted = 100, {}
+    for r in sorted(rows, key=lambda r: (r[3], r[2])):
+        effective = min(r[7] or 0, health)
+        wanted[r[2]] = (health, effective)
+        health = r[8] if r[8] is not None else max(0, health - effective)
+    for width in (64, 1_000_000):
+        assert {r.event_id: (r.health_before, r.effective) for r in clamp_damage(df, frame, width).collect()} == wanted
+
+
+def test_interval_index_finds_every_overlap(spark):
+    rng = random.Random(7)
+    spans = [("m", "r", i, a, None if i % 9 == 0 else a + rng.randrange(200), "smoke") for i in range(300) for a in [rng.randrange(5000)]]
+    ranges = [("m", "r", i, a, a + 63) for i, a in enumerate(range(0, 5200, 64))]
+    effects = spark.createDataFrame(spans, "match_id string, round_id string, effect_id long, start_tick int, end_tick int, effect_type string")
+    slices = spark.createDataFrame(ranges, "match_id string, round_id string, slice long, first_tick int, last_tick int")
+    got = I.effects_in_ranges(slices, effects)
+    assert {(r.slice, r.effect_id) for r in got.collect()} == {(s[2], e[2]) for s in ranges for e in spans if e[3] <= s[4] and (e[4] is None or e[4] >= s[3])}
 
 
 def test_buy_classes(spark):
