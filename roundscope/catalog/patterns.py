@@ -275,6 +275,12 @@ def _(t):
     return N.label_metrics(t.case_labels, t.case_predictions)
 
 
+@query("n10_label_lists", " UNION ALL ".join(f"SELECT '{n}' AS list, label_id FROM (SELECT label_id, a.value AS l, b.value AS p FROM case_labels a FULL JOIN case_predictions b USING (label_id)) WHERE {r}" for n, r in (
+    ("missing", "l IN ('present', 'absent') AND p IS NULL"), ("unknown", "l IS NULL"), ("unavailable", "l IN ('present', 'absent') AND p = 'unavailable'"), ("indeterminate", "l = 'indeterminate'"))))
+def _(t):
+    return N.label_lists(t.case_labels, t.case_predictions)
+
+
 POLICY = {"matches": 3, "maps": 2, "sources": ("league", "ladder", "scrim"), "edges": ("overtime", "reconnect", "surrender"), "determinate": 50, "positive": 20, "negative": 20, "parsers": ("parser1", "parser2")}
 
 

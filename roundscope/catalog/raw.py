@@ -543,7 +543,8 @@ def _(t):
     return G.quality_issues(t.dirty_events, t.dirty_rounds, t.players)
 
 
-_CT = {"events": ("dirty_events", "event_id"), "rounds": ("dirty_rounds", "round_id"), "players": ("players", "steam_id")}
+_CT = {"events": ("dirty_events", "event_id"), "rounds": ("dirty_rounds", "round_id"), "players": ("players", "steam_id"), "memberships": ("memberships", "player_id")}
+_CT |= {n: (n, "event_id") for n in ("kills", "damages", "shots", "grenades", "blinds", "bombs")}
 
 
 @query("g05_contract_counts", " UNION ALL ".join(f"""SELECT match_id, '{n}' AS table_name, CAST(sum(n) AS BIGINT) AS row_count, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS repeated_rows,

@@ -10,6 +10,7 @@ from ..plans import patterns as M
 from ..plans import tactical as O
 from .facts import _zoned, facts, zone_points
 from .patterns import frozen
+from ..sources.store import shared_folder
 from .registry import cte, query
 from .space import AREAS, spatial
 from .stats import stats
@@ -216,7 +217,8 @@ def _(t):
 
 
 SCP = "profile_id, insight_type, map_name, side"
-cte("ocall", " UNION ALL ".join(f"SELECT {OC} FROM {x}" for x in ("o_path", "o_exec", "o_rot", "o02_attack_pace", "o04_approach_corridors", "o05_awp_opening")) + f" UNION ALL SELECT {VC}, 'smoke_timing', key, TRUE, tick FROM o13_smoke_timing")
+cte("ocall", " UNION ALL ".join(f"SELECT {OC} FROM {x}" for x in ("o_path", "o_exec", "o_rot", "o02_attack_pace", "o04_approach_corridors", "o05_awp_opening")) + f" UNION ALL SELECT {VC}, 'smoke_timing', key, TRUE, tick FROM o13_smoke_timing"
+    + f" UNION ALL SELECT {VV}, 'heatmap_cell', 'cell:' || CAST(floor(s.x / 512) AS BIGINT) || ':' || CAST(floor(s.y / 512) AS BIGINT), TRUE, s.tick FROM tv v JOIN tsm s ON s.round_id = v.round_id AND s.team_id = v.team_id AND s.alive")
 cte("ocat", f"SELECT {SCP}, key, numerator, match_count, CAST(sum(numerator) OVER (PARTITION BY {SCP}) AS BIGINT) AS denominator, numerator / sum(numerator) OVER (PARTITION BY {SCP}) AS frequency FROM (SELECT {SCP}, key, count(*) AS numerator, count(DISTINCT match_id) AS match_count FROM (SELECT * FROM ocall) GROUP BY {SCP}, key)")
 cte("oball", " UNION ALL ".join(f"SELECT {OC} FROM {x}" for x in ("o_out", "o_space", "o_entry", "o_trade", "o_clutch", "o_save", "o12_no_direct_effect"))
     + f" UNION ALL SELECT {VC}, 'team_flash', key, positive, tick FROM o10_team_flashes UNION ALL SELECT {VC}, 'utility_loss', 'carried_on_death', positive, tick FROM o11_carried_utility")
@@ -224,7 +226,7 @@ cte("obin", f"SELECT {SCP}, key, count(*) FILTER (positive) AS numerator, count(
 
 
 def cat_occ(t):
-    """Every categorical family but the heat cells, which o19 counts before they become occurrences."""
+    """Every categorical family but the heat cells, which are counted before they become occurrences."""
     x, rate = tactical(t), F.lit(1 / RATE)
 
     def build():
@@ -240,12 +242,17 @@ def bin_occ(t):
 
 
 def insights(t):
-    return t.layer("insights", lambda: shared(O.binary(bin_occ(t)).unionByName(O.categorical(cat_occ(t)))))
+    return t.layer("insights", lambda: shared(O.binary(bin_occ(t)).unionByName(shares(t))))
+
+
+def shares(t):
+    """Of every categorical family."""
+    return O.categorical(cat_occ(t)).unionByName(O.categorical_counts(tactical(t).heat_counts()))
 
 
 @query("o20_categorical_share", "SELECT * FROM ocat")
 def _(t):
-    return O.categorical(cat_occ(t))
+    return shares(t)
 
 
 @query("o21_binary_share", "SELECT * FROM obin")
@@ -390,6 +397,12 @@ def _(t):
     return O.highlights(insights(t)).select("profile_id", "insight_type", "map_name", "side", "key", "position")
 
 
-@query("a07_report_export", "SELECT f.pattern_id, f.profile_id, f.pattern_type, f.frequency, r.rule_id FROM dfn f LEFT JOIN drm r ON r.pattern_id = f.pattern_id AND r.rule_id IS NOT NULL")
+@query("a07_report_export", """SELECT f.pattern_id, f.profile_id, f.pattern_type, f.map_name, f.side, f.frequency, r.rule_id,
+  CAST(row_number() OVER (PARTITION BY f.profile_id ORDER BY f.map_name, f.side, coalesce(f.buy_type, ''), f.pattern_type, f.pattern_id, coalesce(r.rule_id, '')) AS INT) AS position
+  FROM dfn f LEFT JOIN drm r ON r.pattern_id = f.pattern_id AND r.rule_id IS NOT NULL""")
 def _(t):
-    return P.export_order(P.findings(frozen(t)[1]), ruled(t)).select("pattern_id", "profile_id", "pattern_type", "frequency", "rule_id")
+    """The reports are written as JSON, one folder per profile, and read back."""
+    path = shared_folder(t.spark, "reports")
+    P.export_reports(P.findings(frozen(t)[1]), ruled(t), path)
+    kinds = "pattern_id string, pattern_type string, map_name string, side string, frequency double, rule_id string, position int, profile_id string"
+    return t.spark.read.schema(kinds).json(path)

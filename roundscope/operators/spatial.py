@@ -120,6 +120,31 @@ class Spatial:
         chunk = F.floor((F.col("position") - 1) / size)
         return self.ticks.groupBy(*KEY, "round_number", chunk.alias("slice")).agg(F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"), F.count("*").alias("tick_count"), F.sum("players").alias("player_rows"))
 
+    def playback(self, markers: DataFrame, effects: DataFrame, size: int = 64) -> DataFrame:
+        """Content of every playback slice, one row each: the state that it starts from, the players and the bomb at its ticks, effects alive in it, events at its ticks.
+
+        ``kind`` says what a row is, ``subject`` whom it is about, ``value`` what is known.
+        """
+        none, text = F.lit(None).cast("string"), lambda *c: F.concat_ws("/", *c)
+        no_place = [F.lit(None).cast("double").alias(c) for c in ("x", "y", "z")]
+        at = self.ticks.select(*KEY, "tick", F.floor((F.col("position") - 1) / size).alias("slice"))
+        head = [*KEY, "slice"]
+
+        def rows(df, kind, tick, subject, value, place=("x", "y", "z")):
+            return df.select(*head, F.lit(kind).alias("kind"), tick.cast("long").alias("tick"), subject.cast("string").alias("subject"), value.alias("value"), *place)
+
+        spans = self.slices(size)
+        state = self.timeline.state_at(spans.select(*KEY, "round_number", "slice", F.col("first_tick").alias("tick")))
+        known = text(F.col("t_alive").cast("string"), F.col("ct_alive").cast("string"), "bomb_state", "phase")
+        life = F.when(F.col("alive"), "alive").when(~F.col("alive"), "dead").otherwise("unknown")
+        carrier = F.when(F.col("has_bomb"), "bomb")
+        return union_all(
+            rows(state, "state", F.col("tick"), none, known, no_place),
+            rows(self.snapshots.join(at, [*KEY, "tick"]), "player", F.col("tick"), F.col("player_id"), text("side", life, "position_status", F.coalesce(carrier, F.lit("-")))),
+            rows(self.carriers.join(at, [*KEY, "tick"]), "bomb", F.col("tick"), F.col("player_id"), F.lit("carried")),
+            rows(effects_in_ranges(spans, effects), "effect", F.lit(None), F.col("effect_id"), F.col("effect_type"), no_place),
+            rows(markers.withColumnRenamed("kind", "what").join(at, [*KEY, "tick"]), "event", F.col("tick"), F.col("event_id"), F.concat_ws("/", "what", "player_id")))
+
     def motion(self, tick_bucket: int = 600) -> DataFrame:
         """Motion class between consecutive samples of a player."""
         s = self.snapshots.withColumn("_b", F.floor(F.col("tick") / tick_bucket))

@@ -103,7 +103,12 @@ def signals(found: DataFrame, limit: int = 5) -> DataFrame:
     return top.withColumn("word", frequency_word(F.col("frequency"))).drop("rk")
 
 
-def export_order(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """Report rows in canonical order, ready for ``write.json``."""
+def export_reports(found: DataFrame, rules: DataFrame, path: str) -> None:
+    """Write one JSON report per profile: findings with their rules by map, side, purchase, type and id, fields by name, no null fields.
+
+    A report's lines lie in one file in their order, and carry it as ``position``; reports are dealt by profile, nothing is sorted over all of them.
+    """
     q = found.join(rules.where("rule_id IS NOT NULL").select("pattern_id", "rule_id"), "pattern_id", "left")
-    return q.orderBy("profile_id", "pattern_type", "map_name", "side", "buy_type", "value", "pattern_id")
+    order = [F.col("map_name"), F.col("side"), F.coalesce("buy_type", F.lit("")), F.col("pattern_type"), F.col("pattern_id"), F.coalesce("rule_id", F.lit(""))]
+    q = q.withColumn("position", F.row_number().over(Window.partitionBy("profile_id").orderBy(*order)))
+    q.select("profile_id", *sorted(c for c in q.columns if c != "profile_id")).write.partitionBy("profile_id").json(path)

@@ -273,11 +273,19 @@ class Tactical:
         """signals(match_id, round_id, team_id, saved, tick): rounds with an available save fact."""
         return occurrence(self.v.join(signals, KEY + ["team_id"]).where("saved IS NOT NULL"), "save_behavior", F.lit("save_observed"), F.col("saved"), F.col("tick"))
 
-    def heat_cells(self) -> DataFrame:
-        """Counted before it becomes occurrences: a cell row stands for all its samples."""
+    @property
+    def _living(self) -> DataFrame:
         s = self.v.join(self.mine.where("alive AND x IS NOT NULL"), KEY + ["team_id"]).drop(self.mine.side)
-        cx, cy = F.floor(F.col("x") / self.cfg.cell), F.floor(F.col("y") / self.cfg.cell)
-        return s.groupBy("profile_id", "map_name", self.v.side, cx.alias("cell_x"), cy.alias("cell_y")).agg(F.count("*").alias("numerator"))
+        return s.select("profile_id", "map_name", self.v.side, "match_id", F.floor(F.col("x") / self.cfg.cell).alias("cell_x"), F.floor(F.col("y") / self.cfg.cell).alias("cell_y"))
+
+    def heat_cells(self) -> DataFrame:
+        """Living samples per cell."""
+        return self._living.groupBy("profile_id", "map_name", "side", "cell_x", "cell_y").agg(F.count("*").alias("numerator"))
+
+    def heat_counts(self) -> DataFrame:
+        """The same as counts of occurrences per match: samples are as many as all positions, so they are never listed one by one."""
+        key = F.concat_ws(":", F.lit("cell"), F.col("cell_x").cast("string"), F.col("cell_y").cast("string"))
+        return self._living.groupBy("profile_id", F.lit("heatmap_cell").alias("insight_type"), "map_name", "side", key.alias("key"), "match_id").agg(F.count("*").alias("n"))
 
     def pace(self, clocks: DataFrame, site_zone: Column) -> DataFrame:
         """Attack pace of T rounds from the first contact, an early plant and the zones held at contact."""
@@ -343,7 +351,12 @@ class Tactical:
 
 def categorical(occ: DataFrame) -> DataFrame:
     """Share of each key among all occurrences of its map and side."""
-    g = occ.groupBy(*SCOPE, "key").agg(F.count("*").alias("numerator"), F.countDistinct("match_id").alias("match_count"))
+    return categorical_counts(occ.groupBy(*SCOPE, "key", "match_id").agg(F.count("*").alias("n")))
+
+
+def categorical_counts(counts: DataFrame) -> DataFrame:
+    """The same from occurrences that are counted per match."""
+    g = counts.groupBy(*SCOPE, "key").agg(F.sum("n").alias("numerator"), F.count("*").alias("match_count"))
     return g.withColumn("denominator", F.sum("numerator").over(Window.partitionBy(*SCOPE))).withColumn("frequency", ratio(F.col("numerator"), F.col("denominator")))
 
 

@@ -155,6 +155,15 @@ def label_metrics(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     return g.withColumn("complete", (c("missing") == 0) & (c("unavailable") == 0) & (c("unknown") == 0) & (c("sample_size") > 0))
 
 
+def label_lists(labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(list, label_id): determinate labels without prediction or with an unavailable one, predictions without label, indeterminate labels."""
+    c = F.col
+    q = labels.select("label_id", c("value").alias("l")).join(predictions.select("label_id", c("value").alias("p")), "label_id", "full")
+    det = c("l").isin("present", "absent")
+    found = [F.when(truth(rule), F.lit(name)) for name, rule in (("missing", det & c("p").isNull()), ("unknown", c("l").isNull()), ("unavailable", det & (c("p") == "unavailable")), ("indeterminate", c("l") == "indeterminate"))]
+    return q.select(F.explode(F.array_compact(F.array(*found))).alias("list"), "label_id")
+
+
 def corpus_coverage(cases: DataFrame, labels: DataFrame, support: DataFrame, policy: dict) -> DataFrame:
     """Corpus against policy: counts, missing sources and edge cases, label minimums, parser gaps."""
     c = F.col

@@ -5,27 +5,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.common import shared_root, union_all
 
-CANONICAL = """match_id string, map_name string, schema_version int,
- teams array<struct<team_id:string>>, players array<struct<player_id:string, team_id:string, steam_id:string, current_name:string>>,
- rounds array<struct<round_id:string, round_number:int, start_tick:int, freeze_end_tick:int, end_tick:int, official_end_tick:int, t_team_id:string, ct_team_id:string, winner_side:string>>,
- kills array<struct<event_id:bigint, round_id:string, tick:int, attacker_player_id:string, victim_player_id:string, weapon:string>>"""
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def load_canonical(spark: SparkSession, path: str, version: int = 1) -> dict[str, DataFrame]:
-    """Versioned canonical data sets (one JSON document per line and match) as tables."""
-    doc = spark.read.schema(CANONICAL).json(path).where(F.col("schema_version") == version)
-    out = {"matches": doc.select("match_id", "map_name")}
-    for name in ("teams", "players", "rounds", "kills"):
-        out[name] = doc.select("match_id", F.inline(name))
-    return out
+def write_canonical(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
+    """One JSON document per match with an array of rows for each table."""
+    doc = None
+    for name, df in tables.items():
+        rows = df.groupBy("match_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "match_id"])).alias(name))
+        doc = rows if doc is None else doc.join(rows, "match_id", "full")
+    doc.withColumn("schema_version", F.lit(version)).write.option("ignoreNullFields", "false").json(path)
+
+
+def load_canonical(spark: SparkSession, path: str, shapes: dict[str, StructType], version: int = 1) -> dict[str, DataFrame]:
+    """Documents of one version as tables; ``shapes`` names the tables and their columns, match_id among them.
+
+    Fields are read by schema, without a pass to infer it; documents of other versions are left out, and a table that a document lacks has no rows of it.
+    """
+    of = {n: StructType([f for f in s.fields if f.name != "match_id"]) for n, s in shapes.items()}
+    schema = StructType([StructField("match_id", StringType()), StructField("schema_version", IntegerType()), *[StructField(n, ArrayType(s)) for n, s in of.items()]])
+    doc = spark.read.schema(schema).json(path).where(F.col("schema_version") == version)
+    return {n: doc.select("match_id", F.inline(n)).select(*shapes[n].names) for n in shapes}
 
 
 def outdated(new: DataFrame, stored: DataFrame) -> DataFrame:
