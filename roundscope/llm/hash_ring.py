@@ -69,17 +69,15 @@ def placement(counts: DataFrame, ring: Ring) -> DataFrame:
 
     own = cells.where("home > 0").select("cell", F.lit(0).cast("long").alias("lo"), F.col("home").alias("hi"), "shard", "slot0")
 
-    rooms = cells.groupBy("shard").agg(F.max("quota").alias("quota"), F.sum("home").alias("home"))
-    rooms = virtual_nodes(spark, ring).select("shard").distinct().join(rooms, "shard", "left")
-    rooms = rooms.select("shard", F.coalesce(F.col("quota") - F.col("home"), F.lit(0).cast("long")).alias("room"))
+    rooms = cells.groupBy("shard").agg(F.sum("home").alias("home"), F.sum("n").alias("n"))
     lap = virtual_nodes(spark, ring).join(cells.groupBy("arc").agg(F.sum("over").alias("over")), "arc", "left")
     lap = lap.select(F.struct("arc", "shard", F.coalesce("over", F.lit(0).cast("long")).alias("over")).alias("node"))
-    both = lap.unionByName(rooms.select(F.struct("shard", "room").alias("room")), allowMissingColumns=True)
-    both = both.agg(F.sort_array(F.collect_list("node")).alias("lap"), F.map_from_entries(F.collect_list("room")).alias("rooms"))
+    both = lap.unionByName(rooms.select(F.struct("shard", "home").alias("room"), "n"), allowMissingColumns=True)
+    both = both.agg(F.sort_array(F.collect_list("node")).alias("lap"), F.map_from_entries(F.collect_list("room")).alias("homes"), F.sum("n").alias("total"))
     walk = both.select(F.expr(f"""
         aggregate(
           concat(lap, transform(lap, a -> struct(a.arc, a.shard, 0L as over))),
-          struct(0L as carry, transform(sequence(0, {ring.shards - 1}), s -> coalesce(rooms[s], 0L)) as room,
+          struct(0L as carry, transform(sequence(0, {ring.shards - 1}), s -> total div {ring.shards} + if(s < total % {ring.shards}, 1L, 0L) - coalesce(homes[s], 0L)) as room,
                  cast(array() as array<struct<shard:int,taken:bigint>>) as out),
           (s, a) -> struct(
             s.carry + a.over - least(s.carry + a.over, s.room[a.shard]) as carry,
@@ -89,8 +87,8 @@ def placement(counts: DataFrame, ring: Ring) -> DataFrame:
           s -> s.out)""").alias("out"))
     taken = walk.select(F.posexplode("out").alias("k", "x")).select("k", "x.shard", "x.taken")
     taken = taken.withColumn("pos", _before("taken", [], "k")).withColumn("used", _before("taken", ["shard"], "k"))
-    taken = taken.join(cells.groupBy("shard").agg(F.sum("home").alias("home")), "shard")
-    taken = taken.select("pos", F.struct("shard", "pos", (F.col("home") + F.col("used")).alias("slot0")).alias("to"))
+    taken = taken.join(rooms.select("shard", "home"), "shard", "left")  # a shard may own no cell
+    taken = taken.select("pos", F.struct("shard", "pos", (F.coalesce("home", F.lit(0)) + F.col("used")).alias("slot0")).alias("to"))
 
     moved = cells.where("over > 0").select(F.col("over0").alias("pos"), F.struct("cell", "home", "over0").alias("of"))
     end = cells.agg(F.sum("over").alias("pos"))
