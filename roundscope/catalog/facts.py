@@ -143,7 +143,7 @@ INPUTS = ("matches", "rounds", "players", "memberships", "kills", "damages", "sh
 
 @query("l17_input_consistency", """SELECT m.match_id, CAST(CASE WHEN m.match_no % 5 = 2 THEN 2 ELSE 1 END AS BIGINT) AS fingerprints, m.match_no % 5 <> 2 AS consistent FROM matches m""")
 def _(t):
-    fp = t.layer("fingerprints", lambda: t.stored(S.dataset_fingerprint({n: getattr(t.once, n) for n in INPUTS}), "fingerprints"))
+    fp = t.layer("fingerprints", lambda: t.stored(S.dataset_fingerprint({n: getattr(t, n) for n in INPUTS}), "fingerprints"))
     moved = fp.join(t.matches.select("match_id", "match_no"), "match_id").select("match_id", F.when(F.col("match_no") % 5 == 2, F.sha2("fingerprint", 256)).otherwise(F.col("fingerprint")).alias("fingerprint"))
     return L.consistent_inputs(fp, moved)
 

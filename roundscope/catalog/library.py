@@ -39,9 +39,9 @@ def _(t):
         return lambda tables: (tables["rounds"].join(tables["kills"].groupBy("round_id").agg(F.count("*").alias("kills")), "round_id", "left").fillna(0, ["kills"])
                                .select("match_id", "round_id", "winner_side", F.col("official_end_tick").cast("long").alias("official_end_tick"), "kills", F.lit(run).alias("run")))
 
-    rounds, kills = t.once.rounds, t.once.kills
+    rounds, kills = t.rounds, t.kills
     layer.refresh("round_facts", {"rounds": rounds, "kills": kills}, derive("first"))
-    left = t.once.matches.where("match_no % 7 <> 5").select("match_id", "match_no")
+    left = t.matches.where("match_no % 7 <> 5").select("match_id", "match_no")
     moved = rounds.join(left, "match_id").withColumn("official_end_tick", F.col("official_end_tick") + F.when(F.col("match_no") % 2 == 0, 1).otherwise(0)).select(*rounds.columns)
     layer.refresh("round_facts", {"rounds": moved, "kills": kills.join(left, "match_id", "left_semi")}, derive("second"))
     return layer.read("round_facts")
@@ -69,12 +69,12 @@ def _(t):
     """Content of every table after some matches were deleted, with all that was derived from them."""
     layer = Layer(t.spark, A.shared_folder(t.spark, "delete"))
     for n in _KEPT:
-        layer.write(n, getattr(t.once, n), "run_id" if n in ("run_inputs", "pattern_runs") else "match_id")
+        layer.write(n, getattr(t, n), "run_id" if n in ("run_inputs", "pattern_runs") else "match_id")
         if n not in ("matches", "pattern_runs"):
             layer.derived("matches", n)
     layer.derived("run_inputs", "pattern_runs", "run_id")  # a run that used a match goes with all its inputs
     layer.derived("pattern_runs", "run_inputs", "run_id")
-    layer.delete("matches", t.once.matches.where("match_no % 3 = 1"))
+    layer.delete("matches", t.matches.where("match_no % 3 = 1"))
     sums = union_all(*[S.content_sums(layer.read(n).withColumn("_all", F.lit(0)), n, "_all", layer.read(n).columns) for n in _KEPT])
     return S.merged_sums((1, sums), key="_all").select("table_name", S.fingerprint_text().alias("fingerprint"))
 
@@ -107,7 +107,7 @@ cte("psc", "SELECT match_id, team_id, arg_max(score, round_number) AS score FROM
   LEFT JOIN (SELECT match_id, count(*) AS players, CAST(sum(kills) AS BIGINT) AS kills, max(adr) AS best_adr FROM pm GROUP BY 1) p USING (match_id) LEFT JOIN (SELECT match_id, CASE WHEN count(*) = 2 THEN string_agg(CAST(score AS VARCHAR), ':' ORDER BY team_id) ELSE '-' END AS score FROM psc GROUP BY 1) s USING (match_id)""")
 def _(t):
     s = stats(t)
-    return Q.overview(t.once.rounds, t.once.bombs, s.openings, s.trades, s.player_matches)
+    return Q.overview(t.rounds, t.bombs, s.openings, s.trades, s.player_matches)
 
 
 @query("f07_player_events", " UNION ALL ".join(f"SELECT match_id, round_number, tick, event_id, 'kill' AS kind, '{r}' AS role, {r}_player_id AS player_id FROM kills WHERE {r}_player_id IS NOT NULL" for r in ("attacker", "victim", "assister")) + " UNION ALL SELECT match_id, round_number, tick, event_id, 'grenade', 'thrower', player_id FROM grenades")
@@ -140,7 +140,7 @@ FINGERPRINTED = ("matches", "rounds", "players", "memberships", *_FAM.values(),
 
 
 def fingerprinted(t):
-    return {n: getattr(t.once, n) for n in FINGERPRINTED}
+    return {n: getattr(t, n) for n in FINGERPRINTED}
 
 
 #: The ten canonical tables.
@@ -151,9 +151,9 @@ TEN = ("matches", "rounds", "players", "memberships", *_FAM.values())
 def _(t):
     """Every table of the documents, by the content of each match."""
     path = A.shared_folder(t.spark, "canonical")
-    whole = {n: getattr(t.once, n) for n in TEN}
+    whole = {n: getattr(t, n) for n in TEN}
     A.write_canonical(whole, f"{path}/version=1")
-    A.write_canonical({"matches": t.once.matches}, f"{path}/version=2", 2)  # must be left out
+    A.write_canonical({"matches": t.matches}, f"{path}/version=2", 2)  # must be left out
     loaded = A.load_canonical(t.spark, path, {n: df.schema for n, df in whole.items()})
     sums = union_all(*[S.content_sums(df, n) for n, df in loaded.items()])
     return sums.select("match_id", "table_name", S.fingerprint_text().alias("fingerprint"))

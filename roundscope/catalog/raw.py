@@ -79,7 +79,7 @@ cte("nroles", " UNION ALL ".join([
 
 def canonical(t) -> CanonicalMatches:
     """The canonical tables of the landing rows; steps that several others read are written once."""
-    return t.layer("canonical", lambda: CanonicalMatches(t.once.raw_events, t.once.raw_marks, t.stored))
+    return t.layer("canonical", lambda: CanonicalMatches(t.raw_events, t.raw_marks, lambda df, name: t.stored(df, f"canonical_{name}")))
 
 
 @query("b01_alias_projection", "SELECT event_id, user_id AS player, CAST(NULL AS VARCHAR) AS absent FROM events")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.common import release_shared
 from ..sources.bridge import MatchTables, duck_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +56,7 @@ def forget_layers() -> None:
     for t in _TABLES.values():
         t.close()
     _TABLES.clear()
+    release_shared()
 
 
 def query(name: str, sql: str | None = None):

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -81,12 +82,27 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_SHARED: list[tuple[SparkSession, str]] = []
+
+
 def shared(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that several branches read, through a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+    """Write an intermediate result that several branches read, as Parquet in the shared folder: its lineage is cut, readers prune columns and know its size."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/shared-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _SHARED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release_shared() -> None:
+    """Delete the intermediate results of ``shared``; DataFrames that read them can't be used afterwards."""
+    while _SHARED:
+        remove_folder(*_SHARED.pop())
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:

@@ -249,8 +249,7 @@ def overlap_counts(selections: DataFrame, roster: DataFrame, players: DataFrame)
     """
     teams = players.select("match_id", "team_id").distinct()
     own = selections.select("profile_id", "match_id").distinct().join(teams.groupBy("match_id").agg(F.count("*").alias("n")), "match_id", "left")
-    total = teams.agg(F.count("*").alias("total"))  # one number
-    base = own.groupBy("profile_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("own")).join(F.broadcast(total))
+    base = own.groupBy("profile_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("own")).withColumn("total", F.lit(teams.count()))
     found = candidate_overlap(selections, roster, players).groupBy("profile_id").agg(
         *[count_if(F.col("strength") == s).alias(s) for s in ("strong", "possible")])
     scored = _confirmed(roster).select("profile_id").distinct().withColumn("scored", F.lit(True))
@@ -265,8 +264,7 @@ def profile_candidates(profile_id: str, selections: DataFrame, roster: DataFrame
     shared = players.where("steam_id IS NOT NULL").join(own, "steam_id", "left_semi").groupBy("match_id", "team_id").agg(F.countDistinct("steam_id").alias("overlap_numerator"))
     chosen = selections.where(F.col("profile_id") == profile_id).select("match_id")
     c = _team_sizes(players).join(chosen, "match_id", "left_anti").join(shared, ["match_id", "team_id"], "left").fillna(0, ["overlap_numerator"])
-    known = own.agg((F.count("*") > 0).alias("scored"))  # one value
-    return _with_strength(c.join(F.broadcast(known)), F.col("scored")).drop("scored").withColumn("profile_id", F.lit(profile_id))
+    return _with_strength(c, F.lit(not own.isEmpty())).withColumn("profile_id", F.lit(profile_id))
 
 
 def clear_candidates(overlap: DataFrame) -> DataFrame:

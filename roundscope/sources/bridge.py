@@ -349,15 +349,20 @@ RAW_KEYS = {
     "blind_duration": ("blind_duration", "duration"), "site": ("site", "bombsite"), "a_bot": ("attacker_isbot", "attacker_is_bot"),
     "p_steam": ("steamid", "steam_id"), "p_name": ("name", "player_name"), "p_bot": ("is_bot", "isbot"), "other_tick": ("event_tick", "tick"),
 }
+#: Written once to the columnar layer: typed events, so that ``events`` is scanned once, and what is aggregated from them for many other tables.
+STORED = ("ev", "match_base", "round_sums", "rounds")
 #: Columns that only some rows have; the others hold NULL where a value is missing.
 SPARSE = ("other_tick",)
 
 
 class MatchTables:
-    """Lazily built canonical tables; ``tables.kills`` is a DataFrame."""
+    """Lazily built canonical tables; ``tables.kills`` is a DataFrame.
 
-    def __init__(self, spark: SparkSession, path: str, built: dict[str, DataFrame] | None = None):
-        self.spark, self.path, self._built = spark, path, dict(built or {})
+    All of them go back to the events' columnar layer, which is written when one is asked for first.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self._built = spark, path, {}
         for key, value in SESSION_DEFAULTS.items():
             spark.conf.set(key, value)
 
@@ -367,11 +372,6 @@ class MatchTables:
             self._built[key] = build()
         return self._built[key]
 
-    @property
-    def once(self) -> MatchTables:
-        """The same tables over events that were scanned once: typed, in Parquet, in hashed match buckets."""
-        return self.layer("once", lambda: MatchTables(self.spark, self.path, {"ev": self.stored(self.ev, "ev")}))
-
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """A table of this session's columnar layer; write-once."""
         layer = self.layer("store", lambda: Layer(self.spark, shared_folder(self.spark, "layer")))
@@ -407,6 +407,10 @@ class MatchTables:
         return once(rows, data=data).select("match_id", "source_event", "data")
 
     def _build(self, name: str) -> DataFrame:
+        df = self._derived(name)
+        return self.stored(df, name) if name in STORED else df
+
+    def _derived(self, name: str) -> DataFrame:
         source, rule, exprs = TABLES[name]
         df = self._events() if source == "events" else getattr(self, source) if source in TABLES else self.read(source)
         exprs = [_spark_text(e) for e in exprs]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.common import remove_folder
 from ..operators.lineage import dataset_fingerprint
 from .store import outdated
 
@@ -75,8 +76,7 @@ class Layer:
         return fs.exists(where) and any(s.getPath().getName().startswith(f"{BUCKET}=") for s in fs.listStatus(where))
 
     def _remove(self, path: str) -> None:
-        where, fs = self._hadoop(path)
-        fs.delete(where, True)
+        remove_folder(self.spark, path)
 
     # -- changes of some matches ---------------------------------------------
     def _buckets(self, keys: DataFrame, key: str) -> list[int]:

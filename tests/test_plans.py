@@ -35,7 +35,7 @@ def scans(spark, run):
     return sum(p.count("/events.parquet]") for p in plans), len(plans)
 
 
-@pytest.mark.parametrize("name", ["f01_player_match", "f02_team_match", "e21_player_round", "f06_match_overview", "b13_raw_to_player_match"])
+@pytest.mark.parametrize("name", ["f01_player_match", "f02_team_match", "e21_player_round", "f06_match_overview", "b13_raw_to_player_match", "h10_transition_log", "l15_fact_counts"])
 def test_events_are_scanned_once(spark, name):
     found, plans = scans(spark, lambda: QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save())
     assert plans > 1 and found == 1
