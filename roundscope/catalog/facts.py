@@ -14,7 +14,7 @@ from .space import _IN, polygons, wanted
 from .stats import WINDOW, stats
 from .timeline import tl
 
-TOL = 200
+TOL = 16
 
 
 def zone_points(t, df):

@@ -15,7 +15,7 @@ from .registry import cte, query
 from .space import AREAS, spatial
 from .stats import stats
 
-AGE = 400
+AGE = 32
 CFG = O.TacticalConfig(max_age=AGE)
 RATE = 64.0
 LANES = {"A": {"mid1": "connector", "mid2": "ramp", "bombsite_a0": "palace"}, "B": {"mid2": "short", "mid10": "apps", "bombsite_b3": "market"}}

@@ -110,7 +110,7 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
     ]),
     "sample_slots": ("ev", "", ["*", "EXPLODE[0, 1, 2, 3] AS j"]),
     "sample_players": ("sample_slots", "", ["*", "(a + 3 * j) % 10 AS slot"]),
-    "samples": ("sample_players", "", [
+    "event_samples": ("sample_players", "", [
         "event_id", "match_id", "round_id", "rn AS round_number", "tick", "rtick AS relative_tick", "phase", "j",
         "'7656' || (lobby * 10 + slot) AS steam_id", f"{_player('slot')} AS player_id", f"{_team('slot')} AS team_id", f"{_side('slot')} AS side",
         "CAST((event_id * 13 + CAST(floor(value * 100) AS BIGINT) + j * 137) % 4096 AS DOUBLE) AS x",
@@ -124,6 +124,20 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "CASE k % 4 WHEN 0 THEN 'hegrenade' WHEN 1 THEN 'molotov' WHEN 2 THEN 'flashbang' ELSE 'smokegrenade' END AS utility_a",
         "CASE WHEN k % 5 = 0 THEN 'flashbang' WHEN k % 5 = 1 THEN 'ak47' END AS utility_b",
     ]),
+    "round_sums": ("ev", "GROUP match_no, match_id, lobby, round_id, rn", ["CAST(sum(k) AS BIGINT) AS sk"]),
+    # all players at the checkpoints of every round, some of them a sampling step early or late, some missing
+    "mark_slots": ("round_sums", "", ["*", "EXPLODE[0, 1, 2, 3, 4, 5, 6, 7, 8, 9] AS slot"]),
+    "mark_points": ("mark_slots", "", ["*", "EXPLODE[0, 640, 1280, 1920] AS mark"]),
+    "mark_rows": ("mark_points", "(slot + rn + mark // 640) % 11 <> 0", ["*", "100 + mark + CASE (slot + rn) % 5 WHEN 3 THEN 16 WHEN 4 THEN -16 ELSE 0 END AS rtick"]),
+    "mark_samples": ("mark_rows", "", [
+        "match_no * 720 + (rn - 1) * 30 AS event_id", "match_id", "round_id", "rn AS round_number", "(rn - 1) * 3600 + rtick AS tick", "rtick AS relative_tick", "CASE WHEN rtick < 100 THEN 'freeze_time' ELSE 'live' END AS phase",
+        "CAST(10 + slot * 4 + mark // 640 AS INT) AS j", "'7656' || (lobby * 10 + slot) AS steam_id", f"{_player('slot')} AS player_id", f"{_team('slot')} AS team_id", f"{_side('slot')} AS side",
+        "CAST((sk * 13 + slot * 409 + mark * 3) % 4096 AS DOUBLE) AS x", "CAST((sk * 41 + slot * 211 + mark) % 4096 AS DOUBLE) AS y", "CASE WHEN (sk + slot) % 31 = 3 THEN NULL ELSE CAST((sk % 5) * 64 AS DOUBLE) END AS z",
+        "CAST((sk * 7 + slot * 30) % 360 AS DOUBLE) AS yaw", "CAST(sk % 90 AS DOUBLE) AS pitch", "(sk + slot) % 9 <> 0 AS source_alive",
+        f"CASE WHEN (sk + slot) % 23 = 0 THEN NULL WHEN ({_side('slot')}) = 'T' THEN 2 ELSE 3 END AS source_team_number", "CASE WHEN (sk + slot) % 12 = 0 THEN 49 ELSE 7 END AS carried_item_id",
+        "CASE (sk + slot) % 4 WHEN 0 THEN 'hegrenade' WHEN 1 THEN 'molotov' WHEN 2 THEN 'flashbang' ELSE 'smokegrenade' END AS utility_a", "CASE WHEN slot % 5 = 0 THEN 'flashbang' WHEN slot % 5 = 1 THEN 'ak47' END AS utility_b",
+    ]),
+    "samples": ("event_samples", "UNION mark_samples", []),
     "match_base": ("ev", "DISTINCT", ["match_no", "match_id", "lobby"]),
     "matches": ("match_base", "", [
         "match_id", "match_no", "lobby",
@@ -147,7 +161,6 @@ TABLES: dict[str, tuple[str, str, list[str]]] = {
         "CASE WHEN half = 1 THEN 43200 WHEN half = 2 THEN 64800 WHEN slot = 9 AND match_no % 3 = 1 THEN 7200 ELSE 0 END AS valid_from_tick",
         "CASE WHEN half = 0 THEN 43199 END AS valid_to_tick",
     ]),
-    "round_sums": ("ev", "GROUP match_no, match_id, lobby, round_id, rn", ["CAST(sum(k) AS BIGINT) AS sk"]),
     "round_wins": ("round_sums", "", [
         "*", "CASE WHEN sk % 2 = 0 THEN 'T' ELSE 'CT' END AS true_side",
         "CASE WHEN (sk % 2 = 0) = (rn <= 12) THEN 1 ELSE 0 END AS a_won",
@@ -335,7 +348,7 @@ def _column_names(name: str) -> list[str]:
 
 
 #: Columns of each table, and those that hold doubles.
-TABLE_COLUMNS = {n: _column_names(n) for n, (source, rule, _) in TABLES.items() if not rule.startswith("GROUP") and (source in TABLES or source == "events")}
+TABLE_COLUMNS = {n: _column_names(n) for n, (source, rule, _) in TABLES.items() if not rule.startswith(("GROUP", "UNION")) and (source in TABLES or source == "events")}
 DOUBLES = ("x", "y", "z", "duration_seconds", "yaw", "pitch")
 
 # raw column -> landing key for even and odd k; several spellings of one field.
@@ -414,6 +427,8 @@ class MatchTables:
         source, rule, exprs = TABLES[name]
         df = self._events() if source == "events" else getattr(self, source) if source in TABLES else self.read(source)
         exprs = [_spark_text(e) for e in exprs]
+        if rule.startswith("UNION "):
+            return df.unionByName(getattr(self, rule[6:]))
         if rule.startswith("GROUP "):
             keys = rule[6:].split(", ")
             return df.groupBy(*keys).agg(*[F.expr(e) for e in exprs])
@@ -442,7 +457,9 @@ def duck_ctes() -> dict[str, str]:
     out = {}
     for name, (source, rule, exprs) in TABLES.items():
         cols = [_duck_text(e) for e in exprs]
-        if rule.startswith("GROUP "):
+        if rule.startswith("UNION "):
+            out[name] = f"SELECT * FROM {source} UNION ALL BY NAME SELECT * FROM {rule[6:]}"
+        elif rule.startswith("GROUP "):
             keys = rule[6:]
             out[name] = f"SELECT {keys}, {', '.join(cols)} FROM {source} GROUP BY {keys}"
         elif rule == "DISTINCT":
