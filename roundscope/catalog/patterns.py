@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.common import shared, text
+from ..functions.common import shared, text, union_all
 from ..operators import economy as K
 from ..plans import patterns as M
 from ..plans import trust as N
@@ -284,12 +284,26 @@ def _(t):
 POLICY = {"matches": 3, "maps": 2, "sources": ("league", "ladder", "scrim"), "edges": ("overtime", "reconnect", "surrender"), "determinate": 50, "positive": 20, "negative": 20, "parsers": ("parser1", "parser2")}
 
 
-@query("n11_corpus_coverage", """SELECT b.target_id, confirmed_matches, distinct_maps, coalesce(l.determinate, 0) AS determinate, coalesce(l.positive, 0) AS positive, coalesce(l.negative, 0) AS negative, coalesce(g.n, 0) AS parser_gaps, concat_ws(',', CASE WHEN NOT list_contains(ss, 'ladder') THEN 'ladder' END, CASE WHEN NOT list_contains(ss, 'league') THEN 'league' END, CASE WHEN NOT list_contains(ss, 'scrim') THEN 'scrim' END) AS missing_sources,
-  concat_ws(',', CASE WHEN NOT list_contains(es, 'overtime') THEN 'overtime' END, CASE WHEN NOT list_contains(es, 'reconnect') THEN 'reconnect' END, 'surrender') AS missing_edges, 'blocked' AS status FROM (SELECT target_id, count(*) AS confirmed_matches, count(DISTINCT map_name) AS distinct_maps, list(DISTINCT source) AS ss, list(DISTINCT edge_case) AS es FROM corpus_cases WHERE review_status = 'confirmed' GROUP BY 1) b
+#: A policy that some corpora meet: one source, one edge case, one parser.
+EASY_POLICY = {"matches": 2, "maps": 2, "sources": ("league",), "edges": ("none",), "determinate": 40, "positive": 20, "negative": 15, "parsers": ("parser1",)}
+
+
+def _coverage_sql(name, policy):
+    absent = lambda column, wanted: "concat_ws(',', " + ", ".join(f"CASE WHEN NOT list_contains({column}, '{x}') THEN '{x}' END" for x in sorted(wanted)) + ")"
+    parsers = ", ".join(f"'{x}'" for x in policy["parsers"])
+    return f"""SELECT '{name}' AS policy, *, CASE WHEN confirmed_matches < {policy['matches']} OR distinct_maps < {policy['maps']} OR missing_sources <> '' OR missing_edges <> '' OR determinate < {policy['determinate']}
+    OR positive < {policy['positive']} OR negative < {policy['negative']} OR parser_gaps > 0 THEN 'blocked' ELSE 'ready' END AS status FROM (
+  SELECT b.target_id, confirmed_matches, distinct_maps, coalesce(l.determinate, 0) AS determinate, coalesce(l.positive, 0) AS positive, coalesce(l.negative, 0) AS negative, coalesce(g.n, 0) AS parser_gaps,
+    {absent('ss', policy['sources'])} AS missing_sources, {absent('es', policy['edges'])} AS missing_edges
+  FROM (SELECT target_id, count(*) AS confirmed_matches, count(DISTINCT map_name) AS distinct_maps, list(DISTINCT source) AS ss, list(DISTINCT edge_case) AS es FROM corpus_cases WHERE review_status = 'confirmed' GROUP BY 1) b
   LEFT JOIN (SELECT target_id, count(*) FILTER (value <> 'indeterminate') AS determinate, count(*) FILTER (value = 'present') AS positive, count(*) FILTER (value = 'absent') AS negative FROM corpus_labels GROUP BY 1) l USING (target_id)
-  LEFT JOIN (SELECT c.target_id, count(DISTINCT c.case_id) AS n FROM corpus_cases c CROSS JOIN (SELECT unnest(['parser1', 'parser2']) AS parser) q WHERE review_status = 'confirmed' AND NOT EXISTS (SELECT 1 FROM parser_support s WHERE s.case_id = c.case_id AND s.parser = q.parser AND s.supported) GROUP BY 1) g USING (target_id)""")
+  LEFT JOIN (SELECT c.target_id, count(DISTINCT c.case_id) AS n FROM corpus_cases c CROSS JOIN (SELECT unnest([{parsers}]) AS parser) q WHERE review_status = 'confirmed'
+    AND NOT EXISTS (SELECT 1 FROM parser_support s WHERE s.case_id = c.case_id AND s.parser = q.parser AND s.supported) GROUP BY 1) g USING (target_id))"""
+
+
+@query("n11_corpus_coverage", " UNION ALL ".join(_coverage_sql(n, p) for n, p in (("strict", POLICY), ("easy", EASY_POLICY))))
 def _(t):
-    q = N.corpus_coverage(t.corpus_cases, t.corpus_labels, t.parser_support, POLICY)
+    q = union_all(*[N.corpus_coverage(t.corpus_cases, t.corpus_labels, t.parser_support, p).withColumn("policy", F.lit(n)) for n, p in (("strict", POLICY), ("easy", EASY_POLICY))])
     return q.withColumn("missing_sources", text(F.col("missing_sources"))).withColumn("missing_edges", text(F.col("missing_edges")))
 
 

@@ -184,7 +184,11 @@ def team_names(marks: DataFrame, rounds: DataFrame, players: DataFrame) -> DataF
         F.struct((-F.col("n")).alias("neg"), F.lower("name").alias("folded"), F.col("name")))).alias("ranked"))
     tag = F.coalesce(*[F.nullif(F.regexp_extract(F.trim("current_name"), p, 1), F.lit("")) for p in (BRACKET_TAG, SEPARATOR_TAG)])
     p = players.withColumn("tag", tag).withColumn("tag", F.when(~F.lower("tag").isin(*GENERIC_NAMES), F.col("tag")))
-    names = p.groupBy("match_id", "team_id").agg(F.count("*").alias("roster_size"), F.collect_set(F.lower("current_name")).alias("known"))
+    # every name that a player is known by, of which there are a few each
+    every = F.array_union(F.col("known_names"), F.array("current_name")) if "known_names" in players.columns else F.array("current_name")
+    sizes = p.groupBy("match_id", "team_id").agg(F.count("*").alias("roster_size"))
+    known = p.select("match_id", "team_id", F.explode(every).alias("name")).groupBy("match_id", "team_id").agg(F.collect_set(F.lower("name")).alias("known"))
+    names = sizes.join(known, ["match_id", "team_id"], "left")
     spell = p.where("tag IS NOT NULL").groupBy("match_id", "team_id", F.lower("tag").alias("folded"), "tag").agg(F.count("*").alias("n"))
     folded = spell.groupBy("match_id", "team_id", "folded").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("neg"), F.col("tag"))).alias("best"))
     tags = folded.groupBy("match_id", "team_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("folded"), F.col("best.tag").alias("tag")))).alias("tags"))

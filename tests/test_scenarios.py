@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roundscope.config import StatsConfig
 from roundscope.functions.common import lagged
+from roundscope.operators import identity as D
 from roundscope.operators import normalize as B
 from roundscope.operators import spatial as I
 from roundscope.operators import zones as J
@@ -263,3 +264,14 @@ def test_contacts_of_the_live_round(spark):
     plan = object.__new__(O.Tactical)
     plan.v, plan.members, plan.t = view, people, SimpleNamespace(damages=d, kills=k)
     assert sorted(r.tick for r in plan.live_contacts.collect()) == [130, 140, 170]
+
+
+def test_team_name_of_a_former_nickname(spark):
+    """A clan name `team_<name>` counts if any name that a member is known by is <name>, not the current one only."""
+    marks = spark.createDataFrame([("m", "round_start", i * 100, "team_Fox", "team_nobody") for i in range(3)], "match_id string, source_event string, tick int, t_clan string, ct_clan string")
+    rounds = spark.createDataFrame([("m", f"r{i}", i + 1, i * 100, i * 100 + 5, i * 100 + 90, "a", "b") for i in range(3)],
+                                   "match_id string, round_id string, round_number int, start_tick int, freeze_end_tick int, end_tick int, t_team_id string, ct_team_id string")
+    players = spark.createDataFrame([("m", "a", "now", ["fox", "now"]), ("m", "b", "other", ["other"])], "match_id string, team_id string, current_name string, known_names array<string>")
+    got = {r.team_id: r.display_name for r in D.team_names(marks, rounds, players).collect()}
+    assert got == {"a": "team_Fox", "b": None}
+    assert {r.display_name for r in D.team_names(marks, rounds, players.drop("known_names")).collect()} == {None}
