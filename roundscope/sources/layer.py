@@ -49,12 +49,19 @@ class Layer:
 
     def write(self, name: str, df: DataFrame, key: str = "match_id") -> DataFrame:
         """Write a table for the first time and give it back as it is stored."""
-        if name in self.schemas:
+        if self.open(name, key):
             raise ValueError(f"{name} is written already")
         self._put(name, df, key)
         self.schemas[name], self.keys[name] = df.schema, key
         return self.read(name)
 
+    def open(self, name: str, key: str = "match_id") -> bool:
+        """Take over a table that an earlier session wrote below the same root; whether there is one."""
+        if name not in self.schemas and self._exists(self.path(name)):
+            found = self.spark.read.parquet(self.path(name)).schema
+            self.schemas[name], self.keys[name] = StructType([f for f in found.fields if f.name != BUCKET]), key
+        return name in self.schemas
+
     def read(self, name: str, keys: list | None = None) -> DataFrame:
         """A table, or its rows of some matches: their buckets alone are read."""
         schema = self.schemas[name]
@@ -115,9 +122,12 @@ class Layer:
         """
         pins = f"{name}_pins"
         now = dataset_fingerprint(inputs)
-        if name not in self.schemas:
+        if not (self.open(pins) and self.open(name)):
+            if not self.open(name):
+                self.write(name, derive(inputs))
+            else:  # an earlier attempt ended before the pins were written
+                self._rewrite(name, self.read(name), "match_id", derive(inputs))
             self.write(pins, now)
-            self.write(name, derive(inputs))
             return self._buckets(self.read(pins), "match_id")
         stored = self.read(pins)
         stale = outdated(now, stored).select("match_id")

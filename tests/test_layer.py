@@ -88,12 +88,23 @@ def test_refresh_rewrites_the_changed_bucket_only(spark, layer, monkeypatch):
     assert of_bucket(before, touched[0]).isdisjoint(of_bucket(after, touched[0]))
     expected = {tuple(r) for r in derive({"t": df}).collect()}
     assert {tuple(r) for r in layer.read("d").collect()} == expected
+    layer = Layer(spark, layer.root, layer.buckets)  # another session
     layer.refresh("d", {"t": changed.where("match_id <> 'm2'")}, watched)  # a match that went
     assert {tuple(r) for r in layer.read("d").collect()} == {r for r in expected if r[0] != "m2"} and len(asked) == 3 and asked[-1] == set()
     layer.refresh("d", {"t": df}, watched)  # back again
     assert {tuple(r) for r in layer.read("d").collect()} == expected and asked[-1] == {"m2", "m5"}
 
 
+def test_refresh_after_an_attempt_without_pins(spark, layer):
+    df = spark.createDataFrame(ROWS, COLS)
+    layer.write("d", derive({"t": df.where("id < 100")}))  # an earlier attempt got so far
+    again = Layer(spark, layer.root, layer.buckets)
+    again.refresh("d", {"t": df}, derive)
+    assert {tuple(r) for r in again.read("d").collect()} == {tuple(r) for r in derive({"t": df}).collect()}
+    with pytest.raises(ValueError):
+        Layer(spark, layer.root, layer.buckets).write("d", df)
+
+
 def test_delete_follows_the_lineage(spark, layer):
     df = spark.createDataFrame(ROWS, COLS)
     inputs = spark.createDataFrame([(f"r{i % 5}", f"m{i}") for i in range(12)] + [("r9", None)], "run_id string, match_id string")
