@@ -76,7 +76,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_bitsliced_simhash, op8_personal_data, op9_byte_bpe, op10_string_kernel, op11_license_diagonals, op12_periodic_runs, op13_segment_resampling)
 }
 
+def _license_sql(rule: license_scan.ScanRule = license_scan.ScanRule()) -> str:
+    """The scan with the words of k-grams instead of their hashes."""
+    every = [*((t, rule.phrase_words, 0) for t in license_scan.PHRASES), *((t, rule.text_words, rule.slack) for t in license_scan.TEXTS)]
+    rows = []
+    for name, (t, k, slack) in enumerate(every):
+        parts = [w.decode() for w in license_scan.words(t.text)]
+        rows += [f"({name}, '{t.label}', {t.base}, {len(parts)}, {slack}, {k}, {j}, {((1 << k) - 1) << j}::BIGINT, '{' '.join(parts[j : j + k])}')" for j in range(len(parts) - k + 1)]
+    upper = "".join(map(chr, range(65, 91)))
+    return rf"""
+        WITH p(template, label, base, size, slack, k, place, mask, gram) AS (VALUES {', '.join(rows)}),
+             d AS (SELECT row_number() OVER () AS node, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             g AS (SELECT node, i, k, array_to_string(w[i + 1 : i + k], ' ') AS gram FROM (SELECT node, w, k, unnest(generate_series(0, len(w) - k)) AS i FROM d, (SELECT unnest([{rule.phrase_words}, {rule.text_words}]) AS k))),
+             l AS (SELECT node, template, label, base, size, slack, i - place AS diagonal, bit_or(mask) AS mask, min(i) AS a FROM g JOIN p USING (k, gram) GROUP BY ALL),
+             s AS (SELECT *, sum(new) OVER (PARTITION BY node, template ORDER BY diagonal) AS span FROM (
+               SELECT *, CASE WHEN slack = 0 OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY node, template ORDER BY diagonal) > slack, TRUE) THEN 1 ELSE 0 END AS new FROM l)),
+             v AS (SELECT * FROM (SELECT node, template, label, base, size, slack, span, bit_count(bit_or(mask)) AS held, min(a) AS a FROM s GROUP BY ALL) WHERE CASE WHEN slack = 0 THEN held = size ELSE held / size >= {rule.least} END)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base, min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word,
+          coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels,
+          coalesce(max(held / size), 0) AS score, count(v.node) AS n_spans FROM d LEFT JOIN v USING (node) GROUP BY node, doc_id, w"""
+
+
 ORACLES = {
+    "op11_license_diagonals": _license_sql(),
     "op3_chunk_recipes": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
              n AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
