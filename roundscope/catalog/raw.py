@@ -471,6 +471,21 @@ for _n, _s in (("b08_damages", "damages"), ("b08_shots", "shots"), ("b08_blinds"
     query(_n, f"SELECT * FROM c_{_s}")(lambda t, s=_s: getattr(canonical(t), s))
 
 
+_MIXED = "match_id; event_id; '{0}' AS source_event; tick; round_id; phase; {1} AS actor_player_id; {2} AS target_player_id; {3} AS actor_side; {4} AS weapon; {5} AS damage_health; {6} AS victim_health_after; {7} AS duration_seconds"
+_NO_INT, _NO_TEXT, _NO_FLOAT = "CAST(NULL AS BIGINT)", "nullif('', '')", "CAST(NULL AS DOUBLE)"
+_FAMILY = {
+    "damages": _MIXED.format("player_hurt", "attacker_player_id", "victim_player_id", "attacker_side", "weapon", "damage_health", "victim_health_after", _NO_FLOAT),
+    "shots": _MIXED.format("weapon_fire", "player_id", _NO_TEXT, "side", "weapon", _NO_INT, _NO_INT, _NO_FLOAT),
+    "blinds": _MIXED.format("player_blind", "attacker_player_id", "victim_player_id", "attacker_side", _NO_TEXT, _NO_INT, _NO_INT, "duration_seconds"),
+}
+
+
+@query("b08_damage_shots_blinds", " UNION ALL ".join(f"SELECT {c.replace('; ', ', ')} FROM c_{n}" for n, c in _FAMILY.items()))
+def _(t):
+    """The three families in one shape."""
+    return union_all(*[getattr(canonical(t), n).selectExpr(*cols.split("; ")) for n, cols in _FAMILY.items()])
+
+
 @query("b11_event_profile", f"""SELECT source_event, field, present, missing, row_count, missing_tick, coalesce(player_count, 0) AS player_count FROM (
   SELECT source_event, field, count(*) AS present, count(*) FILTER (value IS NULL OR trim(value) = '') AS missing FROM ({' UNION ALL '.join(
     f"SELECT source_event, lower(CASE WHEN k % 2 = 0 THEN '{even}' ELSE '{odd}' END) AS field, CAST({c} AS VARCHAR) AS value FROM raw_all" + (f" WHERE {c} IS NOT NULL" if c in SPARSE else "") for c, (even, odd) in RAW_KEYS.items())}) GROUP BY 1, 2)
