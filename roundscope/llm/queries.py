@@ -97,7 +97,30 @@ def _license_sql(rule: license_scan.ScanRule = license_scan.ScanRule()) -> str:
           coalesce(max(held / size), 0) AS score, count(v.node) AS n_spans FROM d LEFT JOIN v USING (node) GROUP BY node, doc_id, w"""
 
 
+def _resampling_sql(rule: segment_resampling.Resampling = segment_resampling.Resampling()) -> str:
+    """Whole texts without cutting them into lines; CRC-32 byte by byte, once for each distinct feature."""
+    upper = "".join(map(chr, range(65, 91)))
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS steps),
+             d AS (SELECT row_number() OVER () AS node, doc_id, {words} AS w FROM documents), b AS (SELECT {words} AS w FROM benchmark),
+             fd AS (SELECT node, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+             fb AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+             e AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+             k AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, y: xor(c >> 8, steps[(xor(c, y) & 255) + 1])), 4294967295) % {rule.buckets} AS bucket FROM e, t),
+             s AS (SELECT bucket, count(*) AS s FROM fd JOIN k USING (f) GROUP BY 1), u AS (SELECT bucket, count(*) AS t FROM fb JOIN k USING (f) GROUP BY 1),
+             n AS (SELECT (SELECT count(*) FROM fd) AS sn, (SELECT count(*) FROM fb) AS tn),
+             g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sn + {rule.buckets}) / ((coalesce(s, 0) + 1)::DOUBLE * (tn + {rule.buckets})))) AS BIGINT) AS gain FROM s FULL JOIN u USING (bucket), n),
+             v AS (SELECT node, CAST(sum(gain) AS BIGINT) AS total, count(*) AS n FROM fd JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1),
+             r AS (SELECT node, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight,
+               CAST('0x' || substr(sha256('{rule.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN v USING (node)),
+             q AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score, words >= {rule.least_words} AS able FROM r),
+             o AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id, node) AS place, count(*) FILTER (able) OVER () AS ables FROM q)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN able AND place <= {rule.percent} * ables // 100 THEN place END AS rank FROM o"""
+
+
 ORACLES = {
+    "op13_segment_resampling": _resampling_sql(),
     "op11_license_diagonals": _license_sql(),
     "op3_chunk_recipes": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
