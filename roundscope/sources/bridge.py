@@ -362,8 +362,8 @@ RAW_KEYS = {
     "blind_duration": ("blind_duration", "duration"), "site": ("site", "bombsite"), "a_bot": ("attacker_isbot", "attacker_is_bot"),
     "p_steam": ("steamid", "steam_id"), "p_name": ("name", "player_name"), "p_bot": ("is_bot", "isbot"), "other_tick": ("event_tick", "tick"),
 }
-#: Written once to the columnar layer: typed events, so that ``events`` is scanned once, and what is aggregated from them for many other tables.
-STORED = ("ev", "match_base", "round_sums", "rounds")
+#: Written once to the columnar layer: typed events, so that ``events`` is scanned once, and the rounds, which most other tables are joined to.
+STORED = ("ev", "rounds")
 #: Columns that only some rows have; the others hold NULL where a value is missing.
 SPARSE = ("other_tick",)
 
