@@ -153,8 +153,8 @@ def _segments(tokenizer: str, end_id: int):
 
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i in range(0, len(ids), 512):
-                for doc, x in zip(ids[i : i + 512], encoder.encode(texts[i : i + 512].to_pylist()), strict=True):
+            for i in range(0, len(ids), 1024):
+                for doc, x in zip(ids[i : i + 1024], encoder.encode(texts[i : i + 1024].to_pylist()), strict=True):
                     docs.append(doc)
                     held.append(x)
                     size += len(x) + 1

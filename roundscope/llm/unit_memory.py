@@ -6,7 +6,7 @@ worker.  Units are found, told apart and put together by array operations; Pytho
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,8 @@ _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
 _CLASS[128:255] = 2
 _CLASS[255] = 0  # occurs in no UTF-8 text; parts the texts of a batch
 _CLASS[[44, 46]] = 3
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def lone_marks(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -40,13 +42,19 @@ def lone_marks(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words and lone marks; white space is dropped."""
+    """Starts and ends of words, of what follows a letter or digit from an ASCII mark other than the apostrophe on, and of lone marks; white space is dropped."""
     kind = _CLASS[data]
     own = lone_marks(data, kind)
     body = (kind != 0) & ~own
     first, last = body.copy(), body.copy()
     first[1:] &= ~body[:-1]
     last[:-1] &= ~body[1:]
+    mark = np.flatnonzero(_MARK[data[1:]] & body[1:] & body[:-1]) + 1
+    before = kind[mark - 1]
+    wide = (before == 2) & (mark > 1)
+    wide &= (data[mark - 2] == 0xC3) & (data[mark - 1] != 0x97) & (data[mark - 1] != 0xB7)  # two-byte letters from U+00C0
+    mark = mark[(before == 1) | wide]
+    first[mark] = last[mark - 1] = True
     return np.flatnonzero(first | own), np.flatnonzero(last | own) + 1
 
 
@@ -99,10 +107,16 @@ def distinct_units(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return codes, np.concatenate([first, own])
 
 
+def in_a_row(lists: list[list[int]], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all lists, and how many each has."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), dtype, int(sizes.sum())), sizes
+
+
 class UnitMemory:
-    def __init__(self, split: Callable, library: Callable[[list[bytes]], list], dtype) -> None:
-        """``split``: starts and ends of the units in an array of bytes; ``library``: ids of each of a list of units."""
-        self.split, self.library, self.dtype = split, library, np.dtype(dtype)
+    def __init__(self, split: Callable, library: Callable[[list[bytes]], list | tuple], dtype, piece: int = PIECE) -> None:
+        """``split``: starts and ends of the units in an array of bytes; ``library``: ids of each of a list of units, or all of them in a row and how many each has."""
+        self.split, self.library, self.dtype, self.piece = split, library, np.dtype(dtype), piece
         self.at: dict[bytes, int] = {}
         self.ends, self.store = np.zeros(1, np.int64), np.empty(0, self.dtype)
 
@@ -118,7 +132,7 @@ class UnitMemory:
             self.at = dict(islice(self.at.items(), len(self.at) // 2))
             self._keep(len(self.at))
         units = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        where = np.array([self.at.get(u, -1) for u in units], np.int64)
+        where = np.fromiter(map(self.at.get, units, repeat(-1)), np.int64, len(units))
         # units too long to be remembered come last and are forgotten after the batch
         new = sorted(np.flatnonzero(where < 0).tolist(), key=lambda i: len(units[i]) > LONGEST)
         known = len(self.at)
@@ -126,10 +140,10 @@ class UnitMemory:
             fresh: dict[bytes, int] = {}
             where[new] = [fresh.setdefault(units[i], known + len(fresh)) for i in new]
             ids = self.library(list(fresh))
+            ids, sizes = ids if isinstance(ids, tuple) else in_a_row(ids, self.dtype)
             self.at.update((u, place) for u, place in fresh.items() if len(u) <= LONGEST)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-            self.store = np.concatenate([self.store, np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))])
+            self.store = np.concatenate([self.store, ids.astype(self.dtype)])
         begin = self.ends[where][codes]
         count = self.ends[where + 1][codes] - begin
         total = np.cumsum(count)
@@ -140,11 +154,11 @@ class UnitMemory:
 
     def encode(self, raws: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, given as UTF-8."""
-        parts = [(i, part) for i, raw in enumerate(raws) for part in _parts(raw)]
+        parts = [(i, part) for i, raw in enumerate(raws) for part in _parts(raw, self.piece)]
         out: list[list[np.ndarray]] = [[] for _ in raws]
         while parts:
             taken, size = 0, 0
-            while taken < len(parts) and (not taken or size + len(parts[taken][1]) <= PIECE):
+            while taken < len(parts) and (not taken or size + len(parts[taken][1]) <= self.piece):
                 size += len(parts[taken][1]) + 1
                 taken += 1
             group, parts = parts[:taken], parts[taken:]
@@ -156,11 +170,11 @@ class UnitMemory:
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
-def _parts(raw: bytes) -> list[bytes]:
+def _parts(raw: bytes, piece: int) -> list[bytes]:
     """Pieces of a long text, each from a space that follows something else.  A stretch without such a place stays whole."""
     out, start = [], 0
-    while len(raw) - start > PIECE:
-        cut = raw.find(b" ", start + PIECE)
+    while len(raw) - start > piece:
+        cut = raw.find(b" ", start + piece)
         while cut > 0 and raw[cut - 1] in b" \n\t\r\x0b\x0c":
             cut = raw.find(b" ", cut + 1)
         if cut < 0:

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small documents with odd cases."""
 import hashlib
 import re
+import sys
 import time
 import zlib
 
@@ -11,7 +12,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from roundscope.llm import bitsliced_simhash, byte_bpe, chunk_dedup, cross_entropy, hash_ring, phrase_fingerprint, pii, pivotal_mix, string_kernel, token_blocks
+from roundscope.llm import bitsliced_simhash, byte_bpe, chunk_dedup, cross_entropy, hash_ring, phrase_fingerprint, pii, pivotal_mix, string_kernel, token_blocks, word_encoder
 from roundscope.llm.queries import BYTE_RANKS, ORACLES, QUERIES, WORD_VOCABULARY
 
 from .conftest import ODD
@@ -46,6 +47,26 @@ def test_op1_token_files(make):
     assert rows(token_blocks.describe_token_files(token_blocks.write_token_files(make([]), P.path(WORD_VOCABULARY)))) == []
 
 
+def test_op1_words_go_to_the_library_together():
+    """New words don't cost a call of the library each, and their ids are those of whole texts."""
+    rng = np.random.default_rng(4)
+    letters, ends = [*"abcdeXYZ", "é", "Ö", "ß"], ["", "", ".", ",", "$$$", ".***", "!", "'s", "×", "\u0301", "=\u0338", "9", "日", "\x85"]
+    texts = [" ".join("".join(rng.choice(letters, 9)) + ends[int(rng.integers(len(ends)))] + ends[int(rng.integers(len(ends)))] for _ in range(300)) for _ in range(20)]
+    encoder, calls = word_encoder.WordEncoder(P.path(WORD_VOCABULARY)), []
+
+    def seen(frame, event, arg):
+        if event == "c_call" and type(getattr(arg, "__self__", None)).__module__.startswith("tokenizers"):
+            calls.append(arg.__name__)
+
+    sys.setprofile(seen)
+    try:
+        got = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert [x.tolist() for x in got] == [e.ids for e in Tokenizer.from_file(P.path(WORD_VOCABULARY)).encode_batch(texts, add_special_tokens=False)]
+    assert 0 < len(calls) < 20
+
+
 def test_op2_ring(make):
     docs = make([*ODD, *[(i, str(i)) for i in range(100, 500)], *[(77, "again")] * 150])
     got = hash_ring.shard_documents(docs).collect()
