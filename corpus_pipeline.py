@@ -25,7 +25,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies (five-word shingles, similarity 0.8 or more), the document with the smallest doc_id stays."""
+    """Of a group of near copies, the document with the smallest doc_id stays.
+
+    Bit-sliced SimHash proposes them, MinHash bands add those beyond its radius, and an exact check follows (five-word shingles, similarity 0.8 or more).
+    """
     return shingle_dedup.drop_similar(docs)
 
 

@@ -42,22 +42,30 @@ class NearRule:
     bucket_rows: int = 2048
 
 
-def simhash(text: str | None, rule: NearRule = NearRule()) -> int:
-    """64-bit fingerprint as a signed integer."""
+def shingle_hashes(text: str | None, rule: NearRule = NearRule()) -> np.ndarray:
+    """XXH64 values of all shingles, repeats included; the whole sequence of fewer words is one, a text without words has none."""
     parts = (text or "").encode().translate(_LOWER).split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     flat, k = b" ".join(parts), min(rule.words, len(parts))
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest, seed = xxhash.xxh64_intdigest, rule.seed
-    count, total = len(parts) - k + 1, np.zeros(64, np.int64)
-    pairs = list(zip(starts[:count].tolist(), ends[k - 1 :].tolist(), strict=True))
-    for i in range(0, count, 1 << 16):
-        some = pairs[i : i + (1 << 16)]
-        h = np.fromiter((digest(flat[a:b], seed) for a, b in some), np.uint64, len(some))
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > count, bitorder="little").view("<i8")[0])
+    count = len(parts) - k + 1
+    return np.fromiter((digest(flat[a:b], seed) for a, b in zip(starts[:count].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, count)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the values, as a signed integer; zero if there are none."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def simhash(text: str | None, rule: NearRule = NearRule()) -> int:
+    """64-bit fingerprint as a signed integer."""
+    return majority(shingle_hashes(text, rule))
 
 
 def _fingerprint_rows(rule: NearRule):

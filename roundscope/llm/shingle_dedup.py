@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles.
+"""Near copies by bit-sliced SimHash and the Jaccard similarity of word shingles.
 
 Two texts are linked if their sets of shingles of five words are similar by 0.8 or more; near copies are the connected components of links.  Words
 are split at ASCII white space and lowered as ASCII, as for SimHash; a text of fewer words is one shingle.  Null and blank texts are equal.
 
-Candidates share one of 32 bands of five MinHash values, a bucket.  A pair of similarity s shares none with probability (1 - s^5)^32: 3.0e-6 at 0.8 and
+Candidates are found by the operator of ``bitsliced_simhash``: fingerprints of the same shingles, compared by bit planes, link at two or fewer differing
+bits, and the texts that such links join are a bucket.  About 10 of 64 bits differ at a similarity of 0.8, so most edited copies lie beyond that radius.
+For them, each of 32 bands of five MinHash values is a bucket too.  A pair of similarity s shares no band with probability (1 - s^5)^32: 3.0e-6 at 0.8 and
 less above.  Nothing else is lost: all texts of a bucket are compared by their whole sets (64-bit hashes of shingles) unless they are connected already.
 
 1. Every text meets the smallest one of one bucket, then those of its other buckets that it isn't connected to.
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitsliced_simhash import _LOWER, _links, components
+from .bitsliced_simhash import NearRule, _links, components, majority, near_links, shingle_hashes
 from .support import discard, importable, stored
 
 
@@ -42,16 +44,17 @@ class ShingleRule:
     together: int = 512
 
 
+def _hashes(text: str | None, rule: ShingleRule) -> np.ndarray:
+    return shingle_hashes(text, NearRule(words=rule.words, seed=rule.seed))
+
+
+def _distinct(hashes: np.ndarray, rule: ShingleRule) -> np.ndarray:
+    return np.unique(hashes) if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", rule.seed)], np.uint64)
+
+
 def shingles(text: str | None, rule: ShingleRule = ShingleRule()) -> np.ndarray:
     """Sorted distinct XXH64 values of the shingles; one value for a text without words."""
-    parts = (text or "").encode().translate(_LOWER).split()
-    flat, k = b" ".join(parts), min(rule.words, len(parts))
-    if len(parts) <= rule.words:
-        return np.array([xxhash.xxh64_intdigest(flat, rule.seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: len(parts) - k + 1]
-    digest, seed = xxhash.xxh64_intdigest, rule.seed
-    return np.unique(np.fromiter((digest(flat[a:b], seed) for a, b in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+    return _distinct(_hashes(text, rule), rule)
 
 
 def band_keys(values: np.ndarray, rule: ShingleRule = ShingleRule()) -> list[int]:
@@ -106,9 +109,13 @@ def _band_rows(rule: ShingleRule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
-                some = batch.slice(i, 1024)
-                keys = pa.array((band_keys(shingles(t.as_py(), rule), rule) for t in some.column("text")), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([some.column("digest"), some.column("doc_id"), keys], names=["digest", "doc_id", "buckets"])
+                some, prints, keys = batch.slice(i, 1024), [], []
+                for t in some.column("text"):
+                    hashes = _hashes(t.as_py(), rule)
+                    prints.append(majority(hashes))
+                    keys.append(band_keys(_distinct(hashes, rule), rule))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("digest"), some.column("doc_id"), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["digest", "doc_id", "fp", "buckets"])
 
     return run
 
@@ -197,15 +204,24 @@ def _named(shared: DataFrame, found: DataFrame) -> DataFrame:
     return shared.join(both, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def fingerprint_classes(entries: DataFrame, rule: ShingleRule = ShingleRule()) -> DataFrame:
+    """node, class for each node of ``entries`` (node, fp): nodes that bit-sliced SimHash links, directly or by way of others, are one class."""
+    prints = stored(entries.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    found = components(near_links(prints, NearRule(words=rule.words, seed=rule.seed))).withColumnRenamed("node", "rep")
+    named = prints.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("class"))
+    return entries.select("node", "fp").join(named, "fp").select("node", "class")
+
+
 def similar_nodes(entries: DataFrame, sets_of, rule: ShingleRule = ShingleRule()) -> DataFrame:
-    """node, component for each node of ``entries`` (node, buckets) that has a near copy, but the smallest of a component; a stored table.
+    """node, component for each node of ``entries`` (node, fp, buckets) that has a near copy, but the smallest of a component; a stored table.
 
     ``sets_of`` gives (node, set) for a table of nodes.
     """
     together = rule.together
     chunk = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     groups = lambda n: F.ceil(n / together).cast("int")
-    keyed = entries.select("node", F.explode("buckets").alias("bucket"))
+    classes = fingerprint_classes(entries, rule).select("node", F.xxhash64(F.lit("simhash"), "class").alias("bucket"))
+    keyed = entries.select("node", F.explode("buckets").alias("bucket")).unionByName(classes)
     sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1").select("bucket", "least")
     shared = stored(keyed.join(sizes, "bucket"), "shared")
     sets = stored(sets_of(shared.select("node").distinct()), "sets")
@@ -265,9 +281,9 @@ def drop_similar(docs: DataFrame, rule: ShingleRule = ShingleRule()) -> DataFram
     digest = F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
     rows = docs.select(digest.alias("digest"), doc.alias("doc_id"), text.alias("text"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    entries = rows.mapInArrow(_band_rows(rule), "digest binary, doc_id long, buckets array<long>").groupBy("digest").agg(
-        first.alias("first"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("rows"))
-    entries = stored(entries.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "rows", "buckets"), "entries")
+    entries = rows.mapInArrow(_band_rows(rule), "digest binary, doc_id long, fp long, buckets array<long>").groupBy("digest").agg(
+        first.alias("first"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"), F.count(F.lit(1)).alias("rows"))
+    entries = stored(entries.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "rows", "fp", "buckets"), "entries")
     ids = entries.select("node", "digest", F.col("first.doc_id").alias("id"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
@@ -275,7 +291,7 @@ def drop_similar(docs: DataFrame, rule: ShingleRule = ShingleRule()) -> DataFram
         texts = rows.join(wanted, (rows["digest"] == wanted["wanted"]) & rows["doc_id"].eqNullSafe(wanted["id"])).select("node", "text")
         return texts.mapInArrow(_set_rows(rule), "node long, set binary").dropDuplicates(["node"])
 
-    found = similar_nodes(entries.select("node", "buckets"), sets_of, rule)
+    found = similar_nodes(entries.select("node", "fp", "buckets"), sets_of, rule)
     both = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     members = entries.join(both, "node", "left").select("node", "digest", "first", "rows", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("alone"))
     members = members.where("rows > 1 or not alone")

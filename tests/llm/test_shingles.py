@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from roundscope.llm import shingle_dedup
+from roundscope.llm import bitsliced_simhash, shingle_dedup
 
 from .conftest import ODD
 
@@ -122,3 +122,35 @@ def test_bucket_links_join_all_similar_sets():
     root = {i: i for i in range(len(sets))} | dict(links)
     assert len({(root[i], top(i)) for i in range(len(sets))}) == len({top(i) for i in range(len(sets))}) == len(set(root.values()))
     assert 1 < len(set(root.values())) < len(sets)
+
+
+def test_bit_sliced_simhash_proposes_copies(make):
+    """Without MinHash bands, the copies within two bits of another one still go; a text within two bits that isn't similar stays."""
+    rng, words = np.random.default_rng(7), [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words), " ".join(words).upper(), None, " \n", "one two three", "one two three four"]
+    for k in range(1, 30):
+        some = list(words)
+        for i in rng.choice(2000, k % 6, replace=False).tolist():
+            some[i] = f"x{k}"
+        texts.append(" ".join(some))
+    line = " ".join(f"r{i}" for i in range(30))
+    texts += [" ".join([line] * 200), " ".join([line] * 200 + [f"t{i}" for i in range(40)])]
+    rule = shingle_dedup.ShingleRule(bands=0)
+    near = bitsliced_simhash.NearRule(words=rule.words)
+    prints, sets = [bitsliced_simhash.simhash(t, near) & (1 << 64) - 1 for t in texts], brute_sets(texts)
+    bits = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    n = range(len(texts))
+
+    def groups(links):
+        top = list(n)
+        for _ in n:
+            top = [min(top[j] for j in n if links(i, j)) for i in n]
+        return top
+
+    close = groups(lambda i, j: bits(i, j) <= 2)
+    wanted = groups(lambda i, j: close[i] == close[j] and alike(i, j))
+    got = shingle_dedup.drop_similar(make(list(enumerate(texts))), rule).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(wanted))
+    assert 1 < len(set(wanted)) < len(texts) - 10 and max(bits(0, i) for i in n if wanted[i] == 0) > 0
+    assert bits(len(texts) - 2, len(texts) - 1) <= 2 and wanted[-1] != wanted[-2]
