@@ -8,9 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.common import importable
+
 _FOLDERS: list[str] = []
 _STORED: dict[int, tuple[DataFrame, str]] = {}
-_SOURCE = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -59,13 +60,6 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _FOLDERS.pop())
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver has it; a cluster installs it or gets --py-files."""
-    env = spark.sparkContext.environment
-    if _SOURCE not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [_SOURCE, env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))]))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

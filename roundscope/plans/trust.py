@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import count_if, ratio, truth
+from ..functions.common import count_if, importable, ratio, shared, truth
 
 
 @dataclass(frozen=True)
 class TrustConfig:
     confidence: float = 0.95
     iterations: int = 2000
-    slice: int = 100  # iterations of a pattern that one task draws
+    slice: int = 100  # fewest iterations of a pattern that a task draws
+    part_draws: int = 1 << 18  # draws that make a part of a pattern, unless ``slice`` iterations take more
     null_frequency: float = 0.5
     min_effect: float = 0.1
     false_discovery: float = 0.05
@@ -37,29 +38,57 @@ def packed(contrib: DataFrame) -> DataFrame:
                                              F.sum("numerator").alias("total_n"), F.sum("denominator").alias("total_d"), F.count("*").alias("clusters"))
 
 
+def _bounds(low: int, high: int, iterations: int):
+    """Worker of ``bootstrap_interval``: makes the draws of each row's resamples, and gives the estimates that may be a bound."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions.seeded import resampled
+
+        for batch in batches:
+            rows = batch.to_pydict()
+            alike: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(rows["clusters"], rows["first"], rows["last"], rows["parts"])):
+                alike.setdefault(key, []).append(i)
+            lows, highs = [None] * batch.num_rows, [None] * batch.num_rows
+            for (_, first, last, parts), some in alike.items():
+                seeds = np.array([np.frombuffer(rows["seed"][i], ">u4") for i in some]).astype(np.uint32)
+                above, below = (np.array([rows[x][i] for i in some], np.int64) for x in ("above", "below"))
+                for i, e in zip(some, np.sort(resampled(seeds, above, below, first, last), axis=1)):
+                    lows[i], highs[i] = (e[low:low + 1], e[high:high + 1]) if parts == 1 else (e[:low + 1], e[-(iterations - high):])
+            out = [batch.column(batch.schema.get_field_index(x)) for x in ("pattern_id", "clusters", "point", "parts")]
+            yield pa.RecordBatch.from_arrays([*out, *(pa.array(x, pa.list_(pa.float64())) for x in (lows, highs))], ["pattern_id", "clusters", "point", "parts", "low", "high"])
+
+    return run
+
+
 def bootstrap_interval(contrib: DataFrame, cfg: TrustConfig = TrustConfig()) -> DataFrame:
     """Cluster bootstrap with hash-driven draws, so every run gives the same bounds.
 
-    A pattern's iterations are dealt in slices, each with its own copy of the clusters, so one pattern's work spreads over many tasks.
-    Counter j of iteration k is k * n + j; a draw is an unsigned 64-bit number modulo n, taken in two halves.
-    Only the estimates, one number for each iteration, meet again by pattern.
+    Counter j of iteration k is k * n + j; a draw is an unsigned 64-bit number modulo n.  All draws of a pattern are made in one task, which gives its bounds only.
+    A pattern of many clusters is dealt in parts of ``slice`` iterations at least, each with its own copy of the clusters, so its work spreads over many tasks;
+    the lowest and highest estimates of its parts, which alone can be bounds, meet again by pattern.
     """
-    c = F.col
-    p = packed(contrib).where("clusters >= 2").withColumn("seed", F.unhex(F.sha2(F.concat_ws(":", "pattern_id", F.lit(cfg.salt)), 256)))
-    slices = -(-cfg.iterations // cfg.slice)
-    p = p.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long")))).repartition("pattern_id", "slice")
-    first, last = c("slice") * cfg.slice, F.least((c("slice") + 1) * cfg.slice, F.lit(cfg.iterations)) - 1
-    p = p.withColumn("k", F.explode(F.sequence(first, last.cast("long")))).withColumn("j", F.explode(F.expr("sequence(0L, clusters - 1)")))
-    digest = F.sha2(F.concat("seed", F.unhex(F.lpad(F.hex(c("k") * c("clusters") + c("j")), 16, "0"))), 256)
-    p = p.withColumn("digest", digest)
-    half = [F.conv(F.substring("digest", at, 8), 16, 10).cast("long") for at in (1, 9)]
-    pick = c("cl")[((half[0] % c("clusters") * (F.lit(1 << 32) % c("clusters")) + half[1]) % c("clusters")).cast("int")]
-    drawn = p.select("pattern_id", "slice", "k", "clusters", (c("total_n") / c("total_d")).alias("point"), pick.alias("pick"))
-    e = drawn.groupBy("pattern_id", "slice", "k").agg((F.sum("pick.numerator") / F.sum("pick.denominator")).alias("estimate"), F.first("clusters").alias("clusters"), F.first("point").alias("point"))
-    g = e.groupBy("pattern_id").agg(F.sort_array(F.collect_list("estimate")).alias("e"), F.max("clusters").alias("clusters"), F.max("point").alias("point"))
+    c, spark = F.col, contrib.sparkSession
     alpha = (1 - cfg.confidence) / 2
     lo, hi = int(alpha * (cfg.iterations - 1)), int((1 - alpha) * (cfg.iterations - 1))
-    return g.select("pattern_id", "clusters", "point", F.least(c("e")[lo], "point").alias("lower_bound"), F.greatest(c("e")[hi], "point").alias("upper_bound"))
+    every = F.lit(cfg.iterations).cast("long")
+    p = packed(contrib).where("clusters >= 2").withColumn("seed", F.unhex(F.sha2(F.concat_ws(":", "pattern_id", F.lit(cfg.salt)), 256)))
+    wanted = F.ceil(c("clusters") * every / cfg.part_draws)
+    p = p.withColumn("size", F.greatest(F.least(F.lit(cfg.slice), every), F.ceil(every / wanted)).cast("long")).withColumn("parts", F.ceil(every / c("size")))
+    p = p.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), every - 1, c("size"))))
+    p = p.select("pattern_id", "clusters", (c("total_n") / c("total_d")).alias("point"), "seed", c("cl.numerator").alias("above"), c("cl.denominator").alias("below"), "parts", "first",
+                 F.least(c("first") + c("size"), every).alias("last"))
+    importable(spark)
+    # small rows of much work: a set number of tasks, for Spark would join them by their size
+    e = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pattern_id", "first").mapInArrow(
+        _bounds(lo, hi, cfg.iterations), "pattern_id string, clusters long, point double, parts long, low array<double>, high array<double>")
+    g = e.groupBy("pattern_id").agg(*[F.max(x).alias(x) for x in ("clusters", "point", "parts")], *[F.sort_array(F.flatten(F.collect_list(x))).alias(x) for x in ("low", "high")])
+    whole = c("parts") == 1
+    low, high = F.element_at("low", F.when(whole, 1).otherwise(lo + 1)), F.element_at("high", F.when(whole, -1).otherwise(hi - cfg.iterations))
+    return g.select("pattern_id", "clusters", "point", F.least(low, "point").alias("lower_bound"), F.greatest(high, "point").alias("upper_bound"))
 
 
 def stability(contrib: DataFrame, cfg: TrustConfig = TrustConfig()) -> DataFrame:
@@ -108,7 +137,7 @@ def q_values(tests: DataFrame, family: list[str]) -> DataFrame:
 def assess(patterns: DataFrame, rounds: DataFrame, binary: tuple[str, ...], cfg: TrustConfig = TrustConfig()) -> DataFrame:
     """Gates, decision, reliability score and rank of every pattern."""
     c = F.col
-    contrib = match_contributions(rounds)
+    contrib = shared(match_contributions(rounds))  # three tests read it
     p = patterns.withColumn("null_frequency", null_frequency(c("pattern_type"), c("value"), binary, cfg))
     tests = sign_test(contrib, p).join(p.select("pattern_id", "profile_id"), "pattern_id")
     q = p.join(q_values(tests, ["profile_id"]).drop("profile_id", "rank"), "pattern_id", "left")

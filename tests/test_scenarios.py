@@ -221,6 +221,47 @@ def test_bootstrap_bounds_match_plain_python(spark):
         assert (got.lower_bound, got.upper_bound) == (min(est[int(alpha * 199)], 0.5), max(est[int((1 - alpha) * 199)], 0.5))
 
 
+def test_bootstrap_of_many_patterns_parts_and_clusters(spark):
+    """Bounds of patterns with two and with many clusters, whole and in parts, are those of all draws made one by one."""
+    rng = random.Random(5)
+    rows = [(p, f"m{i:03}", (x := rng.randrange(9)), x + rng.randrange(1, 9), 0.0) for p, n in (("a", 2), ("b", 2), ("c", 37), ("d", 3), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "pattern_id string, match_id string, numerator bigint, denominator bigint, frequency double")
+    want, cfg = {}, N.TrustConfig(iterations=300)
+    alpha = (1 - cfg.confidence) / 2
+    for p in "abcd":
+        seed, cl = hashlib.sha256(f"{p}:trust-v1".encode()).digest(), [r[2:4] for r in rows if r[0] == p]
+        drawn = [cl[int.from_bytes(hashlib.sha256(seed + at.to_bytes(8, "big")).digest()[:8], "big") % len(cl)] for at in range(300 * len(cl))]
+        est = sorted(sum(x for x, _ in drawn[k:k + len(cl)]) / sum(y for _, y in drawn[k:k + len(cl)]) for k in range(0, len(drawn), len(cl)))
+        point = sum(x for x, _ in cl) / sum(y for _, y in cl)
+        want[p] = (len(cl), point, min(est[int(alpha * 299)], point), max(est[int((1 - alpha) * 299)], point))
+    for size, draws in ((100, 1 << 18), (10, 200), (7, 1)):
+        got = N.bootstrap_interval(df, replace(cfg, slice=size, part_draws=draws)).collect()
+        assert {r.pattern_id: (r.clusters, r.point, r.lower_bound, r.upper_bound) for r in got} == want
+
+
+def test_bootstrap_moves_bounds_not_draws(spark):
+    """A draw is no row of the plan: a pattern's estimates stay in the task that makes them."""
+    df = spark.createDataFrame([("p", f"m{i}", i, 5, i / 5) for i in range(2)], "pattern_id string, match_id string, numerator bigint, denominator bigint, frequency double")
+    plan = N.bootstrap_interval(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_draws_are_sha256_for_any_counter_and_block(monkeypatch):
+    np = pytest.importorskip("numpy")
+    from roundscope.functions import seeded
+
+    raw = [hashlib.sha256(bytes([i])).digest() for i in range(3)]
+    seeds = np.array([np.frombuffer(x, ">u4") for x in raw]).astype(np.uint32)
+    for first in (0, 2**32 - 3, 2**62):
+        want = [[int.from_bytes(hashlib.sha256(x + (first + i).to_bytes(8, "big")).digest()[:8], "big") for i in range(7)] for x in raw]
+        assert seeded.digests(seeds, first, 7).tolist() == want
+    above = np.arange(33).reshape(3, 11) % 5
+    whole = seeded.resampled(seeds, above, above + 1, 3, 40).tolist()
+    for block in (4, 11, 64):  # blocks smaller than a resample, as large, and larger
+        monkeypatch.setattr(seeded, "BLOCK", block)
+        assert seeded.resampled(seeds, above, above + 1, 3, 40).tolist() == whole
+
+
 def test_sign_test_tail(spark):
     df = spark.createDataFrame([(3, 3), (5, 7), (0, 4), (0, 0)], "k bigint, n bigint")
     got = [round(r[0], 9) for r in df.select(N.upper_tail(F.col("k"), F.col("n"))).collect()]
